@@ -1,9 +1,10 @@
 """The queries over these operators, each over its whole table, and their SQL."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickyard.llm import decontaminate, line_dedup, quality_rules, source_mix
+from brickyard.llm import decontaminate, line_dedup, quality_rules, source_mix, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digests(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(_documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -45,5 +50,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id"""
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op5_quality_rules, op7_source_mix, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op4_token_files, op5_quality_rules, op7_source_mix, op8_line_dedup)}
 ORACLES = {"op5_quality_rules": quality_rules.oracle(), "op8_line_dedup": OP8_SQL}
