@@ -25,3 +25,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut by files in the shared folder, so lost executors cost no rerun."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python workers in small Arrow batches, so a worker's memory follows the texts, not the row count."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brickyard.llm._shared import small_batches
+
 WINDOW = 10
 #: Bytes of words keep (A-Z lower-cased); all others become spaces.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -182,6 +184,7 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_words: int):
 def with_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = 2_000_000, out: str = "hits") -> DataFrame:
     """docs with struct ``out``: n_words, n_hit, items (ids sorted as strings) and spans (word ranges)."""
     spark = docs.sparkSession
+    small_batches(spark)
     df = docs.drop(out)
     names = df.columns
     at = names.index(text)

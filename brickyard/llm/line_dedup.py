@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brickyard.llm._shared import small_batches
 from brickyard.llm.perfect_hash import PerfectHash
 
 _SPACE = " \t\n\x0b\x0c\r"
@@ -141,6 +142,7 @@ def _probe(min_chars: int):
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, n_lines (before), n_dropped, text (what stays)."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bucket = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(4 * parts)).cast("int").alias("bucket")
     sort_id = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST))

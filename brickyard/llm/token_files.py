@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brickyard.llm._shared import new_path
+from brickyard.llm._shared import new_path, small_batches
 from brickyard.llm.token_codec import decode_block, encode_block
 
 CACHED_CHUNKS = 600_000
@@ -111,6 +111,7 @@ def _encode_shard(path: str, end_id: int, block_tokens: int):
 def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> None:
     """Writes the token files of docs to the folder ``to``."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
