@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickyard.llm import decontaminate, line_dedup, quality_rules, source_mix, token_files
+from brickyard.llm import decontaminate, jaccard_join, line_dedup, quality_rules, source_mix, token_counts, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_documents(spark, sf_dir))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -50,5 +58,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id"""
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_token_files, op5_quality_rules, op7_source_mix, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_jaccard_join, op3_token_counts, op4_token_files, op5_quality_rules, op7_source_mix, op8_line_dedup)}
 ORACLES = {"op5_quality_rules": quality_rules.oracle(), "op8_line_dedup": OP8_SQL}
