@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickyard.llm import decontaminate, jaccard_join, line_dedup, quality_rules, source_mix, suffix_dedup, token_counts, token_files
+from brickyard.llm import decontaminate, jaccard_join, line_dedup, passage_dedup, quality_rules, source_mix, suffix_dedup, token_counts, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.repeated_passages(_documents(spark, sf_dir))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_substrings(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -62,5 +66,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id"""
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_jaccard_join, op3_token_counts, op4_token_files, op5_quality_rules, op7_source_mix, op8_line_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_jaccard_join, op3_token_counts, op4_token_files, op5_quality_rules, op7_source_mix, op8_line_dedup, op9_passage_dedup, op10_suffix_dedup)}
 ORACLES = {"op5_quality_rules": quality_rules.oracle(), "op8_line_dedup": OP8_SQL}
