@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickyard.llm import decontaminate, jaccard_join, line_dedup, passage_dedup, quality_rules, source_mix, suffix_dedup, token_counts, token_files
+from brickyard.llm import decontaminate, jaccard_join, line_dedup, passage_dedup, pii, quality_rules, source_mix, suffix_dedup, token_counts, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.report(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_plan(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -66,5 +71,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id"""
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_jaccard_join, op3_token_counts, op4_token_files, op5_quality_rules, op7_source_mix, op8_line_dedup, op9_passage_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_jaccard_join, op3_token_counts, op4_token_files, op5_quality_rules, op6_pii, op7_source_mix, op8_line_dedup, op9_passage_dedup, op10_suffix_dedup)}
 ORACLES = {"op5_quality_rules": quality_rules.oracle(), "op8_line_dedup": OP8_SQL}
