@@ -1,4 +1,508 @@
-"""Registry of the engine's queries over the driver's tables and their SQL."""
+"""The engine's operators as queries over relational tables, each with its SQL.
+
+Analogies: a brick is a nation (or a part brand), a commit an order, a file a document, a fragment a
+line of text, a library a host name; the base snapshot is orders before a date, the head all of them.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brickyard.functions.facts import extract
+from brickyard.operators import code, graph, stats
+from brickyard.plans import baseline, thresholds
+from brickyard.plans.config import SETTINGS
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+REGISTRY = "metric string, direction string, checks array<string>, kind string, metric_ord int, section string"
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- edges between nations: where a nation's customers buy most abroad -------------------------------
+
+EDGES = """flow AS (
+  SELECT c_nationkey AS f, s_nationkey AS t, sum(l_quantity) AS q
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
+ranked AS (SELECT f, t, row_number() OVER (PARTITION BY f ORDER BY q DESC, t) AS r FROM flow),
+edges AS (
+  SELECT a.n_name AS src, b.n_name AS dst, r_name AS area FROM ranked JOIN nation a ON f = a.n_nationkey
+  JOIN nation b ON t = b.n_nationkey JOIN region ON b.n_regionkey = r_regionkey WHERE r <= 2),
+ca AS (SELECT dst AS brick, count(DISTINCT src) AS n FROM edges GROUP BY 1),
+ce AS (SELECT src AS brick, count(DISTINCT area) AS n FROM edges GROUP BY 1),
+deps AS (
+  SELECT n_name AS brick, coalesce(ca.n, 0) AS afferent, coalesce(ce.n, 0) AS efferent,
+         coalesce(ce.n, 0)::DOUBLE / nullif(coalesce(ca.n, 0) + coalesce(ce.n, 0), 0) AS instability
+  FROM nation LEFT JOIN ca ON ca.brick = n_name LEFT JOIN ce ON ce.brick = n_name)"""
+
+
+def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with the nations of customer and supplier."""
+    nation = _t(spark, sf_dir, "nation")
+    c = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    s = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    names = lambda key, out: nation.select(F.col("n_nationkey").alias(key), F.col("n_name").alias(out))
+    lines = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    return lines.join(names("c_nationkey", "src"), "c_nationkey").join(names("s_nationkey", "dst"), "s_nationkey")
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "nation").select(F.col("n_name").alias("brick"), F.when(F.col("n_regionkey") == 0, "base").otherwise("component").alias("type"), F.col("n_nationkey").alias("ord"))
+
+
+def _edges(spark: SparkSession, sf_dir: str, sales: DataFrame | None = None) -> DataFrame:
+    """from, to, interface: each nation's two largest foreign suppliers."""
+    sales = _sales(spark, sf_dir) if sales is None else sales
+    flow = sales.filter("c_nationkey <> s_nationkey").groupBy("c_nationkey", "s_nationkey", "src", "dst").agg(F.sum("l_quantity").alias("q"))
+    best = graph.first_of(flow, ["c_nationkey", "s_nationkey"], [F.asc("q")])
+    from pyspark.sql import Window
+
+    ranked = best.withColumn("r", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("q"), "s_nationkey"))).filter("r <= 2")
+    area = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("dst"), F.col("r_name").alias("interface"))
+    return ranked.join(area, "dst").select(F.col("src").alias("from"), F.col("dst").alias("to"), "interface")
+
+
+@query(f"WITH {EDGES} SELECT brick, afferent, efferent, round(instability, 6) AS instability FROM deps")
+def dependency_metrics(spark, sf_dir):
+    m = graph.dependency_metrics(_nodes(spark, sf_dir), _edges(spark, sf_dir))
+    return m.withColumn("instability", F.round("instability", 6))
+
+
+@query(
+    f"""WITH {EDGES},
+sales AS (
+  SELECT a.n_name AS src, b.n_name AS dst, l_orderkey, l_linenumber, l_shipdate,
+         row_number() OVER (PARTITION BY a.n_name, b.n_name ORDER BY l_shipdate, l_orderkey, l_linenumber) AS r
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON s_nationkey = b.n_nationkey)
+SELECT src, dst, l_orderkey AS first_order, l_linenumber::BIGINT AS first_line FROM sales JOIN edges USING (src, dst) WHERE r = 1"""
+)
+def first_edge_location(spark, sf_dir):
+    sales = _sales(spark, sf_dir)
+    first = graph.first_of(sales.select("src", "dst", "l_orderkey", "l_linenumber", "l_shipdate"), ["src", "dst"], [F.asc("l_shipdate"), F.asc("l_orderkey"), F.asc("l_linenumber")])
+    e = _edges(spark, sf_dir, sales).select(F.col("from").alias("src"), F.col("to").alias("dst"))
+    return first.join(e, ["src", "dst"]).select("src", "dst", F.col("l_orderkey").alias("first_order"), F.col("l_linenumber").cast("long").alias("first_line"))
+
+
+@query(f"WITH {EDGES} SELECT src, dst, round(b.instability - a.instability, 6) AS gap FROM edges JOIN deps a ON a.brick = src JOIN deps b ON b.brick = dst WHERE b.instability - a.instability > 0.1")
+def unstable_edges(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    found = graph.unstable_edges(e, graph.dependency_metrics(_nodes(spark, sf_dir), e), 0.1)
+    return found.select(F.col("from").alias("src"), F.col("to").alias("dst"), F.round("gap", 6).alias("gap"))
+
+
+@query(
+    f"""WITH {EDGES},
+sole AS (SELECT dst AS brick, min(src) AS dependent FROM edges GROUP BY 1 HAVING count(DISTINCT src) = 1),
+size AS (SELECT n_name AS brick, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
+SELECT sole.brick, dependent, round(a.n::DOUBLE / b.n, 6) AS share FROM sole JOIN size a ON a.brick = sole.brick JOIN size b ON b.brick = dependent"""
+)
+def merge_candidates(spark, sf_dir):
+    size = _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("brick")).agg(F.count("*").alias("n"))
+    other = size.select(F.col("brick").alias("dependent"), F.col("n").alias("m"))
+    return graph.sole_dependents(_edges(spark, sf_dir)).join(size, "brick").join(other, "dependent").select("brick", "dependent", F.round(F.col("n").cast("double") / F.col("m"), 6).alias("share"))
+
+
+PAIRS = """touched AS (SELECT DISTINCT l_orderkey AS c, p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey),
+small AS (SELECT * FROM touched WHERE c IN (SELECT c FROM touched GROUP BY c HAVING count(*) <= 5)),
+n AS (SELECT b, count(*) AS n FROM small GROUP BY b),
+both_ AS (SELECT x.b AS a, y.b AS b, count(*) AS shared FROM small x JOIN small y ON x.c = y.c AND x.b < y.b GROUP BY 1, 2),
+pairs AS (
+  SELECT CASE WHEN na.n <= nb.n THEN a ELSE both_.b END AS fewer, CASE WHEN na.n <= nb.n THEN both_.b ELSE a END AS more, shared, least(na.n, nb.n) AS changes
+  FROM both_ JOIN n na ON na.b = a JOIN n nb ON nb.b = both_.b)"""
+
+
+def _pairs(spark, sf_dir):
+    touched = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("commit"), F.col("p_brand").alias("brick"))
+    return graph.co_changes(touched, 5)
+
+
+@query(f"WITH {PAIRS} SELECT fewer, more, shared, changes, round(shared::DOUBLE / changes, 6) AS strength FROM pairs")
+def co_change_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).withColumn("strength", F.round("strength", 6))
+
+
+BRANDS = """brands AS (SELECT p_brand AS brand, p_brand AS src, 'Brand#' || (((substr(p_brand, 7)::INT) % 5 + 1)::VARCHAR) || substr(p_brand, 8) AS dst FROM part GROUP BY p_brand),
+near AS (SELECT src, dst FROM brands WHERE src < dst AND dst IN (SELECT p_brand FROM part))"""
+
+
+def _brand_edges(spark, sf_dir):
+    brands = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("src")).distinct()
+    step = F.substring("src", 7, 10).cast("int") % 5 + 1
+    e = brands.withColumn("dst", F.concat(F.lit("Brand#"), step.cast("string"), F.substring("src", 8, 10))).filter("src < dst")
+    return e.join(brands.select(F.col("src").alias("dst")), "dst", "left_semi").select(F.col("src").alias("from"), F.col("dst").alias("to"))
+
+
+@query(
+    f"""WITH RECURSIVE {PAIRS}, {BRANDS},
+reach AS (SELECT src, dst FROM near UNION SELECT reach.src, near.dst FROM reach JOIN near ON reach.dst = near.src)
+SELECT fewer, more, shared FROM pairs WHERE shared >= 3
+AND NOT EXISTS (SELECT 1 FROM reach WHERE (src = fewer AND dst = more) OR (src = more AND dst = fewer))"""
+)
+def co_change_hidden(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir).filter("shared >= 3")
+    return graph.unconnected(pairs, "fewer", "more", _brand_edges(spark, sf_dir)).select("fewer", "more", "shared")
+
+
+@query(f"WITH RECURSIVE {EDGES}, reach AS (SELECT src, dst FROM edges UNION SELECT reach.src, edges.dst FROM reach JOIN edges ON reach.dst = edges.src) SELECT src, dst FROM reach")
+def reachability(spark, sf_dir):
+    paths = graph.closure(_edges(spark, sf_dir).select(F.col("from").alias("a"), F.col("to").alias("b")))
+    return paths.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+@query(f"WITH RECURSIVE {EDGES}, hit AS (SELECT n_name AS brick FROM nation WHERE n_regionkey = 1 UNION SELECT src FROM edges JOIN hit ON dst = brick) SELECT brick FROM hit")
+def taint_fixpoint(spark, sf_dir):
+    seeds = _t(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_name").alias("node"))
+    e = _edges(spark, sf_dir).select(F.col("from").alias("a"), F.col("to").alias("b"))
+    return graph.reach_back(e, seeds).select(F.col("node").alias("brick"))
+
+
+@query(
+    f"""WITH {EDGES} SELECT n_name AS brick, coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT dst AS x FROM edges WHERE src = n_name)), '') AS depends_on,
+coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT src AS x FROM edges WHERE dst = n_name)), '') AS depended_on_by FROM nation"""
+)
+def neighbors(spark, sf_dir):
+    found = graph.neighbors(_nodes(spark, sf_dir), _edges(spark, sf_dir))
+    return found.select("brick", F.array_join("depends_on", ",").alias("depends_on"), F.array_join("depended_on_by", ",").alias("depended_on_by"))
+
+
+@query(f"WITH {EDGES}, ids AS (SELECT n_name, 'b' || (row_number() OVER (ORDER BY n_nationkey) - 1)::VARCHAR AS id FROM nation) SELECT '  ' || a.id || ' --> ' || b.id AS line FROM (SELECT DISTINCT src, dst FROM edges) e JOIN ids a ON a.n_name = src JOIN ids b ON b.n_name = dst")
+def mermaid_edges(spark, sf_dir):
+    from pyspark.sql import Window
+
+    ids = _nodes(spark, sf_dir).select("brick", F.concat(F.lit("b"), (F.row_number().over(Window.orderBy("ord")) - 1).cast("string")).alias("id"))
+    e = _edges(spark, sf_dir).select("from", "to").distinct()
+    a, b = ids.select(F.col("brick").alias("from"), F.col("id").alias("i")), ids.select(F.col("brick").alias("to"), F.col("id").alias("j"))
+    return e.join(a, "from").join(b, "to").select(F.concat(F.lit("  "), "i", F.lit(" --> "), "j").alias("line"))
+
+
+# -- texts and hosts -------------------------------------------------------------------------------
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT source, unnest(string_split(lower(text), ' ')) AS token FROM documents), u AS (SELECT * FROM w WHERE length(token) > 3),
+m AS (SELECT token FROM u GROUP BY token HAVING count(*) > 1)
+SELECT source, count(*) FILTER (WHERE token IN (SELECT token FROM m)) AS shared FROM u GROUP BY source"""
+)
+def shared_tokens(spark, sf_dir):
+    words = _t(spark, sf_dir, "documents").select("source", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("token")).filter(F.length("token") > 3)
+    return code.shared_counts(words, "source", "token")
+
+
+LINES = """lines AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+frag AS (SELECT source, doc_id, md5(line) AS hash, length(line) AS forms, n AS line, n AS end_line FROM lines WHERE length(line) > 30
+  UNION ALL SELECT a.source, a.doc_id, md5(a.line || chr(10) || b.line), length(a.line) + length(b.line) + 1, a.n, b.n FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.n = a.n + 1),
+dup AS (SELECT * FROM frag WHERE forms > 30 AND hash IN (SELECT hash FROM frag WHERE forms > 30 GROUP BY hash HAVING count(DISTINCT source) > 1))"""
+
+
+def _fragments(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select(F.col("source").alias("brick"), F.col("doc_id").alias("file"), F.split("text", "\n").alias("lines"))
+    lines = d.select("brick", "file", "lines", F.posexplode("lines").alias("i", "text"))
+    one = lines.filter(F.length("text") > 30).select("brick", "file", F.md5("text").alias("hash"), F.length("text").alias("forms"), (F.col("i") + 1).alias("line"), (F.col("i") + 1).alias("end_line"))
+    both = F.concat_ws("\n", "text", F.get("lines", F.col("i") + 1))
+    two = lines.filter(F.col("i") + 1 < F.size("lines")).select("brick", "file", F.md5(both).alias("hash"), F.length(both).alias("forms"), (F.col("i") + 1).alias("line"), (F.col("i") + 2).alias("end_line"))
+    return one.unionByName(two)
+
+
+@query(f"WITH {LINES} SELECT source, doc_id, hash, line::BIGINT AS line FROM dup WHERE line = end_line")
+def duplicate_fragments(spark, sf_dir):
+    f = _fragments(spark, sf_dir).filter("line = end_line")
+    return code.duplicates(f, 30).select(F.col("brick").alias("source"), F.col("file").alias("doc_id"), "hash", F.col("line").cast("long").alias("line"))
+
+
+@query(
+    f"""WITH {LINES} SELECT source, doc_id, hash, forms::BIGINT AS forms, line::BIGINT AS line FROM dup d
+WHERE NOT EXISTS (SELECT 1 FROM dup o WHERE o.doc_id = d.doc_id AND o.forms > d.forms AND o.line <= d.line AND o.end_line >= d.end_line)"""
+)
+def duplicate_maximal(spark, sf_dir):
+    found = code.duplicates(_fragments(spark, sf_dir), 30)
+    return found.select(F.col("brick").alias("source"), F.col("file").alias("doc_id"), "hash", F.col("forms").cast("long").alias("forms"), F.col("line").cast("long").alias("line"))
+
+
+HOSTS = """req AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([^/]*)', 1) AS brick FROM pages),
+rev AS (SELECT page_id, brick, array_to_string(list_reverse(string_split(host, '.')), '.') AS target FROM req),
+keyed AS (SELECT *, string_split(target, '.') AS p, array_to_string(string_split(target, '.')[1:2], '.') AS k FROM rev),
+named AS (
+  SELECT k, count(DISTINCT brick) AS n_bricks, min(p) AS lo, max(p) AS hi FROM keyed GROUP BY k),
+libs AS (
+  SELECT k, n_bricks, array_to_string(lo[1:coalesce(nullif(list_position(list_transform(range(1, greatest(len(lo), len(hi)) + 1), lambda i: lo[i] IS NOT DISTINCT FROM hi[i]), false), 0) - 1, len(lo))], '.') AS library
+  FROM named)"""
+
+
+def _requires(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"), F.regexp_extract("url", r"^https?://[^/]+/([^/]*)", 1).alias("brick"))
+    return p.select("page_id", "brick", F.array_join(F.reverse(F.split("host", r"\.")), ".").alias("target"))
+
+
+@query(f"WITH {HOSTS} SELECT library, n_bricks FROM libs")
+def library_names(spark, sf_dir):
+    r = _requires(spark, sf_dir).withColumn("p", F.split("target", r"\.")).withColumn("k", F.array_join(F.slice("p", 1, 2), "."))
+    g = r.groupBy("k").agg(F.countDistinct("brick").alias("n_bricks"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+    return g.select(code.common_prefix(F.col("lo"), F.col("hi")).alias("library"), "n_bricks")
+
+
+@query(
+    """WITH req AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+/([^/]*)', 1) AS brick, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages),
+r AS (SELECT *, string_split(host, '.') AS p FROM req), k AS (SELECT *, p[1] AS key FROM r),
+n AS (SELECT key, count(DISTINCT brick) AS n_bricks FROM k GROUP BY key)
+SELECT key AS library_key, k.brick, n_bricks, min(page_id) AS first_page FROM k JOIN n USING (key) WHERE n_bricks > 1 GROUP BY 1, 2, 3"""
+)
+def library_spread(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^https?://[^/]+/([^/]*)", 1).alias("brick"), F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("target"), F.lit("").alias("file"), F.col("page_id").alias("line"), F.col("page_id").alias("ord"), F.lit(False).alias("is_js"))
+    found = code.libraries(p).filter("n_bricks > 1")
+    return found.select(F.split_part("library", F.lit("."), F.lit(1)).alias("library_key"), "brick", "n_bricks", F.col("line").alias("first_page"))
+
+
+@query("SELECT source, count(*) FILTER (WHERE l.doc_id IS NULL) AS untested, round(count(*) FILTER (WHERE l.doc_id IS NULL)::DOUBLE / count(*), 6) AS share FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id GROUP BY source")
+def untested_items(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", "source")
+    left = d.join(_t(spark, sf_dir, "labels"), "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("untested"))
+    return d.groupBy("source").agg(F.count("*").alias("n")).join(left, "source", "left").fillna(0, ["untested"]).select("source", "untested", F.round(F.col("untested").cast("double") / F.col("n"), 6).alias("share"))
+
+
+@query("SELECT p_brand, count(*) AS used FROM part WHERE EXISTS (SELECT 1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey = p_partkey AND s_nationkey = 3) GROUP BY p_brand")
+def semi_used_items(spark, sf_dir):
+    s = _t(spark, sf_dir, "supplier").filter("s_nationkey = 3").select(F.col("s_suppkey").alias("l_suppkey"))
+    used = _t(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").join(s, "l_suppkey", "left_semi").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    return _t(spark, sf_dir, "part").join(used, "p_partkey", "left_semi").groupBy("p_brand").agg(F.count("*").alias("used"))
+
+
+@query("SELECT n_name AS brick, round(count(*) FILTER (WHERE c_nationkey = s_nationkey)::DOUBLE / count(*), 6) AS cohesion FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def cohesion_share(spark, sf_dir):
+    found = stats.share(_sales(spark, sf_dir), ["src"], F.col("c_nationkey") == F.col("s_nationkey"), "cohesion")
+    return found.select(F.col("src").alias("brick"), F.round("cohesion", 6).alias("cohesion"))
+
+
+@query(
+    """WITH u AS (SELECT user_id, event_type AS alias, min(event_id) AS first_at FROM events GROUP BY 1, 2),
+s AS (SELECT DISTINCT user_id, CASE WHEN user_id % 3 = 0 THEN 'click' WHEN user_id % 3 = 1 THEN 'purchase' ELSE 'no' END AS symbol FROM events)
+SELECT s.user_id, symbol, coalesce(o.first_at, (SELECT min(first_at) FROM u WHERE u.user_id = s.user_id AND alias = 'view')) AS target
+FROM s LEFT JOIN u o ON o.user_id = s.user_id AND o.alias = symbol"""
+)
+def alias_resolution(spark, sf_dir):
+    u = _t(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("alias")).agg(F.min("event_id").alias("at"))
+    m = F.col("user_id") % 3
+    s = u.select("user_id").distinct().withColumn("symbol", F.when(m == 0, "click").when(m == 1, "purchase").otherwise("no"))
+    own = u.select("user_id", F.col("alias").alias("symbol"), F.col("at").alias("a"))
+    other = u.filter("alias = 'view'").select("user_id", F.col("at").alias("b"))
+    return s.join(own, ["user_id", "symbol"], "left").join(other, "user_id", "left").select("user_id", "symbol", F.coalesce("a", "b").alias("target"))
+
+
+@query(
+    """WITH n AS (SELECT c_mktsegment AS k, n_name AS v, count(*) AS n, min(c_custkey) AS f FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, f) AS r FROM n) SELECT k AS brick, v AS own FROM r WHERE r = 1"""
+)
+def own_segment_mode(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_mktsegment").alias("brick"), F.col("n_name").alias("own"), "c_custkey")
+    return graph.mode_first(c, "brick", "own", "c_custkey")
+
+
+# -- statistics and thresholds ---------------------------------------------------------------------
+
+VALUES = """vals AS (
+  SELECT n_name AS brick, CASE WHEN n_regionkey = 0 THEN 'base' ELSE 'component' END AS type, 'revenue' AS metric, avg(l_extendedprice * (1 - l_discount)) AS value, count(*) AS n
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2
+  UNION ALL SELECT n_name, CASE WHEN n_regionkey = 0 THEN 'base' ELSE 'component' END, 'balance', avg(c_acctbal), count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+loo AS (SELECT a.metric, a.brick, a.type, a.value, avg(b.value) AS mean, stddev_samp(b.value) AS sd, count(b.value) AS peers FROM vals a JOIN vals b ON a.metric = b.metric AND a.brick <> b.brick GROUP BY 1, 2, 3, 4)"""
+
+
+def _values(spark, sf_dir):
+    nation = _nodes(spark, sf_dir).withColumnRenamed("ord", "k")
+    lines = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("k"))
+    a = lines.groupBy("brick", "type").agg(F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"), F.count("*").alias("n")).withColumn("metric", F.lit("revenue"))
+    b = _t(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("k")).groupBy("brick", "type").agg(F.avg("c_acctbal").alias("value"), F.count("*").alias("n")).withColumn("metric", F.lit("balance"))
+    return a.unionByName(b)
+
+
+@query(f"WITH {VALUES} SELECT metric, brick, round(value, 3) AS value FROM (SELECT metric, brick, value FROM vals UNION ALL SELECT metric, NULL, avg(value) FROM vals GROUP BY metric)")
+def section_average(spark, sf_dir):
+    return stats.with_average(_values(spark, sf_dir).select("metric", "brick", "value")).withColumn("value", F.round("value", 3))
+
+
+@query(f"WITH {VALUES} SELECT metric, brick, round((value - mean) / sd, 5) AS z, peers FROM loo WHERE sd > 0 AND peers >= 3 AND (value - mean) / sd >= 1.5")
+def leave_one_out_outliers(spark, sf_dir):
+    v = _values(spark, sf_dir).select("metric", "brick", "value")
+    kinds = spark.createDataFrame([("revenue", "max"), ("balance", "max")], "metric string, direction string")
+    return stats.outliers(v, kinds, 1.5).select("metric", "brick", F.round("z", 5).alias("z"), "peers")
+
+
+def _registry(spark, kind):
+    rows = [("revenue", "max", ["base", "component"], kind, 0, "money"), ("balance", "min", ["component"], kind, 1, "money")]
+    return spark.createDataFrame(rows, REGISTRY)
+
+
+def _settings(spark, rows):
+    return spark.createDataFrame(rows, SETTINGS)
+
+
+@query(
+    f"""WITH {VALUES} SELECT metric, brick, 'warning' AS level, round(mean + k * sd, 4) AS "limit" FROM (SELECT *, CASE WHEN metric = 'revenue' THEN 1.0 ELSE -1.2 END AS k FROM loo)
+WHERE peers >= 3 AND ((metric = 'revenue' AND value > mean + k * sd) OR (metric = 'balance' AND value < mean + k * sd))"""
+)
+def std_dev_violations(spark, sf_dir):
+    v = _values(spark, sf_dir).withColumn("applies", F.lit(True))
+    s = _settings(spark, [("revenue", "warning", 1, None, 1.0, 3), ("balance", "warning", 1, None, 1.2, 3)])
+    return thresholds.brick_violations(v, _registry(spark, "brick"), s).select("metric", "brick", "level", F.round("limit", 4).alias("limit"))
+
+
+LIMITS = f"""{VALUES}, hit AS (
+  SELECT metric, brick, type, value, CASE WHEN metric = 'revenue' THEN CASE WHEN value > 36500 THEN 'error' WHEN value > 35500 THEN 'warning' END ELSE CASE WHEN value < 4200 THEN 'error' WHEN value < 4600 THEN 'warning' END END AS level
+  FROM vals WHERE metric = 'revenue' OR type = 'component')"""
+
+
+def _limit_hits(spark, sf_dir):
+    v = _values(spark, sf_dir).withColumn("applies", (F.col("metric") == "revenue") | (F.col("type") == "component"))
+    s = _settings(spark, [("revenue", "error", 0, 36500.0, None, None), ("revenue", "warning", 1, 35500.0, None, None), ("balance", "error", 0, 4200.0, None, None), ("balance", "warning", 1, 4600.0, None, None)])
+    return thresholds.brick_violations(v, _registry(spark, "brick"), s)
+
+
+@query(f"WITH {LIMITS} SELECT metric, brick, level FROM hit WHERE level IS NOT NULL")
+def limit_violations(spark, sf_dir):
+    return _limit_hits(spark, sf_dir).select("metric", "brick", "level")
+
+
+@query(f"WITH {LIMITS} SELECT metric, count(*) FILTER (WHERE level = 'error') AS errors, count(*) FILTER (WHERE level = 'warning') AS warnings FROM hit WHERE level IS NOT NULL GROUP BY metric")
+def summary_grid(spark, sf_dir):
+    return _limit_hits(spark, sf_dir).groupBy("metric").agg(F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warning").alias("warnings"))
+
+
+@query(f"WITH {LIMITS} SELECT brick, CASE WHEN bool_or(level = 'error') THEN 'error' ELSE 'warning' END AS level FROM hit WHERE level IS NOT NULL GROUP BY brick")
+def worst_level_per_cell(spark, sf_dir):
+    return _limit_hits(spark, sf_dir).groupBy("brick").agg(F.max(F.when(F.col("level") == "error", 1).otherwise(0)).alias("w")).select("brick", F.when(F.col("w") == 1, "error").otherwise("warning").alias("level"))
+
+
+@query(
+    f"""WITH {LIMITS}, x AS (SELECT *, CASE WHEN metric = 'revenue' THEN CASE level WHEN 'error' THEN 36500 ELSE 35500 END ELSE CASE level WHEN 'error' THEN 4200 ELSE 4600 END END AS lim FROM hit WHERE level IS NOT NULL),
+r AS (SELECT *, row_number() OVER (ORDER BY CASE level WHEN 'error' THEN 0 ELSE 1 END, -abs(value - lim) / abs(lim), brick, metric) AS rank FROM x)
+SELECT rank, metric, brick, level FROM r WHERE rank <= 20"""
+)
+def top20_rows(spark, sf_dir):
+    from pyspark.sql import Window
+
+    v = _limit_hits(spark, sf_dir).withColumn("excess", thresholds.excess())
+    order = Window.orderBy(F.when(F.col("level") == "error", 0).otherwise(1), F.desc("excess"), "brick", "metric")
+    return v.withColumn("rank", F.row_number().over(order).cast("long")).filter("rank <= 20").select("rank", "metric", "brick", "level")
+
+
+@query(
+    """WITH f AS (SELECT 'revenue' AS metric, n_name AS brick, CASE WHEN n_regionkey = 0 THEN 'base' ELSE 'component' END AS type, s_suppkey AS ord FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 5000),
+n AS (SELECT brick, count(*) AS n FROM f GROUP BY brick)
+SELECT brick, ord, n::DOUBLE AS value FROM f JOIN n USING (brick) WHERE n > 1"""
+)
+def count_violations(spark, sf_dir):
+    s = _t(spark, sf_dir, "supplier").filter("s_acctbal > 5000").join(_nodes(spark, sf_dir).withColumnRenamed("ord", "k"), F.col("s_nationkey") == F.col("k"))
+    f = s.select(F.lit("revenue").alias("metric"), "brick", "type", F.col("s_suppkey").alias("ord"), F.lit("owes much").alias("message"))
+    found = thresholds.count_violations(f, _registry(spark, "count"), _settings(spark, [("revenue", "warning", 1, 1.0, None, None)]))
+    return found.select("brick", "ord", "value")
+
+
+@query("SELECT o_orderkey AS ord, CASE WHEN o_totalprice > 400000 THEN 'error' ELSE 'warning' END AS level FROM orders WHERE o_totalprice > 350000")
+def finding_violations(spark, sf_dir):
+    f = _t(spark, sf_dir, "orders").select(F.lit("revenue").alias("metric"), F.lit("component").alias("type"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("ord"), F.lit("costs much").alias("message"))
+    found = thresholds.finding_violations(f, _registry(spark, "finding"), _settings(spark, [("revenue", "error", 0, 400000.0, None, None), ("revenue", "warning", 1, 350000.0, None, None)]))
+    return found.select("ord", "level")
+
+
+@query(
+    """WITH f AS (SELECT p_partkey, p_brand, p_size AS complexity, length(p_name) AS forms FROM part)
+SELECT 'function-complexity' AS metric, p_partkey AS ord, complexity::DOUBLE AS value FROM f WHERE complexity > 40
+UNION ALL SELECT 'function-forms', p_partkey, forms::DOUBLE FROM f WHERE forms > 20"""
+)
+def function_violations(spark, sf_dir):
+    f = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("brick"), F.lit("component").alias("type"), F.col("p_brand").alias("file"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("id"), F.col("p_name").alias("name"), F.lit(1).alias("line"), F.lit(1).alias("depth_line"), F.col("p_size").alias("complexity"), F.lit(0).alias("depth"), F.length("p_name").alias("forms"), F.lit(0).alias("params"))
+    rows = [(k, "max", ["component"], "function", i, "s") for i, k in enumerate(("function-complexity", "function-depth", "function-forms", "function-params"))]
+    s = _settings(spark, [("function-complexity", "error", 0, 40.0, None, None), ("function-forms", "warning", 1, 20.0, None, None)])
+    return thresholds.function_violations(f, spark.createDataFrame(rows, REGISTRY), s).select("metric", "ord", "value")
+
+
+@query(
+    """WITH v AS (SELECT n_name AS brick, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), h AS (SELECT brick, n::DOUBLE AS value FROM v)
+SELECT brick, CASE WHEN value % 2 = 0 THEN value::BIGINT::VARCHAR || ' is above the maximum of 1' ELSE (value::BIGINT)::VARCHAR || ' is above the maximum of 1' END AS message FROM h WHERE value > 1"""
+)
+def conditional_message(spark, sf_dir):
+    v = _t(spark, sf_dir, "customer").join(_nodes(spark, sf_dir).withColumnRenamed("ord", "k"), F.col("c_nationkey") == F.col("k")).groupBy("brick", "type").agg(F.count("*").cast("double").alias("value"))
+    v = v.withColumns({"metric": F.lit("revenue"), "applies": F.lit(True)})
+    return thresholds.brick_violations(v, _registry(spark, "brick"), _settings(spark, [("revenue", "warning", 1, 1.0, None, None)])).select("brick", "message")
+
+
+# -- snapshots -------------------------------------------------------------------------------------
+
+SNAP = """head AS (SELECT p_brand AS brick, l_returnflag AS subject, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber >= 4 GROUP BY 1, 2 HAVING sum(l_quantity) > {limit}),
+base AS (SELECT p_brand AS brick, l_returnflag AS subject, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 2 GROUP BY 1, 2 HAVING sum(l_quantity) > {limit})""".replace("{limit}", "(SELECT sum(l_quantity) / 300 FROM lineitem)")
+
+
+def _snapshots(spark, sf_dir):
+    lines = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    limit = _t(spark, sf_dir, "lineitem").agg((F.sum("l_quantity") / 300).alias("limit"))
+
+    def of(rows):
+        g = rows.groupBy(F.col("p_brand").alias("brick"), F.col("l_returnflag").alias("subject")).agg(F.sum("l_quantity").alias("value"))
+        null = F.lit(None)
+        g = g.join(F.broadcast(limit)).filter("value > limit")
+        return g.select("brick", F.lit("quantity").alias("metric"), "subject", "value", F.lit("finding").alias("kind"), F.lit("max").alias("direction"), null.cast("boolean").alias("historical"), F.lit("m").alias("message"))
+
+    return of(lines.filter("l_linenumber >= 4")), of(lines.filter("l_linenumber <= 2"))
+
+
+@query(
+    f"""WITH {SNAP} SELECT h.brick, h.subject, CASE WHEN b.brick IS NOT NULL THEN 'existing' WHEN h.brick LIKE '%1' THEN 'new' ELSE 'indirect' END AS status
+FROM head h LEFT JOIN base b ON h.brick = b.brick AND h.subject = b.subject"""
+)
+def snapshot_status(spark, sf_dir):
+    head, base = _snapshots(spark, sf_dir)
+    changed = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("brick")).filter("brick like '%1'").distinct()
+    values = base.select("brick", "metric", "value")
+    functions = spark.createDataFrame([], "brick string, id string, complexity int, depth int, forms int, params int")
+    return baseline.compare(head, base, changed, values, functions).select("brick", "subject", "status")
+
+
+@query(f"WITH {SNAP} SELECT b.brick, b.subject FROM base b WHERE NOT EXISTS (SELECT 1 FROM head h WHERE h.brick = b.brick AND h.subject = b.subject)")
+def resolved(spark, sf_dir):
+    head, base = _snapshots(spark, sf_dir)
+    return baseline.resolved(base, head).select("brick", "subject")
+
+
+OLD_EDGES = EDGES[: EDGES.index("ca AS")].rstrip().rstrip(",")
+
+
+@query(
+    f"""WITH {OLD_EDGES}, old_flow AS (
+  SELECT c_nationkey AS f, s_nationkey AS t, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  WHERE c_nationkey <> s_nationkey AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1, 2),
+old_ranked AS (SELECT f, t, row_number() OVER (PARTITION BY f ORDER BY q DESC, t) AS r FROM old_flow),
+old AS (SELECT a.n_name AS src, b.n_name AS dst FROM old_ranked JOIN nation a ON f = a.n_nationkey JOIN nation b ON t = b.n_nationkey WHERE r <= 2)
+SELECT src, dst, NOT EXISTS (SELECT 1 FROM old WHERE old.src = edges.src AND old.dst = edges.dst) AS is_new FROM edges"""
+)
+def new_edges(spark, sf_dir):
+    sales = _sales(spark, sf_dir)
+    old = _edges(spark, sf_dir, sales.filter(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp")))
+    return baseline.new_edges(_edges(spark, sf_dir, sales), old).select(F.col("from").alias("src"), F.col("to").alias("dst"), "is_new")
+
+
+# -- source facts ----------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT n_name AS brick, (3 + 13 * count(s_suppkey))::BIGINT AS forms, count(s_suppkey)::BIGINT AS functions, (3 * count(s_suppkey))::BIGINT AS complexity
+FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1"""
+)
+def source_facts(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("n_name").agg(F.count("s_suppkey").cast("int").alias("n"))
+    body = F.concat(F.lit("(ns top.own) ; facts\n"), F.expr("repeat('(defn f [x y] #_skipped (when x (and x y)))\n', n)"))
+    null = F.lit(None).cast("string")
+    files = n.select(F.col("n_name").alias("brick"), null.alias("type"), null.alias("dir"), F.col("n_name").alias("file"), F.lit(False).alias("is_test"), F.lit(0).alias("ord"), body.alias("source"))
+    total = F.aggregate(F.transform("functions", lambda f: f["complexity"]), F.lit(0), lambda a, x: a + x)
+    return extract(files).select("brick", "forms", F.size("functions").cast("long").alias("functions"), total.cast("long").alias("complexity"))
