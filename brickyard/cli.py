@@ -15,6 +15,7 @@ from brickyard.plans import baseline, report, thresholds
 from brickyard.plans.analysis import Workspace
 from brickyard.plans.config import ConfigError, lowest_limit, merge_config
 from brickyard.plans.registry import METRICS
+from brickyard.session import kept, local_session
 from brickyard.sources import git
 from brickyard.sources.reader import ReadError
 from brickyard.sources.workspace import brick_frame, file_frame, is_workspace, read_config, read_settings
@@ -34,16 +35,18 @@ def _commits(root: str, merged: dict) -> list[set[str]] | None:
 
 
 class Measured:
-    """One workspace, measured and checked; tables that are used again are kept."""
+    """One workspace, measured and checked. What is used again is kept, so plans stay small and the folder may go."""
 
     def __init__(self, spark: SparkSession, root: str, merged: dict, commits: list[set[str]] | None):
         rows = [(i, p) for i, paths in enumerate(commits or []) for p in sorted(paths)]
         history = None if commits is None else spark.createDataFrame(rows, git.COMMITS)
-        self.tables = Workspace(read_settings(root), brick_frame(spark, root).cache(), extract(file_frame(spark, root)).cache(), history)
-        self.wide = self.tables.brick_metrics.cache()
-        self.findings = self.tables.findings(merged).cache()
-        self.violations = thresholds.check(self.wide, self.tables.functions, self.findings, merged).cache()
-        self.values = thresholds.filled_values(self.wide, self.findings, self.violations, merged).cache()
+        self.tables = Workspace(read_settings(root), brick_frame(spark, root), kept(extract(file_frame(spark, root))), history)
+        for name in ("edges", "references", "libraries", "functions"):
+            setattr(self.tables, name, kept(getattr(self.tables, name)))
+        self.wide = kept(self.tables.brick_metrics)
+        self.findings = kept(self.tables.findings(merged))
+        self.violations = kept(thresholds.check(self.wide, self.tables.functions, self.findings, merged))
+        self.values = kept(thresholds.filled_values(self.wide, self.findings, self.violations, merged))
 
 
 def _dicts(df: DataFrame) -> list[dict]:
@@ -69,7 +72,7 @@ def build_report(spark: SparkSession, root: str, configured: dict, base_ref: str
                 known, was, functions, base_edges = base.violations, base.values, base.tables.functions, base.tables.edges
             else:
                 known, was, functions, base_edges = (df.limit(0) for df in (violations, head.values, head.tables.functions, edges))
-            violations = baseline.compare(violations, known, changed, was, functions).cache()
+            violations = kept(baseline.compare(violations, known, changed, was, functions))
             gone = baseline.resolved(known, head.violations)
             edges = baseline.new_edges(edges, base_edges)
             # Everything that reads the base is collected before its folder goes.
@@ -79,7 +82,6 @@ def build_report(spark: SparkSession, root: str, configured: dict, base_ref: str
                 "base_values": {(r["brick"], r["metric"]): r["value"] for r in _dicts(was)},
                 "resolved": [v for v in _dicts(gone) if warnings or v["level"] == "error"],
             }
-            violations.count()
             collected_edges = _dicts(edges.orderBy(*order))
     else:
         collected_edges = _dicts(edges.orderBy(*order))
@@ -155,8 +157,6 @@ def run(args: list[str], env: dict, spark: SparkSession | None = None) -> int:
         configured = read_config(options.workspace, options.config)
         merge_config(configured)
         if spark is None:
-            from brickyard.session import local_session
-
             spark = local_session()
         found, any_new, any_error = build_report(spark, options.workspace, configured, options.base, options.warnings, scope == "new")
     except (ConfigError, ReadError, git.GitError, FileNotFoundError) as e:

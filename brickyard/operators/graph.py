@@ -3,11 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the shared checkpoint folder; a run without one keeps its lineage."""
-    context = df.sparkSession.sparkContext
-    return df.checkpoint() if context.getCheckpointDir() else df.cache()
+from brickyard.session import kept
 
 
 def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -44,11 +40,11 @@ def closure(edges: DataFrame) -> DataFrame:
 
     Path lengths double each round, so the rounds follow the logarithm of the longest path.
     """
-    known = _cut(edges.select("a", "b").distinct())
+    known = kept(edges.select("a", "b").distinct())
     n = known.count()
     while True:
         longer = known.alias("x").join(known.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        known = _cut(known.union(longer).distinct())
+        known = kept(known.union(longer).distinct())
         now = known.count()
         if now == n:
             return known
@@ -58,12 +54,12 @@ def closure(edges: DataFrame) -> DataFrame:
 def reach_back(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """edges(a, b), seeds(node) -> the nodes from which a seed can be reached, seeds included: a frontier moves
     along the edges backwards until nothing is new."""
-    seen = _cut(seeds.select("node").distinct())
+    seen = kept(seeds.select("node").distinct())
     frontier = seen
     while not frontier.isEmpty():
         callers = edges.join(frontier, edges["b"] == frontier["node"], "left_semi").select(F.col("a").alias("node")).distinct()
-        frontier = _cut(callers.join(seen, "node", "left_anti"))
-        seen = _cut(seen.union(frontier))
+        frontier = kept(callers.join(seen, "node", "left_anti"))
+        seen = kept(seen.union(frontier))
     return seen
 
 

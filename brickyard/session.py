@@ -1,6 +1,8 @@
 """Session for local runs and tests; on a cluster the caller brings its own."""
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "brickyard") -> SparkSession:
@@ -17,3 +19,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "br
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once, its lineage cut by files in the folder of spark.checkpoint.dir (a folder of our own where that is unset)."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='brickyard-')}")
+    return df.checkpoint()

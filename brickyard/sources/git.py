@@ -33,9 +33,10 @@ def changed_files(root: str, rev: str) -> list[str]:
     return sorted({p for p in both.splitlines() if p.strip()})
 
 
-def log_files(root: str, since: str) -> list[set[str]]:
+def log_files(root: str, since: str | None = None) -> list[set[str]]:
     """The paths of each commit with any, newest first, without merges."""
-    out = _git(root, "log", "--no-merges", f"--since={since}", "--format=%x00", "--name-only", "--relative")
+    limit = [f"--since={since}"] if since else []
+    out = _git(root, "log", "--no-merges", *limit, "--format=%x00", "--name-only", "--relative")
     commits = ({p for p in part.splitlines() if p.strip()} for part in out.split("\0"))
     return [c for c in commits if c]
 
@@ -55,7 +56,7 @@ def extract(root: str, rev: str, to: str) -> None:
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.root, self.since = options.get("path", "."), options.get("since", "100 years")
+        self.root, self.since = options.get("path", "."), options.get("since")
 
     def partitions(self):
         return [InputPartition(0)]
