@@ -1,8 +1,12 @@
 """The folder that driver and executors share."""
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,3 +35,11 @@ def small_batches(spark: SparkSession) -> None:
     """Whole texts go to Python workers in small Arrow batches, so a worker's memory follows the texts, not the row count."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def release() -> None:
+    """Gives a worker's freed memory back to the system: idle workers are kept, and theirs would stay taken."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

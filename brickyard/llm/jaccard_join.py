@@ -21,11 +21,12 @@ than id and text are ignored; an empty table gives an empty result.
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brickyard.llm._components import components
-from brickyard.llm._shared import checkpointed, small_batches
+from brickyard.llm._shared import checkpointed, release, small_batches
 from brickyard.llm._words import shingle_hashes, signed, word_hashes
 from brickyard.llm.perfect_hash import mix64
 
@@ -67,7 +68,8 @@ class Parts:
         return (differ + 1 + spare, spare) if differ else (0, 0)
 
     def signatures(self, tokens: np.ndarray) -> np.ndarray:
-        out = []
+        """Hashes of the set's parts; their low six bits are the band they are for."""
+        out, bands = [], []
         own = self.band(len(tokens))
         for band in (own - 1, own):
             parts, spare = self.shape(band) if band >= 0 else (0, 0)
@@ -84,7 +86,32 @@ class Parts:
                 if parts - len(first) > spare:  # many empty parts: they may be all that two sets share
                     empty = np.setdiff1d(np.arange(parts), place[first]).astype(np.uint64)
                     out.append(mix64(mix64(empty * np.uint64(0x10001) + np.uint64(band << 40), 33), 35))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            bands += [np.full(len(x), band, np.uint64) for x in out[len(bands) :]]
+        if not out:
+            return np.zeros(0, np.uint64)
+        return np.concatenate(out) & ~np.uint64(63) | np.concatenate(bands) & np.uint64(63)
+
+
+def shared_ids(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """The sets' tokens that another set has too, as small numbers; others can't add to an overlap.
+
+    Tokens are compared range by range, so memory is little more than the sets themselves.
+    """
+    ranges = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
+    cuts = [np.concatenate([[0], np.searchsorted(s, ranges), [len(s)]]) for s in sets]
+    parts: list[list[np.ndarray]] = [[] for _ in sets]
+    known = 0
+    for r in range(16):
+        sizes = [c[r + 1] - c[r] for c in cuts]
+        flat = np.concatenate([s[c[r] : c[r + 1]] for s, c in zip(sets, cuts, strict=True)])
+        if not len(flat):
+            continue
+        _, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
+        number = np.where(times > 1, known + np.cumsum(times > 1) - 1, -1)
+        known += int((times > 1).sum())
+        for out, ids in zip(parts, np.split(number[inverse], np.cumsum(sizes)[:-1]), strict=True):
+            out.append(ids[ids >= 0])
+    return [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts], known
 
 
 class TokenGroups:
@@ -92,12 +119,12 @@ class TokenGroups:
 
     def __init__(self, sets: list[np.ndarray], num: int, den: int):
         self.num, self.den = num, den
-        flat = np.concatenate(sets)
-        known, ids = np.unique(flat, return_inverse=True)
-        self.sets = np.split(ids, np.cumsum([len(s) for s in sets])[:-1])
-        self.rows: list[list[int]] = [[] for _ in known]  # token -> groups whose union has it
+        self.sizes = np.array([len(s) for s in sets])
+        self.sets, n_known = shared_ids(sets)
+        self.rows: list[list[int]] = [[] for _ in range(n_known)]  # token -> groups whose union has it
         self.groups: list[list[int]] = []
-        self.mark = np.zeros(len(known), bool)
+        self.mark = np.zeros(n_known + 1, bool)
+        self.none = np.array([n_known])
         self.root = list(range(len(sets)))
 
     def find(self, i: int) -> int:
@@ -108,11 +135,14 @@ class TokenGroups:
 
     def _linked(self, query: int, members: list[int]) -> int:
         """The first of the members linked with the query (whose tokens are marked), or -1."""
-        n = len(self.sets[query])
+        n = self.sizes[query]
         for at in range(0, len(members), 256):
             some = members[at : at + 256]
-            sizes = np.array([len(self.sets[m]) for m in some])
-            both = np.add.reduceat(self.mark[np.concatenate([self.sets[m] for m in some])].astype(np.int64), np.cumsum(sizes) - sizes)
+            sizes = self.sizes[some]
+            # Each set ends with an unmarked token, so none is empty.
+            held = np.array([len(self.sets[m]) + 1 for m in some])
+            flat = np.concatenate([x for m in some for x in (self.sets[m], self.none)])
+            both = np.add.reduceat(self.mark[flat].astype(np.int64), np.cumsum(held) - held)
             hit = np.flatnonzero(self.den * both >= self.num * (n + sizes - both))
             if len(hit):
                 return some[hit[0]]
@@ -120,14 +150,14 @@ class TokenGroups:
 
     def run(self) -> list[int]:
         """For each set the first set of its class."""
-        for q in sorted(range(len(self.sets)), key=lambda i: -len(self.sets[i])):
+        for q in sorted(range(len(self.sets)), key=lambda i: -self.sizes[i]):
             tokens = self.sets[q]
             near = [g for t in tokens.tolist() for g in self.rows[t]]
             home = -1
             self.mark[tokens] = True
             if near:
                 overlap = np.bincount(near, minlength=len(self.groups))
-                opened = np.flatnonzero(self.den * overlap >= self.num * len(tokens))
+                opened = np.flatnonzero(self.den * overlap >= self.num * self.sizes[q])
                 for g in opened[np.argsort(-overlap[opened], kind="stable")].tolist():
                     members = self.groups[g]
                     by_leader = self._linked(q, members[:1]) >= 0
@@ -158,6 +188,7 @@ def _keys(words: int):
                 rows.append((len(tokens), *(set_key(tokens) if len(tokens) else (None, None))))
             n, k1, k2 = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], names=["doc_id", "n_shingles", "k1", "k2"])
+        release()
 
     return run
 
@@ -182,19 +213,31 @@ def _announce(words: int, num: int, den: int):
                 keys.append(np.full(len(found), key, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(keys))], names=["sig", "k1"])
+        release()
 
     return run
 
 
+def _shrink(batches):
+    """Texts compressed for their way to their partitions."""
+    zstd = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = [zstd.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+
+
 def _verify(words: int, num: int, den: int):
     def run(table):
         sets = {}
-        for key, text in zip(table.column("k1").to_pylist(), table.column("text").to_pylist(), strict=True):
-            tokens = token_set(text, words)
+        zstd = zstandard.ZstdDecompressor()
+        for key, packed in zip(table.column("k1").to_pylist(), table.column("packed"), strict=True):
+            tokens = token_set(zstd.decompress(packed.as_py()).decode(), words)
             if len(tokens) and set_key(tokens)[0] == key:  # another text under the same id is not meant
                 sets[key] = tokens
         keys = list(sets)
         first = TokenGroups(list(sets.values()), num, den).run()
+        if table.num_rows > 500:
+            release()
         return pa.table({"a": pa.array(keys, pa.int64()), "b": pa.array([keys[i] for i in first], pa.int64())})
 
     return run
@@ -206,12 +249,17 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = checkpointed(d.mapInArrow(_keys(words), "doc_id long, n_shingles long, k1 long, k2 long"))
     said = d.select("text").mapInArrow(_announce(words, num, den), "sig long, k1 long")
-    star = said.select(F.col("k1").alias("a"), F.min("k1").over(Window.partitionBy("sig")).alias("b")).filter("a <> b")
-    near = components(star)
+    # Partitions are kept apart by size band: similar sets share one, and common passages don't chain all sizes together.
+    own = F.struct(F.xxhash64("k1", F.col("sig").bitwiseAND(63)).alias("node"), "k1")
+    star = said.select("sig", own.alias("a")).withColumn("b", F.min("a").over(Window.partitionBy("sig"))).filter("a.node <> b.node").select("a", "b")
+    star = checkpointed(star.distinct())
+    near = components(star.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
+    nodes = star.select("a.*").union(star.select("b.*")).distinct()
     # One text of each set that shares a part with another set goes to its partition.
     holders = rows.filter("k1 is not null and doc_id is not null").groupBy("k1").agg(F.min("doc_id").alias("doc_id"))
-    wanted = near.join(holders, F.col("node") == F.col("k1")).select("root", "k1", "doc_id")
-    texts = d.join(wanted, "doc_id").select("root", "k1", "text")
+    wanted = near.join(nodes, "node").join(holders, "k1").select("root", "k1", "doc_id")
+    packed = d.mapInArrow(_shrink, "doc_id long, packed binary")
+    texts = packed.join(wanted, "doc_id").select("root", "k1", "packed")
     links = texts.groupBy("root").applyInArrow(_verify(words, num, den), "a long, b long")
     classes = components(links)
     keyed = rows.join(classes.select(F.col("node").alias("k1"), "root"), "k1", "left")
