@@ -1,9 +1,9 @@
 """Suffix-array dedup: removes bytes covered by a string of ``span`` bytes that also starts in a
 document with a smaller id.
 
-Suffixes are dealt to buckets by their anchor: of a span's 16-byte grams the one with the least
+Suffixes are dealt to buckets by their anchor: of a span's 10-byte grams the one with the least
 hash, so equal spans have equal anchors wherever they are. Neighbouring spans mostly share their
-anchor and travel as one passage, about 65 bytes for 16 positions, packed and compressed. In a
+anchor and travel as one passage, about 70 bytes for 21 positions, packed and compressed. In a
 bucket, the suffixes that start at anchors and the reversed texts before them are ordered by
 deep-shallow sorting; spans are equal if they fall in one interval of both orders, and a span is
 removed if its interval holds a smaller id. Passages equal to one of a smaller id in the same task
@@ -25,24 +25,25 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brickyard.llm._shared import small_batches
+from brickyard.llm._shared import release, small_batches
 from brickyard.llm.deep_shallow import sort_suffixes
 from brickyard.llm.perfect_hash import mix64
 
-GRAM = 16
+GRAM = 10
 CHUNK = 2_000_000
 FLUSH = 8_000_000
 BUCKET_BYTES = 24_000_000
 _LEAST = -(2**63)
 _MASK = np.uint64(0xFFFFFFFF)
-#: Columns of a packed bucket, with their types; the last is the passages' bytes.
-_FIELDS = (("key", "<u8"), ("doc", "<i8"), ("print", "<i8"), ("start", "<i8"), ("left", "u1"), ("size", "u1"), ("known_doc", "<i8"), ("known_print", "<i8"), ("known_start", "<i8"), ("known_end", "<i8"), ("bytes", "u1"))
+#: Columns of a packed bucket, with their types: a row for each document (with its number of passages), for
+#: each passage (start as the step from the one before), for each settled interval; then the passages' bytes.
+_FIELDS = (("doc", "<i8"), ("print", "<i8"), ("passages", "<u4"), ("step", "<i8"), ("left", "u1"), ("size", "u1"), ("known_doc", "<i8"), ("known_print", "<i8"), ("known_start", "<i8"), ("known_end", "<i8"), ("bytes", "u1"))
 
 
 def pack(columns: dict[str, np.ndarray]) -> bytes:
     parts = [np.ascontiguousarray(columns[n], t).tobytes() for n, t in _FIELDS]
     head = struct.pack(f"<{len(parts)}q", *map(len, parts))
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=6).compress(head + b"".join(parts))
 
 
 def unpack(blob: bytes) -> dict[str, np.ndarray]:
@@ -52,9 +53,27 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
     for (name, kind), size in zip(_FIELDS, sizes, strict=True):
         out[name] = np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at)
         at += size
+    each = out["passages"]
+    out["start"] = np.cumsum(out["step"])
+    out["doc"], out["print"] = np.repeat(out["doc"], each), np.repeat(out["print"], each)
+    # The anchor is in the bytes, so its key needn't travel.
+    base = np.cumsum(out["size"].astype(np.int64)) - out["size"] + out["left"]
+    head, tail = (_at_places(out["bytes"], base + at) for at in (0, GRAM - 8))
+    out["key"] = _key(head, tail)
     return out
 
 
+def _at_places(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each of these places on, as numbers."""
+    rows = raw[at[:, None] + np.arange(8)] if len(at) else np.zeros((0, 8), np.uint8)
+    return np.ascontiguousarray(rows).view("<u8")[:, 0].astype(np.uint64)
+
+
+def _key(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """The hash of a gram by its first and last 8 bytes."""
+    return mix64(head ^ mix64(tail, 41), 42)
+
+
 def _at_each(raw: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position on, as numbers."""
     out = np.zeros(len(raw) - 7, np.uint64)
@@ -69,7 +88,7 @@ def passages(raw: np.ndarray, bounds: np.ndarray, span: int) -> dict[str, np.nda
     if len(raw) < span:
         return {"key": none.astype(np.uint64), "text": none, "start": none, "left": none, "size": none}
     eight = _at_each(raw)
-    gram = mix64(eight[: len(raw) - GRAM + 1] ^ mix64(eight[GRAM - 8 : len(raw) - 7], 41), 42)
+    gram = _key(eight[: len(raw) - GRAM + 1], eight[GRAM - 8 : len(raw) - 7])
     ranked = (gram & ~_MASK) | np.arange(len(gram), dtype=np.uint64)
     wide, least = 1, ranked
     width = span - GRAM + 1
@@ -133,12 +152,17 @@ def _scan(span: int, buckets: int):
         for bucket in np.unique(home).tolist():
             rows = order[cuts[bucket] : cuts[bucket + 1]]
             sent, known = rows[~settled[rows]], rows[settled[rows]]
-            t, k = found["text"][sent], found["text"][known]
-            here = found["start"][known] - bounds[k]
+            t, each = np.unique(found["text"][sent], return_counts=True)
+            # Settled intervals of one text that touch become one; texts are set one apart.
+            gap = found["text"][known]
+            s, e = merge(found["start"][known] + gap, found["start"][known] + found["size"][known] + gap)
+            k = np.searchsorted(bounds + np.arange(len(bounds)), s, "right") - 1
+            s, e = s - k - bounds[k], e - k - bounds[k]
+            here = found["start"][sent] - bounds[found["text"][sent]]
             yield bucket, pack(
                 {
-                    "key": found["key"][sent], "doc": docs[t], "print": prints[t], "start": found["start"][sent] - bounds[t], "left": found["left"][sent], "size": found["size"][sent],
-                    "known_doc": docs[k], "known_print": prints[k], "known_start": here, "known_end": here + found["size"][known],
+                    "doc": docs[t], "print": prints[t], "passages": each, "step": np.diff(here, prepend=0), "left": found["left"][sent], "size": found["size"][sent],
+                    "known_doc": docs[k], "known_print": prints[k], "known_start": s, "known_end": e,
                     "bytes": raw[_spread(found["start"][sent], found["size"][sent])],
                 }
             )
@@ -149,6 +173,7 @@ def _scan(span: int, buckets: int):
         def close():
             rows = list(flush(held))
             held.clear()
+            release()
             for at in range(0, len(rows), 64):
                 b, x = zip(*rows[at : at + 64], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(b, kind["bucket"]), pa.array(x, kind["blob"])], names=list(kind))
@@ -189,11 +214,16 @@ def removed_spans(rows: dict[str, np.ndarray], span: int) -> np.ndarray:
     before = np.where(back < left[:, None], data[np.maximum(base[:, None] - 1 - back, 0)], 0).astype(np.uint8)
     by_right, lcp_right = sort_suffixes(group, after, np.minimum(right, span))
     by_left, lcp_left = sort_suffixes(group, before, left)
+    # The best common length on either side bounds what a passage can share; most that meet by chance fall here.
+    reach = np.zeros(len(use), np.int64)
+    for by, lcp in ((by_right, lcp_right), (by_left, lcp_left)):
+        reach[by] += np.maximum(lcp, np.append(lcp[1:], 0))
+    hopeful = reach >= span
     start_of_group = {"r": np.append(True, group[by_right][1:] != group[by_right][:-1]), "l": np.append(True, group[by_left][1:] != group[by_left][:-1])}
     out = []
     n = len(use)
     for offset in range(span - GRAM + 1):
-        fits = (left >= offset) & (right >= span - offset)
+        fits = hopeful & (left >= offset) & (right >= span - offset)
         at = np.flatnonzero(fits)
         if len(at) < 2:
             continue
@@ -222,7 +252,7 @@ def merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _judge(span: int):
     def run(table):
         columns = [unpack(b) for b in table.column("blob").to_pylist()]
-        rows = {n: np.concatenate([c[n] for c in columns]) for n, _ in _FIELDS}
+        rows = {n: np.concatenate([c[n] for c in columns]) for n in columns[0]}
         gone = removed_spans(rows, span)
         start = rows["start"][gone[:, 0]] + gone[:, 1]
         doc = np.concatenate([rows["doc"][gone[:, 0]], rows["known_doc"]])
@@ -234,17 +264,27 @@ def _judge(span: int):
         new_text = np.append(True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])) if len(doc) else np.zeros(0, bool)
         shift = (np.cumsum(new_text) - 1) * (int(end.max(initial=0)) + 2)
         s, e = merge(start + shift, end + shift)
+        release()
         at = np.searchsorted(start + shift, s)
         return pa.table({"doc": pa.array(doc[at], pa.int64()), "print": pa.array(mark[at], pa.int64()), "start": pa.array(s - shift[at], pa.int64()), "end": pa.array(e - shift[at], pa.int64())})
 
     return run
 
 
+def _shrink(batches):
+    """Texts compressed for their way to their spans."""
+    zstd = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = [zstd.compress((t or "").encode()) for t in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], names=["doc_id", "sort_id", "print", "packed"])
+
+
 def _cut(batches):
+    zstd = zstandard.ZstdDecompressor()
     for batch in batches:
         out = []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            coded = (text or "").encode()
+        for packed, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            coded = zstd.decompress(packed)
             if not spans:
                 out.append((len(coded), 0, 0, coded))
                 continue
@@ -264,5 +304,6 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     sent = d.select("sort_id", "print", "text").mapInArrow(_scan(span, buckets), "bucket int, blob binary")
     spans = sent.groupBy("bucket").applyInArrow(_judge(span), "doc long, print long, start long, end long")
     of = spans.groupBy("doc", F.col("print").alias("mark")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    rows = d.join(of, (F.col("sort_id") == F.col("doc")) & (F.col("print") == F.col("mark")), "left").select("doc_id", "text", "spans")
+    texts = d.select("doc_id", "sort_id", "print", "text").mapInArrow(_shrink, "doc_id long, sort_id long, print long, packed binary")
+    rows = texts.join(of, (F.col("sort_id") == F.col("doc")) & (F.col("print") == F.col("mark")), "left").select("doc_id", "packed", "spans")
     return rows.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
