@@ -71,5 +71,52 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id"""
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+s AS (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS k FROM s),
+p AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS k, unnest(range(1, len(w) - n + 2)) AS i
+  FROM d, (SELECT DISTINCT n FROM s) WHERE len(w) >= n),
+h AS (SELECT doc_id, i, p.n, item_id FROM p JOIN win ON p.n = win.n AND p.k = win.k),
+hit AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS x FROM h) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+OP2_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS g FROM d),
+n AS (SELECT doc_id, len(g) AS n FROM s),
+u AS (SELECT doc_id, unnest(g) AS t FROM s),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM u a JOIN u b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 90 * (p.n + q.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS o FROM documents UNION SELECT e.y, r.o FROM r JOIN e ON e.x = r.doc_id)
+SELECT doc_id, n.n::BIGINT AS n_shingles, min(o) AS component_id FROM r JOIN n USING (doc_id) GROUP BY 1, 2"""
+
+OP10_SQL = """
+WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM x)),
+f AS (SELECT k, min(doc_id) AS m FROM w GROUP BY k HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, i FROM w JOIN f USING (k) WHERE doc_id > m),
+o AS (SELECT *, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM g),
+q AS (SELECT *, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM q GROUP BY 1, 2),
+t AS (SELECT r.doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER v, 0) + 1, 2 * (a - coalesce(lag(b) OVER v, 0))) AS piece FROM r JOIN x USING (doc_id) WINDOW v AS (PARTITION BY r.doc_id ORDER BY a)),
+k AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, string_agg(piece, '' ORDER BY a) AS head, max(b) AS last FROM t GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM x LEFT JOIN k USING (doc_id)"""
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_jaccard_join, op3_token_counts, op4_token_files, op5_quality_rules, op6_pii, op7_source_mix, op8_line_dedup, op9_passage_dedup, op10_suffix_dedup)}
-ORACLES = {"op5_quality_rules": quality_rules.oracle(), "op8_line_dedup": OP8_SQL}
+ORACLES = {
+    "op1_decontamination": OP1_SQL,
+    "op2_jaccard_join": OP2_SQL,
+    "op5_quality_rules": quality_rules.oracle(),
+    "op8_line_dedup": OP8_SQL,
+    "op10_suffix_dedup": OP10_SQL,
+}
