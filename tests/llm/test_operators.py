@@ -169,6 +169,17 @@ def test_compact_windows_cover_each_passage_once(values, least):
             assert sum(l <= i and j <= r and c == at for l, at, r in windows) == 1
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 200), max_size=60), st.lists(st.integers(0, 200), max_size=60), st.lists(st.integers(300, 400), min_size=12, max_size=30, unique=True))
+def test_verified_passages(a, b, shared):
+    check = lambda x, y: passage_dedup.verified(np.array(x, np.int64), np.array(y, np.int64), 10, 4, 5)
+    for l, r, m, s in check(a, b):
+        x, y = set(a[l : r + 1]), set(b[m : s + 1])
+        assert r - l >= 9 and s - m >= 9 and 5 * len(x & y) >= 4 * len(x | y)
+    found = check(a + shared + a, b + shared + b)
+    assert any(l <= len(a) and r >= len(a) + len(shared) - 1 for l, r, _, _ in found)
+
+
 # -- tokens ----------------------------------------------------------------------------------------
 
 
