@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from brickyard.llm._shared import checkpointed
 
 WEIGHTS = (5.0, 2.0, 1.0)
+SALTS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -93,7 +94,7 @@ def _plan(d: DataFrame, weights, max_repeat, seed, bins) -> DataFrame:
     cells = _on_source(cells, targets, "inner").withColumn("until", F.sum("words").over(s)).withColumn("from", F.col("until") - F.col("words"))
     cut = cells.filter((F.col("from") <= F.col("part")) & (F.col("until") > F.col("part"))).groupBy("source").agg(F.min_by("bin", "bin").alias("cut_bin"), F.min_by("from", "bin").alias("cut_from"))
     targets = _on_source(targets, cut, "left")
-    rows = _on_source(d, targets, "left")
+    rows = _on_source(d, targets, "left", SALTS)
     r = F.col("part") / F.greatest(F.col("source_size"), F.lit(1))
     rank = (F.col("u") / (1 - F.col("u"))) / (r / (1 - r))
     rows = rows.withColumn("rank", F.when(r > 0, rank)).withColumn("in_cut", F.col("bin").eqNullSafe(F.col("cut_bin")))
@@ -103,18 +104,23 @@ def _plan(d: DataFrame, weights, max_repeat, seed, bins) -> DataFrame:
     step = step.withColumn("until", F.col("cut_from") + F.sum("step").over(ordered))
     nearer = (F.col("until") - F.col("part")) <= (F.col("part") - (F.col("until") - F.col("step")))
     last = step.filter((F.col("until") <= F.col("part")) | nearer).groupBy("source").agg(F.max("rank").alias("cut_rank"))
-    rows = _on_source(rows, last, "left")
+    rows = _on_source(rows, last, "left", SALTS)
     inside = F.when(F.col("cut_bin").isNull(), F.col("part") > 0).otherwise((F.col("bin") < F.col("cut_bin")) | (F.col("in_cut") & F.coalesce(F.col("rank") <= F.col("cut_rank"), F.lit(False))))
     rows = rows.withColumn("copies", F.col("whole") + F.when(inside & (F.col("part") > 0), 1).otherwise(0))
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def _on_source(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Null-safe join on source; the right side has one row per source, and AQE broadcasts it only if it is small."""
+def _on_source(left: DataFrame, right: DataFrame, how: str, salts: int = 1) -> DataFrame:
+    """Null-safe join on source; the right side has one row per source, and AQE broadcasts it only if it is small.
+
+    Documents are joined by salted source, so that a hot source is dealt to many tasks if it isn't broadcast.
+    """
     r = right.withColumnRenamed("source", "__source").drop(*[c for c in right.columns if c in left.columns and c != "source"])
-    key = F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))
-    other = F.struct(F.col("__source").isNull(), F.coalesce("__source", F.lit("")))
-    return left.join(r, key == other, how).drop("__source")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int") if salts > 1 else F.lit(0)
+    r = r.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    key = F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")), salt)
+    other = F.struct(F.col("__source").isNull(), F.coalesce("__source", F.lit("")), F.col("__salt"))
+    return left.join(r, key == other, how).drop("__source", "__salt")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, max_repeat: float = 3.0, seed: int = 17) -> DataFrame:
