@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brickyard.llm._shared import new_path, small_batches
+from brickyard.llm._shared import new_path, release, small_batches
 from brickyard.llm.token_codec import decode_block, encode_block
 
 CACHED_CHUNKS = 600_000
@@ -42,7 +42,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Two generations: chunks of the last one that come again move to the new one, so frequent chunks stay.
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "ChunkEncoder":
@@ -54,10 +56,13 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         chunks = [(t or "").encode().split() for t in texts]
-        new = list(set().union(*chunks).difference(self.cache))
+        new = set().union(*chunks).difference(self.cache)
         if len(self.cache) + len(new) > CACHED_CHUNKS:
-            self.cache = {}
-            new = list(set().union(*chunks))
+            self.older, self.cache = self.cache, {}
+            new = set().union(*chunks)
+        known = new.intersection(self.older)
+        self.cache.update((c, self.older[c]) for c in known)
+        new = list(new - known)
         found = self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
         self.cache.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, found, strict=True))
         get = self.cache.__getitem__
@@ -104,6 +109,7 @@ def _encode_shard(path: str, end_id: int, block_tokens: int):
                         yield close()
         if ids:
             yield close()
+        release()
 
     return run
 
