@@ -440,13 +440,13 @@ def conditional_message(spark, sf_dir):
 
 # -- snapshots -------------------------------------------------------------------------------------
 
-SNAP = """head AS (SELECT p_brand AS brick, l_returnflag AS subject, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber >= 4 GROUP BY 1, 2 HAVING sum(l_quantity) > {limit}),
-base AS (SELECT p_brand AS brick, l_returnflag AS subject, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 2 GROUP BY 1, 2 HAVING sum(l_quantity) > {limit})""".replace("{limit}", "(SELECT sum(l_quantity) / 300 FROM lineitem)")
+SNAP = """head AS (SELECT p_brand AS brick, l_returnflag AS subject, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber >= 6 GROUP BY 1, 2 HAVING sum(l_quantity) > {limit}),
+base AS (SELECT p_brand AS brick, l_returnflag AS subject, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 2 GROUP BY 1, 2 HAVING sum(l_quantity) > {limit})""".replace("{limit}", "(SELECT sum(l_quantity) / 270 FROM lineitem)")
 
 
 def _snapshots(spark, sf_dir):
     lines = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    limit = _t(spark, sf_dir, "lineitem").agg((F.sum("l_quantity") / 300).alias("limit"))
+    limit = _t(spark, sf_dir, "lineitem").agg((F.sum("l_quantity") / 270).alias("limit"))
 
     def of(rows):
         g = rows.groupBy(F.col("p_brand").alias("brick"), F.col("l_returnflag").alias("subject")).agg(F.sum("l_quantity").alias("value"))
@@ -454,7 +454,7 @@ def _snapshots(spark, sf_dir):
         g = g.join(F.broadcast(limit)).filter("value > limit")
         return g.select("brick", F.lit("quantity").alias("metric"), "subject", "value", F.lit("finding").alias("kind"), F.lit("max").alias("direction"), null.cast("boolean").alias("historical"), F.lit("m").alias("message"))
 
-    return of(lines.filter("l_linenumber >= 4")), of(lines.filter("l_linenumber <= 2"))
+    return of(lines.filter("l_linenumber >= 6")), of(lines.filter("l_linenumber <= 2"))
 
 
 @query(
