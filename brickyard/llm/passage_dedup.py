@@ -175,62 +175,110 @@ def _places(enough: int, least: int):
     return run
 
 
-def verified(a: np.ndarray, b: np.ndarray, least: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
-    """Ranges (l, r) of a and (m, s) of b that start and end with shared tokens and are long and similar enough.
-
-    Shared tokens are followed along both texts; a stretch that isn't similar enough is cut at its
-    widest gap, so a passage that both hold unchanged is always found.
-    """
-    ours, theirs = a.tolist(), b.tolist()
-    x, y = set(ours), set(theirs)
-    both = len(x & y)
-    if both and den * both >= num * (len(x) + len(y) - both):  # similar as they are: only the ends are trimmed
-        l, m = next(i for i, t in enumerate(ours) if t in y), next(j for j, t in enumerate(theirs) if t in x)
-        r = len(ours) - 1 - next(i for i, t in enumerate(reversed(ours)) if t in y)
-        s = len(theirs) - 1 - next(j for j, t in enumerate(reversed(theirs)) if t in x)
-        if r - l + 1 >= least and s - m + 1 >= least:
-            return [(l, r, m, s)]
+def _chain(ours: list[int], theirs: list[int]) -> tuple[list[int], list[int]]:
+    """Shared tokens of ours with one place each in theirs: the place that goes on from its neighbours', else the nearest after the last."""
     where: dict[int, list[int]] = {}
     for j, token in enumerate(theirs):
         where.setdefault(token, []).append(j)
-    at_i, at_j, heads = [], [], []
+    at_i, at_j = [], []
     last = (-1, -1)
     for i, token in enumerate(ours):
         places = where.get(token)
         if not places:
             continue
         j = places[0]
-        if len(places) > 1:  # the place that goes on from the last one, else the nearest after it
+        if len(places) > 1:
             want = last[1] + i - last[0]
             j = min(places, key=lambda p: (p <= last[1], abs(p - want)))
-        if not at_i or i - last[0] > least or not 0 < j - last[1] <= least:
-            heads.append(len(at_i))
         at_i.append(i)
         at_j.append(j)
         last = (i, j)
-    if not at_i:
+    if len(where) < len(theirs):  # where a run begins, its first tokens may have been put elsewhere
+        for k in range(len(at_i) - 2, -1, -1):
+            want = at_j[k + 1] - at_i[k + 1] + at_i[k]
+            goes_on = k and at_j[k] - at_j[k - 1] == at_i[k] - at_i[k - 1]
+            if at_j[k] != want and not goes_on and 0 <= want and theirs[want] == ours[at_i[k]]:
+                at_j[k] = want
+    return at_i, at_j
+
+
+def _previous(tokens: list[int]) -> np.ndarray:
+    """Where each token stood last before, or -1."""
+    seen: dict[int, int] = {}
+    out = np.empty(len(tokens), np.int64)
+    for i, t in enumerate(tokens):
+        out[i] = seen.get(t, -1)
+        seen[t] = i
+    return out
+
+
+def _ranges(at_i: np.ndarray, at_j: np.ndarray, ours: list[int], theirs: list[int], least: int, num: int, den: int) -> list[tuple[int, int]]:
+    """Maximal ranges (first, last) of a stretch's shared tokens that are long and similar enough."""
+    k = len(at_i)
+    x, y = ours[at_i[0] : at_i[-1] + 1], theirs[at_j[0] : at_j[-1] + 1]
+    if len(set(x)) == len(x) and len(set(y)) == len(y):
+        # No token twice: a range is similar enough if its sum of shared minus unshared, weighted, isn't negative.
+        g = (den + num) * np.arange(k) - num * (at_i + at_j)
+        most = np.maximum.accumulate(g[::-1])  # the most from an end on, from the back
+        last = k - 1 - np.searchsorted(most, g - (den - num))
+    else:
+        last = np.full(k, -1)
+        p_x, p_y = _previous(x), _previous(y)
+        p_k = _previous([ours[i] for i in at_i.tolist()])
+        i0, j0 = at_i - at_i[0], at_j - at_j[0]
+        for p in range(k):
+            far = k - p
+            n_x = np.cumsum(p_x[i0[p] :] < i0[p])[i0[p:] - i0[p]]
+            n_y = np.cumsum(p_y[j0[p] :] < j0[p])[j0[p:] - j0[p]]
+            both = np.cumsum(p_k[p:] < p)
+            good = np.flatnonzero((den * both >= num * (n_x + n_y - both))[:far])
+            if len(good):
+                last[p] = p + good[-1]
+    first = np.arange(k)
+    ok = (last >= first) & (at_i[np.maximum(last, 0)] - at_i + 1 >= least) & (at_j[np.maximum(last, 0)] - at_j + 1 >= least)
+    first, last = first[ok], last[ok]
+    if not len(first):
         return []
-    gaps = np.diff(at_i, prepend=0) + np.diff(at_j, prepend=0)
-    plain = len(x) == len(ours) and len(y) == len(theirs)  # no token twice: shared places bound shared tokens
-    in_a = np.concatenate([[0], np.cumsum([t in y for t in ours])])
-    in_b = np.concatenate([[0], np.cumsum([t in x for t in theirs])])
-    found, stretches = [], list(zip(heads, [*heads[1:], len(at_i)], strict=True))
-    while stretches:
-        lo, hi = stretches.pop()
-        if hi - lo < 2:
-            continue
-        l, m, r, s = at_i[lo], at_j[lo], at_i[hi - 1], at_j[hi - 1]
-        if r - l + 1 < least or s - m + 1 < least:
-            continue
-        most = min(in_a[r + 1] - in_a[l], in_b[s + 1] - in_b[m])
-        if not plain or den * most >= num * (r - l + s - m + 2 - most):
-            x_set, y_set = set(ours[l : r + 1]), set(theirs[m : s + 1])
-            both = len(x_set & y_set)
-            if den * both >= num * (len(x_set) + len(y_set) - both):
-                found.append((l, r, m, s))
-                continue
-        cut = lo + 1 + int(gaps[lo + 1 : hi].argmax())
-        stretches += ((lo, cut), (cut, hi))
+    longer = last > np.append(-1, np.maximum.accumulate(last)[:-1])  # not inside one that begins before
+    return list(zip(first[longer].tolist(), last[longer].tolist(), strict=True))
+
+
+def _followed(ours: list[int], theirs: list[int], least: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
+    at_i, at_j = (np.array(v, np.int64) for v in _chain(ours, theirs))
+    if not len(at_i):
+        return []
+    found = []
+    step_i, step_j = np.diff(at_i), np.diff(at_j)
+    heads = np.flatnonzero(np.append(True, (step_i > least) | (step_j <= 0) | (step_j > least))).tolist()
+    for lo, hi in zip(heads, [*heads[1:], len(at_i)], strict=True):
+        i, j = at_i[lo:hi], at_j[lo:hi]
+        if i[-1] - i[0] + 1 >= least and j[-1] - j[0] + 1 >= least:
+            found += [(int(i[p]), int(i[q]), int(j[p]), int(j[q])) for p, q in _ranges(i, j, ours, theirs, least, num, den)]
+    return found
+
+
+def verified(a: np.ndarray, b: np.ndarray, least: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
+    """Ranges (l, r) of a and (m, s) of b that start and end with shared tokens and are long and similar enough.
+
+    Shared tokens are followed along both texts; of each stretch all maximal ranges that are similar
+    enough are found, not only unchanged ones. A passage that stands several times in either text is
+    found at each place: texts with a token twice are followed both ways.
+    """
+    ours, theirs = a.tolist(), b.tolist()
+    x, y = set(ours), set(theirs)
+    both = len(x & y)
+    plain = len(x) == len(ours) and len(y) == len(theirs)
+    if both and den * both >= num * (len(x) + len(y) - both):  # similar as they are: only the ends are trimmed
+        l, m = next(i for i, t in enumerate(ours) if t in y), next(j for j, t in enumerate(theirs) if t in x)
+        r = len(ours) - 1 - next(i for i, t in enumerate(reversed(ours)) if t in y)
+        s = len(theirs) - 1 - next(j for j, t in enumerate(reversed(theirs)) if t in x)
+        if r - l + 1 >= least and s - m + 1 >= least:
+            return [(l, r, m, s)]
+    if plain and den * both < num * least:  # too few shared tokens for any passage
+        return []
+    found = _followed(ours, theirs, least, num, den)
+    if len(y) < len(theirs):
+        found += [(l, r, m, s) for m, s, l, r in _followed(theirs, ours, least, num, den)]
     return found
 
 

@@ -180,6 +180,51 @@ def test_verified_passages(a, b, shared):
     assert any(l <= len(a) and r >= len(a) + len(shared) - 1 for l, r, _, _ in found)
 
 
+def _brute_ranges(a, b, least, num, den):
+    """Words of a in ranges similar enough to a range of b, over all pairs of sub-ranges."""
+    held = set()
+    for l in range(len(a)):
+        for r in range(l + least - 1, len(a)):
+            x = set(a[l : r + 1])
+            for m in range(len(b)):
+                if any(den * len(x & (y := set(b[m : s + 1]))) >= num * len(x | y) for s in range(m + least - 1, len(b))):
+                    held |= set(range(l, r + 1))
+                    break
+    return held
+
+
+def test_verified_finds_changed_passages():
+    # The first 64 words differ in one, the later ones at every sixth.
+    w = [f"w{i}" for i in range(180)]
+    v = [f"x{i}" if i == 30 or (i >= 64 and i % 6 == 0) else t for i, t in enumerate(w)]
+    a, b = (np.array([hash(tuple(t[i : i + 5])) for i in range(176)], np.int64) for t in (w, v))
+    found = passage_dedup.verified(a, b, 46, 4, 5)
+    assert any(l <= 5 and r >= 59 for l, r, _, _ in found)
+    import random
+
+    r = random.Random(2)
+    for _ in range(12):
+        a = list(range(24))
+        b = [100 + t if r.random() < 0.15 else t for t in a]
+        found = passage_dedup.verified(np.array(a, np.int64), np.array(b, np.int64), 10, 4, 5)
+        mine = {i for l, r, _, _ in found for i in range(l, r + 1)}
+        # Ends that aren't shared are trimmed; all shared words of a brute-force passage are in a range found.
+        assert mine <= _brute_ranges(a, b, 10, 4, 5) and bool(mine) == bool(_brute_shared(a, b, 10, 4, 5))
+        assert _brute_shared(a, b, 10, 4, 5) <= mine
+
+
+def _brute_shared(a, b, least, num, den):
+    """The same over ranges that start and end with a token at the same place in both."""
+    at = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x == y]
+    held = set()
+    for l in at:
+        for r in at:
+            x, y = set(a[l : r + 1]), set(b[l : r + 1])
+            if r - l + 1 >= least and den * len(x & y) >= num * len(x | y):
+                held |= set(range(l, r + 1))
+    return held
+
+
 # -- tokens ----------------------------------------------------------------------------------------
 
 
