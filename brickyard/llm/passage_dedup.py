@@ -2,13 +2,15 @@
 
 Tokens are five-word shingles. For each of a few hash functions the Cartesian tree of a text's
 token hashes gives its compact windows (l, c, r): every passage within l..r that includes c has its
-min-hash at c. Only windows that can hold a passage of ``min_words`` words count. Windows with one
-min-hash, dealt to buckets by it, name texts that may share a passage; each text is linked with the
-least text of the bucket's group and with its neighbour, not with all.
+min-hash at c. Only windows that can hold a passage of ``min_words`` words count. Windows whose min-hash
+several texts have are laid over each other, ``enough`` hash functions at a time: each combination of
+min-hashes is a key, and the places of a text that have them all are the members of its group.
 
-For a pair of linked texts an interval join over the windows finds the places that at least
-``enough`` hashes cover in both. There the texts' common tokens are followed and passages verified:
-at least ``min_words`` words in both and a Jaccard similarity of num/den or more.
+Each member is held against the group's first one (those of its text against the last one). There the
+texts' common tokens are followed and passages verified: at least ``min_words`` words in both and a
+Jaccard similarity of num/den or more. Where a place has no passage in common with the first text, all
+texts that were held against that one are held against each other, until each place has a passage and its
+text is in their class or all that share enough tokens are tried.
 
 Equal texts are one text throughout; their documents are counted natively, so a group of copies of
 any size costs no more than one text. Texts that many others are verified against are dealt out again
@@ -20,6 +22,7 @@ document and gets component null; rows that repeat an id count as two documents;
 an empty result; columns other than id and text are ignored.
 """
 
+import itertools
 import struct
 
 import numpy as np
@@ -37,7 +40,8 @@ SHINGLE = 5
 BUCKET_WINDOWS = 400_000
 FLUSH_WINDOWS = 300_000
 SALT = 1000
-_FIELDS = (("key", "<u8"), ("text", "<i8"), ("l", "<u4"), ("r", "<u4"), ("f", "u1"))
+_FIELDS = (("key", "<u8"), ("text", "<i8"), ("l", "<u4"), ("c", "<u4"), ("r", "<u4"), ("f", "u1"))
+_MEMBER = "key long, text long, l int, r int"
 
 
 def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -98,7 +102,7 @@ def _scan(hashes: int, min_words: int, buckets: int):
                 for f in range(hashes):
                     values = mix64(tokens, 100 + f)
                     l, c, r = np.array(compact_windows(values, least)).T
-                    held.append((mix64(values[c], 200 + f), np.full(len(l), mark), l, r, np.full(len(l), f)))
+                    held.append((mix64(values[c], 200 + f), np.full(len(l), mark), l, c, r, np.full(len(l), f)))
                     size += len(l)
             if size >= FLUSH_WINDOWS:
                 yield close()
@@ -110,71 +114,124 @@ def _scan(hashes: int, min_words: int, buckets: int):
     return run
 
 
-def _links(table):
-    """Links of each group of one min-hash: every text with the least text and with the one before it."""
+def _shared(table):
+    """The windows whose min-hash more than one text has."""
     columns = [_unpack(b) for b in table.column("blob").to_pylist()]
     x = {n: np.concatenate([c[n] for c in columns]) for n, _ in _FIELDS}
-    order = np.lexsort((x["l"], x["text"], x["key"]))
+    order = np.lexsort((x["text"], x["key"]))
     x = {n: v[order] for n, v in x.items()}
-    new = np.append(True, x["key"][1:] != x["key"][:-1])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    text = x["text"]
-    fresh = np.append(True, ~((~new[1:]) & (text[1:] == text[:-1])))  # first window of a text in its group
-    at = np.arange(len(new))
-    start = np.maximum.accumulate(np.where(fresh, at, 0))  # where this text's windows of the group begin
-    before = np.where(start > first, np.append(0, start[:-1])[start], -1) if len(at) else at
-    parts = []
-    for other, use in ((first, text != text[first]), (before, (before >= 0) & (start > 0) & (text[before] != text[first]))):
-        i, j = at[use], other[use]
-        parts.append((text[i], text[j], x["f"][i], x["l"][i], x["r"][i], x["l"][j], x["r"][j]))
-    a, b, f, l, r, m, s = (np.concatenate(p) for p in zip(*parts, strict=True))
-    swap = a < b  # the lesser text of a pair is always the one it is verified against
-    a, b, l, r, m, s = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, m, l), np.where(swap, s, r), np.where(swap, l, m), np.where(swap, r, s)
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-    return pa.table([pa.array(v, k) if v.dtype == np.int64 else pa.array(v.astype(np.int32), k) for v, k in zip((a, b, f, l, r, m, s), kinds, strict=True)], names=["a", "b", "f", "l", "r", "m", "s"])
-
-
-def covered(windows: list[tuple[int, int, int, int, int]], enough: int, least: int) -> list[tuple[int, int, int, int]]:
-    """Interval join: maximal places of the first text that windows of enough hashes cover, and where these lie in the second."""
-    events = sorted([(w[1], 0, i) for i, w in enumerate(windows)] + [(w[2] + 1, 1, i) for i, w in enumerate(windows)])
-    over: set[int] = set()
-    hashes: dict[int, int] = {}  # windows of each hash that cover the place
-    out, run = [], None
-    for at, ends, i in events:
-        f, _, _, m, s = windows[i]
-        if not ends:
-            over.add(i)
-            hashes[f] = hashes.get(f, 0) + 1
-            if run:
-                run[1:] = [min(run[1], m), max(run[2], s)]
-            elif len(hashes) >= enough:
-                run = [at, min(windows[k][3] for k in over), max(windows[k][4] for k in over)]
-            continue
-        over.remove(i)
-        hashes[f] -= 1
-        if not hashes[f]:
-            del hashes[f]
-            if run and len(hashes) < enough:
-                out.append((run[0], at - 1, run[1], run[2]))
-                run = None
-    return [(l, r, m, s) for l, r, m, s in out if r - l + 1 >= least and s - m + 1 >= least]
+    starts = np.flatnonzero(np.append(True, x["key"][1:] != x["key"][:-1]))
+    ends = np.append(starts[1:], len(order))
+    several = np.repeat(x["text"][starts] != x["text"][ends - 1], ends - starts)
+    kinds = (("key", np.int64), ("text", np.int64), ("l", np.int32), ("c", np.int32), ("r", np.int32), ("f", np.int32))
+    return pa.table({n: pa.array((x[n][several].view(k) if n == "key" else x[n][several].astype(k))) for n, k in kinds})
+
+
+def overlaid(one: dict[str, np.ndarray], two: dict[str, np.ndarray], least: int) -> dict[str, np.ndarray]:
+    """Where windows of two hashes hold the same passages: (key, l, r, lo, hi), with all min-hashes at lo..hi."""
+    order = np.argsort(two["c"], kind="stable")
+    two = {n: v[order] for n, v in two.items()}
+    begin = np.searchsorted(two["c"], one["l"], "left")
+    n = np.maximum(np.searchsorted(two["c"], one["r"], "right") - begin, 0)
+    i = np.repeat(np.arange(len(n)), n)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + begin[i]
+    l, r = np.maximum(one["l"][i], two["l"][j]), np.minimum(one["r"][i], two["r"][j])
+    lo, hi = np.minimum(one["lo"][i], two["c"][j]), np.maximum(one["hi"][i], two["c"][j])
+    use = (l <= lo) & (hi <= r) & (r - l + 1 >= least)
+    with np.errstate(over="ignore"):
+        key = mix64(one["key"][i] + mix64(two["key"][j], 301), 302)
+    return {n: v[use] for n, v in (("key", key), ("l", l), ("r", r), ("lo", lo), ("hi", hi))}
+
+
+def _meets(hashes: int, enough: int, least: int):
+    """Keys of ``enough`` min-hashes, each combination of hash functions, with the places of a text that have them all."""
+
+    def close(parts):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["key", "text", "l", "r"])
 
-
-def _places(enough: int, least: int):
     def run(batches):
         for batch in batches:
-            rows = []
-            lists = batch.column(2)
+            lists = batch.column(1)
             ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
-            windows = list(zip(*(c.to_pylist() for c in lists.flatten().flatten()), strict=True))
-            for a, b, start, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [0, *ends], ends, strict=False):
-                rows += [(a, b, *p) for p in covered(windows[start:end], enough, least)]
-            columns = zip(*rows, strict=True) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "l", "r", "m", "s"])
+            flat = lists.flatten()
+            x = {n: flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i, n in enumerate(("f", "key", "l", "c", "r"))}
+            parts, size = [], 0
+            for text, start, end in zip(batch.column(0).to_pylist(), [0, *ends], ends, strict=False):
+                of = []
+                for f in range(hashes):
+                    at = start + np.flatnonzero(x["f"][start:end] == f)
+                    of.append({"key": x["key"][at].view(np.uint64), "l": x["l"][at], "c": x["c"][at], "r": x["r"][at]})
+                for k, chosen in enumerate(itertools.combinations(range(hashes), enough)):
+                    now = {**of[chosen[0]], "lo": of[chosen[0]]["c"], "hi": of[chosen[0]]["c"]}
+                    for f in chosen[1:]:
+                        now = overlaid(now, of[f], least)
+                    if len(now["key"]):
+                        parts.append((mix64(now["key"], 400 + k).view(np.int64), np.full(len(now["key"]), text), now["l"].astype(np.int32), now["r"].astype(np.int32)))
+                        size += len(now["key"])
+                if size >= 50_000:
+                    yield close(parts)
+                    parts, size = [], 0
+            if parts:
+                yield close(parts)
+        release()
 
     return run
 
 
+def _links(table):
+    """Places (l, r) of a and (m, s) of b that are to be compared: each member of a group with its first one, those of the first one's text with its last."""
+    x = {n: table.column(n).to_numpy() for n in ("key", "text", "l", "r")}
+    order = np.lexsort((x["l"], x["text"], x["key"]))
+    x = {n: v[order] for n, v in x.items()}
+    starts = np.flatnonzero(np.append(True, x["key"][1:] != x["key"][:-1]))
+    ends = np.append(starts[1:], len(order))
+    first, last = np.repeat(starts, ends - starts), np.repeat(ends - 1, ends - starts)
+    at = np.arange(len(order))
+    own = x["text"] == x["text"][first]
+    use = x["text"][first] != x["text"][last]
+    i, j = np.where(own, last, at)[use], np.where(own, at, first)[use]
+    a, b, l, r, m, s = x["text"][i], x["text"][j], x["l"][i], x["r"][i], x["l"][j], x["r"][j]
+    # A place inside another one of the same texts adds nothing.
+    order = np.lexsort((-r, l, b, a))
+    a, b, l, r, m, s = (v[order] for v in (a, b, l, r, m, s))
+    if len(a):
+        pair = np.cumsum(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        reach = pair.astype(np.int64) * (1 << 32) + r
+        top = np.maximum.accumulate(reach)
+        widest = np.maximum.accumulate(np.where(np.append(True, top[1:] > top[:-1]), np.arange(len(a)), 0))
+        keep = (widest == np.arange(len(a))) | (m < m[widest]) | (s > s[widest])
+        a, b, l, r, m, s = (v[keep] for v in (a, b, l, r, m, s))
+    return pa.table({n: pa.array(v) for n, v in zip(("a", "b", "l", "r", "m", "s"), (a, b, l, r, m, s), strict=True)})
+
+
+def joined_places(places: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Places (l, r, m, s) of two texts; those that overlap in both are one."""
+    done, open_ = [], []
+    for l, r, m, s in sorted(places):
+        still = []
+        for o in open_:
+            if o[1] < l:
+                done.append(o)
+            elif o[2] <= s and m <= o[3]:
+                l, r, m, s = min(l, o[0]), max(r, o[1]), min(m, o[2]), max(s, o[3])
+            else:
+                still.append(o)
+        open_ = [*still, (l, r, m, s)]
+    return done + open_
+
+
+def _places(batches):
+    for batch in batches:
+        rows = []
+        lists = batch.column(2)
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+        found = list(zip(*(c.to_pylist() for c in lists.flatten().flatten()), strict=True))
+        for a, b, start, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [0, *ends], ends, strict=False):
+            rows += [(a, b, *p) for p in joined_places(found[start:end])]
+        columns = zip(*rows, strict=True) if rows else [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "l", "r", "m", "s"])
+
+
 def _chain(ours: list[int], theirs: list[int]) -> tuple[list[int], list[int]]:
     """Shared tokens of ours with one place each in theirs: the place that goes on from its neighbours', else the nearest after the last."""
     where: dict[int, list[int]] = {}
@@ -309,13 +366,106 @@ def _verify(least: int, num: int, den: int):
                 if a is None:
                     at, whole = b, tokens
                 elif at == b:
-                    rows += [(a, l + f[0], l + f[1], b, m + f[2], m + f[3]) for f in verified(tokens, whole[m : s + 1], least, num, den)]
+                    got = [(a, l + f[0], l + f[1], b, m + f[2], m + f[3]) for f in verified(tokens, whole[m : s + 1], least, num, den)]
+                    rows += got or [(a, l, l + len(tokens) - 1, b, None, None)]  # a place without passage stays open
             columns = zip(*rows, strict=True) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "l", "r", "b", "m", "s"])
 
     return run
 
 
+def _opened(batches):
+    """Tokens of the places to be held against each other."""
+    for batch in batches:
+        rows = []
+        for mark, text, windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            tokens = signed(shingle_hashes(word_hashes(text), SHINGLE))
+            rows += [(w["key"], mark, w["l"], w["root"], w["open"], tokens[w["l"] : w["r"] + 1].tobytes()) for w in windows]
+        for at in range(0, len(rows), 2000):
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 2000], strict=True), kinds, strict=True)], names=["key", "text", "l", "root", "open", "tokens"])
+
+
+def settled(members: list[tuple[int, int, int, bool, np.ndarray]], least: int, num: int, den: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Passages (a, l, r, b, m, s) among places (text, l, root, open, tokens) that were compared with one text.
+
+    A place is held against all others that can have a passage in common with it, until
+    it is linked (no longer open) and in their class. What is left out: places of one class that both
+    are linked, and pairs with too few common tokens. To find these, each place leaves out its most
+    frequent tokens, one less than a passage must share, and the rest are looked up.
+    """
+    need = -(-num * least // den)
+    texts, starts, roots, opens, tokens = (list(v) for v in zip(*members, strict=True))
+    parent = {r: r for r in roots}
+
+    def top(r):
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    n = len(members)
+    of = np.repeat(np.arange(n), [len(t) for t in tokens])
+    values, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
+    pairs = np.unique(of * np.int64(len(values)) + inverse)  # each window's tokens once
+    of, value = pairs // len(values), pairs % len(values)
+    frequency = np.bincount(value, minlength=len(values))
+    order = np.lexsort((value, -frequency[value], of))
+    of, value = of[order], value[order]
+    ends = np.searchsorted(of, np.arange(n + 1))
+    distinct = np.diff(ends)
+    drop = np.where(distinct == [len(t) for t in tokens], need - 1, 0)
+    kept = np.arange(len(of)) - ends[of] >= drop[of]
+    by_value = np.flatnonzero(kept)[np.argsort(value[kept], kind="stable")]
+    holders, bounds = of[by_value], np.searchsorted(value[by_value], np.arange(len(values) + 1))
+    found, hits = [], np.zeros(n, np.int64)
+    text_of = np.array(texts)
+    # Windows that are open go first; those of the greatest class, with nothing to find, last and only as partners.
+    tops = [top(r) for r in roots]
+    greatest = max(set(tops), key=tops.count)
+    for k in sorted(range(n), key=lambda k: (tops[k] == greatest, not opens[k])):
+        if not opens[k] and tops[k] == greatest:
+            break
+        mine = value[ends[k] + drop[k] : ends[k + 1]]
+        other = np.unique(np.concatenate([holders[bounds[v] : bounds[v + 1]] for v in mine.tolist()] or [np.zeros(0, np.int64)]))
+        other = other[text_of[other] != texts[k]]
+        for o in other[np.argsort(-hits[other], kind="stable")].tolist():
+            if not opens[k] and not opens[o] and top(roots[k]) == top(roots[o]):
+                continue
+            got = verified(tokens[k], tokens[o], least, num, den)
+            if got:
+                found += [(texts[k], starts[k] + l, starts[k] + r, texts[o], starts[o] + m, starts[o] + s) for l, r, m, s in got]
+                parent[top(roots[k])] = top(roots[o])
+                opens[k] = opens[o] = False
+                hits[o] += 1
+                hits[k] += 1
+    return found
+
+
+def _settle(least: int, num: int, den: int):
+    def run(batches):
+        key, held, seen = None, [], set()
+
+        def close():
+            rows = [x if x[0] > x[3] else (*x[3:], *x[:3]) for x in settled(held, least, num, den)] if len(held) > 1 else []
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "l", "r", "b", "m", "s"])
+
+        for batch in batches:
+            for k, *member, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key and held:
+                    yield close()
+                    held, seen = [], set()
+                key = k
+                window = (*member[:2], len(tokens))
+                if window not in seen:  # rows that repeat an id bring a text again
+                    seen.add(window)
+                    held.append((*member, np.frombuffer(tokens, np.int64)))
+        if held:
+            yield close()
+
+    return run
+
+
 def _merged(batches):
     """Word ranges of each text's passages, merged."""
     for batch in batches:
@@ -332,6 +482,20 @@ def _merged(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(text, pa.string())], names=["mark", "n_repeat", "ranges"])
 
 
+def _rest(d: DataFrame, texts: DataFrame, places: DataFrame, compared: DataFrame, parts: int, least: int, num: int, den: int) -> DataFrame:
+    """Passages among the texts compared with one text, where one of them has none in common with it."""
+    without = compared.filter("m is null").select("a", "b", "l").distinct().withColumn("open", F.lit(True))
+    units = without.select("b").distinct().join(places.groupBy("b").agg(F.countDistinct("a").alias("n")).filter("n > 1"), "b", "left_semi")
+    classes = components(compared.filter("m is not null").select("a", "b")).select(F.col("node").alias("a"), "root")
+    state = places.join(units, "b", "left_semi").join(without, ["a", "b", "l"], "left").join(classes, "a", "left")
+    windows = F.struct(F.col("b").alias("key"), "l", "r", F.coalesce("root", "a").alias("root"), F.coalesce("open", F.lit(False)).alias("open"))
+    wanted = state.groupBy(F.col("a").alias("of")).agg(F.collect_list(windows).alias("windows"))
+    holder = wanted.join(texts.select("mark", "least_id"), F.col("of") == F.col("mark")).select("mark", "least_id", "windows")
+    fetched = d.withColumnRenamed("mark", "own").join(holder, F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("own") == F.col("mark"))).select("mark", "text", "windows")
+    dealt = fetched.mapInArrow(_opened, "key long, text long, l long, root long, open boolean, tokens binary")
+    return dealt.repartition(parts, "key").sortWithinPartitions("key", "text", "l").mapInArrow(_settle(least, num, den), "a long, l long, r long, b long, m long, s long")
+
+
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50, num: int = 4, den: int = 5, hashes: int = 4, enough: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_repeat_words, passages ("start:end" in words, comma-joined), component_id."""
     small_batches(docs.sparkSession)
@@ -343,9 +507,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     words = texts.agg(F.sum("words")).first()[0] or 0
     buckets = max(16, 2 * hashes * words // least // BUCKET_WINDOWS)
     sent = d.select("mark", "text").mapInArrow(_scan(hashes, min_words, buckets), "bucket int, blob binary")
-    links = sent.groupBy("bucket").applyInArrow(_links, "a long, b long, f int, l int, r int, m int, s int")
-    pairs = links.groupBy("a", "b").agg(F.collect_list(F.struct("f", "l", "r", "m", "s")).alias("w"), F.countDistinct("f").alias("n")).filter(F.col("n") >= enough).select("a", "b", "w")
-    places = checkpointed(pairs.mapInArrow(_places(enough, least), "a long, b long, l long, r long, m long, s long"))
+    shared = sent.groupBy("bucket").applyInArrow(_shared, "key long, text long, l int, c int, r int, f int")
+    meets = shared.groupBy("text").agg(F.collect_list(F.struct("f", "key", "l", "c", "r")).alias("w")).mapInArrow(_meets(hashes, enough, least), _MEMBER)
+    links = meets.groupBy(F.pmod("key", F.lit(2 * buckets)).alias("home")).applyInArrow(_links, "a long, b long, l int, r int, m int, s int")
+    places = checkpointed(links.groupBy("a", "b").agg(F.collect_list(F.struct("l", "r", "m", "s")).alias("w")).mapInArrow(_places, "a long, b long, l long, r long, m long, s long"))
     salts = places.groupBy("b").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
     member = places.join(salts, "b").select(F.col("a").alias("of"), F.lit(0).alias("salts"), F.struct("b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), "l", "r", "m", "s").alias("p"))
     target = salts.select(F.col("b").alias("of"), "salts", F.lit(None).cast(member.schema["p"].dataType).alias("p"))
@@ -355,7 +520,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     fetched = d.withColumnRenamed("mark", "own").join(holder, F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("own") == F.col("mark"))).select("mark", "text", "salts", "places")
     rows_to_verify = fetched.mapInArrow(_fetch, "b long, salt int, a long, l long, m long, s long, tokens binary")
     dealt = rows_to_verify.repartition(parts, "b", "salt").sortWithinPartitions("b", "salt", F.col("a").isNotNull())
-    found = checkpointed(dealt.mapInArrow(_verify(least, num, den), "a long, l long, r long, b long, m long, s long"))
+    compared = checkpointed(dealt.mapInArrow(_verify(least, num, den), "a long, l long, r long, b long, m long, s long"))
+    found = checkpointed(compared.filter("m is not null").unionAll(_rest(d, texts, places, compared, parts, least, num, den)))
     spans = found.select(F.col("a").alias("mark"), F.struct(F.col("l").alias("s"), F.col("r").alias("e")).alias("x")).unionAll(found.select(F.col("b").alias("mark"), F.struct(F.col("m").alias("s"), F.col("s").alias("e")).alias("x")))
     ranges = spans.groupBy("mark").agg(F.collect_set("x").alias("spans")).mapInArrow(_merged, "mark long, n_repeat long, ranges string")
     classes = components(found.select("a", "b")).select(F.col("node").alias("mark"), "root")

@@ -225,6 +225,29 @@ def _brute_shared(a, b, least, num, den):
     return held
 
 
+@pytest.mark.parametrize("n", (20, 100))
+def test_passages_of_a_star(spark, n):
+    """Copies of one text with a word changed each: similar to it, many not to each other."""
+    import random
+
+    rows = []
+    for star in range(6):
+        r = random.Random(star)
+        words = [f"s{star}w{i}" for i in range(60)]
+        rows.append((star * 1000, " ".join(words)))
+        for i in range(n):
+            changed = list(words)
+            changed[r.randrange(5, 55)] = f"c{i}"
+            rows.append((star * 1000 + 1 + i, " ".join(changed)))
+    out = passage_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    without = sum(r.n_repeat_words == 0 for r in out)
+    apart = sum(r.component_id != r.doc_id // 1000 * 1000 for r in out)
+    # Each copy meets the original under two of four hashes with a probability of about 0.98, and through others still.
+    assert without <= 0.05 * len(out) and apart <= 0.05 * len(out), (without, apart)
+
+
+
 # -- tokens ----------------------------------------------------------------------------------------
 
 
@@ -381,6 +404,8 @@ def test_pii_disclosing_terms(spark):
     assert pii.report(copies).filter("n_term > 0").count() == 0  # copies disclose nothing
 
 
+
+
 # -- mixing ----------------------------------------------------------------------------------------
 
 
