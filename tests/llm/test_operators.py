@@ -247,6 +247,19 @@ def test_passages_of_a_star(spark, n):
     assert without <= 0.05 * len(out) and apart <= 0.05 * len(out), (without, apart)
 
 
+def test_passages_twice_in_a_text(spark):
+    """A passage that stands twice in a text counts at both places, in the lesser and in the greater text."""
+    rows = []
+    for i in range(20):
+        own = lambda name, n: " ".join(f"{name}{i}x{k}" for k in range(n))  # noqa: B023,E731
+        passage = own("p", 60)
+        rows.append((2 * i, f"{own('a', 70)} {passage} {own('b', 150)} {passage} {own('c', 70)}"))
+        rows.append((2 * i + 1, f"{own('d', 40)} {passage} {own('e', 40)}"))
+    out = {r.doc_id: r for r in passage_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(20):
+        assert out[2 * i + 1].passages == "40:100"
+        assert out[2 * i].passages == "70:130,280:340"
+
 
 # -- tokens ----------------------------------------------------------------------------------------
 
