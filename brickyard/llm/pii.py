@@ -2,20 +2,20 @@
 
 Base spans (email, ip, card, phone) come from one regular expression a kind, read leftmost and
 without overlap; a match that fails its kind's test (parts up to 255, Luhn, numbers of digits) is
-dropped. Every entity found is protected. The words near an entity are terms that may disclose it:
-the corpus tells how strongly. With N documents, a term in n_t of them, an entity in n_e texts
-and both near each other in n_te texts,
+dropped. Every entity found is protected. The words of its texts are terms that may disclose it: the
+corpus tells how strongly. With N different texts, a term in n_t of them, an entity in n_e and both in
+n_te of them,
 
     disclosure = PMI / IC = log(N * n_te / (n_t * n_e)) / log(N / n_e)
 
 is the part of the entity's information that the term gives away (1: the term never occurs
-without it). Terms at ``threshold`` or more, seen with the entity in ``support`` different texts at
-least, are spans of kind "term" wherever they stand near that entity; ``sanitise`` generalises base
-spans to their kind and removes terms. Copies of a text count once for n_te and n_e, so copying
-a text discloses nothing.
+without it). Terms at ``threshold`` or more, seen with an entity in ``support`` different texts at
+least, are spans of kind "term" wherever they stand, in texts with the entity or without;
+``sanitise`` generalises base spans to their kind and removes terms. Copies of a text count once in
+all four numbers, so copying a text neither discloses nor hides anything.
 
-All of it is DataFrame expressions; texts are read by two narrow scans and never shuffled. What is
-shuffled is one count for each term and what stands near the entities found.
+All of it is DataFrame expressions. Each text's distinct terms are kept once; only entities and terms
+that can reach support and threshold (n_t at most N^(1-threshold) * n_e^threshold) are paired.
 
 Defined results: a null or empty text has no spans; rows that repeat an id and a text share their
 spans; null ids are allowed; an empty table gives an empty result; columns other than id and text
@@ -38,10 +38,10 @@ PATTERNS = {
 #: A text without this can't hold the kind.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 KINDS = tuple(PATTERNS)
-TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,}+(?![\p{N}@_%+-]|\.[\p{L}\p{N}])"
-REACH = 64
+TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}++(?![\p{N}@_%+-]|\.[\p{L}\p{N}])"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 _CHUNK = 256
+_FEW = 50_000
 
 
 def _luhn(digits: Column) -> Column:
@@ -70,7 +70,7 @@ def _sum(values: Column) -> Column:
 
 
 def _located(df: DataFrame, text: str, pattern: str, when: Column | None, out: str) -> DataFrame:
-    """df with ``out``: (value, start, before, after) of each match; before and after are the gaps beside it.
+    """df with ``out``: (value, start) of each match.
 
     Starts are running sums of gap and match lengths, taken by chunks so that texts with very many
     matches stay near linear.
@@ -89,29 +89,10 @@ def _located(df: DataFrame, text: str, pattern: str, when: Column | None, out: s
         chunk = F.floor(i / _CHUNK).cast("int")
         return F.length(F.get(F.col(g), F.lit(0))) + _sum(F.slice(F.col(t), F.lit(1), chunk)) + _sum(F.slice(F.col(n), chunk * _CHUNK + 1, i % _CHUNK))
 
-    df = df.withColumn(out, F.transform(m, lambda x, i: F.struct(x.alias("value"), start(i).alias("start"), F.get(F.col(g), i).alias("before"), F.get(F.col(g), i + 1).alias("after"))))
+    df = df.withColumn(out, F.transform(m, lambda x, i: F.struct(x.alias("value"), start(i).alias("start"))))
     return df.drop(m, g, n, t)
 
 
-def _near(match: Column, kind: str) -> Column:
-    """The words within reach of a match, with their places and the entity they stand by."""
-    left = F.when(F.length(match["before"]) > REACH, F.regexp_replace(F.right(match["before"], F.lit(REACH)), r"^[^\s]*", "")).otherwise(match["before"])
-    right = F.when(F.length(match["after"]) > REACH, F.regexp_replace(F.left(match["after"], F.lit(REACH)), r"[^\s]*$", "")).otherwise(match["after"])
-    entity = F.concat(F.lit(f"{kind}:"), F.lower(match["value"]))
-
-    def words(part: Column, base: Column) -> Column:
-        terms = F.regexp_extract_all(part, F.lit(TERM), F.lit(0))
-        gaps = F.split(part, TERM, -1)
-
-        def place(x: Column, i: Column) -> Column:
-            at = base + _sum(F.transform(F.slice(gaps, F.lit(1), i + 1), F.length)) + _sum(F.transform(F.slice(terms, F.lit(1), i), F.length))
-            return F.struct(entity.alias("entity"), F.lower(x).alias("term"), at.alias("start"), (at + F.length(x)).alias("end"))
-
-        return F.transform(terms, place)
-
-    return F.concat(words(left, match["start"] - F.length(left)), words(right, match["start"] + F.length(match["value"])))
-
-
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, support: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, mark (hash of the text), and for each kind and "term" an array of (start, end)."""
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -124,26 +105,40 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
         df = _located(df, "text", PATTERNS[kind], when, f"_{kind}")
         df = df.withColumn(f"_{kind}", F.filter(f"_{kind}", lambda m: _holds(kind, m["value"])))
     spans = [F.transform(f"_{k}", lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"))).alias(k) for k in KINDS]
-    near = F.concat(*[F.flatten(F.transform(f"_{k}", lambda m: _near(m, k))) for k in KINDS]).alias("near")
     entities = F.array_distinct(F.concat(*[F.transform(f"_{k}", lambda m: F.concat(F.lit(f"{k}:"), F.lower(m["value"]))) for k in KINDS])).alias("entities")
-    base = checkpointed(df.select("doc_id", "mark", *spans, near, entities))
-
-    texts = base.filter(F.size("entities") > 0).select("mark", "entities", "near").dropDuplicates(["mark"])
-    n_e = texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = texts.select("mark", F.explode("near").alias("x")).select("mark", "x.entity", "x.term").distinct()
-    n_te = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
-    terms = d.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
-    n_t = terms.groupBy("term").agg(F.count("*").alias("n_t"))
-    n = F.lit(base.count())
-    measured = n_te.join(n_e, "entity").join(n_t, "term")
-    disclosure = F.log(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.col("n_e"))
-    told = measured.filter((n > F.col("n_e")) & (disclosure >= threshold)).select("entity", "term")
-
-    places = base.filter(F.size("near") > 0).select("doc_id", "mark", F.explode("near").alias("x")).select("doc_id", "mark", "x.*").join(told, ["entity", "term"], "left_semi")
-    by_row = places.groupBy(F.col("doc_id").alias("of_id"), F.col("mark").alias("of")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("found"))
-    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of"))
+    base = checkpointed(df.select("doc_id", "mark", *spans, entities))
+    # Terms are hashed where they are counted, one list a text, so copies are one text.
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda t: F.xxhash64(F.lower(t)))).alias("terms")
+    told = _told(base.select("mark", "entities"), checkpointed(d.select("mark", words).dropDuplicates(["mark"])), threshold, support)
+    base = base.drop("entities")
+    holders = _located(d.join(told, "mark"), "text", TERM, None, "_term").withColumn("_term", F.filter("_term", lambda m: F.array_contains("told", F.xxhash64(F.lower(m["value"])))))
+    found = F.transform("_term", lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end")))
+    by_text = holders.groupBy(F.col("mark").alias("of")).agg(F.first(found).alias("found"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    return base.join(by_row, same, "left").select("doc_id", "mark", *KINDS, F.coalesce("found", empty).alias("term"))
+    return base.join(by_text, F.col("mark") == F.col("of"), "left").select("doc_id", "mark", *KINDS, F.coalesce("found", empty).alias("term"))
+
+
+def _sized(table: DataFrame) -> DataFrame:
+    """A checkpointed table, broadcast if it has few rows; the optimizer doesn't know the size of these."""
+    return F.broadcast(table) if table.count() <= _FEW else table
+
+
+def _told(held: DataFrame, texts: DataFrame, threshold: float, support: int) -> DataFrame:
+    """(mark, entities) of rows and (mark, terms) of texts -> (mark, told): the texts that hold disclosing terms, and these."""
+    n = texts.count()
+    entities = held.select("mark", F.explode("entities").alias("entity")).distinct()
+    n_e = checkpointed(entities.groupBy("entity").agg(F.count("*").alias("n_e")).filter((F.col("n_e") >= support) & (F.col("n_e") < n)))
+    top = n_e.agg(F.max("n_e")).first()[0] or 0
+    terms = texts.select("mark", F.explode("terms").alias("term"))
+    most = lambda of: F.pow(F.lit(float(max(n, 1))), F.lit(1.0 - threshold)) * F.pow(of, F.lit(threshold)) * (1 + 1e-9)
+    n_t = checkpointed(terms.groupBy("term").agg(F.count("*").alias("n_t")).filter((F.col("n_t") >= support) & (F.col("n_t") <= most(F.lit(float(top))))))
+    of_entity = checkpointed(entities.join(_sized(n_e), "entity"))
+    marks = _sized(checkpointed(of_entity.select("mark").distinct()))
+    of_term = texts.join(marks, "mark", "left_semi").select("mark", F.explode("terms").alias("term")).join(_sized(n_t), "term")
+    n_te = of_term.join(_sized(of_entity), "mark").filter(F.col("n_t") <= most(F.col("n_e"))).groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
+    disclosure = F.log(F.lit(n) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(n) / F.col("n_e"))
+    told = checkpointed(n_te.filter(disclosure >= threshold).select("term").distinct())
+    return _sized(checkpointed(terms.join(_sized(told), "term", "left_semi").groupBy("mark").agg(F.collect_list("term").alias("told"))))
 
 
 def span_text(kinds: tuple[str, ...]) -> Column:

@@ -417,6 +417,18 @@ def test_pii_disclosing_terms(spark):
     assert pii.report(copies).filter("n_term > 0").count() == 0  # copies disclose nothing
 
 
+def test_pii_terms_of_whole_texts(spark):
+    """Terms far from the entity, short ones and ones in a text without the entity are found at every place."""
+    filler = " ".join(["harbour customs officer filed today"] * 12)
+    told = [(i, f"Kim spoke, note {i} {filler} and ann@corp.example wrote {filler} to Kim") for i in range(6)]
+    plain = [(100 + i, f"note {i} spoke, and {filler} wrote to") for i in range(60)] + [(200, "Kim alone")]
+    df = spark.createDataFrame(told + plain, "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.report(df).collect()}
+    for d, t in told + [(200, "Kim alone")]:
+        assert [s for s in out[d].spans.split(",") if s.startswith("term")] == [f"term:{m.start()}:{m.end()}" for m in re.finditer("Kim", t)]
+    assert all(out[100 + i].n_term == 0 for i in range(60))
+    assert not any("Kim" in r.text for r in pii.sanitise(df).collect())
+
 
 
 # -- mixing ----------------------------------------------------------------------------------------
