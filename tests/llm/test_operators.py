@@ -430,6 +430,13 @@ def test_pii_terms_of_whole_texts(spark):
     assert not any("Kim" in r.text for r in pii.sanitise(df).collect())
 
 
+def test_pii_copies_hide_nothing(spark):
+    told = [(i, f"note {i} about Zanzibarian customs officer ann@corp.example filed today") for i in range(4)]
+    plain = [(100 + i, f"note {i} about harbour customs officer filed today") for i in range(200)]
+    for more in (told[:1] * 1000, told * 4):
+        df = spark.createDataFrame(told + plain + more, "doc_id long, text string")
+        assert pii.report(df).filter("n_term = 1").count() == len(told + more)
+
 
 # -- mixing ----------------------------------------------------------------------------------------
 
