@@ -3,17 +3,23 @@
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset (local runs) a folder of our own."""
+    """The cluster's spark.checkpoint.dir; only where it is unset, and the master is local, a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         base = f"file://{tempfile.mkdtemp(prefix='brickyard-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -32,9 +38,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python workers in small Arrow batches, so a worker's memory follows the texts, not the row count."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Whole texts go to Python workers in small Arrow batches, so a worker's memory follows the texts, not the row count.
+
+    A session that has limits of its own keeps them.
+    """
+    own = spark.conf.getAll
+    for name, value in _BATCHES.items():
+        if name not in own:
+            spark.conf.set(name, value)
 
 
 def release() -> None:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -103,6 +104,39 @@ def test_jaccard(docs, rows, words, num, den):
     same([tuple(r) for r in out], _components(rows, words, num, den))
 
 
+@pytest.mark.parametrize("block", [300, 2000])
+def test_jaccard_across_blocks(docs, rows, block):
+    """A partition that is checked by several tasks loses no link between them."""
+    out = jaccard_join.jaccard_components(docs, words=5, num=4, den=5, block=block).collect()
+    same([tuple(r) for r in out], _components(rows, 5, 4, 5))
+
+
+def test_chains_across_blocks(spark):
+    """Near copies in chains: each text is similar to the next ones only, so links between blocks decide the classes."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    made = []
+    for chain in range(3):
+        text = rng.choices(words, k=90)
+        for i in range(14):
+            made.append((100 * chain + i, " ".join(text), "s"))
+            text = [*text]
+            text[rng.randrange(90)] = f"new{chain}x{i}"
+    df = spark.createDataFrame(made, "doc_id long, text string, source string")
+    out = jaccard_join.jaccard_components(df, words=5, num=4, den=5, block=400).collect()
+    same([tuple(r) for r in out], _components(made, 5, 4, 5))
+
+
+def test_no_partition_of_unrelated_sets():
+    rng = np.random.default_rng(8)
+    parts = jaccard_join.Parts(4, 5)
+    for low, high in ((12, 40), (400, 480), (3000, 3300)):
+        sets = [np.unique(rng.integers(0, 2**63, rng.integers(low, high)).astype(np.uint64)) for _ in range(400)]
+        said = np.concatenate([np.unique(parts.signatures(s)) for s in sets])
+        assert len(np.unique(said)) == len(said)
+        assert sum(len(parts.signatures(s)) for s in sets) < 1.2 * sum(map(len, sets))
+
+
 def test_jaccard_empty(empty):
     assert jaccard_join.jaccard_components(empty).collect() == []
 
