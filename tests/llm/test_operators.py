@@ -493,9 +493,71 @@ def test_mix(spark, docs, rows, empty):
         assert abs(taken[s] - targets[s]) <= max(size(t) for _, t, x in rows if x == s)
     again = source_mix.mix_plan(docs.repartition(7)).collect()
     same([tuple(r) for r in again], [tuple(r) for r in out])
-    mixed = source_mix.mix(docs)
-    assert mixed.columns == docs.columns and mixed.count() >= sum(r.copies for r in out if r.doc_id is not None)
-    assert source_mix.mix_plan(empty).count() == 0
+    assert source_mix.mix_plan(empty).count() == 0 and source_mix.mix(empty).count() == 0
+
+
+def _expected_copies(sizes, target, tilt=0.25, bound=1.0, most=3.0):
+    """Expected copies of documents of these sizes, by bisection of the factor."""
+    bands = [n.bit_length() - 1 for n in sizes]
+    mean = np.mean([b for b in bands if b >= 0]) if any(sizes) else 0
+    merit = [2 ** float(np.clip(tilt * (mean - b), -bound, bound)) for b in bands]
+    low, high = 0.0, 100.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(n * min(most, mid * m) for n, m in zip(sizes, merit, strict=True)) < target else (low, mid)
+    return [min(most, high * m) if n else 0.0 for n, m in zip(sizes, merit, strict=True)]
+
+
+def test_mix_takes_the_lowest_ranks(spark):
+    rng = random.Random(11)
+    made = [(i, " ".join(["w"] * rng.choice([1, 3, 8, 20, 50, 51, 120, 400])), rng.choice(["a", "b", "b", "b", "b", "c", None])) for i in range(600)]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string")
+    out = source_mix.mix_plan(df, bins=16).collect()
+    u = {r.doc_id: (((r.h >> 11) & ((1 << 53) - 1)) + 0.5) / 2**53 for r in df.selectExpr("doc_id", "xxhash64(17, doc_id) AS h").collect()}
+    chances = set()
+    for source in ("a", "b", "c", None):
+        rows = [r for r in out if r.source == source]
+        wanted = _expected_copies([r.size for r in rows], rows[0].target)
+        lot, more = rows[0].target, []
+        for r, e in zip(rows, wanted, strict=True):
+            whole = round(e) if abs(e - round(e)) < 1e-6 else int(e)
+            p = e - whole
+            lot -= whole * r.size
+            if p > 1e-6:
+                chances.add(round(p, 6))
+                more.append((u[r.doc_id] / (1 - u[r.doc_id]) / (p / (1 - p)), r.size, r.copies - whole))
+                assert r.rank == pytest.approx(more[-1][0], rel=1e-4)
+            else:
+                assert r.copies == whole
+        more.sort()
+        until = np.cumsum([n for _, n, _ in more])
+        n_taken = int(np.argmin(np.abs(np.append(0, until) - lot))) if len(more) else 0
+        got = [k for _, _, k in more]
+        assert got == [1] * sum(got) + [0] * (len(got) - sum(got)) and sum(got) in (n_taken, n_taken + 1, n_taken - 1)
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= max(r.size for r in rows) / 2 + 1e-6
+    assert len(chances) > 6  # unequal within sources
+
+
+def test_mix_agrees_with_its_plan(spark, docs, rows):
+    """Also for ids that repeat over sources and sizes, null ids, and columns named like the operator's own."""
+    more = docs.withColumn("__copies", docs.size).withColumn("__source", docs.size).withColumn("row", docs.size)
+    more = more.unionByName(more.filter("doc_id < 8").selectExpr("doc_id", "text", "'src9' AS source", *[f"`{c}`" for c in more.columns[3:]]))
+    plan = source_mix.mix_plan(more).collect()
+    size = lambda t: len((t or "").encode().split())
+    wanted = collections.Counter()
+    for r in plan:
+        wanted[r.doc_id, r.source, r.size] += r.copies
+    mixed = source_mix.mix(more)
+    assert mixed.columns == more.columns
+    got = mixed.collect()
+    assert collections.Counter((r.doc_id, r.source, size(r.text)) for r in got) == +wanted
+    assert all(r["__copies"] == "kept" and r["rank"] == "kept" for r in got)
+
+
+def test_mix_beyond_the_broadcast_bound(docs, monkeypatch):
+    wanted = [tuple(r) for r in source_mix.mix_plan(docs).collect()]
+    monkeypatch.setattr(source_mix, "FEW", 0)
+    same([tuple(r) for r in source_mix.mix_plan(docs).collect()], wanted)
 
 
 @settings(max_examples=60, deadline=None)
