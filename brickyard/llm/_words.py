@@ -10,18 +10,22 @@ _LOWER = LOWER.tobytes()
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15
-_powers = np.ones(1, np.uint64)
+_KEPT_POWERS = 2_000_000
+_powers: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> np.ndarray:
-    """The first n powers of the base, modulo 2^64."""
-    global _powers
-    if len(_powers) < n:
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """The first n powers of the base, or of its inverse, modulo 2^64; kept up to a bounded number."""
+    base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
+    known = _powers.get(base, np.zeros(0, np.uint64))
+    if len(known) < n:
         with np.errstate(over="ignore"):
-            steps = np.full(max(n, 64), _BASE, np.uint64)
-            steps[0] = 1
-            _powers = np.cumprod(steps, dtype=np.uint64)
-    return _powers[:n]
+            known = np.full(max(n, 64), base, np.uint64)
+            known[0] = 1
+            known = np.cumprod(known, dtype=np.uint64)
+        if n <= _KEPT_POWERS:
+            _powers[base] = known
+    return known[:n]
 
 
 def word_hashes(text: str | None) -> np.ndarray:

@@ -1,9 +1,10 @@
 """Deep-shallow suffix sorting.
 
-Suffixes are ordered by multikey quicksort down to a shallow depth (ternary partitioning on
-8-byte keys, done for all groups at once in NumPy); what then still ties goes, group by group,
-into a blind trie, which branches on single characters and compares a whole string only once for
-each insertion, so long common prefixes cost one comparison and not one a level.
+Suffixes are ordered by multikey quicksort down to a shallow depth: a run of suffixes that agree so far
+is split by a pivot's key at its depth (8 bytes) into less, equal and greater; the equal part goes on at
+the next depth, the others at the same one. All runs are split at the same time, in NumPy. What then
+still ties goes, run by run, into a blind trie, which branches on single characters and compares a whole
+string only once for each insertion, so long common prefixes cost one comparison and not one a level.
 """
 
 import numpy as np
@@ -64,6 +65,49 @@ def _words(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows).view(">u8")[:, 0].astype(np.uint64)
 
 
+def multikey_quicksort(group: np.ndarray, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Order by group and keys, and where in that order the runs of equal group and keys start."""
+    n = len(group)
+    order = np.argsort(group, kind="stable")  # groups are runs to begin with
+    heads = np.zeros(n, bool)
+    heads[np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))] = True
+    table = np.stack(keys) if keys else np.zeros((0, n), np.uint64)
+    # Runs that aren't done: where they start, their sizes and how many keys they agree in.
+    start = np.flatnonzero(heads)
+    size = np.diff(np.append(start, n))
+    depth = np.zeros(len(start), np.int64)
+    while True:
+        todo = (size > 1) & (depth < len(keys))
+        start, size, depth = start[todo], size[todo], depth[todo]
+        if not len(start):
+            return order, np.flatnonzero(heads)
+        ends = np.cumsum(size)
+        run = np.repeat(np.arange(len(start)), size)
+        at = np.arange(int(ends[-1])) + np.repeat(start - (ends - size), size)
+        members = order[at]
+        key = table[depth[run], members]
+        first = ends - size
+        a, b, c = key[first], key[first + size // 2], key[ends - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[run]
+        less, more = key < pivot, key > pivot
+        # Places by running counts: a run's lesser ones first, then the equal ones, then the greater ones.
+        n_less, n_more = np.cumsum(less), np.cumsum(more)
+        less_to, more_to = n_less[ends - 1], n_more[ends - 1]
+        less_from, more_from = less_to - less_to, more_to - more_to
+        less_from[1:], more_from[1:] = less_to[:-1], more_to[:-1]
+        lesser, greater = less_to - less_from, more_to - more_from
+        i = np.arange(len(key))
+        by_less, by_more = n_less - less_from[run], n_more - more_from[run]
+        place = np.where(less, first[run] + by_less - 1, np.where(more, (ends - greater)[run] + by_more - 1, i - by_more + (lesser[run] - by_less)))
+        order[at[place]] = members
+        sizes = np.stack([lesser, size - lesser - greater, greater], 1).reshape(-1)
+        start = np.repeat(start, 3) + (np.cumsum(sizes) - sizes - np.repeat(first, 3))
+        depth = np.repeat(depth, 3) + np.tile([0, 1, 0], len(depth))
+        some = sizes > 0
+        start, size, depth = start[some], sizes[some], depth[some]
+        heads[start] = True
+
+
 def sort_suffixes(group: np.ndarray, text: np.ndarray, length: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of suffixes (rows of bytes, zero after their length) by group and content, and each one's
     common prefix length with its predecessor in that order (0 at the start of a group)."""
@@ -71,12 +115,7 @@ def sort_suffixes(group: np.ndarray, text: np.ndarray, length: np.ndarray, shall
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     keys = [_words(text[:, i : i + 8]) for i in range(0, min(shallow, depth - 7), 8)]
-    order = np.lexsort((*keys[::-1], group))
-    tie = np.ones(n, bool)
-    for key in (group, *keys):
-        tie[1:] &= key[order][1:] == key[order][:-1]
-    tie[0] = False
-    starts = np.flatnonzero(~tie)
+    order, starts = multikey_quicksort(group, keys)
     sizes = np.diff(np.append(starts, n))
     rest = 8 * len(keys)
     if rest < depth:

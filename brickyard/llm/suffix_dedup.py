@@ -26,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brickyard.llm._shared import release, small_batches
+from brickyard.llm._words import powers
 from brickyard.llm.deep_shallow import sort_suffixes
 from brickyard.llm.perfect_hash import mix64
 
 GRAM = 10
+#: A passage has 2 * span - GRAM bytes at most, which its one-byte size must hold.
+LONGEST = (255 + GRAM) // 2
 CHUNK = 2_000_000
-FLUSH = 8_000_000
+FLUSH = 16_000_000
 BUCKET_BYTES = 24_000_000
 _LEAST = -(2**63)
 _MASK = np.uint64(0xFFFFFFFF)
@@ -83,10 +86,10 @@ def _at_each(raw: np.ndarray) -> np.ndarray:
 
 
 def passages(raw: np.ndarray, bounds: np.ndarray, span: int) -> dict[str, np.ndarray]:
-    """Runs of spans with one anchor, in texts laid end to end: key, text number, start, left, size (places in raw)."""
+    """Runs of spans with one anchor, in texts laid end to end: key, text number, start, left, size (places in raw), sum (equal for equal bytes)."""
     none = np.zeros(0, np.int64)
     if len(raw) < span:
-        return {"key": none.astype(np.uint64), "text": none, "start": none, "left": none, "size": none}
+        return {"key": none.astype(np.uint64), "text": none, "start": none, "left": none, "size": none, "sum": none.astype(np.uint64)}
     eight = _at_each(raw)
     gram = _key(eight[: len(raw) - GRAM + 1], eight[GRAM - 8 : len(raw) - 7])
     ranked = (gram & ~_MASK) | np.arange(len(gram), dtype=np.uint64)
@@ -106,7 +109,12 @@ def passages(raw: np.ndarray, bounds: np.ndarray, span: int) -> dict[str, np.nda
     # A run ends before the next run or the next place that is no span.
     stop = np.flatnonzero(valid & ~np.append(valid[1:] & ~begins[1:], False))
     text = np.searchsorted(bounds, start, "right") - 1
-    return {"key": gram[anchor[start]], "text": text, "start": start, "left": anchor[start] - start, "size": stop - start + span}
+    size = stop - start + span
+    # What a passage's bytes sum up to, each weighed by a power of its place in the passage.
+    with np.errstate(over="ignore"):
+        until = np.append(np.uint64(0), np.cumsum((raw + np.uint64(1)) * powers(len(raw)), dtype=np.uint64))
+        weighed = (until[start + size] - until[start]) * powers(len(raw), inverse=True)[start]
+    return {"key": gram[anchor[start]], "text": text, "start": start, "left": anchor[start] - start, "size": size, "sum": weighed}
 
 
 def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -116,17 +124,24 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _settle(found: dict[str, np.ndarray], raw: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Which passages equal one of a smaller id among them."""
-    data = raw.tobytes()
-    known: dict[bytes, int] = {}
-    ids = docs[found["text"]].tolist()
-    rows = list(zip(found["start"].tolist(), found["size"].tolist(), strict=True))
+    """Which passages equal one of a smaller id among them (two that agree in their sums are compared byte by byte)."""
+    out = np.zeros(len(found["start"]), bool)
+    if not len(out):
+        return out
+    ids, sums = docs[found["text"]], found["sum"]
+    order = np.lexsort((ids, sums))
+    heads = np.flatnonzero(np.append(True, sums[order][1:] != sums[order][:-1]))
+    least = np.empty(len(order), np.int64)
+    least[order] = np.repeat(order[heads], np.diff(np.append(heads, len(order))))
     # A passage's bytes decide its anchor and so its key, but for spans it doesn't hold itself.
-    whole = [data[s : s + n] + bytes([left]) for (s, n), left in zip(rows, found["left"].tolist(), strict=True)]
-    for key, doc in zip(whole, ids, strict=True):
-        if doc < known.get(key, doc + 1):
-            known[key] = doc
-    return np.fromiter((known[k] < d for k, d in zip(whole, ids, strict=True)), bool, len(ids))
+    same = (ids[least] < ids) & (found["size"][least] == found["size"]) & (found["left"][least] == found["left"])
+    at = np.flatnonzero(same)
+    for some in np.array_split(at, len(at) // 50_000 + 1):
+        if len(some):
+            size = found["size"][some]
+            differ = raw[_spread(found["start"][some], size)] != raw[_spread(found["start"][least[some]], size)]
+            out[some] = np.add.reduceat(differ.astype(np.int64), np.cumsum(size) - size) == 0
+    return out
 
 
 def _scan(span: int, buckets: int):
@@ -297,6 +312,8 @@ def _cut(batches):
 
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 50) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (bytes)."""
+    if not GRAM <= span <= LONGEST:
+        raise ValueError(f"span must be {GRAM} to {LONGEST} bytes")
     small_batches(docs.sparkSession)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST)).alias("sort_id"), F.xxhash64(F.col(text)).alias("print"), F.col(text).alias("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
