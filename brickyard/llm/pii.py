@@ -69,19 +69,21 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
 
-def _located(df: DataFrame, text: str, pattern: str, when: Column | None, out: str) -> DataFrame:
-    """df with ``out``: (value, start) of each match.
+def _located(df: DataFrame, text: str, pattern: str, when: Column | None, out: str, keep) -> DataFrame:
+    """df with ``out``: (value, start) of each match whose value ``keep`` accepts.
 
-    Starts are running sums of gap and match lengths, taken by chunks so that texts with very many
-    matches stay near linear.
+    Starts are running sums of gap and match lengths, taken for the accepted matches alone and by chunks,
+    so that texts with very many matches stay near linear.
     """
-    m, g, n, t = (f"{out}_{k}" for k in "mgnt")
+    m, g, n, t, h = (f"{out}_{k}" for k in "mgnth")
     found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
     none = F.array().cast("array<string>")
     df = df.withColumn(m, found if when is None else F.when(when, found).otherwise(none))
-    df = df.withColumn(g, F.when(F.size(m) > 0, F.split(F.col(text), pattern, -1)).otherwise(none))
+    df = df.withColumn(h, F.filter(F.transform(m, lambda x, i: F.struct(x.alias("value"), i.alias("i"))), lambda x: keep(x["value"])))
+    df = df.withColumn(g, F.when(F.size(h) > 0, F.split(F.col(text), pattern, -1)).otherwise(none))
     # n: what lies between one start and the next.
-    df = df.withColumn(n, F.transform(m, lambda x, i: F.length(x) + F.length(F.get(F.col(g), i + 1))))
+    lengths = F.transform(m, lambda x, i: F.length(x) + F.length(F.get(F.col(g), i + 1)))
+    df = df.withColumn(n, F.when(F.size(h) > 0, lengths).otherwise(F.array().cast("array<int>")))
     chunks = F.sequence(F.lit(0), F.floor(F.size(n) / _CHUNK).cast("int"))
     df = df.withColumn(t, F.transform(chunks, lambda c: _sum(F.slice(F.col(n), c * _CHUNK + 1, F.lit(_CHUNK)))))
 
@@ -89,8 +91,8 @@ def _located(df: DataFrame, text: str, pattern: str, when: Column | None, out: s
         chunk = F.floor(i / _CHUNK).cast("int")
         return F.length(F.get(F.col(g), F.lit(0))) + _sum(F.slice(F.col(t), F.lit(1), chunk)) + _sum(F.slice(F.col(n), chunk * _CHUNK + 1, i % _CHUNK))
 
-    df = df.withColumn(out, F.transform(m, lambda x, i: F.struct(x.alias("value"), start(i).alias("start"))))
-    return df.drop(m, g, n, t)
+    df = df.withColumn(out, F.transform(h, lambda x: F.struct(x["value"].alias("value"), start(x["i"]).alias("start"))))
+    return df.drop(m, g, n, t, h)
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, support: int = 3) -> DataFrame:
@@ -102,8 +104,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
         when = F.col("text").rlike("[0-9]{4}") if need is None else F.contains("text", F.lit(need))
         if kind == "card":  # sixteen digits with single separators
             when = F.col("text").rlike("[0-9](?:[\\x20-]?[0-9]){15}")
-        df = _located(df, "text", PATTERNS[kind], when, f"_{kind}")
-        df = df.withColumn(f"_{kind}", F.filter(f"_{kind}", lambda m: _holds(kind, m["value"])))
+        df = _located(df, "text", PATTERNS[kind], when, f"_{kind}", lambda value, kind=kind: _holds(kind, value))
     spans = [F.transform(f"_{k}", lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"))).alias(k) for k in KINDS]
     entities = F.array_distinct(F.concat(*[F.transform(f"_{k}", lambda m: F.concat(F.lit(f"{k}:"), F.lower(m["value"]))) for k in KINDS])).alias("entities")
     base = checkpointed(df.select("doc_id", "mark", *spans, entities))
@@ -111,9 +112,9 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda t: F.xxhash64(F.lower(t)))).alias("terms")
     told = _told(base.select("mark", "entities"), checkpointed(d.select("mark", words).dropDuplicates(["mark"])), threshold, support)
     base = base.drop("entities")
-    holders = _located(d.join(told, "mark"), "text", TERM, None, "_term").withColumn("_term", F.filter("_term", lambda m: F.array_contains("told", F.xxhash64(F.lower(m["value"])))))
+    holders = _located(d.join(told, "mark").dropDuplicates(["mark"]), "text", TERM, None, "_term", lambda value: F.array_contains("told", F.xxhash64(F.lower(value))))
     found = F.transform("_term", lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end")))
-    by_text = holders.groupBy(F.col("mark").alias("of")).agg(F.first(found).alias("found"))
+    by_text = holders.select(F.col("mark").alias("of"), found.alias("found"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
     return base.join(by_text, F.col("mark") == F.col("of"), "left").select("doc_id", "mark", *KINDS, F.coalesce("found", empty).alias("term"))
 
