@@ -7,11 +7,15 @@ their lines, except in the document with the largest id that holds them.
 1. A scan hashes each document's distinct keys to 128 bits; (bucket of documents, key) pairs
    are pre-aggregated, then counted over all buckets. A key that every document holds sends
    one row per bucket, not one per document.
-2. Each bucket's qualifying keys become one shard: a minimal perfect hash over the first half
-   of the hashes, indexing arrays of fingerprints (the other half), counts and largest ids.
+2. Each bucket's distinct keys, rare ones too, become one shard: a minimal perfect hash over the first
+   half of the hashes, indexing arrays of 32-bit fingerprints (of the other half), counts (one byte, those
+   beyond it as the greatest) and largest ids.
 3. Documents are dealt to their buckets once; a task reads a bucket's shard, then streams its
-   documents past it. Shards hold only keys of their own bucket's documents, and the number of
-   buckets follows spark.sql.shuffle.partitions, so a shard's size doesn't grow with the input.
+   documents past it: a line goes if its count is at least ``min_docs`` and its largest id another one.
+   Shards hold only keys of their own bucket's documents, and the number of buckets follows
+   spark.sql.shuffle.partitions, so a shard's size doesn't grow with the input. As a shard has every key
+   it is asked for, the fingerprints only tell apart keys whose first halves are equal, which are listed
+   beside the arrays with all their bits.
 
 Defined results: a null or empty text is one empty line and becomes ''; each row counts as a
 document, also if ids repeat (rows that share the largest id all keep the line); a null id is
@@ -32,6 +36,8 @@ from brickyard.llm.perfect_hash import PerfectHash
 _SPACE = " \t\n\x0b\x0c\r"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _LEAST = -(2**63)
+#: Counts are told apart up to this.
+MOST = 255
 
 
 def line_key(line: str, min_chars: int) -> bytes | None:
@@ -44,6 +50,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _fingerprint(h2: np.ndarray) -> np.ndarray:
+    return (h2.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+
+
 def _hash(key: bytes) -> tuple[int, int]:
     h = xxhash.xxh3_128_intdigest(key)
     return _signed(h >> 64), _signed(h & 0xFFFFFFFFFFFFFFFF)
@@ -54,19 +64,19 @@ class Shard:
 
     def __init__(self, levels, fingerprint, count, top, rest):
         self.hash, self.fingerprint, self.count, self.top = PerfectHash(levels), fingerprint, count, top
-        self.rest = {(int(a), int(b)): int(t) for a, b, t in rest}
+        self.rest = {(int(a), int(b)): (int(n), int(t)) for a, b, n, t in rest}
 
     @classmethod
     def pack(cls, h1: np.ndarray, h2: np.ndarray, count: np.ndarray, top: np.ndarray) -> bytes:
         hashed, left = PerfectHash.build(h1.view(np.uint64))
-        index = hashed.index(h1.view(np.uint64))
         kept = np.ones(len(h1), bool)
         kept[left] = False
-        arrays = [np.zeros(hashed.size, np.int64) for _ in range(3)]
-        for out, values in zip(arrays, (h2, count, top), strict=True):
-            out[index[kept]] = values[kept]
+        index = hashed.index(h1[kept].view(np.uint64))
+        arrays = {"fingerprint": np.zeros(hashed.size, np.uint32), "count": np.zeros(hashed.size, np.uint8), "top": np.zeros(hashed.size, np.int64)}
+        for out, values in zip(arrays.values(), (_fingerprint(h2), np.minimum(count, MOST), top), strict=True):
+            out[index] = values[kept]
         levels = {f"level{i}": x for i, x in enumerate(hashed.levels)}
-        np.savez(blob := io.BytesIO(), fingerprint=arrays[0], count=arrays[1], top=arrays[2], rest=np.stack([h1[left], h2[left], top[left]], 1), **levels)
+        np.savez(blob := io.BytesIO(), rest=np.stack([h1[left], h2[left], count[left], top[left]], 1), **arrays, **levels)
         return blob.getvalue()
 
     @classmethod
@@ -74,17 +84,18 @@ class Shard:
         with np.load(io.BytesIO(blob)) as x:
             return cls([x[f"level{i}"] for i in range(len(x.files) - 4)], x["fingerprint"], x["count"], x["top"], x["rest"])
 
-    def tops(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """For each key the largest id that holds it, or the least number if the key is not in the shard."""
-        out = np.full(len(h1), _LEAST, np.int64)
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each key the number of documents that hold it (MOST: so many or more), and the largest id; 0 if it isn't in the shard."""
+        count, top = np.zeros(len(h1), np.int64), np.full(len(h1), _LEAST, np.int64)
         if self.hash.size and len(h1):
             index = self.hash.index(h1.view(np.uint64))
-            known = (index >= 0) & (self.fingerprint[index] == h2)
-            out[known] = self.top[index[known]]
+            known = (index >= 0) & (self.fingerprint[index] == _fingerprint(h2))
+            count[known], top[known] = self.count[index[known]], self.top[index[known]]
         if self.rest:
             for i, key in enumerate(zip(h1.tolist(), h2.tolist(), strict=True)):
-                out[i] = max(out[i], self.rest.get(key, _LEAST))
-        return out
+                if key in self.rest:
+                    count[i], top[i] = self.rest[key]
+        return count, top
 
 
 def _scan(min_chars: int):
@@ -109,7 +120,7 @@ def _pack(key, table):
     return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([Shard.pack(h1, h2, n, top)], pa.binary())})
 
 
-def _probe(min_chars: int):
+def _probe(min_chars: int, min_docs: int):
     def probe(batches):
         bucket, shard = None, None
         for batch in batches:
@@ -126,7 +137,8 @@ def _probe(min_chars: int):
                     keyed = [(i, k) for i in long if (k := line_key(lines[i], min_chars)) is not None]
                     if keyed:
                         hashes = np.array([_hash(k) for _, k in keyed], np.int64)
-                        drop = shard.tops(np.ascontiguousarray(hashes[:, 0]), np.ascontiguousarray(hashes[:, 1])) > sort_id
+                        count, top = shard.find(np.ascontiguousarray(hashes[:, 0]), np.ascontiguousarray(hashes[:, 1]))
+                        drop = (count >= min_docs) & (top > sort_id)
                         if drop.any():
                             gone = {i for (i, _), d in zip(keyed, drop, strict=True) if d}
                             kept = [line for i, line in enumerate(lines) if i not in gone]
@@ -141,18 +153,20 @@ def _probe(min_chars: int):
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, n_lines (before), n_dropped, text (what stays)."""
+    if min_docs > MOST:
+        raise ValueError(f"min_docs can be {MOST} at most")
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(4 * parts)).cast("int").alias("bucket")
-    sort_id = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST))
-    held = docs.select(bucket, sort_id.alias("id"), F.col(text).alias("text")).mapInArrow(_scan(min_chars), "bucket int, id long, h1 long, h2 long")
+    bucket = F.pmod(F.xxhash64(F.col(f"`{doc_id}`")), F.lit(4 * parts)).cast("int").alias("bucket")
+    sort_id = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LEAST))
+    held = docs.select(bucket, sort_id.alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(_scan(min_chars), "bucket int, id long, h1 long, h2 long")
     cells = held.groupBy("bucket", "h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("top"))
     whole = Window.partitionBy("h1", "h2")
-    keys = cells.select("bucket", "h1", "h2", F.sum("n").over(whole).alias("n"), F.max("top").over(whole).alias("top")).filter(F.col("n") >= min_docs)
+    keys = cells.select("bucket", "h1", "h2", F.sum("n").over(whole).alias("n"), F.max("top").over(whole).alias("top"))
     shards = keys.groupBy("bucket").applyInArrow(_pack, "bucket int, shard binary")
     none = F.lit(None)
     left = shards.select("bucket", "shard", none.cast("long").alias("doc_id"), none.cast("long").alias("sort_id"), none.cast("string").alias("text"))
-    right = docs.select(bucket, none.cast("binary").alias("shard"), F.col(doc_id).cast("long").alias("doc_id"), sort_id.alias("sort_id"), F.col(text).alias("text"))
+    right = docs.select(bucket, none.cast("binary").alias("shard"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), sort_id.alias("sort_id"), F.col(f"`{text}`").alias("text"))
     both = left.unionAll(right).repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("shard").isNull())
-    return both.mapInArrow(_probe(min_chars), "doc_id long, n_lines long, n_dropped long, text string")
+    return both.mapInArrow(_probe(min_chars, min_docs), "doc_id long, n_lines long, n_dropped long, text string")

@@ -61,15 +61,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_substrings(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+# A row is a document, also if an id repeats or is null.
 OP8_SQL = r"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS o, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT r, doc_id, o, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM d),
 k AS (SELECT *, regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS s FROM l),
-t AS (SELECT doc_id, line, i, length(s) AS n, translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM k),
-c AS (SELECT key, max(doc_id) AS top FROM t WHERE n >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
-j AS (SELECT t.*, c.top IS NOT NULL AND t.n >= 20 AND t.doc_id <> c.top AS gone FROM t LEFT JOIN c USING (key))
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+t AS (SELECT r, doc_id, o, line, i, length(s) AS n, translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM k),
+c AS (SELECT key, max(o) AS top FROM t WHERE n >= 20 GROUP BY key HAVING count(DISTINCT r) >= 3),
+j AS (SELECT t.*, c.top IS NOT NULL AND t.n >= 20 AND t.o <> c.top AS gone FROM t LEFT JOIN c USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM j GROUP BY doc_id"""
+FROM j GROUP BY r"""
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
