@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, or one like it that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

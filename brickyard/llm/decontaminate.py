@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brickyard.llm._shared import small_batches
+from brickyard.llm._shared import small_batches, unused
 
 WINDOW = 10
 #: Bytes of words keep (A-Z lower-cased); all others become spaces.
@@ -230,9 +230,9 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, min_span: int = 1, max_coverage: float = 0.5) -> DataFrame:
     """docs without hit spans of min_span words or more, and without documents of which more than max_coverage is hit."""
-    out = "__hits"
+    out = unused("hits", docs.columns)
     df = with_hits(docs, items, text=text, window=window, out=out)
-    hit: Column = F.col(out)
+    hit: Column = F.col(f"`{out}`")
     df = df.filter(hit["n_hit"] <= hit["n_words"] * F.lit(max_coverage))
     names, at, schema = docs.columns, docs.columns.index(text), docs.schema
 

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brickyard.llm._shared import unused
+
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 WINDOW = 5
@@ -74,7 +76,7 @@ def _windows(words: Column, n: Column) -> Column:
 
 def _statistics(docs: DataFrame, text: str, out: str) -> DataFrame:
     """docs with a struct ``out`` of counts; helper columns carry names no input can clash with."""
-    c = {k: f"__{out}_{k}" for k in ("t", "w", "n", "h", "s", "r", "l")}
+    c = {k: unused(f"{out}_{k}", docs.columns) for k in ("t", "w", "n", "h", "s", "r", "l")}
     col = F.col
     trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACE_CHARS))
     df = docs.withColumn(c["t"], trimmed)
@@ -128,11 +130,12 @@ def with_quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
 
 def quality_filter(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
     """The rows of docs that pass, with their columns as they were."""
-    out = "__quality"
+    out = unused("quality", docs.columns)
     judged = with_quality(docs, text, rules, min_words, max_repeat_percent, out)
     # A row number beside the verdict keeps the optimizer from inlining all statistics into the filter.
-    judged = judged.withColumn("__row", F.monotonically_increasing_id())
-    return judged.filter(F.col(f"{out}.kept") & (F.col("__row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = unused("at", judged.columns)
+    judged = judged.withColumn(at, F.monotonically_increasing_id())
+    return judged.filter(F.col(f"`{out}`.kept") & (F.col(f"`{at}`") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ that repeat an id are ordered by text; an empty table gives an empty result. A d
 never split over blocks. Columns other than id and text are ignored.
 """
 
+import itertools
 import os
 import zlib
 
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from brickyard.llm._shared import new_path, release, small_batches
 from brickyard.llm.token_codec import decode_block, encode_block
 
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 300_000
+#: Chunks that stay for a worker's next task; the first ones met are the frequent ones.
+KEPT_CHUNKS = 60_000
 BLOCK_TOKENS = 1 << 20
 BLOCKS = "shard int, block int, tokens_before long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, payload binary"
 _encoders: dict[str, "ChunkEncoder"] = {}
@@ -48,7 +51,7 @@ class ChunkEncoder:
 
     @classmethod
     def of(cls, path: str) -> "ChunkEncoder":
-        """This worker's encoder; the cache lives as long as the worker."""
+        """This worker's encoder; its frequent chunks live as long as the worker."""
         if path not in _encoders:
             _encoders[path] = cls(path)
         return _encoders[path]
@@ -68,6 +71,11 @@ class ChunkEncoder:
         get = self.cache.__getitem__
         return [b"".join(map(get, c)) for c in chunks]
 
+    def rest(self) -> None:
+        """Lets go of all but a few chunks: an idle worker isn't to hold memory that other operators need."""
+        kept = itertools.chain(self.older.items(), self.cache.items())
+        self.cache, self.older = dict(itertools.islice(kept, KEPT_CHUNKS)), {}
+
 
 def _slices(texts: list[str | None], most: int = 4_000_000):
     """Ranges of rows of about so many characters."""
@@ -109,6 +117,7 @@ def _encode_shard(path: str, end_id: int, block_tokens: int):
                         yield close()
         if ids:
             yield close()
+        encoder.rest()
         release()
 
     return run
