@@ -452,7 +452,7 @@ def extract(files: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 try:
                     facts = file_facts(row["source"] or "", row["is_test"])
-                except ReadError as e:
+                except (ReadError, RecursionError) as e:  # the second: a require or binding form nested without end
                     facts = {"error": str(e), "forms": 0}
                 rows.append({k: row[k] for k in keep} | facts)
             yield pa.RecordBatch.from_pylist(rows, schema)

@@ -7,12 +7,32 @@ from pyspark.sql import functions as F
 def leave_one_out(values: DataFrame) -> DataFrame:
     """values(metric, brick, value) with mean, std_dev and peers of the other bricks' values of the metric.
 
-    The others are joined, not subtracted from sums: a deviation of exactly 0 must come out as 0.
+    One row a metric goes to its values: sums about the metric's mean, which lose no digits to its size, and the
+    least and greatest values, the first two of each, which tell whether all the others are equal: their deviation must come
+    out as exactly 0, and their mean as that value.
     """
-    others = values.select(F.col("metric").alias("_m"), F.col("brick").alias("_b"), F.col("value").alias("_v"))
-    paired = values.join(others, (F.col("metric") == F.col("_m")) & (F.col("brick") != F.col("_b")))
-    facts = paired.groupBy("metric", "brick").agg(F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std_dev"), F.count("_v").alias("peers"))
-    return values.join(facts, ["metric", "brick"], "left").fillna(0, ["peers"])
+    centres = values.groupBy("metric").agg(F.avg("value").alias("_centre"))
+    apart = values.join(centres, "metric").withColumn("_off", F.col("value") - F.col("_centre"))
+    ends = apart.groupBy("metric").agg(
+        F.count("value").alias("_n"), F.sum("_off").alias("_sum"), F.sum(F.col("_off") * F.col("_off")).alias("_squares"),
+        F.min("value").alias("_low"), F.max("value").alias("_high"), F.first("_centre").alias("_centre"),
+    )
+    at_ends = values.join(ends.select("metric", "_low", "_high"), "metric").groupBy("metric").agg(
+        F.count_if(F.col("value") == F.col("_low")).alias("_n_low"), F.count_if(F.col("value") == F.col("_high")).alias("_n_high"),
+        F.min(F.when(F.col("value") > F.col("_low"), F.col("value"))).alias("_low2"), F.max(F.when(F.col("value") < F.col("_high"), F.col("value"))).alias("_high2"),
+    )
+    v = values.join(ends.join(at_ends, "metric"), "metric", "left")
+    known = F.col("value").isNotNull()
+    v = v.withColumn("_off", F.coalesce(F.col("value") - F.col("_centre"), F.lit(0.0)))
+    v = v.withColumn("peers", F.coalesce(F.col("_n") - known.cast("int"), F.lit(0)))
+    low = F.when(known & (F.col("value") == F.col("_low")) & (F.col("_n_low") == 1), F.col("_low2")).otherwise(F.col("_low"))
+    high = F.when(known & (F.col("value") == F.col("_high")) & (F.col("_n_high") == 1), F.col("_high2")).otherwise(F.col("_high"))
+    v = v.withColumns({"_l": low, "_h": high}).withColumn("_off_mean", (F.col("_sum") - F.col("_off")) / F.nullif(F.col("peers"), F.lit(0)))
+    equal = F.col("_l") == F.col("_h")
+    squares = F.col("_squares") - F.col("_off") * F.col("_off") - F.col("peers") * F.col("_off_mean") * F.col("_off_mean")
+    mean = F.when(equal, F.col("_l")).otherwise(F.col("_centre") + F.col("_off_mean"))
+    deviation = F.when(F.col("peers") > 1, F.when(equal, F.lit(0.0)).otherwise(F.sqrt(F.greatest(squares, F.lit(0.0)) / (F.col("peers") - 1))))
+    return v.withColumns({"mean": F.when(F.col("peers") > 0, mean), "std_dev": deviation}).select(*values.columns, "mean", "std_dev", "peers")
 
 
 def outliers(values: DataFrame, directions: DataFrame, std_devs: float = 2.0, least: int = 4) -> DataFrame:

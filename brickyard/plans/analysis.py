@@ -208,12 +208,12 @@ class Workspace:
             F.lit(metric).alias("metric"), "brick", F.col("_type").alias("type"), (subject if subject is not None else null).cast("string").alias("subject"),
             (value if value is not None else null).cast("double").alias("value"), (file if file is not None else null).cast("string").alias("file"), (line if line is not None else null).cast("int").alias("line"),
             (name if name is not None else null).cast("string").alias("loc_name"), message.alias("message"), F.lit(historical).alias("historical"),
-            F.row_number().over(Window.orderBy("_ord", *order)).cast("long").alias("ord"),
+            (F.col("_ord").cast("long") * F.lit(1 << 32) + F.row_number().over(Window.partitionBy("brick").orderBy(*order))).alias("ord"),  # by brick: no task orders all findings
         )
 
     def _unstable(self) -> DataFrame:
         e = graph.unstable_edges(self.edges, graph.dependency_metrics(self.bricks, self.edges)).withColumn("brick", F.col("from"))
-        message = F.concat(F.lit("depends on "), "to", F.lit(" (instability "), trimmed(F.col("i_to")), F.lit("), which is less stable than "), "from", F.lit(" ("), trimmed(F.col("i_from")), F.lit(")"))
+        message = F.concat(F.lit("uses "), "to", F.lit(", whose instability of "), trimmed(F.col("i_to")), F.lit(" exceeds its own "), trimmed(F.col("i_from")))
         return self._finding(e, "unstable-dependencies", ["interface", "to_ord"], F.col("to"), message, F.col("gap"), F.col("file"), F.col("line"))
 
     def _positional(self) -> DataFrame:
@@ -221,7 +221,7 @@ class Workspace:
         own = own.filter(self.is_interface(F.col("ns"), F.col("own")))
         used = self.used.select(F.col("segment").alias("_s"), F.col("name").alias("_n"))
         f = own.join(used, (F.col("own") == F.col("_s")) & (F.col("name") == F.col("_n")), "left_semi")
-        message = F.concat(F.lit("has "), F.col("params").cast("string"), F.lit(" positional parameters, and other bricks call it; consider taking a map"))
+        message = F.concat(F.lit("callers in other bricks must know the order of its "), F.col("params").cast("string"), F.lit(" arguments; named ones in a map would bind them less"))
         return self._finding(f, "positional-interface", ["file", "ord"], F.col("name"), message, F.col("params"), F.col("file"), F.col("line"), F.col("name"))
 
     def _merge(self) -> DataFrame:
@@ -229,16 +229,16 @@ class Workspace:
         b = self.bricks.filter(F.col("type") == "component").select("brick").join(sizes, "brick", "left").fillna(0, ["forms"])
         other = b.select(F.col("brick").alias("dependent"), F.col("forms").alias("_forms")).filter("_forms > 0")
         m = b.join(graph.sole_dependents(self.edges), "brick").join(other, "dependent").withColumn("share", F.col("forms").cast("double") / F.col("_forms"))
-        message = F.concat(F.lit("is used only by "), "dependent", F.lit(", and has "), _round_percent(F.col("share")), F.lit("% as many forms; consider merging it into "), "dependent")
+        message = F.concat(F.lit("serves "), "dependent", F.lit(" alone and has "), _round_percent(F.col("share")), F.lit("% of its forms; the two could be one component"))
         return self._finding(m, "merge-candidate", ["brick"], F.col("dependent"), message, F.col("share"))
 
     def _state(self) -> DataFrame:
         s = self._child("mutable_state", False).join(self.segments, "brick", "left")
-        texts = {"atom": "defines an atom", "ref": "defines a ref", "agent": "defines an agent", "volatile": "defines a volatile", "dynamic": "defines a dynamic var"}
-        what = F.concat(F.lit("calls alter-var-root on "), F.coalesce("name", F.lit("")))
+        texts = {"atom": "holds state in an atom", "ref": "holds state in a ref", "agent": "holds state in an agent", "volatile": "holds state in a volatile", "dynamic": "rebinds state through a dynamic var"}
+        what = F.concat(F.lit("replaces the root value of "), F.coalesce("name", F.lit("")))
         for kind, text in texts.items():
             what = F.when(F.col("kind") == kind, text).otherwise(what)
-        where = F.when(self.is_interface(F.col("ns"), F.col("own")), " in its interface, so every brick that uses it shares the state").otherwise(", state hidden from the functions that use it")
+        where = F.when(self.is_interface(F.col("ns"), F.col("own")), " (part of the interface: all users see its changes)").otherwise(" (internal: results depend on what was called before)")
         return self._finding(s, "mutable-state", ["file", "ord"], F.col("name"), F.concat(what, where), None, F.col("file"), F.col("line"), F.col("name"))
 
     def _at(self) -> Column:
@@ -246,19 +246,19 @@ class Workspace:
 
     def _catches(self) -> DataFrame:
         c = self._child("catches", False).filter("broad and handling <> 'rethrows'")
-        message = F.concat(F.lit("catches "), "class", F.when(F.col("handling") == "logs", " and logs it").otherwise(" and carries on"), F.lit(", deciding for every caller what a failure means"))
+        message = F.concat(F.lit("a handler for "), "class", F.when(F.col("handling") == "logs", " only writes a log entry").otherwise(" drops the error"), F.lit(", so callers never learn of the failure"))
         return self._finding(c, "broad-catches", ["file", "ord"], self._at(), message, None, F.col("file"), F.col("line"))
 
     def _untyped(self) -> DataFrame:
         t = self._child("throws", False).filter(F.col("kind").isin("untyped", "host"))
-        message = F.when(F.col("kind") == "untyped", "throws ex-info without a :type in its data").otherwise("throws a host exception, which callers can tell apart only by class")
+        message = F.when(F.col("kind") == "untyped", "the data of this ex-info has no :type to dispatch on").otherwise("an exception of the host platform carries no data to dispatch on")
         return self._finding(t, "untyped-errors", ["file", "ord"], self._at(), message, None, F.col("file"), F.col("line"))
 
     def _crossings(self) -> DataFrame:
         tests = self.facts.filter("is_test and ns is not null").select(F.col("ns").alias("_test_ns")).distinct()
         r = self._child("requires", True).join(self.segments, "brick", "left").withColumn("_seg", code.segment(F.col("target"), self.settings.top))
         r = r.filter(F.col("_seg").isNotNull() & ~F.col("_seg").eqNullSafe(F.col("own")) & ~self.is_interface(F.col("target"), F.col("_seg"))).join(tests, F.col("target") == F.col("_test_ns"), "left_anti")
-        message = F.concat(F.lit("requires "), "target", F.lit(", inside "), "_seg", F.lit("; test through its interface instead"))
+        message = F.concat(F.lit("this test reaches past the interface of "), "_seg", F.lit(" into "), "target")
         return self._finding(r, "boundary-crossings", ["file", "ord"], F.concat_ws(" ", "file", "target"), message, None, F.col("file"), F.col("line"))
 
     def _spread(self, settings: dict | None) -> DataFrame:
@@ -266,7 +266,7 @@ class Workspace:
         all_of = self.libraries.groupBy("library").agg(F.sort_array(F.collect_set("brick")).alias("_all"))
         s = self.libraries.filter((F.col("n_bricks") > 1) & ~F.col("library").isin(allowed)).join(all_of, "library")
         others = F.filter("_all", lambda x: x != F.col("brick"))
-        message = F.concat(F.lit("requires "), "library", F.lit(", which "), F.array_join(others, ", "), F.when(F.size(others) == 1, " also requires").otherwise(" also require"))
+        message = F.concat("library", F.lit(" is used here and by "), F.array_join(others, ", "))
         return self._finding(s, "library-spread", [F.desc("n_bricks"), "library"], F.col("library"), message, F.col("n_bricks"), F.col("file"), F.col("line"))
 
     def _duplicates(self, limit: float) -> DataFrame:
@@ -276,7 +276,7 @@ class Workspace:
         others = d.select("hash", "brick").distinct().join(every, (F.col("hash") == F.col("_h")) & (F.col("brick") != F.col("_b")))
         names = others.groupBy("hash", "brick").agg(F.array_join(F.sort_array(F.collect_set("_b")), ", ").alias("_names"), F.min("_at").alias("_first"))
         d = d.join(names, ["hash", "brick"])
-        message = F.concat(F.lit("duplicates "), F.col("forms").cast("string"), F.lit(" forms in "), "_names", F.lit(" ("), "_first.file", F.lit(":"), F.col("_first.line").cast("string"), F.lit(")"))
+        message = F.concat(F.lit("the same "), F.col("forms").cast("string"), F.lit(" forms stand in "), "_names", F.lit(", for instance at "), "_first.file", F.lit(":"), F.col("_first.line").cast("string"))
         return self._finding(d, "duplicate-code", ["file", "line", "hash"], F.col("hash"), message, F.col("forms"), F.col("file"), F.col("line"))
 
     def _co_change(self, settings: dict) -> DataFrame:
@@ -284,5 +284,5 @@ class Workspace:
         touched = self.commits.withColumn("_dir", F.regexp_extract("path", r"^([^/]+/[^/]+)/", 1)).join(F.broadcast(dirs), "_dir").select("commit", "brick")
         pairs = graph.co_changes(touched, settings["max-bricks-per-commit"]).filter(F.col("shared") >= settings["min-shared"])
         hidden = graph.unconnected(pairs, "fewer", "more", self.edges).withColumn("brick", F.col("fewer"))
-        message = F.concat(F.lit("with "), "more", F.lit(" in "), F.col("shared").cast("string"), F.lit(" of its "), F.col("changes").cast("string"), F.lit(" commits ("), _round_percent(F.col("strength")), F.lit("%), though neither depends on the other"))
+        message = F.concat(F.col("shared").cast("string"), F.lit(" of "), F.col("changes").cast("string"), F.lit(" commits ("), _round_percent(F.col("strength")), F.lit("%) also change "), "more", F.lit(", with no dependency either way"))
         return self._finding(hidden, "co-change", ["fewer", "more"], F.col("more"), message, F.col("strength"), historical=True)

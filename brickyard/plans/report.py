@@ -286,7 +286,7 @@ def html(r: Report) -> str:
     def cell(text: str, brick: str, key: str) -> str:
         marks = [x for x in (worst.get((brick, key)), "outlier" if (brick, key) in r.outliers else None) if x]
         o = r.outliers.get((brick, key))
-        tip = f' title="{o["z"]:.1f} standard deviations from the mean of {o["peers"]} others"' if o else ""
+        tip = f' title="{o["z"]:.1f} deviations off the mean of the {o["peers"]} others"' if o else ""
         return f'<td class="{" ".join(marks)}"{tip}>{e(text)}</td>'
 
     parts = [f"<h1>{e(r.workspace)}</h1><p>{e(_headline(r))}</p><p>{e(r.generated_at)}</p>"]

@@ -430,7 +430,7 @@ def function_violations(spark, sf_dir):
 
 @query(
     """WITH v AS (SELECT n_name AS brick, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), h AS (SELECT brick, n::DOUBLE AS value FROM v)
-SELECT brick, CASE WHEN value % 2 = 0 THEN value::BIGINT::VARCHAR || ' is above the maximum of 1' ELSE (value::BIGINT)::VARCHAR || ' is above the maximum of 1' END AS message FROM h WHERE value > 1"""
+SELECT brick, CASE WHEN value % 2 = 0 THEN value::BIGINT::VARCHAR || ' is over the limit of 1' ELSE (value::BIGINT)::VARCHAR || ' is over the limit of 1' END AS message FROM h WHERE value > 1"""
 )
 def conditional_message(spark, sf_dir):
     v = _t(spark, sf_dir, "customer").join(_nodes(spark, sf_dir).withColumnRenamed("ord", "k"), F.col("c_nationkey") == F.col("k")).groupBy("brick", "type").agg(F.count("*").cast("double").alias("value"))

@@ -131,6 +131,9 @@ def token_value(text: str, prefix: str | None = None):
 
 
 class Reader:
+    """Forms are read by generators that yield the reading of a form inside them; ``_run`` keeps these on a stack of
+    its own, so forms may be nested to any depth."""
+
     def __init__(self, source: str):
         self.source, self.at, self.row = source, 0, 1
 
@@ -143,7 +146,20 @@ class Reader:
         self.at += n
         return taken
 
-    def _skip(self) -> None:
+    @staticmethod
+    def _run(reading):
+        stack, value = [reading], None
+        while stack:
+            try:
+                inner = stack[-1].send(value)
+                stack.append(inner)
+                value = None
+            except StopIteration as done:
+                stack.pop()
+                value = done.value
+        return value
+
+    def _skip(self):
         """Past what isn't code."""
         s = self.source
         while self.at < len(s):
@@ -155,31 +171,34 @@ class Reader:
                 self._step((len(s) if end < 0 else end) - self.at)
             elif s.startswith("#_", self.at):
                 self._step(2)
-                self.read()
+                yield self._read()
             else:
                 return
 
     def forms(self) -> list[Node]:
+        return self._run(self._forms())
+
+    def _forms(self):
         out = []
         while True:
-            self._skip()
+            yield from self._skip()
             if self.at >= len(self.source):
                 return out
-            out.append(self.read())
+            out.append((yield self._read()))
 
-    def read(self) -> Node:
-        self._skip()
+    def _read(self):
+        yield from self._skip()
         if self.at >= len(self.source):
             self.fail("a form is missing at the end")
         row = self.row
-        node = self._form(row)
+        node = yield from self._form(row)
         node.end_row = self.row
         return node
 
-    def _until(self, closer: str) -> list[Node]:
+    def _until(self, closer: str):
         row, out = self.row, []
         while True:
-            self._skip()
+            yield from self._skip()
             if self.at >= len(self.source):
                 self.fail(f"{closer} is missing for line {row}")
             c = self.source[self.at]
@@ -188,26 +207,26 @@ class Reader:
                 return out
             if c in ")]}":
                 self.fail(f"{c} does not match")
-            out.append(self.read())
+            out.append((yield self._read()))
 
-    def _form(self, row: int) -> Node:
+    def _form(self, row: int):
         s, c = self.source, self.source[self.at]
         if c in _CLOSERS:
             self._step()
-            return Node({"(": "list", "[": "vector", "{": "map"}[c], row, children=self._until(_CLOSERS[c]))
+            return Node({"(": "list", "[": "vector", "{": "map"}[c], row, children=(yield from self._until(_CLOSERS[c])))
         if c in ")]}":
             self.fail(f"{c} does not match")
         if c == '"':
             return self._string(row)
         if c == "#":
-            return self._dispatch(row)
+            return (yield from self._dispatch(row))
         for mark, tag in (("'", "quote"), ("`", "syntax-quote"), ("~@", "unquote-splicing"), ("~", "unquote"), ("@", "deref")):
             if s.startswith(mark, self.at):
                 self._step(len(mark))
-                return Node(tag, row, children=[self.read()])
+                return Node(tag, row, children=[(yield self._read())])
         if c == "^":
             self._step()
-            return Node("meta", row, children=[self.read(), self.read()])
+            return Node("meta", row, children=[(yield self._read()), (yield self._read())])
         if c == "\\":
             end = self.at + 2
             while end < len(s) and s[end] not in _ENDS:
@@ -235,33 +254,33 @@ class Reader:
         text = self._quoted()
         return Node("multi-line" if "\n" in text else "token", row, text=text)
 
-    def _dispatch(self, row: int) -> Node:
+    def _dispatch(self, row: int):
         s = self.source
         after = s[self.at + 1 : self.at + 2]
         if after == "(":
             self._step(2)
-            return Node("fn", row, children=self._until(")"))
+            return Node("fn", row, children=(yield from self._until(")")))
         if after == "{":
             self._step(2)
-            return Node("set", row, children=self._until("}"))
+            return Node("set", row, children=(yield from self._until("}")))
         if after == '"':
             self._step()
             return Node("regex", row, text="#" + self._quoted())
         for mark, tag in (("'", "var"), ("=", "eval")):
             if after == mark:
                 self._step(2)
-                return Node(tag, row, children=[self.read()])
+                return Node(tag, row, children=[(yield self._read())])
         if after == "^":
             self._step(2)
-            return Node("meta", row, children=[self.read(), self.read()])
+            return Node("meta", row, children=[(yield self._read()), (yield self._read())])
         if after == "?":
             mark = "?@" if s.startswith("#?@", self.at) else "?"
             self._step(1 + len(mark))
-            return Node(mark, row, children=(self.read().children or [])[1::2])
+            return Node(mark, row, children=((yield self._read()).children or [])[1::2])
         if after == ":":
             self._step()
             prefix = self._token()
-            body = self.read()
+            body = yield self._read()
             for key in (body.children or [])[::2]:
                 if key.tag == "token" and key.text.startswith(":"):
                     key.key_prefix = prefix.lstrip(":")
@@ -270,7 +289,7 @@ class Reader:
             self._step(2)
             return Node("token", row, text="##" + self._token())
         self._step()
-        return Node("reader-macro", row, text="#", children=[self.read(), self.read()])
+        return Node("reader-macro", row, text="#", children=[(yield self._read()), (yield self._read())])
 
 
 def read_source(source: str) -> list[Node]:

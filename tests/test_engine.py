@@ -71,13 +71,13 @@ def test_libraries(measured):
 
 def test_findings_and_violations(measured):
     found = {(r["metric"], r["brick"], r["subject"]): r["message"] for r in measured.findings.collect()}
-    assert found["positional-interface", "store", "save"].startswith("has 5 positional parameters")
-    assert found["mutable-state", "store", "state"] == "defines an atom, state hidden from the functions that use it"
+    assert found["positional-interface", "store", "save"] == "callers in other bricks must know the order of its 5 arguments; named ones in a map would bind them less"
+    assert found["mutable-state", "store", "state"] == "holds state in an atom (internal: results depend on what was called before)"
     assert ("boundary-crossings", "user", "components/user/test/top/user/reach_test.clj top.store.core") in found
-    assert found["merge-candidate", "store", "user"].startswith("is used only by user, and has ")
-    assert found["library-spread", "user", "next.jdbc"] == "requires next.jdbc, which store also requires"
+    assert found["merge-candidate", "store", "user"].startswith("serves user alone and has ")
+    assert found["library-spread", "user", "next.jdbc"] == "next.jdbc is used here and by store"
     hit = {(r["metric"], r["brick"]): r for r in measured.violations.collect()}
-    assert hit["function-params", "store"]["subject"] == "top.store.interface/save" and hit["function-params", "store"]["message"] == "5 is above the maximum of 4"
+    assert hit["function-params", "store"]["subject"] == "top.store.interface/save" and hit["function-params", "store"]["message"] == "5 is over the limit of 4"
     assert hit["mutable-state", "store"]["value"] == 1 and ("library-spread", "user") not in hit
     assert {("untyped-errors", "store"), ("broad-catches", "store"), ("boundary-crossings", "user"), ("positional-interface", "store")} <= set(hit)
     values = {(r["brick"], r["metric"]): (r["value"], r["subject"]) for r in measured.values.collect()}
@@ -210,13 +210,13 @@ def _check(spark, values, settings, direction="max", checks=("base", "component"
 
 def test_brick_thresholds(spark):
     both = [("m", "error", 0, 10.0, None, None), ("m", "warning", 1, 5.0, None, None)]
-    assert _check(spark, [5, 5.255, 11], both) == {"b1": ("warning", "5.26 is above the maximum of 5"), "b2": ("error", "11 is above the maximum of 10")}
-    assert _check(spark, [0.5, 0.2], [("m", "warning", 1, 0.5, None, None)], "min") == {"b1": ("warning", "0.2 is below the minimum of 0.5")}
+    assert _check(spark, [5, 5.255, 11], both) == {"b1": ("warning", "5.26 is over the limit of 5"), "b2": ("error", "11 is over the limit of 10")}
+    assert _check(spark, [0.5, 0.2], [("m", "warning", 1, 0.5, None, None)], "min") == {"b1": ("warning", "0.2 is under the least value of 0.5")}
     spread = [("m", "warning", 1, None, 2.0, 3)]
     hit = _check(spark, [4, 5, 6, 5, 20], spread, checks=("component",))
-    assert hit == {"b4": ("warning", "20 is 18.4 standard deviations above the mean of 4 other components (5 ± 0.82), over the limit of 2")}
+    assert hit == {"b4": ("warning", "20 lies above the mean 5 of the other 4 components by 18.4 times their deviation of 0.82 (allowed: 2)")}
     assert _check(spark, [4, 5, 20], spread) == {}
-    assert _check(spark, [5, 5, 5, 5, 7], spread)["b4"][1] == "7 is above every other brick (5)"
+    assert _check(spark, [5, 5, 5, 5, 7], spread)["b4"][1] == "7 lies above the value that each other brick has, 5"
 
 
 def test_rows_group_and_order(spark, measured):
