@@ -51,8 +51,10 @@ def items(spark, rows):
     return known
 
 
-@pytest.mark.parametrize("block", [2_000_000, 15])
-def test_decontamination(spark, docs, rows, items, block):
+@pytest.mark.parametrize("block,at_once", [(100_000, 16), (15, 16), (15, 2)])
+def test_decontamination(spark, docs, rows, items, block, at_once, monkeypatch):
+    """In one block, in several, and in several passes over the documents."""
+    monkeypatch.setattr(decontaminate, "PASS", at_once)
     bench = spark.createDataFrame(items, "item_id long, text string")
     out = decontaminate.with_hits(docs, bench, block_words=block).select("doc_id", "hits.*", "size").collect()
     same([(r.doc_id, r.n_words, r.n_hit, tuple(r.items)) for r in out], [(d, *_hits(t, items, 10)[:2], tuple(_hits(t, items, 10)[2])) for d, t, _ in rows])
