@@ -1,11 +1,11 @@
 """Token counts by trie-shared dynamic programming over unigram scores.
 
 A pre-token is U+2581 and a word; its tokens are the pieces of its best-scoring segmentation
-(ties: fewer pieces). The distinct pre-tokens of a task's texts that are not yet known form a
-trie, which is walked depth first: the forward scores (best score and its piece count for each
-prefix) stay on the path, so a prefix that many pre-tokens share is scored once. The count at a
-pre-token's terminal node is stored and every occurrence reads it. Texts are not shuffled; a
-worker's store of counts is bounded and only saves repeated work.
+(ties: fewer pieces). A worker keeps a trie of the distinct pre-tokens it has met. A node has the forward
+score of its prefix (the best score and its piece count), computed once, when the first pre-token with
+that prefix is inserted; later ones start from the deepest node they share, in whatever batch they come.
+The count at a pre-token's last node is its terminal count, and every occurrence reads it. Texts are not
+shuffled. The trie is bounded by ``NODES``: when it is full it is begun anew, which only repeats work.
 
 Characters without a piece cost one token for each of their UTF-8 bytes.
 
@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brickyard.llm._shared import small_batches
+from brickyard.llm._shared import release, small_batches
 
-STORED = 600_000
+#: Nodes of a worker's trie, about 150 bytes each.
+NODES = 1_000_000
 _models: dict[tuple[str, str], "UnigramCounter"] = {}
 
 
@@ -48,49 +49,68 @@ class UnigramCounter:
             for i in range(len(piece)):
                 self.ends.setdefault(piece[i:])
         self.ends.update(pieces)
-        self.stored: dict[bytes, int] = {}
-
-    def _walk(self, tokens: list[str]) -> list[int]:
-        """Terminal counts of sorted distinct pre-tokens, in a depth-first walk of their trie."""
-        ends, none = self.ends, self
-        best, count, last, out = [0.0], [0], "", []
-        for token in tokens:
-            shared, most = 0, min(len(last), len(token))
-            while shared < most and last[shared] == token[shared]:
-                shared += 1
-            del best[shared + 1 :], count[shared + 1 :]
-            for end in range(shared + 1, len(token) + 1):
-                top, pieces = -math.inf, 0
-                for start in range(end - 1, -1, -1):
-                    score = ends.get(token[start:end], none)
-                    if score is none:
-                        break
-                    if score is not None:
-                        score += best[start]
-                        if score > top or score == top and count[start] + 1 < pieces:
-                            top, pieces = score, count[start] + 1
-                if token[end - 1] not in ends or ends[token[end - 1]] is None:
-                    size = len(token[end - 1].encode())
-                    score = best[end - 1] + self.byte * size
-                    if score > top:
-                        top, pieces = score, count[end - 1] + size
-                best.append(top)
-                count.append(pieces)
-            out.append(count[-1])
-            last = token
-        return out
+        self._clear()
+
+    def _clear(self) -> None:
+        # Node 0 is the empty prefix. A child is found by its parent's number and its character.
+        self.child: dict[int, int] = {}
+        self.parent, self.best, self.pieces = [0], [0.0], [0]
+        self.terminal: dict[bytes, int] = {}
+
+    def _insert(self, word: bytes) -> int:
+        """The pre-token's terminal count."""
+        token = "\u2581" + word.decode()
+        node = depth = 0
+        for depth, char in enumerate(token):  # down to the deepest node that is there
+            below = self.child.get(node << 21 | ord(char))
+            if below is None:
+                break
+            node = below
+        else:
+            return self.pieces[node]
+        ends, none, parent = self.ends, self, self.parent
+        for end in range(depth + 1, len(token) + 1):
+            top, count, start = -math.inf, 0, node
+            for begin in range(end - 1, -1, -1):
+                score = ends.get(token[begin:end], none)
+                if score is none:
+                    break
+                if score is not None:
+                    score += self.best[start]
+                    if score > top or score == top and self.pieces[start] + 1 < count:
+                        top, count = score, self.pieces[start] + 1
+                start = parent[start]
+            if ends.get(token[end - 1]) is None:
+                size = len(token[end - 1].encode())
+                score = self.best[node] + self.byte * size
+                if score > top:
+                    top, count = score, self.pieces[node] + size
+            new = len(parent)
+            self.child[node << 21 | ord(token[end - 1])] = new
+            parent.append(node)
+            self.best.append(top)
+            self.pieces.append(count)
+            node = new
+        return self.pieces[node]
 
     def count(self, texts: list[str | None]) -> list[tuple[int, int]]:
         """(pre-tokens, tokens) of each text."""
-        words = [(t or "").encode().split() for t in texts]
-        new = set().union(*words).difference(self.stored)
-        if len(self.stored) + len(new) > STORED:
-            self.stored = {}
-            new = set().union(*words)
-        ordered = sorted("▁" + w.decode() for w in new)
-        self.stored.update((t[1:].encode(), n) for t, n in zip(ordered, self._walk(ordered), strict=True))
-        get = self.stored.__getitem__
-        return [(len(w), sum(map(get, w))) for w in words]
+        out = []
+        for text in texts:
+            words = (text or "").encode().split()
+            new = set(words).difference(self.terminal)
+            if len(self.parent) > NODES:
+                self._clear()
+                new = set(words)
+            for word in new:
+                self.terminal[word] = self._insert(word)
+            out.append((len(words), sum(map(self.terminal.__getitem__, words))))
+        return out
+
+    def rest(self) -> None:
+        """Between tasks a worker holds no more than a small trie."""
+        if len(self.parent) > NODES // 4:
+            self._clear()
 
 
 def token_counts(docs: DataFrame, model: str, scores: str = "rank", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -101,9 +121,12 @@ def token_counts(docs: DataFrame, model: str, scores: str = "rank", doc_id: str
         key = (model, scores)
         if key not in _models:
             _models[key] = UnigramCounter(load_pieces(model, scores))
+        counter = _models[key]
         for batch in batches:
-            found = _models[key].count(batch.column(1).to_pylist())
+            found = counter.count(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
+        counter.rest()
+        release()
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
