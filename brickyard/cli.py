@@ -105,7 +105,7 @@ def build_report(spark: SparkSession, root: str, configured: dict, base_ref: str
         workspace=os.path.basename(root), bricks=_dicts(bricks.orderBy("ord")), rows=rows, edges=collected_edges, graph_rows=every,
         values={(r["brick"], r["metric"]): (r["value"], r["subject"]) for r in _dicts(head.values)}, averages={r["metric"]: r["value"] for r in _dicts(averages)},
         outliers={(r["brick"], r["metric"]): r for r in _dicts(thresholds.outlined(head.wide))}, libraries=_dicts(shared), thresholds=merged,
-        configured={k for metrics in configured.values() for k in metrics}, generated_at=datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds"), **extra,
+        configured={k for metrics in configured.values() for k in metrics}, generated_at=datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds"), hazards={r["brick"]: r["hazard-kinds"] for r in _dicts(head.wide.filter("`hazard-kinds` is not null").select("brick", "hazard-kinds"))}, **extra,
     )
     return found, facts["new"] > 0, facts["all"] > 0
 

@@ -14,7 +14,7 @@ def leave_one_out(values: DataFrame) -> DataFrame:
     centres = values.groupBy("metric").agg(F.avg("value").alias("_centre"))
     apart = values.join(centres, "metric").withColumn("_off", F.col("value") - F.col("_centre"))
     ends = apart.groupBy("metric").agg(
-        F.count("value").alias("_n"), F.sum("_off").alias("_sum"), F.sum(F.col("_off") * F.col("_off")).alias("_squares"),
+        F.count("value").alias("_n"), F.sum("value").alias("_total"), F.sum("_off").alias("_sum"), F.sum(F.col("_off") * F.col("_off")).alias("_squares"),
         F.min("value").alias("_low"), F.max("value").alias("_high"), F.first("_centre").alias("_centre"),
     )
     at_ends = values.join(ends.select("metric", "_low", "_high"), "metric").groupBy("metric").agg(
@@ -30,7 +30,7 @@ def leave_one_out(values: DataFrame) -> DataFrame:
     v = v.withColumns({"_l": low, "_h": high}).withColumn("_off_mean", (F.col("_sum") - F.col("_off")) / F.nullif(F.col("peers"), F.lit(0)))
     equal = F.col("_l") == F.col("_h")
     squares = F.col("_squares") - F.col("_off") * F.col("_off") - F.col("peers") * F.col("_off_mean") * F.col("_off_mean")
-    mean = F.when(equal, F.col("_l")).otherwise(F.col("_centre") + F.col("_off_mean"))
+    mean = F.when(equal, F.col("_l")).otherwise((F.col("_total") - F.coalesce("value", F.lit(0.0))) / F.nullif(F.col("peers"), F.lit(0)))
     deviation = F.when(F.col("peers") > 1, F.when(equal, F.lit(0.0)).otherwise(F.sqrt(F.greatest(squares, F.lit(0.0)) / (F.col("peers") - 1))))
     return v.withColumns({"mean": F.when(F.col("peers") > 0, mean), "std_dev": deviation}).select(*values.columns, "mean", "std_dev", "peers")
 

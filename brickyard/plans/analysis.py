@@ -137,7 +137,8 @@ class Workspace:
         facade = self.interface_definitions
         intf = facade.groupBy("brick").agg(F.count("*").alias("_facade"))
         tests = self._child("tests", True).groupBy("brick").agg(F.count("*").alias("tests"), F.avg("assertions").alias("assertions-per-test"), F.avg("forms").alias("forms-per-test"))
-        hazards = self._child("hazards", True).groupBy("brick").agg(F.count("*").alias("isolation-hazards"))
+        by_kind = self._child("hazards", True).groupBy("brick", "kind").agg(F.count("*").alias("n"))
+        hazards = by_kind.groupBy("brick").agg(F.sum("n").alias("isolation-hazards"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("hazard-kinds"))
         test_forms = self.facts.filter("is_test").groupBy("brick").agg(F.sum("forms").alias("_test_forms"))
         seg = code.segment(F.col("to_ns"), self.settings.top)
         refs = self.references.join(self.segments, "brick", "left").filter(seg.isNotNull()).groupBy("brick").agg(F.count("*").alias("workspace-references"), F.count_if(seg.eqNullSafe(F.col("own"))).alias("_inside"))

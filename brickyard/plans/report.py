@@ -33,6 +33,7 @@ class Report:
     hidden_warnings: int | None = None
     hidden_existing: int = 0
     generated_at: str = ""
+    hazards: dict[str, dict[str, int]] = field(default_factory=dict)  # brick -> kind -> number
 
 
 def number(x: float) -> str:
@@ -190,6 +191,32 @@ def _grid(r: Report) -> list[list[str]]:
     return [[METRICS[k].label, str(counts[k]["error"]), str(counts[k]["warning"]), str(counts[k]["resolved"])] for k in METRICS if k in counts]
 
 
+def _found(r: Report) -> Counter:
+    """Introduced violations of each metric, as in the grid."""
+    return Counter(key for row in r.rows if introduced(row) for key in {v["metric"] for v in row["violations"]})
+
+
+def _heads(r: Report, keys: list[str]) -> list[str]:
+    """Column heads, with the number of violations of metrics that have some."""
+    found = _found(r)
+    return [f"{METRICS[k].label} ({found[k]})" if found[k] else METRICS[k].label for k in keys]
+
+
+def legend(keys: list[str]) -> list[tuple[str, str]]:
+    return [(METRICS[k].label, METRICS[k].about) for k in keys]
+
+
+def hazard_text(r: Report, brick: str) -> str:
+    return ", ".join(f"{kind}: {n}" for kind, n in sorted((r.hazards.get(brick) or {}).items()))
+
+
+def tiles(r: Report) -> list[tuple[str, int]]:
+    """What the page shows first: numbers of bricks, dependencies, violations by level, and resolved ones."""
+    levels = Counter(x["level"] for x in r.rows if introduced(x))
+    shown = [("Bricks", len(r.bricks)), ("Dependencies", len({(x["from"], x["to"]) for x in r.edges})), ("Errors", levels["error"]), ("Warnings", levels["warning"])]
+    return shown + ([("Resolved", len(r.resolved))] if r.base_ref else [])
+
+
 def _delta(r: Report, brick: str, key: str) -> str:
     value, _ = r.values.get((brick, key), (None, None))
     was = r.base_values.get((brick, key))
@@ -223,11 +250,14 @@ def summary(r: Report) -> str:
             parts += [f"### {title}: {_plural(len(listed), 'violation')}", _table(["Level", "Metric", "What", "Where"], lines[:SHOWN])]
             if lines[SHOWN:]:
                 parts.append(f"<details><summary>{len(lines) - SHOWN} more</summary>\n\n{_table(['Level', 'Metric', 'What', 'Where'], lines[SHOWN:])}\n\n</details>")
+        else:
+            parts.append(f"### {title}: none found")
         keys, rows = _section_rows(r, section)
         if rows:
             body = [[f"**{t}**" if (b, k) in worst else t for t, b, k in row] for row in rows]
             body.append(["**Average**"] + [format_value(k, r.averages.get(k)) for k in keys])
-            parts.append(f"### {title}\n\n" + _table(["Brick"] + [METRICS[k].label for k in keys], body))
+            parts.append(f"### {title}\n\n" + _table(["Brick"] + _heads(r, keys), body))
+            parts.append("\n".join(f"- {name}: {about}" for name, about in legend(keys)))
     if r.libraries:
         parts.append("### Shared libraries\n\n" + _table(["Library", "Bricks", "Spread"], [[x["library"], str(x["n"]), spread_level(r, x)] for x in r.libraries]))
     parts.append("### Dependencies\n\n```mermaid\n" + mermaid(r) + "\n```")
@@ -272,7 +302,7 @@ def mermaid(r: Report) -> str:
     return "\n".join(lines)
 
 
-_STYLE = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:2px 8px}.error{background:#ffd7d5}.warning{background:#fff1c2}.outlier{outline:2px solid #8250df}"
+_STYLE = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:2px 8px}.error{background:#ffd7d5}.warning{background:#fff1c2}.outlier{outline:2px solid #8250df}.tiles{display:flex;gap:1em}.tiles div{border:1px solid #ccc;padding:.5em 1em}dt{font-weight:bold}"
 
 
 def html(r: Report) -> str:
@@ -286,14 +316,17 @@ def html(r: Report) -> str:
     def cell(text: str, brick: str, key: str) -> str:
         marks = [x for x in (worst.get((brick, key)), "outlier" if (brick, key) in r.outliers else None) if x]
         o = r.outliers.get((brick, key))
-        tip = f' title="{o["z"]:.1f} deviations off the mean of the {o["peers"]} others"' if o else ""
+        kinds = hazard_text(r, brick) if key == "isolation-hazards" else ""
+        tip = f' title="{e(kinds)}"' if kinds else f' title="{o["z"]:.1f} deviations off the mean of the {o["peers"]} others"' if o else ""
         return f'<td class="{" ".join(marks)}"{tip}>{e(text)}</td>'
 
     parts = [f"<h1>{e(r.workspace)}</h1><p>{e(_headline(r))}</p><p>{e(r.generated_at)}</p>"]
+    parts.append('<div class="tiles">' + "".join(f"<div><b>{n}</b> {e(name)}</div>" for name, n in tiles(r)) + "</div>")
     if grid := _grid(r):
         parts.append("<h2>Summary</h2>" + table(["Metric", "Errors", "Warnings", "Resolved"], ["".join(f"<td>{e(c)}</td>" for c in x) for x in grid]))
     for section, title in SECTIONS:
-        parts.append(f"<h2>{e(title)}</h2>")
+        n_here = sum(x["section"] == section and introduced(x) for x in r.rows)
+        parts.append(f"<h2>{e(title)}: {_plural(n_here, 'violation') if n_here else 'none found'}</h2>")
         for i, row in enumerate(x for x in r.rows if x["section"] == section):
             at = row["locations"][0] if row["locations"] else None
             badge = "" if row["status"] is None else f" <em>{row['status']}</em>"
@@ -303,7 +336,8 @@ def html(r: Report) -> str:
         keys, rows = _section_rows(r, section)
         if rows:
             average = "<td>Average</td>" + "".join(f"<td>{e(format_value(k, r.averages.get(k)))}</td>" for k in keys)
-            parts.append(table(["Brick"] + [METRICS[k].label for k in keys], ["".join(cell(*c) for c in x) for x in rows] + [average]))
+            parts.append(table(["Brick"] + _heads(r, keys), ["".join(cell(*c) for c in x) for x in rows] + [average]))
+            parts.append("<dl>" + "".join(f"<dt>{e(name)}</dt><dd>{e(about)}</dd>" for name, about in legend(keys)) + "</dl>")
     if r.libraries:
         parts.append("<h2>Shared libraries</h2>" + table(["Library", "Bricks", "Spread"], [f"<td>{e(x['library'])}</td><td>{x['n']}</td><td>{spread_level(r, x)}</td>" for x in r.libraries]))
     parts.append(f'<h2>Dependencies</h2><pre class="mermaid">{e(mermaid(r))}</pre>')

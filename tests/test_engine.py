@@ -280,19 +280,71 @@ def test_formats():
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["dependency_metrics", "co_change_hidden", "duplicate_maximal", "library_names", "leave_one_out_outliers", "snapshot_status", "source_facts"])
-def test_queries_match_sql(spark, name):
+def _compare(spark, query, sql):
     import duckdb
 
-    from brickyard.plans import suite
-
     db = duckdb.connect()
     for f in os.listdir(SF):
         db.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
-    df = suite.QUERIES[name](spark, SF)
+    df = query(spark, SF)
     cols = sorted(df.columns)
-    want = db.sql(suite.ORACLES[name])
+    want = db.sql(sql)
     assert sorted(want.columns) == cols
     key = lambda r: tuple((x is None, str(x)) for x in r)
     assert sorted(map(tuple, df.select(*cols).collect()), key=key) == sorted(want.select(*[f'"{c}"' for c in cols]).fetchall(), key=key)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["dependency_metrics", "co_change_hidden", "duplicate_maximal", "library_names", "leave_one_out_outliers", "snapshot_status", "source_facts"])
+def test_queries_match_sql(spark, name):
+    from brickyard.plans import suite
+
+    _compare(spark, suite.QUERIES[name], suite.ORACLES[name])
+
+
+def test_report_legends_counts_and_tiles():
+    violation = {"brick": "store", "metric": "mutable-state", "level": "warning"}
+    row = {"section": "io", "metric": "mutable-state", "group": "mutable-state", "level": "warning", "status": None, "bricks": ["store"], "locations": [], "subject": None, "value": None}
+    row["violations"] = [violation | {"dir": None, "message": "m", "type": "component", "limit": 0.0, "value": 1.0, "direction": "max"}]
+    r = report.Report("ws", [{"brick": "store", "type": "component"}, {"brick": "a", "type": "base"}], [row], [{"from": "a", "to": "store"}], {("store", "isolation-hazards"): (2.0, None)}, hazards={"store": {"sleep": 2}})
+    assert report.tiles(r) == [("Bricks", 2), ("Dependencies", 1), ("Errors", 0), ("Warnings", 1)]
+    for page in (report.summary(r), report.html(r)):
+        assert METRICS["cohesion"].about in page and "Mutable state (1)" in page and "none found" in page
+    assert 'title="sleep: 2"' in report.html(r)
+
+
+def test_leave_one_out_against_pairs(spark):
+    import random
+    import statistics
+
+    rng = random.Random(2)
+    made = {"a": [5.0, 5, 5, 9], "b": [1e9 + 0.1, 1e9 + 0.2, 1e9 + 0.4], "c": [3.0], "d": [0.1 * 3, 0.3, 0.3, 7], "e": [rng.gauss(0, 4) for _ in range(30)], "f": [2.0, 2.0]}
+    df = spark.createDataFrame([(m, f"b{i}", v) for m, vs in made.items() for i, v in enumerate(map(float, vs))] + [("a", "none", None)], "metric string, brick string, value double")
+    got = {(r.metric, r.brick): r for r in stats.leave_one_out(df).collect()}
+    for m, values in made.items():
+        for i in range(len(values)):
+            others = values[:i] + values[i + 1 :]
+            r = got[m, f"b{i}"]
+            assert r.peers == len(others)
+            if others:
+                assert r.mean == pytest.approx(statistics.fmean(others), rel=1e-12)
+            if len(others) > 1:
+                assert r.std_dev == pytest.approx(statistics.stdev(others), rel=1e-6, abs=1e-9)
+                assert (r.std_dev == 0) == (len(set(others)) == 1)
+    assert got["a", "none"].peers == 4
+
+
+@pytest.mark.parametrize("depth", [30_000])
+def test_forms_nested_to_any_depth(depth):
+    from brickyard.functions.facts import file_facts
+
+    facts = file_facts("(defn f [x] " + "(if x " * depth + "1" + ")" * depth + ")", False)
+    assert facts["forms"] > 3 * depth
+    assert facts["functions"][0]["depth"] == depth
+
+
+@pytest.mark.parametrize("name", ["workspace_brick_metrics", "workspace_references", "workspace_throwing", "workspace_libraries"])
+def test_workspace_suite(spark, name):
+    from brickyard.plans import workspace_suite
+
+    _compare(spark, workspace_suite.QUERIES[name], workspace_suite.ORACLES[name])
