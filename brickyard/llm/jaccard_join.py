@@ -17,7 +17,8 @@ bound >= t * |set| are opened, the leader first, and an opened group is left at
 members are all of one class. Where a partition has several blocks, two rounds go across them: the first
 set of each class of each block is held against the groups of the other blocks, and then each set that
 is still outside its partition's largest class is, so that no two sets of different classes stay
-uncompared. A partition of copies of one text is settled by the first round, however many there are.
+uncompared. A partition of near copies of one text is settled by the first round, however many there are; one
+of many sets in many classes costs, beyond a block, the square of its number of blocks.
 
 Defined results: a text of fewer words than a shingle is one shingle; a null or empty text, or one
 without words, has no shingles and is linked with nothing; rows that repeat an id are one class if
@@ -40,6 +41,8 @@ from brickyard.llm._words import shingle_hashes, signed, word_hashes
 from brickyard.llm.perfect_hash import mix64
 
 SEEN = 200_000
+#: Tokens of a block: 32 MB of hashes, about 150 MB with their numbers, groups and matrix.
+BLOCK = 4_000_000
 
 
 def token_set(text: str | None, words: int) -> np.ndarray:
@@ -340,9 +343,11 @@ def _blocked(members: DataFrame, by: list[str], name: str, block: int) -> DataFr
 
 def _across(cut: DataFrame, links: DataFrame, words: int, num: int, den: int, block: int) -> DataFrame:
     """Links within partitions of several blocks (cut: root, block, block_n, key, n_shingles, packed), with those between blocks."""
+    state = cut.drop("packed")
+    texts = cut.select("root", "key", "packed")
     for everything in (False, True):
         classes = components(links).select(F.col("node").alias("key"), F.col("root").alias("class"))
-        held = checkpointed(cut.join(classes, "key", "left").withColumn("class", F.coalesce("class", "key")))
+        held = checkpointed(state.join(classes, "key", "left").withColumn("class", F.coalesce("class", "key")))
         sizes = held.groupBy("root", "class").agg(F.count("*").alias("n"))
         largest = sizes.groupBy("root").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.count("*").alias("classes")).filter("classes > 1")
         open_ = held.join(largest, "root")
@@ -353,16 +358,17 @@ def _across(cut: DataFrame, links: DataFrame, words: int, num: int, den: int, bl
             asked = open_.join(leads, ["root", "block", "class", "key"], "left_semi")
         asked = checkpointed(_blocked(asked.select("root", "block", "block_n", "key", "n_shingles", "class"), ["root"], "part", block))
         parts = asked.select("root", "part").distinct()
-        own = open_.select("root", "block", "key", "class", "packed", F.lit(False).alias("asked")).join(parts, "root")
-        texts = open_.select("root", "key", "packed")
-        others = asked.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("block_n") - 1))).filter("at <> block").join(texts, ["root", "key"])
-        others = others.select("root", F.col("at").alias("block"), "key", "class", "packed", F.lit(True).alias("asked"), "part")
-        found = own.unionByName(others).groupBy("root", "block", "part").applyInArrow(_verify_across(words, num, den), _LINK)
+        own = open_.join(parts, "root").select("root", "block", "key", "class", "part", F.lit(False).alias("asked"))
+        others = asked.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("block_n") - 1))).filter("at <> block")
+        others = others.select("root", F.col("at").alias("block"), "key", "class", "part", F.lit(True).alias("asked"))
+        # Texts come last, to the rows that need them.
+        needed = own.unionByName(others).join(texts, ["root", "key"])
+        found = needed.groupBy("root", "block", "part").applyInArrow(_verify_across(words, num, den), _LINK)
         links = checkpointed(links.unionAll(found.filter("a <> b")))
     return links
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, num: int = 9, den: int = 10, block: int = 1_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, num: int = 9, den: int = 10, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the least doc_id reachable by links of similarity >= num/den)."""
     small_batches(docs.sparkSession)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
