@@ -17,21 +17,23 @@ def leave_one_out(values: DataFrame) -> DataFrame:
         F.count("value").alias("_n"), F.sum("value").alias("_total"), F.sum("_off").alias("_sum"), F.sum(F.col("_off") * F.col("_off")).alias("_squares"),
         F.min("value").alias("_low"), F.max("value").alias("_high"), F.first("_centre").alias("_centre"),
     )
+    above, below = F.when(F.col("value") > F.col("_low"), F.col("value")), F.when(F.col("value") < F.col("_high"), F.col("value"))
     at_ends = values.join(ends.select("metric", "_low", "_high"), "metric").groupBy("metric").agg(
         F.count_if(F.col("value") == F.col("_low")).alias("_n_low"), F.count_if(F.col("value") == F.col("_high")).alias("_n_high"),
-        F.min(F.when(F.col("value") > F.col("_low"), F.col("value"))).alias("_low2"), F.max(F.when(F.col("value") < F.col("_high"), F.col("value"))).alias("_high2"),
+        F.min(above).alias("_low2"), F.max(below).alias("_high2"), F.avg(above).alias("_mean_above"), F.avg(below).alias("_mean_below"), F.stddev_samp(above).alias("_dev_above"), F.stddev_samp(below).alias("_dev_below"),
     )
     v = values.join(ends.join(at_ends, "metric"), "metric", "left")
     known = F.col("value").isNotNull()
     v = v.withColumn("_off", F.coalesce(F.col("value") - F.col("_centre"), F.lit(0.0)))
     v = v.withColumn("peers", F.coalesce(F.col("_n") - known.cast("int"), F.lit(0)))
-    low = F.when(known & (F.col("value") == F.col("_low")) & (F.col("_n_low") == 1), F.col("_low2")).otherwise(F.col("_low"))
-    high = F.when(known & (F.col("value") == F.col("_high")) & (F.col("_n_high") == 1), F.col("_high2")).otherwise(F.col("_high"))
+    v = v.withColumns({"_is_low": known & (F.col("value") == F.col("_low")) & (F.col("_n_low") == 1), "_is_high": known & (F.col("value") == F.col("_high")) & (F.col("_n_high") == 1)})
+    low, high = F.when(F.col("_is_low"), F.col("_low2")).otherwise(F.col("_low")), F.when(F.col("_is_high"), F.col("_high2")).otherwise(F.col("_high"))
     v = v.withColumns({"_l": low, "_h": high}).withColumn("_off_mean", (F.col("_sum") - F.col("_off")) / F.nullif(F.col("peers"), F.lit(0)))
     equal = F.col("_l") == F.col("_h")
     squares = F.col("_squares") - F.col("_off") * F.col("_off") - F.col("peers") * F.col("_off_mean") * F.col("_off_mean")
-    mean = F.when(equal, F.col("_l")).otherwise((F.col("_total") - F.coalesce("value", F.lit(0.0))) / F.nullif(F.col("peers"), F.lit(0)))
-    deviation = F.when(F.col("peers") > 1, F.when(equal, F.lit(0.0)).otherwise(F.sqrt(F.greatest(squares, F.lit(0.0)) / (F.col("peers") - 1))))
+    # Where a lone end is taken away, what is left can be too small beside it to be found by subtraction.
+    mean = F.when(equal, F.col("_l")).when(F.col("_is_low"), F.col("_mean_above")).when(F.col("_is_high"), F.col("_mean_below")).otherwise((F.col("_total") - F.coalesce("value", F.lit(0.0))) / F.nullif(F.col("peers"), F.lit(0)))
+    deviation = F.when(F.col("peers") > 1, F.when(equal, F.lit(0.0)).when(F.col("_is_low"), F.col("_dev_above")).when(F.col("_is_high"), F.col("_dev_below")).otherwise(F.sqrt(F.greatest(squares, F.lit(0.0)) / (F.col("peers") - 1))))
     return v.withColumns({"mean": F.when(F.col("peers") > 0, mean), "std_dev": deviation}).select(*values.columns, "mean", "std_dev", "peers")
 
 
