@@ -42,6 +42,8 @@ TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}++(?![\p{N}@_%+-]|\.[\p{L}\p{N}])"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 _CHUNK = 256
 _FEW = 50_000
+#: Of single numbers, 8 MB.
+_NUMBERS = 1_000_000
 
 
 def _luhn(digits: Column) -> Column:
@@ -108,9 +110,9 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     spans = [F.transform(f"_{k}", lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"))).alias(k) for k in KINDS]
     entities = F.array_distinct(F.concat(*[F.transform(f"_{k}", lambda m: F.concat(F.lit(f"{k}:"), F.lower(m["value"]))) for k in KINDS])).alias("entities")
     base = checkpointed(df.select("doc_id", "mark", *spans, entities))
-    # Terms are hashed where they are counted, one list a text, so copies are one text.
+    # Terms are hashed where they are counted, in a list a row; rows that repeat a text are left out afterwards.
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda t: F.xxhash64(F.lower(t)))).alias("terms")
-    told = _told(base.select("mark", "entities"), checkpointed(d.select("mark", words).dropDuplicates(["mark"])), threshold, support)
+    told = _told(base.select("mark", "entities"), _single(checkpointed(d.select(F.monotonically_increasing_id().alias("row"), "mark", words))), threshold, support)
     base = base.drop("entities")
     holders = _located(d.join(told, "mark").dropDuplicates(["mark"]), "text", TERM, None, "_term", lambda value: F.array_contains("told", F.xxhash64(F.lower(value))))
     found = F.transform("_term", lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end")))
@@ -119,9 +121,16 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     return base.join(by_text, F.col("mark") == F.col("of"), "left").select("doc_id", "mark", *KINDS, F.coalesce("found", empty).alias("term"))
 
 
-def _sized(table: DataFrame) -> DataFrame:
+def _sized(table: DataFrame, few: int = _FEW) -> DataFrame:
     """A checkpointed table, broadcast if it has few rows; the optimizer doesn't know the size of these."""
-    return F.broadcast(table) if table.count() <= _FEW else table
+    return F.broadcast(table) if table.count() <= few else table
+
+
+def _single(lists: DataFrame) -> DataFrame:
+    """(row, mark, terms) -> (mark, terms), one row a text. The lists themselves are shuffled only beyond _NUMBERS repeated rows."""
+    copied = _sized(checkpointed(lists.groupBy("mark").agg(F.count("*").alias("n"), F.min("row").alias("first")).filter("n > 1").select("mark", "first")))
+    again = checkpointed(lists.select("row", "mark").join(copied, "mark").filter("row <> first").select("row"))
+    return lists.join(_sized(again, _NUMBERS), "row", "left_anti").select("mark", "terms")
 
 
 def _told(held: DataFrame, texts: DataFrame, threshold: float, support: int) -> DataFrame:
