@@ -54,12 +54,15 @@ def closure(edges: DataFrame) -> DataFrame:
 def reach_back(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """edges(a, b), seeds(node) -> the nodes from which a seed can be reached, seeds included: a frontier moves
     along the edges backwards until nothing is new."""
-    seen = kept(seeds.select("node").distinct())
-    frontier = seen
+    seen = frontier = kept(seeds.select("node").distinct())
+    rounds = 0
     while not frontier.isEmpty():
         callers = edges.join(frontier, edges["b"] == frontier["node"], "left_semi").select(F.col("a").alias("node")).distinct()
         frontier = kept(callers.join(seen, "node", "left_anti"))
-        seen = kept(seen.union(frontier))
+        seen = seen.union(frontier)  # what is known isn't written again each round
+        rounds += 1
+        if rounds % 16 == 0:
+            seen = kept(seen.coalesce(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return seen
 
 

@@ -1,5 +1,6 @@
 """Session for local runs and tests; on a cluster the caller brings its own."""
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "br
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df computed once, its lineage cut by files in the folder of spark.checkpoint.dir (a folder of our own where that is unset)."""
+    """df computed once, its lineage cut by files in the folder of spark.checkpoint.dir (a folder of our own where that is unset and the master is local)."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='brickyard-')}")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+            folder = f"file://{tempfile.mkdtemp(prefix='brickyard-')}"
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
