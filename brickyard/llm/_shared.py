@@ -8,7 +8,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
@@ -35,6 +36,11 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+def named(column: str) -> Column:
+    """The column of this name, whatever characters are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -29,5 +29,5 @@ def test_queries_are_registered():
 
     names = set(entry.queries())
     assert "pipeline" in names and set(queries.QUERIES) <= names
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     assert set(entry.oracle_sql()) <= names
