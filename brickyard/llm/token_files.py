@@ -17,6 +17,7 @@ never split over blocks. Columns other than id and text are ignored.
 """
 
 import itertools
+import json
 import os
 import zlib
 
@@ -29,14 +30,25 @@ from pyspark.sql import functions as F
 from brickyard.llm._shared import new_path, release, small_batches
 from brickyard.llm.token_codec import decode_block, encode_block
 
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 400_000
 #: Chunks that stay for a worker's next task; the first ones met are the frequent ones.
-KEPT_CHUNKS = 60_000
+KEPT_CHUNKS = 150_000
+# How the tokenizer whose plain words can go straight to its model normalises and cuts text.
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BLOCK_TOKENS = 1 << 20
 BLOCKS = "shard int, block int, tokens_before long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, payload binary"
 _encoders: dict[str, "ChunkEncoder"] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that a byte-level model has for each byte: visible Latin-1 characters stand for themselves, the
+    others follow from 256 on, in order."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = sorted(set(range(256)) - set(seen))
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 class ChunkEncoder:
     """Ids of texts, by way of a cache of white-space separated chunks."""
 
@@ -48,6 +60,46 @@ class ChunkEncoder:
         # Two generations: chunks of the last one that come again move to the new one, so frequent chunks stay.
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.letters = _byte_letters()
+        with open(path, encoding="utf-8") as f:
+            shape = json.load(f)
+        normal = [x.get("type") for x in (shape.get("normalizer") or {}).get("normalizers", [])]
+        cuts = [x.get("pattern", {}).get("Regex") for x in (shape.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        #: Whether a word of Latin letters is one unit to the model, and points and commas after it another.
+        self.plain = normal == _NORMAL and cuts == [_CUT, None]
+
+    def _known(self, chunk: bytes) -> bytes | None:
+        return self.cache.get(chunk) or self.older.get(chunk)
+
+    def _encode_new(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks. Words of letters below U+0250, which lower-casing keeps one by one and composition leaves alone, go
+        to the model by themselves, without points and commas after them: far fewer are distinct."""
+        words: dict[bytes, bytes] = {}
+        parts: list[tuple[bytes, bytes, bytes]] = []
+        rest: list[bytes] = []
+        for chunk in chunks if self.plain else ():
+            bare = chunk.rstrip(b",.")
+            if bare.isalpha():
+                word = bare.lower()
+            else:
+                text = bare.decode()
+                if not text.isalpha() or max(text) >= "\u0250" or "\u0130" in text:
+                    rest.append(chunk)
+                    continue
+                word = text.lower().encode()
+            parts.append((chunk, word, chunk[len(bare) :]))
+        tails = list({tail for _, _, tail in parts if tail and self._known(tail) is None})
+        rest = [*(rest if self.plain else chunks), *tails]
+        found = self.tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False)
+        out = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(rest, found, strict=True)}
+        tokenize = self.tokenizer.model.tokenize
+        for chunk, word, tail in parts:
+            ids = words.get(word) or self._known(word)
+            if ids is None:
+                letters = word.decode() if word.isascii() else word.decode("latin-1").translate(self.letters)
+                ids = words[word] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(letters)])
+            out[chunk] = ids + (self._known(tail) or out[tail]) if tail else ids
+        return out
 
     @classmethod
     def of(cls, path: str) -> "ChunkEncoder":
@@ -65,9 +117,7 @@ class ChunkEncoder:
             new = set().union(*chunks)
         known = new.intersection(self.older)
         self.cache.update((c, self.older[c]) for c in known)
-        new = list(new - known)
-        found = self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
-        self.cache.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, found, strict=True))
+        self.cache.update(self._encode_new(list(new - known)))
         get = self.cache.__getitem__
         return [b"".join(map(get, c)) for c in chunks]
 
