@@ -5,8 +5,9 @@ terms (a hash): one row has a bucket's sorted terms, in how many documents each
 its terms with their counts. Each bucket's rows meet in one task: the terms that enough documents have are its sorted
 array, a row's terms become ids by searchsorted, and bincount adds each source's counts into a dense vector over those ids.
 Ids ascend as the terms' UTF-8 bytes do, so a stable sort by value breaks ties by term. Vectors are kept in chunks of at
-most ``CELLS`` counts. Every later step goes over chunks: shares, differences between sources (summed), and the most
-over-represented terms of each source (merged from each chunk's first ones).
+most ``cells`` counts; where few terms are kept, the vectors of many buckets are put together to one chunk. Every later step
+goes over chunks: shares, differences between sources (summed), and the most over-represented terms of each source (merged
+from each chunk's first ones, which are few beside its counts).
 
 All arithmetic is in integers: p = 1 + floor(10^9 * (count + 5) / (N + 5 * V)) by long division in base 1000, which is
 exact while N + 5 * V is under 9 * 10^15.
@@ -38,7 +39,7 @@ SCALE = 1_000_000_000
 PRIOR = 5
 _SHORT = 24
 PACKED = "lang string, bucket int, terms binary, n_docs binary, sources array<string>, sizes binary, ids binary, counts binary"
-CHUNKS = "lang string, bucket int, n_terms long, terms binary, sources array<string>, sums array<long>, counts binary"
+CHUNKS = "lang string, bucket int, slice int, n_terms long, terms binary, sources array<string>, sums array<long>, counts binary"
 PARTIAL = "lang string, part string, source string, item string, value long"
 # A-Z to a-z, letters and bytes of other characters as they are, all else to a blank.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -130,7 +131,7 @@ def _count(buckets: int):
     return run
 
 
-def _chunk(least: int):
+def _chunk(least: int, cells: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         terms = [r["terms"].split(b" ") for r in rows]
@@ -152,11 +153,11 @@ def _chunk(least: int):
                     vectors[source] = vectors[source] + found if source in vectors else found
         sources = sorted(vectors)
         out = []
-        wide = max(1, CELLS // max(1, len(sources)))
-        for a in range(0, size, wide):
+        wide = max(1, cells // max(1, len(sources)))
+        for number, a in enumerate(range(0, size, wide)):
             part = np.array([vectors[s][a : a + wide] for s in sources])
-            out.append({"lang": rows[0]["lang"], "bucket": rows[0]["bucket"], "n_terms": part.shape[1], "terms": b" ".join(kept.terms[a : a + wide]), "sources": sources, "sums": part.sum(axis=1).tolist(), "counts": part.astype("<i8").tobytes()})
-        schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n_terms", pa.int64()), ("terms", pa.binary()), ("sources", pa.list_(pa.string())), ("sums", pa.list_(pa.int64())), ("counts", pa.binary())])
+            out.append({"lang": rows[0]["lang"], "bucket": rows[0]["bucket"], "slice": number, "n_terms": part.shape[1], "terms": b" ".join(kept.terms[a : a + wide]), "sources": sources, "sums": part.sum(axis=1).tolist(), "counts": part.astype("<i8").tobytes()})
+        schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("slice", pa.int32()), ("n_terms", pa.int64()), ("terms", pa.binary()), ("sources", pa.list_(pa.string())), ("sums", pa.list_(pa.int64())), ("counts", pa.binary())])
         return pa.Table.from_pylist(out, schema)
 
     return run
@@ -173,50 +174,38 @@ def shares(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 
 def _compare(top: int):
-    """Chunks with their language's totals to sums of differences, one table a task, and each source's first terms."""
-
-    def run(batches):
-        sums: dict[str, tuple[list[str], np.ndarray]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                lang, groups = row["lang"], sorted((g["source"], g["n"]) for g in row["groups"])
-                names = [s for s, _ in groups]
-                if lang not in sums:
-                    sums[lang] = names, np.zeros((len(names), len(names)), np.int64)
-                if not row["n_terms"]:
-                    continue
-                n = np.array([x for _, x in groups], np.int64)
-                counts = np.zeros((len(names), row["n_terms"]), np.int64)
-                at = {s: i for i, s in enumerate(names)}
-                counts[[at[s] for s in row["sources"]]] = np.frombuffer(row["counts"], "<i8").reshape(len(row["sources"]), -1)
-                p = shares(counts, (n + PRIOR * row["kept"])[:, None])
-                q = shares(counts.sum(axis=0), n.sum() + PRIOR * row["kept"])
-                table = sums[lang][1]
-                for i in range(len(names) - 1):
-                    table[i, i + 1 :] += np.abs(p[i + 1 :] - p[i]).sum(axis=1)
-                terms = row["terms"].decode().split(" ")
-                found = []
-                for i, source in enumerate(names):
-                    over = np.flatnonzero((counts[i] > 0) & (p[i] > q))
-                    value = (p[i] - q)[over]
-                    first = np.argsort(-value, kind="stable")[:top]  # ties stay in the ids' order
-                    found += [(source, terms[j], v) for j, v in zip(over[first].tolist(), value[first].tolist(), strict=True)]
-                if found:
-                    yield _rows(lang, "term", *zip(*found, strict=True))
-        for lang, (names, table) in sums.items():
-            for i in range(len(names) - 1):
-                yield _rows(lang, "pair", [names[i]] * (len(names) - 1 - i), names[i + 1 :], table[i, i + 1 :].tolist())
-        release()
+    """The vectors of a chunk, and its language's totals, to sums of differences and each source's first terms."""
+
+    def run(parts: pa.Table, totals: pa.Table) -> pa.Table:
+        about = totals.to_pylist()[0]
+        groups = sorted((g["source"], g["n"]) for g in about["groups"])
+        names, n = [s for s, _ in groups], np.array([x for _, x in groups], np.int64)
+        at = {s: i for i, s in enumerate(names)}
+        rows = parts.to_pylist()
+        terms = [t for r in rows for t in r["terms"].split(b" ")]
+        counts = np.zeros((len(names), len(terms)), np.int64)
+        begin = 0
+        for r in rows:
+            counts[[at[s] for s in r["sources"]], begin : begin + r["n_terms"]] = np.frombuffer(r["counts"], "<i8").reshape(len(r["sources"]), -1)
+            begin += r["n_terms"]
+        order = sorted(range(len(terms)), key=terms.__getitem__)  # ids by the terms' bytes
+        terms, counts = [terms[i].decode() for i in order], counts[:, order]
+        p = shares(counts, (n + PRIOR * about["kept"])[:, None])
+        q = shares(counts.sum(axis=0), n.sum() + PRIOR * about["kept"])
+        out: list[tuple[str, str, str, int]] = []
+        for i, source in enumerate(names):
+            out += [("pair", source, o, int(v)) for o, v in zip(names[i + 1 :], np.abs(p[i + 1 :] - p[i]).sum(axis=1), strict=True)]
+            over = np.flatnonzero((counts[i] > 0) & (p[i] > q))
+            value = (p[i] - q)[over]
+            first = np.argsort(-value, kind="stable")[:top]  # ties stay in the ids' order
+            out += [("term", source, terms[j], v) for j, v in zip(over[first].tolist(), value[first].tolist(), strict=True)]
+        columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+        return pa.table({"lang": pa.array([about["lang"]] * len(out), pa.string()), "part": pa.array(columns[0], pa.string()), "source": pa.array(columns[1], pa.string()), "item": pa.array(columns[2], pa.string()), "value": pa.array(columns[3], pa.int64())})
 
     return run
 
 
-def _rows(lang: str, part: str, source, item, value) -> pa.RecordBatch:
-    n = len(source)
-    return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([part] * n, pa.string()), pa.array(source, pa.string()), pa.array(item, pa.string()), pa.array(value, pa.int64())], names=["lang", "part", "source", "item", "value"])
-
-
-def source_divergence(docs: DataFrame, least: int = 30, top: int = 50, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def source_divergence(docs: DataFrame, least: int = 30, top: int = 50, text: str = "text", lang: str = "lang", source: str = "source", cells: int = CELLS) -> DataFrame:
     """lang, source, part, item, value, rank: for each source of a language the other ones by how far their shares of
     the kept terms (in at least ``least`` documents of the language) differ in sum (part pair), and the ``top`` terms
     whose share is most above the language's (part term)."""
@@ -224,15 +213,18 @@ def source_divergence(docs: DataFrame, least: int = 30, top: int = 50, text: str
     small_batches(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(*[F.coalesce(named(c).cast("string"), F.lit("")).alias(a) for c, a in ((text, "text"), (lang, "lang"), (source, "source"))])
-    chunks = checkpointed(rows.mapInArrow(_count(buckets), PACKED).groupBy("lang", "bucket").applyInArrow(_chunk(least), CHUNKS))
+    chunks = checkpointed(rows.mapInArrow(_count(buckets), PACKED).groupBy("lang", "bucket").applyInArrow(_chunk(least, cells), CHUNKS))
     kept = chunks.groupBy("lang").agg(F.sum("n_terms").alias("kept"))
     sums = chunks.select("lang", F.explode(F.arrays_zip("sources", "sums")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.sums").alias("n"))
     groups = rows.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"))
-    totals = groups.groupBy("lang").agg(F.collect_list(F.struct("source", "n")).alias("groups")).join(kept, "lang", "left")
-    # One row a bucket, so that a large language's chunks needn't meet in one task where this isn't broadcast.
-    totals = totals.select("lang", "groups", F.coalesce("kept", F.lit(0)).alias("kept"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
-    told = totals.join(chunks, ["lang", "bucket"], "left").select("lang", "groups", "kept", "n_terms", "terms", "sources", "counts")
-    found = checkpointed(told.mapInArrow(_compare(top), PARTIAL))
+    totals = groups.groupBy("lang").agg(F.collect_list(F.struct("source", "n")).alias("groups")).join(kept, "lang", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    number = F.greatest(F.lit(1), F.ceil(F.col("kept") * F.size("groups") / cells)).cast("int").alias("number")
+    # One row a bucket, so that a large language's rows needn't meet in one task where this isn't broadcast.
+    places = totals.select("lang", number, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
+    dealt = chunks.join(places, ["lang", "bucket"]).withColumn("chunk", ((F.col("bucket") + F.col("slice") * buckets) % F.col("number")).cast("int"))
+    dealt = dealt.select("lang", "chunk", "n_terms", "terms", "sources", "counts")
+    totals = totals.select("lang", "groups", "kept", F.explode(F.sequence(F.lit(0), number - 1)).alias("chunk"))
+    found = checkpointed(dealt.groupBy("lang", "chunk").cogroup(totals.groupBy("lang", "chunk")).applyInArrow(_compare(top), PARTIAL))
     order = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
     terms = found.filter("part = 'term'").withColumn("rank", order).filter(F.col("rank") <= top)
     sides = F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item"))))

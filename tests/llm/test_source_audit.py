@@ -46,10 +46,10 @@ def mixed(rows):
     return out
 
 
-@pytest.mark.parametrize(("least", "top"), [(1, 3), (4, 50), (10**6, 5)])
-def test_audit(spark, mixed, least, top, monkeypatch):
+@pytest.mark.parametrize(("least", "top", "cells"), [(1, 3, 40), (4, 50, 10**6), (10**6, 5, 10)])
+def test_audit(spark, mixed, least, top, cells):
     docs = spark.createDataFrame(mixed, "text string, lang string, source string").repartition(3).withColumns({c: F.lit("kept") for c in ("bucket", "terms", "n", "groups", "value", "rank", "part")})
-    got = source_audit.source_divergence(docs, least, top)
+    got = source_audit.source_divergence(docs, least, top, cells=cells)
     assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
     assert sorted(map(tuple, got.collect())) == sorted(brute(mixed, least, top))
     assert source_audit.source_divergence(docs.limit(0), least, top).count() == 0
