@@ -4,43 +4,41 @@ import argparse
 import datetime
 import os
 import sys
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickyard.functions.facts import extract
 from brickyard.operators import stats
 from brickyard.plans import baseline, report, thresholds
 from brickyard.plans.analysis import Workspace
 from brickyard.plans.config import ConfigError, lowest_limit, merge_config
+from brickyard.plans.facts_table import FactsTable
 from brickyard.plans.registry import METRICS
 from brickyard.session import kept, local_session
 from brickyard.sources import git
 from brickyard.sources.reader import ReadError
-from brickyard.sources.workspace import brick_frame, file_frame, is_workspace, read_config, read_settings
+from brickyard.sources.workspace import Revision, Tree, is_workspace, read_config, read_settings
 
 FORMATS = ("html", "github", "text")
 
 
-def _commits(root: str, merged: dict) -> list[set[str]] | None:
+def _history(tree: Tree, merged: dict) -> DataFrame | None:
     """History for co-change, or None if that is off or there is none to read."""
     settings = merged.get("co-change")
     if lowest_limit(settings) is None:
         return None
     try:
-        return git.log_files(root, settings["since"])
+        return git.log(tree.spark, tree.local, settings["since"])
     except (git.GitError, FileNotFoundError):
         return None
 
 
 class Measured:
-    """One workspace, measured and checked. What is used again is kept, so plans stay small and the folder may go."""
+    """One workspace, measured and checked. What is used again is kept, so plans stay small."""
 
-    def __init__(self, spark: SparkSession, root: str, merged: dict, commits: list[set[str]] | None):
-        rows = [(i, p) for i, paths in enumerate(commits or []) for p in sorted(paths)]
-        history = None if commits is None else spark.createDataFrame(rows, git.COMMITS)
-        self.tables = Workspace(read_settings(root), brick_frame(spark, root), kept(extract(file_frame(spark, root))), history)
+    def __init__(self, tree: Tree | Revision, merged: dict, history: DataFrame | None = None, facts: FactsTable | None = None):
+        facts = facts or FactsTable(tree.spark)
+        self.tables = Workspace(read_settings(tree), tree.bricks(), facts.of(tree.files()), history)
         for name in ("edges", "references", "libraries", "functions"):
             setattr(self.tables, name, kept(getattr(self.tables, name)))
         self.wide = kept(self.tables.brick_metrics)
@@ -53,38 +51,34 @@ def _dicts(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
-def build_report(spark: SparkSession, root: str, configured: dict, base_ref: str | None, warnings: bool = True, only_new: bool = False) -> tuple[report.Report, bool, bool]:
+def build_report(tree: Tree, configured: dict, base_ref: str | None, warnings: bool = True, only_new: bool = False, facts_folder: str | None = None) -> tuple[report.Report, bool, bool]:
     """The report, and whether it has errors that are new, and any errors. What is returned is small and collected."""
-    root = os.path.abspath(root)
+    spark = tree.spark
     merged = merge_config(configured)
-    head = Measured(spark, root, merged, _commits(root, merged))
+    facts = FactsTable(spark, facts_folder)
+    head = Measured(tree, merged, _history(tree, merged), facts)
     bricks, violations, edges = head.tables.bricks, head.violations, head.tables.edges
     order = [F.asc("from"), F.asc("interface"), F.asc("to_ord")]
     extra: dict = {}
     if base_ref:
-        rev = git.merge_base(root, base_ref)
-        with tempfile.TemporaryDirectory(prefix="brickyard-base-") as folder:
-            git.extract(root, rev, folder)
-            paths = spark.createDataFrame([(p,) for p in git.changed_files(root, rev)], "path string")
-            changed = baseline.changed_bricks(bricks, paths).cache()
-            if is_workspace(folder):
-                base = Measured(spark, folder, merged, None)
-                known, was, functions, base_edges = base.violations, base.values, base.tables.functions, base.tables.edges
-            else:
-                known, was, functions, base_edges = (df.limit(0) for df in (violations, head.values, head.tables.functions, edges))
-            violations = kept(baseline.compare(violations, known, changed, was, functions))
-            gone = baseline.resolved(known, head.violations)
-            edges = baseline.new_edges(edges, base_edges)
-            # Everything that reads the base is collected before its folder goes.
-            extra = {
-                "base_ref": base_ref,
-                "changed": {r["brick"] for r in _dicts(changed)},
-                "base_values": {(r["brick"], r["metric"]): r["value"] for r in _dicts(was)},
-                "resolved": [v for v in _dicts(gone) if warnings or v["level"] == "error"],
-            }
-            collected_edges = _dicts(edges.orderBy(*order))
-    else:
-        collected_edges = _dicts(edges.orderBy(*order))
+        rev = git.merge_base(tree.local, base_ref)
+        was_tree = Revision(spark, tree.local, rev)
+        changed = kept(baseline.changed_bricks(bricks, git.changed_files(spark, tree.local, rev)))
+        if is_workspace(was_tree):
+            base = Measured(was_tree, merged, None, facts)  # parses only what the head doesn't have
+            known, was, functions, base_edges = base.violations, base.values, base.tables.functions, base.tables.edges
+        else:
+            known, was, functions, base_edges = (df.limit(0) for df in (violations, head.values, head.tables.functions, edges))
+        violations = kept(baseline.compare(violations, known, changed, was, functions))
+        gone = baseline.resolved(known, head.violations)
+        edges = baseline.new_edges(edges, base_edges)
+        extra = {
+            "base_ref": base_ref,
+            "changed": {r["brick"] for r in _dicts(changed)},
+            "base_values": {(r["brick"], r["metric"]): r["value"] for r in _dicts(was)},
+            "resolved": [v for v in _dicts(gone) if warnings or v["level"] == "error"],
+        }
+    collected_edges = _dicts(edges.orderBy(*order))
     every = _dicts(thresholds.rows(violations, bricks).orderBy("rank"))
     status = violations.withColumn("status", F.coalesce("status", F.lit("new"))) if base_ref else violations.withColumn("status", F.lit("new"))
     facts = status.agg(F.count_if(F.expr("level = 'error' and status = 'new'")).alias("new"), F.count_if(F.col("level") == "error").alias("all"), F.count_if(F.expr("level = 'warning' and status = 'new'")).alias("warnings"), F.count_if(F.expr("status <> 'new' and level = 'error'")).alias("old_errors"), F.count_if(F.expr("status <> 'new'")).alias("old")).first()
@@ -102,7 +96,7 @@ def build_report(spark: SparkSession, root: str, configured: dict, base_ref: str
     averages = stats.with_average(peers.select("metric", "brick", "value").filter("value is not null")).filter("brick is null")
     shared = head.tables.libraries.filter("n_bricks > 1").groupBy("library").agg(F.max("n_bricks").alias("n")).orderBy(F.desc("n"), "library")
     found = report.Report(
-        workspace=os.path.basename(root), bricks=_dicts(bricks.orderBy("ord")), rows=rows, edges=collected_edges, graph_rows=every,
+        workspace=tree.name, bricks=_dicts(bricks.orderBy("ord")), rows=rows, edges=collected_edges, graph_rows=every,
         values={(r["brick"], r["metric"]): (r["value"], r["subject"]) for r in _dicts(head.values)}, averages={r["metric"]: r["value"] for r in _dicts(averages)},
         outliers={(r["brick"], r["metric"]): r for r in _dicts(thresholds.outlined(head.wide))}, libraries=_dicts(shared), thresholds=merged,
         configured={k for metrics in configured.values() for k in metrics}, generated_at=datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds"), hazards={r["brick"]: r["hazard-kinds"] for r in _dicts(head.wide.filter("`hazard-kinds` is not null").select("brick", "hazard-kinds"))}, **extra,
@@ -137,6 +131,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("-b", "--base", help="compare with the merge-base of this ref and HEAD")
     p.add_argument("-f", "--format", action="append", choices=FORMATS, default=None, help="output format; may be repeated")
     p.add_argument("-o", "--output", help="HTML report file")
+    p.add_argument("--facts", help="folder of facts by content, read and added to: files measured before aren't parsed again")
     p.add_argument("--fail-on", choices=("new", "all"), help="errors that fail the run (default: new with --base, else all)")
     p.add_argument("--warnings", action=argparse.BooleanOptionalAction, default=False, help="report warnings too")
     p.add_argument("--fail", action=argparse.BooleanOptionalAction, default=True, help="exit with 1 on errors")
@@ -149,16 +144,15 @@ def run(args: list[str], env: dict, spark: SparkSession | None = None) -> int:
         options = _parser().parse_args(args)
     except SystemExit as e:
         return 2 if e.code else 0
-    if not is_workspace(options.workspace):
-        print(f"Not a workspace (no workspace.edn): {options.workspace}", file=sys.stderr)
-        return 2
     scope = options.fail_on or ("new" if options.base else "all")
     try:
-        configured = read_config(options.workspace, options.config)
+        tree = Tree(spark or local_session(), options.workspace)
+        if not is_workspace(tree):
+            print(f"Not a workspace (no workspace.edn): {options.workspace}", file=sys.stderr)
+            return 2
+        configured = read_config(tree, options.config)
         merge_config(configured)
-        if spark is None:
-            spark = local_session()
-        found, any_new, any_error = build_report(spark, options.workspace, configured, options.base, options.warnings, scope == "new")
+        found, any_new, any_error = build_report(tree, configured, options.base, options.warnings, scope == "new", options.facts)
     except (ConfigError, ReadError, git.GitError, FileNotFoundError) as e:
         print(e, file=sys.stderr)
         return 2

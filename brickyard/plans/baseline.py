@@ -3,13 +3,13 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brickyard.operators import paths
 from brickyard.plans.registry import METRICS
 
 
-def changed_bricks(bricks: DataFrame, paths: DataFrame) -> DataFrame:
-    """bricks(brick, dir) with a changed file under dir/src/; paths(path)."""
-    dirs = paths.select(F.regexp_extract("path", r"^([^/]+/[^/]+)/src/", 1).alias("dir")).filter("dir <> ''").distinct()
-    return bricks.join(dirs, "dir", "left_semi").select("brick").distinct()
+def changed_bricks(bricks: DataFrame, changed: DataFrame) -> DataFrame:
+    """bricks(brick, dir) with a changed file under dir/src/; changed(path)."""
+    return paths.under(changed, bricks, "src")
 
 
 def _same(left: DataFrame, right: DataFrame, how: str) -> DataFrame:

@@ -10,6 +10,7 @@ from brickyard.operators import code, graph, stats
 from brickyard.plans import baseline, report, thresholds
 from brickyard.plans.config import ConfigError, SETTINGS, merge_config, settings_frame
 from brickyard.plans.registry import METRICS, Metric, register_metric
+from brickyard.sources.workspace import Tree
 
 FILES = {
     "workspace.edn": '{:top-namespace "top"}',
@@ -45,7 +46,7 @@ def root(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def measured(spark, root):
-    return cli.Measured(spark, root, merge_config(), None)
+    return cli.Measured(Tree(spark, root), merge_config())
 
 
 def test_edges_and_metrics(measured):
@@ -137,21 +138,6 @@ def test_cli_base(spark, tmp_path, capsys):
     capsys.readouterr()
 
 
-def test_gitlog_source(spark, tmp_path):
-    from brickyard.sources.git import GitLog, changed_files
-
-    write(tmp_path, {"a/x.txt": "1", "b/y.txt": "1"})
-    git(tmp_path, "init", "-q")
-    git(tmp_path, "add", "-A")
-    git(tmp_path, "commit", "-qm", "one")
-    write(tmp_path, {"a/x.txt": "2"})
-    git(tmp_path, "commit", "-qam", "two")
-    write(tmp_path, {"c.txt": "new"})
-    spark.dataSource.register(GitLog)
-    rows = [tuple(r) for r in spark.read.format("gitlog").load(str(tmp_path)).orderBy("commit", "path").collect()]
-    assert rows == [(0, "a/x.txt"), (1, "a/x.txt"), (1, "b/y.txt")] and changed_files(str(tmp_path), "HEAD~1") == ["a/x.txt", "c.txt"]
-
-
 # -- operators -------------------------------------------------------------------------------------
 
 
@@ -340,7 +326,7 @@ def test_forms_nested_to_any_depth(depth):
 
     facts = file_facts("(defn f [x] " + "(if x " * depth + "1" + ")" * depth + ")", False)
     assert facts["forms"] > 3 * depth
-    assert facts["functions"][0]["depth"] == depth
+    assert facts["functions"][0]["depth"] == depth + 1  # the definition counts
 
 
 @pytest.mark.parametrize("name", ["workspace_brick_metrics", "workspace_references", "workspace_throwing", "workspace_libraries"])
