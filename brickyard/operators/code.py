@@ -1,5 +1,8 @@
 """Operators on names, libraries, keywords and repeated fragments."""
 
+from bisect import bisect_left
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +84,33 @@ def duplicates(fragments: DataFrame, limit: float) -> DataFrame:
     those inside a larger such fragment of their file."""
     over = fragments.filter(F.col("forms") > limit)
     many = over.groupBy("hash").agg(F.countDistinct("brick").alias("_n")).filter("_n > 1")
-    dup = over.join(many, "hash", "left_semi")
-    outer = dup.select(F.col("file").alias("_file"), F.col("forms").alias("_forms"), F.col("line").alias("_line"), F.col("end_line").alias("_end"))
-    inside = (F.col("file") == F.col("_file")) & (F.col("_forms") > F.col("forms")) & (F.col("_line") <= F.col("line")) & (F.col("_end") >= F.col("end_line"))
-    return dup.join(outer, inside, "left_anti")
+    return outermost(over.join(many, "hash", "left_semi"))
+
+
+def outermost(fragments: DataFrame) -> DataFrame:
+    """The fragments that don't lie within the lines of one of their file with more forms.
+
+    A file's fragments stand together, sorted by where they start, wide and large ones first, so whatever may hold a
+    fragment comes before it. A task goes through them once. It remembers the file's ends so far that nothing beats, being
+    both later and larger; they are sorted, so the largest fragment that ends late enough is found by bisection.
+    """
+    order = [F.asc("file"), F.asc("line"), F.desc("end_line"), F.desc("forms")]
+    return fragments.repartition("file").sortWithinPartitions(*order).mapInArrow(_sweep, fragments.schema)
+
+
+def _sweep(batches):
+    of, ends, forms = object(), [], []
+    for batch in batches:
+        keep = []
+        for file, end, size in zip(*(batch.column(c).to_pylist() for c in ("file", "end_line", "forms")), strict=True):
+            if file != of:
+                of, ends, forms = file, [], []
+            at = bisect_left(ends, end)
+            keep.append(at == len(ends) or forms[at] <= size)
+            if keep[-1]:  # forms fall as ends rise; what the new one beats stands before it
+                stop = at + (at < len(ends) and ends[at] == end)
+                start = at
+                while start and forms[start - 1] <= size:
+                    start -= 1
+                ends[start:stop], forms[start:stop] = [end], [size]
+        yield batch.filter(pa.array(keep, pa.bool_()))

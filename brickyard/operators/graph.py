@@ -86,8 +86,9 @@ def co_changes(touched: DataFrame, most: int) -> DataFrame:
     Commits that touch more than ``most`` bricks are left out before anything is counted, so a
     commit's pairs are bounded by most * (most - 1) / 2.
     """
-    touched = touched.select("commit", "brick").distinct()
-    small = touched.groupBy("commit").agg(F.collect_set("brick").alias("bricks")).filter(F.size("bricks") <= most)
+    touched = kept(touched.select("commit", "brick").distinct())
+    few = touched.groupBy("commit").agg(F.count("*").alias("_n")).filter(F.col("_n") <= most).select("commit")
+    small = kept(touched.join(few, "commit", "left_semi").groupBy("commit").agg(F.collect_list("brick").alias("bricks")))
     counts = small.select(F.explode("bricks").alias("brick")).groupBy("brick").agg(F.count("*").alias("changes"))
     sides = small.select("commit", F.explode("bricks").alias("a"), "bricks").select("a", F.explode("bricks").alias("b")).filter("a < b")
     shared = sides.groupBy("a", "b").agg(F.count("*").alias("shared"))
@@ -99,8 +100,74 @@ def co_changes(touched: DataFrame, most: int) -> DataFrame:
     )
 
 
+LABELS = 4
+
+
+def _bounds(prefix: str) -> list[Column]:
+    return [F.col(f"{prefix}{side}{i}") for i in range(LABELS) for side in ("lo", "hi")]
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """edges(a, b) -> node, lo0, hi0, lo1, ...: for a few hash functions the least and the greatest hash of what a node reaches,
+    itself included. A node's intervals hold those of all it reaches, so intervals that don't hold another's rule a path out.
+
+    Changes move backwards along the edges until there are none; the rounds follow the longest of the shortest paths.
+    """
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    hashes = {f"{side}{i}": F.xxhash64("node", F.lit(i)) for i in range(LABELS) for side in ("lo", "hi")}
+    known = moved = kept(nodes.withColumns(hashes))
+    while not moved.isEmpty():
+        best = [f(c).alias(f"_{c}") for i in range(LABELS) for f, c in ((F.min, f"lo{i}"), (F.max, f"hi{i}"))]
+        offered = edges.join(moved, edges["b"] == moved["node"]).groupBy("a").agg(*best).withColumnRenamed("a", "_node")
+        both = known.join(offered, known["node"] == offered["_node"], "left")
+        wider = [(F.least, f"lo{i}") for i in range(LABELS)] + [(F.greatest, f"hi{i}") for i in range(LABELS)]
+        changed = F.lit(False)
+        for f, c in wider:
+            changed = changed | (F.coalesce(F.col(f"_{c}"), F.col(c)) != F.col(c)) & (f(c, f"_{c}") != F.col(c))
+        known = kept(both.select("node", *[f(c, f"_{c}").alias(c) for f, c in wider], changed.alias("_changed")))
+        moved = known.filter("_changed").drop("_changed")
+        known = known.drop("_changed")
+    return known
+
+
+def _may_reach(a: str, b: str) -> Column:
+    """Whether the intervals under prefix ``a`` hold those under ``b``."""
+    fits = F.lit(True)
+    for i in range(LABELS):
+        fits = fits & (F.col(f"{a}lo{i}") <= F.col(f"{b}lo{i}")) & (F.col(f"{a}hi{i}") >= F.col(f"{b}hi{i}"))
+    return fits
+
+
+def connected(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """pairs(a, b) -> those with a path from a to b of an edge or more; edges(a, b).
+
+    Labels rule most pairs out. For the others a search moves on from a, one edge a round for all pairs at once, only through
+    nodes that may reach b, and a pair that is found searches no further. All that is ever held is what those searches met.
+    """
+    edges = kept(edges.select("a", "b").distinct())
+    marks = labels(edges)
+    named = lambda prefix: marks.select(*[F.col(c).alias(f"{prefix}{c}") for c in marks.columns])
+    asked = pairs.select("a", "b").distinct().join(named("x_"), F.col("a") == F.col("x_node")).join(named("y_"), F.col("b") == F.col("y_node"))
+    goal = ["a", "b", *[f"y_{c}" for c in marks.columns if c != "node"]]
+    open_ = kept(asked.filter(_may_reach("x_", "y_")).select(*goal, F.col("a").alias("at")))
+    seen = found = None
+    step = edges.select(F.col("a").alias("_from"), F.col("b").alias("to"))
+    while not open_.isEmpty():
+        met = open_.join(step, F.col("at") == F.col("_from")).select(*goal, F.col("to").alias("at")).distinct()
+        met = met.join(named("x_"), F.col("at") == F.col("x_node")).filter(_may_reach("x_", "y_")).select(*goal, "at")
+        if seen is not None:
+            met = met.join(seen, ["a", "b", "at"], "left_anti")
+        met = kept(met)
+        hit = met.filter("at = b").select("a", "b")
+        found = hit if found is None else found.union(hit)
+        seen = met.select("a", "b", "at") if seen is None else seen.union(met.select("a", "b", "at"))
+        open_ = kept(met.join(hit, ["a", "b"], "left_anti"))
+    return pairs.select("a", "b").limit(0) if found is None else found.distinct()
+
+
 def unconnected(pairs: DataFrame, a: str, b: str, edges: DataFrame) -> DataFrame:
     """The pairs without a path between them in either direction; edges(from, to)."""
-    paths = closure(edges.select(F.col("from").alias("a"), F.col("to").alias("b")))
+    one, other = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")), pairs.select(F.col(b).alias("a"), F.col(a).alias("b"))
+    paths = connected(one.union(other), edges.select(F.col("from").alias("a"), F.col("to").alias("b")))
     both = paths.select(F.col("a").alias(a), F.col("b").alias(b)).union(paths.select(F.col("b").alias(a), F.col("a").alias(b)))
     return pairs.join(both, [a, b], "left_anti")

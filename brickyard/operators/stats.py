@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brickyard.session import kept
+
 
 def leave_one_out(values: DataFrame) -> DataFrame:
     """values(metric, brick, value) with mean, std_dev and peers of the other bricks' values of the metric.
@@ -11,6 +13,7 @@ def leave_one_out(values: DataFrame) -> DataFrame:
     least and greatest values, the first two of each, which tell whether all the others are equal: their deviation must come
     out as exactly 0, and their mean as that value.
     """
+    values = kept(values)  # it is read four times
     centres = values.groupBy("metric").agg(F.avg("value").alias("_centre"))
     apart = values.join(centres, "metric").withColumn("_off", F.col("value") - F.col("_centre"))
     ends = apart.groupBy("metric").agg(

@@ -6,7 +6,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brickyard.operators import code, graph, stats
+from brickyard.operators import code, graph, paths, stats
 from brickyard.plans.config import lowest_limit
 from brickyard.sources.workspace import Settings
 
@@ -273,16 +273,16 @@ class Workspace:
     def _duplicates(self, limit: float) -> DataFrame:
         fragments = self._child("fragments", False)
         d = code.duplicates(fragments.select("brick", "file", "hash", "forms", "line", "end_line"), limit)
-        every = fragments.filter(F.col("forms") > limit).groupBy(F.col("hash").alias("_h"), F.col("brick").alias("_b")).agg(F.min(F.struct("file", "line")).alias("_at"))
-        others = d.select("hash", "brick").distinct().join(every, (F.col("hash") == F.col("_h")) & (F.col("brick") != F.col("_b")))
-        names = others.groupBy("hash", "brick").agg(F.array_join(F.sort_array(F.collect_set("_b")), ", ").alias("_names"), F.min("_at").alias("_first"))
-        d = d.join(names, ["hash", "brick"])
+        # A hash's bricks in order of their first occurrences: the first other one is one of the first two.
+        every = fragments.filter(F.col("forms") > limit).groupBy("hash", F.col("brick").alias("_b")).agg(F.min(F.struct("file", "line")).alias("_at"))
+        firsts = every.groupBy("hash").agg(F.slice(F.sort_array(F.collect_list(F.struct("_at", "_b"))), 1, 2).alias("_firsts"), F.sort_array(F.collect_list("_b")).alias("_bricks"))
+        d = d.join(firsts, "hash").withColumn("_first", F.filter("_firsts", lambda x: x["_b"] != F.col("brick"))[0]["_at"])
+        d = d.withColumn("_names", F.array_join(F.filter("_bricks", lambda x: x != F.col("brick")), ", "))
         message = F.concat(F.lit("the same "), F.col("forms").cast("string"), F.lit(" forms stand in "), "_names", F.lit(", for instance at "), "_first.file", F.lit(":"), F.col("_first.line").cast("string"))
         return self._finding(d, "duplicate-code", ["file", "line", "hash"], F.col("hash"), message, F.col("forms"), F.col("file"), F.col("line"))
 
     def _co_change(self, settings: dict) -> DataFrame:
-        dirs = self.bricks.select("brick", F.col("dir").alias("_dir"))
-        touched = self.commits.withColumn("_dir", F.regexp_extract("path", r"^([^/]+/[^/]+)/", 1)).join(F.broadcast(dirs), "_dir").select("commit", "brick")
+        touched = paths.owners(self.commits.select("commit", "path"), self.bricks).select("commit", "brick")
         pairs = graph.co_changes(touched, settings["max-bricks-per-commit"]).filter(F.col("shared") >= settings["min-shared"])
         hidden = graph.unconnected(pairs, "fewer", "more", self.edges).withColumn("brick", F.col("fewer"))
         message = F.concat(F.col("shared").cast("string"), F.lit(" of "), F.col("changes").cast("string"), F.lit(" commits ("), _round_percent(F.col("strength")), F.lit("%) also change "), "more", F.lit(", with no dependency either way"))
