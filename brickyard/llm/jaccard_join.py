@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brickyard.llm._components import components
-from brickyard.llm._shared import checkpointed, release, small_batches
+from brickyard.llm._shared import checkpointed, named, release, small_batches
 from brickyard.llm._words import shingle_hashes, signed, word_hashes
 from brickyard.llm.perfect_hash import mix64
 
@@ -65,6 +65,8 @@ class Parts:
     """Part signatures for similarity of at least num / den."""
 
     def __init__(self, num: int, den: int):
+        if not 0 < num <= den:
+            raise ValueError(f"A similarity is over 0 and at most 1, not {num} / {den}")
         self.num, self.den = num, den
         self.starts = [1]  # sizes at which bands start; similar sets are in the same band or in adjacent ones
         self.shapes: dict[int, tuple[int, int]] = {}
@@ -77,7 +79,8 @@ class Parts:
     def shape(self, band: int) -> tuple[int, int]:
         """(parts, spare parts) for sets of this band and the next.
 
-        Spare parts are as many as are empty on average in the band's smallest sets.
+        Spare parts are as many as are empty on average in the band's smallest sets. Where similar sets may differ in
+        so much that the smallest can't fill the parts, there are none (parts of -1), and each token is a part.
         """
         if band not in self.shapes:
             while len(self.starts) < band + 3:
@@ -89,8 +92,10 @@ class Parts:
                 parts = differ + 1 + spare
                 spare = max(1, math.ceil(parts * math.exp(-least / parts)))
             # More parts than tokens would leave some empty whatever the dealing.
-            spare = min(spare, max(1, least - differ - 1))
-            self.shapes[band] = (differ + 1 + spare, spare) if differ else (0, 0)
+            most_spare = max(1, least - differ - 1)
+            fits = differ + 2 <= least and spare <= most_spare + most_spare // 8
+            spare = min(spare, most_spare)
+            self.shapes[band] = ((differ + 1 + spare, spare) if fits else (-1, 0)) if differ else (0, 0)
         return self.shapes[band]
 
     def signatures(self, tokens: np.ndarray) -> np.ndarray:
@@ -101,6 +106,10 @@ class Parts:
             parts, spare = self.shape(band) if band >= 0 else (0, 0)
             if not parts:
                 continue  # sets that similar are equal
+            if parts < 0:
+                out.append(mix64(tokens ^ mix64(np.uint64([band]), 33), 34))
+                bands.append(np.full(len(tokens), band, np.uint64))
+                continue
             deal = 0
             while True:
                 place = (mix64(tokens, 31 + 64 * deal) % np.uint64(parts)).astype(np.int64)
@@ -370,8 +379,11 @@ def _across(cut: DataFrame, links: DataFrame, words: int, num: int, den: int, bl
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, num: int = 9, den: int = 10, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the least doc_id reachable by links of similarity >= num/den)."""
+    Parts(num, den)  # says now what's wrong with them
+    if words < 1:
+        raise ValueError("a shingle has one word at least")
     small_batches(docs.sparkSession)
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    d = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).alias("text"))
     rows = checkpointed(d.mapInArrow(_keys(words), "doc_id long, n_shingles long, k1 long, key decimal(38,0)"))
     said = d.select("text").mapInArrow(_announce(words, num, den), "sig long, k1 long")
     # Partitions are kept apart by size band: similar sets share one, and common passages don't chain all sizes together.
