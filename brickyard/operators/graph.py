@@ -103,33 +103,70 @@ def co_changes(touched: DataFrame, most: int) -> DataFrame:
 LABELS = 4
 
 
-def _bounds(prefix: str) -> list[Column]:
-    return [F.col(f"{prefix}{side}{i}") for i in range(LABELS) for side in ("lo", "hi")]
-
-
-def labels(edges: DataFrame) -> DataFrame:
-    """edges(a, b) -> node, lo0, hi0, lo1, ...: for a few hash functions the least and the greatest hash of what a node reaches,
-    itself included. A node's intervals hold those of all it reaches, so intervals that don't hold another's rule a path out.
+def _spread(edges: DataFrame, start: DataFrame, best: dict[str, bool]) -> DataFrame:
+    """start(node, ...) with, in each column of ``best``, the greatest (True) or least (False) value of all that a node reaches,
+    itself included.
 
     Changes move backwards along the edges until there are none; the rounds follow the longest of the shortest paths.
     """
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    hashes = {f"{side}{i}": F.xxhash64("node", F.lit(i)) for i in range(LABELS) for side in ("lo", "hi")}
-    known = moved = kept(nodes.withColumns(hashes))
+    known = moved = kept(start)
     while not moved.isEmpty():
-        best = [f(c).alias(f"_{c}") for i in range(LABELS) for f, c in ((F.min, f"lo{i}"), (F.max, f"hi{i}"))]
-        offered = edges.join(moved, edges["b"] == moved["node"]).groupBy("a").agg(*best).withColumnRenamed("a", "_node")
+        offers = [(F.max if most else F.min)(c).alias(f"_{c}") for c, most in best.items()]
+        offered = edges.join(moved, edges["b"] == moved["node"]).groupBy("a").agg(*offers).withColumnRenamed("a", "_node")
         both = known.join(offered, known["node"] == offered["_node"], "left")
-        wider = [(F.least, f"lo{i}") for i in range(LABELS)] + [(F.greatest, f"hi{i}") for i in range(LABELS)]
+        better = {c: (F.greatest if most else F.least)(c, f"_{c}") for c, most in best.items()}
         changed = F.lit(False)
-        for f, c in wider:
-            changed = changed | (F.coalesce(F.col(f"_{c}"), F.col(c)) != F.col(c)) & (f(c, f"_{c}") != F.col(c))
-        known = kept(both.select("node", *[f(c, f"_{c}").alias(c) for f, c in wider], changed.alias("_changed")))
-        moved = known.filter("_changed").drop("_changed")
-        known = known.drop("_changed")
+        for c, value in better.items():
+            changed = changed | (value != F.col(c))
+        step = kept(both.select("node", *[value.alias(c) for c, value in better.items()], changed.alias("_changed")))
+        known, moved = step.drop("_changed"), step.filter("_changed").drop("_changed")
     return known
 
 
+def cycles(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """edges(a, b) -> node, comp: the nodes that lie on cycles, with their strongly connected component, named by one of its nodes.
+
+    Every node takes the busiest node it reaches for its colour. A component has one colour, and those of a colour that its
+    node reaches, by edges inside the colour, are that node's component. What is left goes on without the edges
+    between colours; nodes without edges in and out are on no cycle. The first round finds the large components; with
+    ``rounds`` the small ones that would take more are left out.
+    """
+    left, found = kept(edges.filter("a <> b").select("a", "b").distinct()), None
+    while rounds is None or rounds > 0:
+        rounds = None if rounds is None else rounds - 1
+        ins = left.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("_in"))
+        outs = left.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("_out"))
+        busy = F.struct((F.col("_in") * F.col("_out")).alias("edges"), F.xxhash64("node").alias("hash"), F.col("node").alias("root"))
+        nodes = kept(ins.join(outs, "node").select("node", busy.alias("colour")))
+        left = kept(left.join(nodes.select(F.col("node").alias("a")), "a", "left_semi").join(nodes.select(F.col("node").alias("b")), "b", "left_semi"))
+        if left.isEmpty():
+            break
+        colours = _spread(left, nodes, {"colour": True}).select("node", "colour.root")
+        at_a, at_b = colours.select(F.col("node").alias("a"), F.col("root").alias("root")), colours.select(F.col("node").alias("b"), F.col("root").alias("_root"))
+        inside = kept(left.join(at_a, "a").join(at_b, "b").filter("root = _root").select("a", "b", "root"))
+        seen = frontier = kept(colours.filter("node = root"))
+        while not frontier.isEmpty():
+            met = inside.join(frontier.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node"), "root").distinct()
+            frontier = kept(met.join(seen, "node", "left_anti"))
+            seen = seen.union(frontier)
+        seen = kept(seen)
+        many = seen.groupBy("root").agg(F.count("*").alias("_n")).filter("_n > 1").select("root")
+        comps = kept(seen.join(many, "root", "left_semi").select("node", F.col("root").alias("comp")))
+        found = comps if found is None else found.union(comps)
+        left = kept(inside.join(seen.select(F.col("node").alias("a")), "a", "left_anti").join(seen.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"))
+    none = edges.select(F.col("a").alias("node"), F.col("a").alias("comp")).limit(0)
+    return none if found is None else found
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """edges(a, b) -> node, lo0, hi0, lo1, ...: for a few hash functions the least and the greatest hash of what a node reaches,
+    itself included. A node's intervals hold those of all it reaches, so intervals that don't hold another's rule a path out.
+    """
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    best = {f"{side}{i}": side == "hi" for i in range(LABELS) for side in ("lo", "hi")}
+    return _spread(edges, nodes.withColumns({c: F.xxhash64("node", F.lit(int(c[2:]))) for c in best}), best)
+
+
 def _may_reach(a: str, b: str) -> Column:
     """Whether the intervals under prefix ``a`` hold those under ``b``."""
     fits = F.lit(True)
@@ -141,13 +178,28 @@ def _may_reach(a: str, b: str) -> Column:
 def connected(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """pairs(a, b) -> those with a path from a to b of an edge or more; edges(a, b).
 
-    Labels rule most pairs out. For the others a search moves on from a, one edge a round for all pairs at once, only through
-    nodes that may reach b, and a pair that is found searches no further. All that is ever held is what those searches met.
+    Large strongly connected components become single nodes, and labels rule most pairs of these out. For the others a search
+    moves on from a, one edge a round for all pairs at once, only through nodes that may reach b, and a pair that is found
+    searches no further. All that is ever held is what those searches met.
     """
-    edges = kept(edges.select("a", "b").distinct())
+    pairs, edges = kept(pairs.select("a", "b").distinct()), kept(edges.select("a", "b").distinct())
+    comps = kept(cycles(edges, 1))
+    of = lambda df, c: df.join(comps.select(F.col("node").alias(c), F.col("comp").alias("_comp")), c, "left").withColumn(f"c{c}", F.coalesce("_comp", c)).withColumn(f"_on{c}", F.col("_comp").isNotNull()).drop("_comp")
+    named = kept(of(of(pairs, "a"), "b"))
+    loops = edges.filter("a = b").select("a", "b")
+    same = named.filter("ca = cb and _ona").select("a", "b").union(pairs.join(loops, ["a", "b"], "left_semi")).distinct()
+    between = kept(of(of(edges, "a"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    open_ = named.filter("ca <> cb or a = b and not _ona")
+    hit = _searched(open_.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), between)
+    far = open_.join(hit.select(F.col("a").alias("ca"), F.col("b").alias("cb")), ["ca", "cb"], "left_semi").select("a", "b")
+    return same.union(far).distinct()
+
+
+def _searched(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The pairs with a path of an edge or more."""
     marks = labels(edges)
     named = lambda prefix: marks.select(*[F.col(c).alias(f"{prefix}{c}") for c in marks.columns])
-    asked = pairs.select("a", "b").distinct().join(named("x_"), F.col("a") == F.col("x_node")).join(named("y_"), F.col("b") == F.col("y_node"))
+    asked = pairs.join(named("x_"), F.col("a") == F.col("x_node")).join(named("y_"), F.col("b") == F.col("y_node"))
     goal = ["a", "b", *[f"y_{c}" for c in marks.columns if c != "node"]]
     open_ = kept(asked.filter(_may_reach("x_", "y_")).select(*goal, F.col("a").alias("at")))
     seen = found = None
@@ -162,7 +214,7 @@ def connected(pairs: DataFrame, edges: DataFrame) -> DataFrame:
         found = hit if found is None else found.union(hit)
         seen = met.select("a", "b", "at") if seen is None else seen.union(met.select("a", "b", "at"))
         open_ = kept(met.join(hit, ["a", "b"], "left_anti"))
-    return pairs.select("a", "b").limit(0) if found is None else found.distinct()
+    return pairs.limit(0) if found is None else found.distinct()
 
 
 def unconnected(pairs: DataFrame, a: str, b: str, edges: DataFrame) -> DataFrame:

@@ -38,6 +38,17 @@ def reach(edges):
     return found
 
 
+def test_cycles(spark):
+    r = random.Random(4)
+    for n, m in ((25, 35), (12, 5)):
+        edges = {(r.randrange(n), r.randrange(n)) for _ in range(m)} | {(50, 51), (51, 52), (52, 50), (52, 53), (60, 60)}
+        paths = reach(edges)
+        want = {(a, b) for a, b in paths if a != b and (b, a) in paths}
+        out = {x.node: x.comp for x in graph.cycles(spark.createDataFrame(list(edges), "a long, b long")).collect()}
+        assert {(a, b) for a in out for b in out if a != b and out[a] == out[b]} == want and set(out) == {a for a, _ in want}
+    assert graph.cycles(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_connected_against_closure(spark, seed):
     r = random.Random(seed)
