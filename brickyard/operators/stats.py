@@ -53,6 +53,12 @@ def with_average(values: DataFrame) -> DataFrame:
     return values.groupingSets([["metric", "brick"], ["metric"]], "metric", "brick").agg(F.avg("value").alias("value"))
 
 
+def means(df: DataFrame, key: str, measures: dict) -> DataFrame:
+    """The means of measures for each key, and in a row with a null key over all rows, with n rows each; one pass."""
+    rows = df.select(key, *[m.alias(name) for name, m in measures.items()])
+    return rows.groupingSets([[key], []], key).agg(*[F.avg(name).alias(name) for name in measures], F.count("*").alias("n"))
+
+
 def share(df: DataFrame, key: list[str], part, out: str) -> DataFrame:
     """The share of each key's rows for which ``part`` holds; null keys' shares can't be."""
     return df.groupBy(*key).agg(F.try_divide(F.count_if(part).cast("double"), F.count("*")).alias(out))

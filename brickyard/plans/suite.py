@@ -4,13 +4,15 @@ Analogies: a brick is a nation (or a part brand), a commit an order, a file a do
 line of text, a library a host name; the base snapshot is orders before a date, the head all of them.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brickyard.functions import trees
 from brickyard.functions.facts import extract
-from brickyard.operators import code, graph, stats
-from brickyard.plans import baseline, thresholds
+from brickyard.operators import code, graph, paths, stats
+from brickyard.plans import baseline, display, thresholds
 from brickyard.plans.config import SETTINGS
+from brickyard.session import kept
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -36,10 +38,10 @@ EDGES = """flow AS (
   SELECT c_nationkey AS f, s_nationkey AS t, sum(l_quantity) AS q
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
-ranked AS (SELECT f, t, row_number() OVER (PARTITION BY f ORDER BY q DESC, t) AS r FROM flow),
+usual AS (SELECT f, t, q, avg(q) OVER (PARTITION BY f) AS m FROM flow),
 edges AS (
-  SELECT a.n_name AS src, b.n_name AS dst, r_name AS area FROM ranked JOIN nation a ON f = a.n_nationkey
-  JOIN nation b ON t = b.n_nationkey JOIN region ON b.n_regionkey = r_regionkey WHERE r <= 2),
+  SELECT a.n_name AS src, b.n_name AS dst, r_name AS area FROM usual JOIN nation a ON f = a.n_nationkey
+  JOIN nation b ON t = b.n_nationkey JOIN region ON b.n_regionkey = r_regionkey WHERE q > 1.25::DOUBLE * m),
 ca AS (SELECT dst AS brick, count(DISTINCT src) AS n FROM edges GROUP BY 1),
 ce AS (SELECT src AS brick, count(DISTINCT area) AS n FROM edges GROUP BY 1),
 deps AS (
@@ -64,15 +66,12 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf_dir: str, sales: DataFrame | None = None) -> DataFrame:
-    """from, to, interface: each nation's two largest foreign suppliers."""
+    """from, to, interface: nations from which a nation's customers buy a quarter more than from the usual foreign one."""
     sales = _sales(spark, sf_dir) if sales is None else sales
-    flow = sales.filter("c_nationkey <> s_nationkey").groupBy("c_nationkey", "s_nationkey", "src", "dst").agg(F.sum("l_quantity").alias("q"))
-    best = graph.first_of(flow, ["c_nationkey", "s_nationkey"], [F.asc("q")])
-    from pyspark.sql import Window
-
-    ranked = best.withColumn("r", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("q"), "s_nationkey"))).filter("r <= 2")
+    flow = sales.filter("c_nationkey <> s_nationkey").groupBy("src", "dst").agg(F.sum("l_quantity").alias("q"))
+    large = flow.withColumn("m", F.avg("q").over(Window.partitionBy("src"))).filter(F.col("q") > 1.25 * F.col("m"))
     area = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("dst"), F.col("r_name").alias("interface"))
-    return ranked.join(area, "dst").select(F.col("src").alias("from"), F.col("dst").alias("to"), "interface")
+    return large.join(area, "dst").select(F.col("src").alias("from"), F.col("dst").alias("to"), "interface")
 
 
 @query(f"WITH {EDGES} SELECT brick, afferent, efferent, round(instability, 6) AS instability FROM deps")
@@ -135,28 +134,6 @@ def co_change_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).withColumn("strength", F.round("strength", 6))
 
 
-BRANDS = """brands AS (SELECT p_brand AS brand, p_brand AS src, 'Brand#' || (((substr(p_brand, 7)::INT) % 5 + 1)::VARCHAR) || substr(p_brand, 8) AS dst FROM part GROUP BY p_brand),
-near AS (SELECT src, dst FROM brands WHERE src < dst AND dst IN (SELECT p_brand FROM part))"""
-
-
-def _brand_edges(spark, sf_dir):
-    brands = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("src")).distinct()
-    step = F.substring("src", 7, 10).cast("int") % 5 + 1
-    e = brands.withColumn("dst", F.concat(F.lit("Brand#"), step.cast("string"), F.substring("src", 8, 10))).filter("src < dst")
-    return e.join(brands.select(F.col("src").alias("dst")), "dst", "left_semi").select(F.col("src").alias("from"), F.col("dst").alias("to"))
-
-
-@query(
-    f"""WITH RECURSIVE {PAIRS}, {BRANDS},
-reach AS (SELECT src, dst FROM near UNION SELECT reach.src, near.dst FROM reach JOIN near ON reach.dst = near.src)
-SELECT fewer, more, shared FROM pairs WHERE shared >= 3
-AND NOT EXISTS (SELECT 1 FROM reach WHERE (src = fewer AND dst = more) OR (src = more AND dst = fewer))"""
-)
-def co_change_hidden(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir).filter("shared >= 3")
-    return graph.unconnected(pairs, "fewer", "more", _brand_edges(spark, sf_dir)).select("fewer", "more", "shared")
-
-
 @query(f"WITH RECURSIVE {EDGES}, reach AS (SELECT src, dst FROM edges UNION SELECT reach.src, edges.dst FROM reach JOIN edges ON reach.dst = edges.src) SELECT src, dst FROM reach")
 def reachability(spark, sf_dir):
     paths = graph.closure(_edges(spark, sf_dir).select(F.col("from").alias("a"), F.col("to").alias("b")))
@@ -181,12 +158,7 @@ def neighbors(spark, sf_dir):
 
 @query(f"WITH {EDGES}, ids AS (SELECT n_name, 'b' || (row_number() OVER (ORDER BY n_nationkey) - 1)::VARCHAR AS id FROM nation) SELECT '  ' || a.id || ' --> ' || b.id AS line FROM (SELECT DISTINCT src, dst FROM edges) e JOIN ids a ON a.n_name = src JOIN ids b ON b.n_name = dst")
 def mermaid_edges(spark, sf_dir):
-    from pyspark.sql import Window
-
-    ids = _nodes(spark, sf_dir).select("brick", F.concat(F.lit("b"), (F.row_number().over(Window.orderBy("ord")) - 1).cast("string")).alias("id"))
-    e = _edges(spark, sf_dir).select("from", "to").distinct()
-    a, b = ids.select(F.col("brick").alias("from"), F.col("id").alias("i")), ids.select(F.col("brick").alias("to"), F.col("id").alias("j"))
-    return e.join(a, "from").join(b, "to").select(F.concat(F.lit("  "), "i", F.lit(" --> "), "j").alias("line"))
+    return display.edge_lines(_nodes(spark, sf_dir), _edges(spark, sf_dir)).select("line")
 
 
 # -- texts and hosts -------------------------------------------------------------------------------
@@ -374,27 +346,127 @@ def limit_violations(spark, sf_dir):
     return _limit_hits(spark, sf_dir).select("metric", "brick", "level")
 
 
-@query(f"WITH {LIMITS} SELECT metric, count(*) FILTER (WHERE level = 'error') AS errors, count(*) FILTER (WHERE level = 'warning') AS warnings FROM hit WHERE level IS NOT NULL GROUP BY metric")
+# Display rows: functions are parts (a part is one row, whatever it exceeds), bricks are brands.
+ROWS = """bricks AS (SELECT p_brand AS brick, row_number() OVER (ORDER BY p_brand) AS ord FROM (SELECT DISTINCT p_brand FROM part)),
+v AS (
+  SELECT 'size' AS section, 0 AS mo, 'function-complexity' AS metric, p_brand AS brick, p_partkey AS ord, 0 AS lo, (p_size - 40) / 40.0::DOUBLE AS excess FROM part WHERE p_size > 40
+  UNION ALL SELECT 'size', 2, 'function-forms', p_brand, p_partkey, 1, (length(p_name) - 20) / 20.0::DOUBLE FROM part WHERE length(p_name) > 20
+  UNION ALL SELECT 'price', 4, 'price', p_brand, p_partkey, CASE WHEN p_retailprice > 1900 THEN 0 ELSE 1 END, (p_retailprice - CASE WHEN p_retailprice > 1900 THEN 1900 ELSE 1700 END) / CASE WHEN p_retailprice > 1900 THEN 1900 ELSE 1700 END FROM part WHERE p_retailprice > 1700),
+g AS (SELECT section, brick, ord, min(mo) AS mo, min(lo) AS lo, coalesce(max(excess) FILTER (WHERE lo = 0), max(excess)) AS excess, string_agg(metric, ',' ORDER BY mo) AS metrics FROM v GROUP BY section, brick, ord),
+rows_ AS (SELECT section, g.brick, g.ord, CASE lo WHEN 0 THEN 'error' ELSE 'warning' END AS level, metrics, row_number() OVER (ORDER BY lo, excess DESC, g.brick, mo, bricks.ord, g.ord) AS rank FROM g JOIN bricks ON g.brick = bricks.brick)"""
+
+
+def _display_rows(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    bricks = part.select(F.col("p_brand").alias("brick")).distinct().select("brick", F.lit("component").alias("type"), F.concat(F.lit("parts/"), "brick").alias("dir"), F.hash("brick").alias("ord"))
+    brands = part.select(F.col("p_brand").alias("brick")).distinct().withColumn("ord", F.row_number().over(Window.orderBy("brick")))
+    bricks = bricks.drop("ord").join(brands, "brick")
+    registry = spark.createDataFrame([(k, "max", ["component"], "function", i, "size") for i, k in enumerate(("function-complexity", "function-depth", "function-forms", "function-params"))] + [("price", "max", ["component"], "finding", 4, "price")], REGISTRY)
+    limits = _settings(spark, [("function-complexity", "error", 0, 40.0, None, None), ("function-forms", "warning", 1, 20.0, None, None), ("price", "error", 0, 1900.0, None, None), ("price", "warning", 1, 1700.0, None, None)])
+    own = F.col("p_brand").alias("brick"), F.lit("component").alias("type"), F.col("p_partkey").alias("ord")
+    name = F.col("p_partkey").cast("string")
+    functions = part.select(*own, F.lit("f").alias("file"), name.alias("id"), name.alias("name"), F.col("p_partkey").cast("int").alias("line"), F.lit(1).alias("depth_line"), F.col("p_size").alias("complexity"), F.lit(0).alias("depth"), F.length("p_name").alias("forms"), F.lit(0).alias("params"))
+    findings = part.select(*own, F.lit("price").alias("metric"), name.alias("subject"), F.col("p_retailprice").alias("value"), F.lit("costs much").alias("message"))
+    found = thresholds.shaped(thresholds.function_violations(functions, registry, limits), registry)
+    found = found.unionByName(thresholds.shaped(thresholds.finding_violations(findings, registry, limits), registry))
+    return thresholds.rows(found, bricks)
+
+
+def _row_columns():
+    first = F.col("violations")[0]
+    return "section", first["brick"].alias("brick"), F.col("subject").cast("long").alias("part"), "level"
+
+
+@query(f"WITH {ROWS} SELECT rank, section, brick, ord AS part, level, metrics FROM rows_")
+def violation_rows_ranked(spark, sf_dir):
+    rows = _display_rows(spark, sf_dir)
+    return rows.select("rank", *_row_columns(), F.array_join(F.transform("violations", lambda v: v["metric"]), ",").alias("metrics"))
+
+
+@query(f"WITH {ROWS} SELECT section, brick, ord AS part, level, row_number() OVER (PARTITION BY section ORDER BY rank) <= 20 AS is_shown FROM rows_")
+def top20_per_section(spark, sf_dir):
+    return display.with_shown(_display_rows(spark, sf_dir)).select(*_row_columns(), "is_shown")
+
+
+@query(f"WITH {ROWS} SELECT rank, section, brick, ord AS part, level FROM rows_ WHERE rank <= 20")
+def top20_rows(spark, sf_dir):
+    return _display_rows(spark, sf_dir).filter("rank <= 20").select("rank", *_row_columns())
+
+
+@query(f"WITH {ROWS}, x AS (SELECT v.metric, r.level FROM rows_ r JOIN v ON v.section = r.section AND v.brick = r.brick AND v.ord = r.ord) SELECT metric, count(*) FILTER (WHERE level = 'error') AS errors, count(*) FILTER (WHERE level = 'warning') AS warnings FROM x GROUP BY metric")
 def summary_grid(spark, sf_dir):
-    return _limit_hits(spark, sf_dir).groupBy("metric").agg(F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warning").alias("warnings"))
+    return display.grid(_display_rows(spark, sf_dir)).select("metric", "errors", "warnings")
 
 
-@query(f"WITH {LIMITS} SELECT brick, CASE WHEN bool_or(level = 'error') THEN 'error' ELSE 'warning' END AS level FROM hit WHERE level IS NOT NULL GROUP BY brick")
+@query(f"WITH {ROWS}, x AS (SELECT v.metric, r.brick, r.level FROM rows_ r JOIN v ON v.section = r.section AND v.brick = r.brick AND v.ord = r.ord) SELECT brick, metric, CASE WHEN bool_or(level = 'error') THEN 'error' ELSE 'warning' END AS level FROM x GROUP BY brick, metric")
 def worst_level_per_cell(spark, sf_dir):
-    return _limit_hits(spark, sf_dir).groupBy("brick").agg(F.max(F.when(F.col("level") == "error", 1).otherwise(0)).alias("w")).select("brick", F.when(F.col("w") == 1, "error").otherwise("warning").alias("level"))
+    return display.worst(_display_rows(spark, sf_dir))
+
+
+@query("SELECT p_brand AS brick, avg(p_size)::DOUBLE AS size, round(avg(p_retailprice), 6) AS price, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), ())")
+def brick_means(spark, sf_dir):
+    means = stats.means(_t(spark, sf_dir, "part"), "p_brand", {"size": F.col("p_size"), "price": F.col("p_retailprice")})
+    return means.select(F.col("p_brand").alias("brick"), "size", F.round("price", 6).alias("price"), "n")
+
+
+# Paths as suppliers have them: folders of bricks lie in others.
+PATHS = """bricks AS (SELECT n_name AS brick, n_nationkey AS ord, CASE WHEN n_nationkey % 3 = 0 THEN 'world/' || r_name WHEN n_nationkey % 3 = 1 THEN 'world/' || r_name || '/' || n_name ELSE 'world/' || r_name || '/' || n_name || '/src/deep' END AS dir FROM nation JOIN region ON n_regionkey = r_regionkey),
+files AS (SELECT s_suppkey, 'world/' || r_name || '/' || n_name || CASE s_suppkey % 4 WHEN 0 THEN '/src/deep/src/' WHEN 1 THEN '/test/' WHEN 2 THEN '/src/' ELSE '-not/src/' END || s_name AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def _paths(spark, sf_dir):
+    region = _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    nation = _t(spark, sf_dir, "nation").join(region, "n_regionkey")
+    top = F.concat(F.lit("world/"), "r_name")
+    third, own = F.col("n_nationkey") % 3, F.concat(top, F.lit("/"), "n_name")
+    bricks = nation.select(F.col("n_name").alias("brick"), F.col("n_nationkey").alias("ord"), F.when(third == 0, top).when(third == 1, own).otherwise(F.concat(own, F.lit("/src/deep"))).alias("dir"))
+    kind = F.col("s_suppkey") % 4
+    part = F.when(kind == 0, "/src/deep/src/").when(kind == 1, "/test/").when(kind == 2, "/src/").otherwise("-not/src/")
+    files = _t(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat(own, part, "s_name").alias("path"))
+    return files, bricks
+
+
+@query(f"WITH {PATHS} SELECT s_suppkey, arg_min(brick, ord) AS brick FROM files JOIN bricks ON starts_with(path, dir || '/') GROUP BY 1")
+def path_owners(spark, sf_dir):
+    files, bricks = _paths(spark, sf_dir)
+    return paths.owners(files, bricks).select("s_suppkey", "brick")
+
+
+@query(f"WITH {PATHS} SELECT DISTINCT brick FROM files JOIN bricks ON starts_with(path, dir || '/src/')")
+def changed_folders(spark, sf_dir):
+    files, bricks = _paths(spark, sf_dir)
+    return baseline.changed_bricks(bricks, files)
+
+
+# A supplier leads an order whose first line it serves, and through it reaches the order's other suppliers of its region, and
+# all parts of the order: some 10^5 edges at 60,000 line items, whose closure would be far larger.
+LED = """sup AS (SELECT s_suppkey AS s, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+lines AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, s, r FROM lineitem JOIN sup ON l_suppkey = s),
+lead AS (SELECT o, s, r FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY n, s) AS i FROM lines) WHERE i = 1),
+near AS (SELECT DISTINCT 's' || s AS src, 'o' || o AS dst FROM lead UNION SELECT 'o' || o, 'p' || p FROM lines
+  UNION SELECT 'o' || l.o, 's' || l.s FROM lines l JOIN lead d ON l.o = d.o AND l.r = d.r AND l.s <> d.s),
+touched AS (SELECT DISTINCT o AS c, 's' || s AS b FROM lines), small AS (SELECT * FROM touched WHERE c IN (SELECT c FROM touched GROUP BY c HAVING count(*) <= 3)),
+n AS (SELECT b, count(*) AS n FROM small GROUP BY b),
+both_ AS (SELECT x.b AS a, y.b AS b, count(*) AS shared FROM small x JOIN small y ON x.c = y.c AND x.b < y.b GROUP BY 1, 2),
+pairs AS (SELECT CASE WHEN na.n <= nb.n THEN a ELSE both_.b END AS fewer, CASE WHEN na.n <= nb.n THEN both_.b ELSE a END AS more, shared FROM both_ JOIN n na ON na.b = a JOIN n nb ON nb.b = both_.b)"""
 
 
 @query(
-    f"""WITH {LIMITS}, x AS (SELECT *, CASE WHEN metric = 'revenue' THEN CASE level WHEN 'error' THEN 36500 ELSE 35500 END ELSE CASE level WHEN 'error' THEN 4200 ELSE 4600 END END AS lim FROM hit WHERE level IS NOT NULL),
-r AS (SELECT *, row_number() OVER (ORDER BY CASE level WHEN 'error' THEN 0 ELSE 1 END, -abs(value - lim) / abs(lim), brick, metric) AS rank FROM x)
-SELECT rank, metric, brick, level FROM r WHERE rank <= 20"""
+    f"""WITH RECURSIVE {LED},
+hops AS (SELECT DISTINCT a.src, b.dst FROM near a JOIN near b ON a.dst = b.src WHERE a.src LIKE 's%' AND b.dst LIKE 's%'),
+reach AS (SELECT src, dst FROM hops UNION SELECT reach.src, hops.dst FROM reach JOIN hops ON reach.dst = hops.src)
+SELECT fewer, more, shared FROM pairs WHERE NOT EXISTS (SELECT 1 FROM reach WHERE (src = fewer AND dst = more) OR (src = more AND dst = fewer))"""
 )
-def top20_rows(spark, sf_dir):
-    from pyspark.sql import Window
-
-    v = _limit_hits(spark, sf_dir).withColumn("excess", thresholds.excess())
-    order = Window.orderBy(F.when(F.col("level") == "error", 0).otherwise(1), F.desc("excess"), "brick", "metric")
-    return v.withColumn("rank", F.row_number().over(order).cast("long")).filter("rank <= 20").select("rank", "metric", "brick", "level")
+def co_change_hidden(spark, sf_dir):
+    nation = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("r"))
+    sup = _t(spark, sf_dir, "supplier").join(nation, "s_nationkey").select(F.col("s_suppkey").alias("l_suppkey"), "r")
+    lines = _t(spark, sf_dir, "lineitem").join(sup, "l_suppkey").select(F.concat(F.lit("o"), "l_orderkey").alias("o"), "l_linenumber", "l_suppkey", F.concat(F.lit("s"), "l_suppkey").alias("s"), "r", F.concat(F.lit("p"), "l_partkey").alias("p"))
+    lead = lines.groupBy("o").agg(F.min_by(F.struct(F.col("s").alias("lead"), F.col("r").alias("lead_r")), F.struct("l_linenumber", "l_suppkey")).alias("x")).select("o", "x.*")
+    near = lines.join(lead, "o")
+    edge = lambda df, a, b: df.select(F.col(a).alias("from"), F.col(b).alias("to"))
+    edges = edge(lead, "lead", "o").union(edge(lines, "o", "p")).union(edge(near.filter("r = lead_r and s <> lead"), "o", "s"))
+    pairs = graph.co_changes(lines.select(F.col("o").alias("commit"), F.col("s").alias("brick")), 3)
+    return graph.unconnected(pairs, "fewer", "more", edges).select("fewer", "more", "shared")
 
 
 @query(
@@ -440,21 +512,22 @@ def conditional_message(spark, sf_dir):
 
 # -- snapshots -------------------------------------------------------------------------------------
 
-SNAP = """head AS (SELECT p_brand AS brick, l_returnflag AS subject, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber >= 6 GROUP BY 1, 2 HAVING sum(l_quantity) > {limit}),
-base AS (SELECT p_brand AS brick, l_returnflag AS subject, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 2 GROUP BY 1, 2 HAVING sum(l_quantity) > {limit})""".replace("{limit}", "(SELECT sum(l_quantity) / 270 FROM lineitem)")
+SNAP = """sold AS (SELECT p_brand AS brick, l_returnflag || l_linestatus || l_linenumber AS subject, l_quantity AS q, l_discount AS d, o_orderdate AS day FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
+head AS (SELECT brick, subject, avg(d) AS value FROM sold GROUP BY 1, 2 HAVING avg(d) > 0.051),
+base AS (SELECT brick, subject, avg(d) AS value FROM sold WHERE day < TIMESTAMP '1997-01-01' GROUP BY 1, 2 HAVING avg(d) > 0.051)"""
 
 
 def _snapshots(spark, sf_dir):
-    lines = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    limit = _t(spark, sf_dir, "lineitem").agg((F.sum("l_quantity") / 270).alias("limit"))
+    """Head: subjects of all line items whose mean discount is large; base: those of orders before a date."""
+    lines = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.withColumn("subject", F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")))
 
     def of(rows):
-        g = rows.groupBy(F.col("p_brand").alias("brick"), F.col("l_returnflag").alias("subject")).agg(F.sum("l_quantity").alias("value"))
+        g = rows.groupBy(F.col("p_brand").alias("brick"), "subject").agg(F.avg("l_discount").alias("value")).filter("value > 0.051D")
         null = F.lit(None)
-        g = g.join(F.broadcast(limit)).filter("value > limit")
-        return g.select("brick", F.lit("quantity").alias("metric"), "subject", "value", F.lit("finding").alias("kind"), F.lit("max").alias("direction"), null.cast("boolean").alias("historical"), F.lit("m").alias("message"))
+        return g.select("brick", F.lit("discount").alias("metric"), "subject", "value", F.lit("finding").alias("kind"), F.lit("max").alias("direction"), null.cast("boolean").alias("historical"), F.lit("m").alias("message"))
 
-    return of(lines.filter("l_linenumber >= 6")), of(lines.filter("l_linenumber <= 2"))
+    return of(lines), of(lines.filter(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp")))
 
 
 @query(
@@ -482,8 +555,8 @@ OLD_EDGES = EDGES[: EDGES.index("ca AS")].rstrip().rstrip(",")
     f"""WITH {OLD_EDGES}, old_flow AS (
   SELECT c_nationkey AS f, s_nationkey AS t, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE c_nationkey <> s_nationkey AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1, 2),
-old_ranked AS (SELECT f, t, row_number() OVER (PARTITION BY f ORDER BY q DESC, t) AS r FROM old_flow),
-old AS (SELECT a.n_name AS src, b.n_name AS dst FROM old_ranked JOIN nation a ON f = a.n_nationkey JOIN nation b ON t = b.n_nationkey WHERE r <= 2)
+old_usual AS (SELECT f, t, q, avg(q) OVER (PARTITION BY f) AS m FROM old_flow),
+old AS (SELECT a.n_name AS src, b.n_name AS dst FROM old_usual JOIN nation a ON f = a.n_nationkey JOIN nation b ON t = b.n_nationkey WHERE q > 1.25::DOUBLE * m)
 SELECT src, dst, NOT EXISTS (SELECT 1 FROM old WHERE old.src = edges.src AND old.dst = edges.dst) AS is_new FROM edges"""
 )
 def new_edges(spark, sf_dir):
@@ -506,3 +579,32 @@ def source_facts(spark, sf_dir):
     files = n.select(F.col("n_name").alias("brick"), null.alias("type"), null.alias("dir"), F.col("n_name").alias("file"), F.lit(False).alias("is_test"), F.lit(0).alias("ord"), body.alias("source"))
     total = F.aggregate(F.transform("functions", lambda f: f["complexity"]), F.lit(0), lambda a, x: a + x)
     return extract(files).select("brick", "forms", F.size("functions").cast("long").alias("functions"), total.cast("long").alias("complexity"))
+
+
+# Seven shapes of forms with sizes from the data: nested conditions, clauses, connectives, arities, modifiers, cases, threads.
+SHAPES = """shape AS (SELECT s_suppkey AS k, s_nationkey % 7 AS kind, s_suppkey % 9 + 1 AS n FROM supplier),
+counted AS (SELECT k, CASE kind
+  WHEN 0 THEN 5 + 3 * n WHEN 1 THEN 9 + 2 * n WHEN 2 THEN 7 + n WHEN 3 THEN 3 + 4 * n WHEN 4 THEN 11 + 2 * n WHEN 5 THEN 10 + 4 * n ELSE 8 + 2 * n END AS forms,
+  CASE kind WHEN 0 THEN 1 + n WHEN 1 THEN 1 + n WHEN 2 THEN greatest(n, 1) WHEN 3 THEN n WHEN 4 THEN 1 + n WHEN 5 THEN 1 + 2 * n ELSE 1 + n END AS complexity FROM shape)"""
+
+
+@query(f"WITH {SHAPES} SELECT k AS file, (7 + forms)::BIGINT AS file_forms, forms::BIGINT AS forms, complexity::BIGINT AS complexity FROM counted")
+def token_tree_forms(spark, sf_dir):
+    rep = lambda text: F.expr(f"repeat('{text}', n)")
+    two = lambda before, middle, after: F.concat(F.lit(before), middle, F.lit(after))
+    shapes = [
+        F.concat(F.lit("(defn f [] "), rep("(if x "), F.lit("1"), rep(")"), F.lit(")")),
+        two("(defn f [x] (cond ", rep("x 1 "), ":else 2))"),
+        two("(defn f [x] (and ", rep("x "), "))"),
+        two("(defn f ", rep("([x] x) "), ")"),
+        two("(defn f [x] (for [y x ", rep(":when y "), "] y))"),
+        F.concat(F.lit("(defn f [x] (do 1 "), rep("(if-not (while) "), F.lit("2"), rep(")"), F.lit(" 3))")),
+        two("(defn f [x] (cond-> x ", rep("x inc "), "))"),
+    ]
+    text = shapes[-1]
+    for i, s in enumerate(shapes[:-1]):
+        text = F.when(F.col("kind") == i, s).otherwise(text)
+    rows = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"), (F.col("s_nationkey") % 7).alias("kind"), (F.col("s_suppkey") % 9 + 1).cast("int").alias("n"))
+    table = kept(trees.nodes(rows.select("file", F.concat(F.lit("(ns a.b) ; the file\n(def x 1)\n"), text).alias("source"))))
+    found = trees.function_measures(table).join(trees.file_forms(table).withColumnRenamed("forms", "file_forms"), "file")
+    return found.select("file", "file_forms", F.col("forms").cast("long").alias("forms"), "complexity")
