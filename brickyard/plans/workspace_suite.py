@@ -1,8 +1,8 @@
 """The engine itself (tables, resolution, metrics, findings, display rows) over a workspace made of the relational tables.
 
 A brick is a nation (those of region 0 are bases), a source file and a test file belong to each supplier. A third of the
-source files are interfaces. Requires, definitions and references are what a supplier's larger line items make of them. The
-flat tables in FLAT are SQL that both engines read; what is made of them is the engine's work on one side and SQL on the other.
+source files are interfaces. Definitions and references are what a supplier's line items make of them; requires, keywords
+and tests are the parts, nations and orders that it sells more than usual of. The flat tables in FLAT are SQL that both engines read; what is made of them is the engine's work on one side and SQL on the other.
 """
 
 from functools import reduce
@@ -21,22 +21,31 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 TABLES = ("nation", "supplier", "customer", "orders", "lineitem")
 
+
+
+def _large(keys: str, times: float) -> str:
+    """Of groups of line items those whose quantity is so many times that of the usual one."""
+    names = ", ".join(k.rpartition(" AS ")[2] for k in keys.split(", "))
+    grouped = f"SELECT {keys}, sum(q) AS q FROM line GROUP BY ALL"
+    return f"SELECT {names} FROM ({grouped}) g WHERE q > {times} * (SELECT avg(q) FROM ({grouped}) h)"
+
+
 FLAT = {
     "brick": """SELECT CAST(n_nationkey AS INT) AS ord, n_name AS brick, CASE WHEN n_regionkey = 0 THEN 'base' ELSE 'component' END AS type,
   'parts/' || n_name AS dir, lower(replace(n_name, ' ', '-')) AS seg FROM nation""",
     "src": """SELECT s_suppkey AS k, brick, type, dir, seg, 'src/' || lpad(CAST(s_suppkey AS STRING), 9, '0') AS file,
   'top.' || seg || CASE WHEN s_suppkey % 3 = 0 THEN '.interface' ELSE '.core' END AS ns, s_suppkey % 50 + 10 AS forms, s_suppkey % 4 AS interop,
   'test/' || lpad(CAST(s_suppkey AS STRING), 9, '0') AS test_file, 'top.' || seg || '.t' || CAST(s_suppkey AS STRING) AS test_ns FROM supplier JOIN brick ON s_nationkey = ord""",
-    "line": """SELECT l_suppkey AS k, l_partkey % 40 AS p, l_orderkey AS o, c_nationkey AS t, l_quantity AS q, l_linenumber AS n
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity >= 46""",
-    "req": """SELECT DISTINCT k, CAST(t AS INT) AS ord, 'top.' || seg || '.interface' AS target, 'a' || CAST(t AS STRING) AS alias FROM line JOIN brick ON t = ord WHERE q >= 50""",
-    "lib": """SELECT DISTINCT k, CAST(100 + p AS INT) AS ord, 'org.lib' || CAST(p % 9 AS STRING) || '.x.part' || CAST(p AS STRING) AS target FROM line WHERE q >= 50 AND o % 4 = 0""",
+    "line": """SELECT l_suppkey AS k, l_partkey % 40 AS p, l_orderkey AS o, c_nationkey AS t, l_quantity AS q
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""",
+    "req": f"""SELECT k, CAST(t AS INT) AS ord, 'top.' || seg || '.interface' AS target, 'a' || CAST(t AS STRING) AS alias FROM ({_large("k, t", 1.4)}) x JOIN brick ON t = ord""",
+    "lib": f"""SELECT k, CAST(100 + p AS INT) AS ord, 'org.lib' || CAST(p % 9 AS STRING) || '.x.part' || CAST(p AS STRING) AS target FROM ({_large("k, p", 1.5)}) x""",
     "def": """SELECT DISTINCT k, CAST(p AS INT) AS p, 'p' || CAST(p AS STRING) AS name, p % 7 = 0 AS private, p % 11 = 3 AND k % 5 = 0 AS throws FROM line""",
     "ref": """SELECT DISTINCT k, CAST(p AS INT) AS p, CASE WHEN o % 3 = 0 THEN 'p' || CAST(o % 40 AS STRING) WHEN o % 17 = 0 THEN 'zz/p1' ELSE 'a' || CAST(t AS STRING) || '/p' || CAST(o % 40 AS STRING) END AS symbol FROM line""",
-    "word": """SELECT DISTINCT k, 'w/' || CAST(o % 900 AS STRING) AS keyword FROM line WHERE q >= 50""",
-    "tested": """SELECT DISTINCT k, 'me/p' || CAST(o % 40 AS STRING) AS symbol FROM line WHERE q >= 49""",
-    "reach": """SELECT DISTINCT k, CAST(t AS INT) + 1 AS ord, 'top.' || seg || CASE WHEN t % 2 = 0 THEN '.core' ELSE '.interface' END AS target FROM line JOIN brick ON t = ord WHERE q >= 50 AND n = 1""",
-    "test": """SELECT DISTINCT k, CAST(p AS INT) AS p, CAST(p % 5 AS INT) AS assertions FROM line WHERE q >= 48""",
+    "word": f"""SELECT k, 'w/' || CAST(w AS STRING) AS keyword FROM ({_large("k, o % 900 AS w", 2)}) x""",
+    "tested": f"""SELECT k, 'me/p' || CAST(w AS STRING) AS symbol FROM ({_large("k, o % 40 AS w", 1.3)}) x""",
+    "reach": f"""SELECT k, CAST(t AS INT) + 1 AS ord, 'top.' || seg || CASE WHEN t % 2 = 0 THEN '.core' ELSE '.interface' END AS target FROM ({_large("k, t", 1.5)}) x JOIN brick ON t = ord""",
+    "test": f"""SELECT k, CAST(p AS INT) AS p, CAST(p % 5 AS INT) AS assertions FROM ({_large("k, p", 1.1)}) x""",
 }
 
 
@@ -55,15 +64,34 @@ def query(sql: str, *names: str):
     return add
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _tables(spark: SparkSession, sf_dir: str):
+    """A function from names of flat tables to these; line items are read and joined once."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    views = ", ".join(f"{t} AS (SELECT * FROM {{{t}}})" for t in TABLES)
-    return spark.sql(f"WITH {views}, {flat(name).removeprefix('WITH RECURSIVE ')} SELECT * FROM {name}", **tables)
+
+    def of(wanted: list[str], name: str, given: dict[str, DataFrame]) -> DataFrame:
+        shown = ", ".join(f"{t} AS (SELECT * FROM {{{t}}})" for t in given)
+        made = ", ".join(f"{n} AS ({FLAT[n]})" for n in wanted)
+        return spark.sql(f"WITH {shown}, {made} SELECT * FROM {name}", **given)
+
+    shared = {name: kept(of(["brick", "src", "line"], name, tables)) for name in ("brick", "src", "line")}
+    return lambda name: shared[name] if name in shared else of([name], name, shared)
+
+
+_made: dict[tuple[str, str], Workspace] = {}
 
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
-    """The facts of all files, one row a file, as the source reader would give them."""
-    t = lambda name: _table(spark, sf_dir, name)
+    """The facts of all files, one row a file, as the source reader would give them; made once for the session's queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _made:
+        _made.clear()
+        _made[key] = _workspace(spark, sf_dir)
+    made = _made[key]
+    return Workspace(made.settings, made.bricks, made.facts)  # what is derived from the facts is each query's own
+
+
+def _workspace(spark: SparkSession, sf_dir: str) -> Workspace:
+    t = _tables(spark, sf_dir)
     of = lambda df, what, out: df.groupBy("k").agg(F.sort_array(F.collect_list(what)).alias(out))
     no, null, one = F.lit(False), F.lit(None).cast("string"), F.lit(1)
     requires = lambda df, alias: df.select("k", F.struct("ord", "target", no.alias("is_js"), F.col("ord").alias("line"), alias.alias("alias"), null.alias("as_alias"), F.array().cast("array<string>").alias("refer")).alias("x"))
