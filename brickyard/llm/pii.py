@@ -25,7 +25,7 @@ are ignored by ``find``. Offsets are in code points, ends exclusive.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brickyard.llm._shared import checkpointed
+from brickyard.llm._shared import checkpointed, named, unused
 
 # The patterns as given, but for look-behinds that keep a failing run from being tried again at each of
 # its characters, and possessive repeats, which neither change what matches first nor recurse.
@@ -99,7 +99,7 @@ def _located(df: DataFrame, text: str, pattern: str, when: Column | None, out: s
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, support: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, mark (hash of the text), and for each kind and "term" an array of (start, end)."""
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    d = docs.select(named(doc_id).cast("long").alias("doc_id"), F.xxhash64(named(text)).alias("mark"), F.coalesce(named(text), F.lit("")).alias("text"))
     df = d
     for kind in KINDS:
         need = NEEDS[kind]
@@ -110,9 +110,9 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     spans = [F.transform(f"_{k}", lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"))).alias(k) for k in KINDS]
     entities = F.array_distinct(F.concat(*[F.transform(f"_{k}", lambda m: F.concat(F.lit(f"{k}:"), F.lower(m["value"]))) for k in KINDS])).alias("entities")
     base = checkpointed(df.select("doc_id", "mark", *spans, entities))
-    # Terms are hashed where they are counted, in a list a row; rows that repeat a text are left out afterwards.
+    # Terms are hashed where they are counted, and read again rather than kept; rows that repeat a text are left out.
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda t: F.xxhash64(F.lower(t)))).alias("terms")
-    told = _told(base.select("mark", "entities"), _single(checkpointed(d.select(F.monotonically_increasing_id().alias("row"), "mark", words))), threshold, support)
+    told = _told(base.select("mark", "entities"), _single(d.select(F.monotonically_increasing_id().alias("row"), "mark", words)), threshold, support)
     base = base.drop("entities")
     holders = _located(d.join(told, "mark").dropDuplicates(["mark"]), "text", TERM, None, "_term", lambda value: F.array_contains("told", F.xxhash64(F.lower(value))))
     found = F.transform("_term", lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end")))
@@ -165,18 +165,24 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, support: int = 3) -> DataFrame:
-    """docs with base spans replaced by their kind in brackets and disclosing terms removed."""
+    """docs with base spans replaced by their kind in brackets and disclosing terms removed.
+
+    Of spans that overlap, the part of a later one that reaches beyond the earlier is replaced too. A null text stays null,
+    an empty one empty; other columns, of whatever name, and repeated rows stay as they are.
+    """
     spans = find(docs, doc_id, text, threshold, support)
     marked = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("" if k == "term" else f"[{k.upper()}]").alias("by"))) for k in (*KINDS, "term")])
-    cuts = spans.filter(F.size(F.concat(*KINDS, "term")) > 0).groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(F.sort_array(F.first(marked)).alias("__cuts"))
-    c = F.col
-    rows = docs.join(cuts, c(f"`{doc_id}`").cast("long").eqNullSafe(c("__id")) & (F.xxhash64(c(f"`{text}`")) == c("__mark")), "left")
+    taken = docs.columns
+    of, mark, cuts = unused("__id", taken), unused("__mark", taken), unused("__cuts", taken)
+    by_row = spans.filter(F.size(F.concat(*KINDS, "term")) > 0).groupBy(F.col("doc_id").alias(of), F.col("mark").alias(mark)).agg(F.sort_array(F.first(marked)).alias(cuts))
+    whole = named(text)
+    rows = docs.join(by_row, named(doc_id).cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(whole) == F.col(mark)), "left")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
-        part = F.concat(F.substring(c(f"`{text}`"), acc["at"] + 1, s["start"] - acc["at"]), s["by"])
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(part)).alias("parts")))
+        part = F.concat(F.substring(whole, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), s["by"])
+        return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(part)).alias("parts")))
 
-    done = F.aggregate("__cuts", start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(c(f"`{text}`"), a["at"] + 1, F.length(c(f"`{text}`")))))
-    new = F.when(c("__cuts").isNull(), c(f"`{text}`")).otherwise(done)
-    return rows.select(*[new.alias(n) if n == text else c(f"`{n}`") for n in docs.columns])
+    done = F.aggregate(cuts, start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(whole, a["at"] + 1, F.length(whole))))
+    new = F.when(F.col(cuts).isNull(), whole).otherwise(done)
+    return rows.select(*[new.alias(n) if n == text else named(n) for n in docs.columns])

@@ -106,3 +106,19 @@ def test_query(spark):
         left[r.doc_id] -= r.length
         used[r.sequence_id] += r.length
     assert not any(left.values()) and all(n == 2048 or n & (n - 1) == 0 for n in used.values())
+
+
+def test_encoder_gives_the_tokenizers_ids():
+    """Words that go straight to the model, with marks around them, in other scripts and beside special tokens."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from brickyard.llm.token_files import ChunkEncoder
+
+    r = random.Random(2)
+    chars = [chr(i) for i in range(33, 0x260) if not chr(i).isspace()]
+    texts = ["".join(r.choice(chars) for _ in range(r.randrange(1, 6))) + r.choice(["", ",", ".", ".,", "!?", "'s.", "'", "&&&"]) for _ in range(4000)]
+    texts += ["éa", "Å.", "İx", "ΑΣ", "don't.", "'so", "ǅ", "ß,", "SS", "<|endoftext|>", "x<|endoftext|>.", "ﬁ", "ª", "º.", "東京,", "éa.", "_a_", "word’s,", "...", "a" * 400 + "!"]
+    plain = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ChunkEncoder(PATH).encode(texts)] == plain
