@@ -3,6 +3,7 @@
 import argparse
 import datetime
 import os
+import shutil
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from brickyard.plans.facts_table import FactsTable
 from brickyard.plans.registry import METRICS
 from brickyard.session import kept, local_session
 from brickyard.sources import git
+from brickyard.sources.lines import write_lines
 from brickyard.sources.reader import ReadError
 from brickyard.sources.workspace import Revision, Tree, is_workspace, read_config, read_settings
 
@@ -52,7 +54,7 @@ def _dicts(df: DataFrame) -> list[dict]:
 
 
 def build_report(tree: Tree, configured: dict, base_ref: str | None, warnings: bool = True, only_new: bool = False, facts_folder: str | None = None) -> tuple[report.Report, bool, bool]:
-    """The report, and whether it has errors that are new, and any errors. What is returned is small and collected."""
+    """The report, and whether it has errors that are new, and any errors. Only tables of bricks are collected."""
     spark = tree.spark
     merged = merge_config(configured)
     facts = FactsTable(spark, facts_folder)
@@ -79,7 +81,7 @@ def build_report(tree: Tree, configured: dict, base_ref: str | None, warnings: b
             "resolved": [v for v in _dicts(gone) if warnings or v["level"] == "error"],
         }
     collected_edges = _dicts(edges.orderBy(*order))
-    every = _dicts(thresholds.rows(violations, bricks).orderBy("rank"))
+    every = kept(thresholds.rows(violations, bricks))
     status = violations.withColumn("status", F.coalesce("status", F.lit("new"))) if base_ref else violations.withColumn("status", F.lit("new"))
     facts = status.agg(F.count_if(F.expr("level = 'error' and status = 'new'")).alias("new"), F.count_if(F.col("level") == "error").alias("all"), F.count_if(F.expr("level = 'warning' and status = 'new'")).alias("warnings"), F.count_if(F.expr("status <> 'new' and level = 'error'")).alias("old_errors"), F.count_if(F.expr("status <> 'new'")).alias("old")).first()
     shown = status
@@ -90,13 +92,14 @@ def build_report(tree: Tree, configured: dict, base_ref: str | None, warnings: b
         shown = shown.filter("status = 'new'")
         extra["hidden_existing"] = facts["old"] if warnings else facts["old_errors"]
     narrowed = not warnings or (base_ref and only_new)
-    rows = _dicts(thresholds.rows(shown if base_ref else shown.drop("status"), bricks).orderBy("rank")) if narrowed else every
+    rows = thresholds.rows(shown if base_ref else shown.drop("status"), bricks) if narrowed else every
+    listing = report.Listing(rows, (gone if warnings else gone.filter("level = 'error'")) if base_ref else None)
     checked = [(m.key, list(m.checked)) for m in METRICS.values()]
     peers = head.values.join(F.broadcast(spark.createDataFrame(checked, "metric string, checks array<string>")), "metric").filter(F.array_contains("checks", F.col("type")))
     averages = stats.with_average(peers.select("metric", "brick", "value").filter("value is not null")).filter("brick is null")
     shared = head.tables.libraries.filter("n_bricks > 1").groupBy("library").agg(F.max("n_bricks").alias("n")).orderBy(F.desc("n"), "library")
     found = report.Report(
-        workspace=tree.name, bricks=_dicts(bricks.orderBy("ord")), rows=rows, edges=collected_edges, graph_rows=every,
+        workspace=tree.name, bricks=_dicts(bricks.orderBy("ord")), listing=listing, edges=collected_edges, ends=report.graph_ends(every),
         values={(r["brick"], r["metric"]): (r["value"], r["subject"]) for r in _dicts(head.values)}, averages={r["metric"]: r["value"] for r in _dicts(averages)},
         outliers={(r["brick"], r["metric"]): r for r in _dicts(thresholds.outlined(head.wide))}, libraries=_dicts(shared), thresholds=merged,
         configured={k for metrics in configured.values() for k in metrics}, generated_at=datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds"), hazards={r["brick"]: r["hazard-kinds"] for r in _dicts(head.wide.filter("`hazard-kinds` is not null").select("brick", "hazard-kinds"))}, **extra,
@@ -104,23 +107,32 @@ def build_report(tree: Tree, configured: dict, base_ref: str | None, warnings: b
     return found, facts["new"] > 0, facts["all"] > 0
 
 
-def _write(kind: str, found: report.Report, options, env: dict) -> None:
+def _printed(spark: SparkSession, parts: report.Parts) -> None:
+    """The parts' lines, as they come: a partition at a time."""
+    for row in report.assembled(spark, parts).orderBy("part", "ord").select("line").toLocalIterator():
+        print(row.line)
+
+
+def _saved(spark: SparkSession, parts: report.Parts, path: str) -> None:
+    write_lines(report.assembled(spark, parts), path, "part", "ord")
+
+
+def _write(spark: SparkSession, kind: str, found: report.Report, options, env: dict) -> None:
     if kind == "text":
-        print(report.text(found), end="")
+        _printed(spark, report.text(found))
     elif kind == "github":
-        for line in report.annotations(found):
-            print(line)
+        _printed(spark, report.annotations(found))
         where = env.get("GITHUB_STEP_SUMMARY")
         if where:
-            with open(where, "a", encoding="utf-8") as f:
-                f.write(report.summary(found))
+            _saved(spark, report.summary(found), f"{where}.brickyard")
+            with open(f"{where}.brickyard", "rb") as own, open(where, "ab") as f:  # others write there too
+                shutil.copyfileobj(own, f)
+            os.remove(f"{where}.brickyard")
         else:
-            print(report.summary(found))
+            _printed(spark, report.summary(found))
     else:
         where = options.output or os.path.join(options.workspace, "target", "brickyard", "index.html")
-        os.makedirs(os.path.dirname(os.path.abspath(where)), exist_ok=True)
-        with open(where, "w", encoding="utf-8") as f:
-            f.write(report.html(found))
+        _saved(spark, report.html(found), where)
         print("Wrote", where)
 
 
@@ -158,7 +170,7 @@ def run(args: list[str], env: dict, spark: SparkSession | None = None) -> int:
         return 2
     formats = options.format or ["github" if env.get("GITHUB_ACTIONS") else "html"]
     for kind in dict.fromkeys(formats):
-        _write(kind, found, options, env)
+        _write(tree.spark, kind, found, options, env)
     return 1 if options.fail and (any_new if scope == "new" else any_error) else 0
 
 

@@ -1,23 +1,62 @@
-"""Reports as text, GitHub annotations and summary, HTML and Mermaid, from small collected tables."""
+"""Reports as text, GitHub annotations and summary, HTML and Mermaid.
+
+Tables of bricks (their values, edges and worst levels) are collected: they are as large as the workspace has bricks. Display
+rows, of which there may be any number, stay a table: a page is a list of texts and of frames with lines, which tasks write.
+"""
 
 import html as escape_html
 import math
 from collections import Counter
 from dataclasses import dataclass, field
 
-from brickyard.plans.registry import METRICS, SECTIONS
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-GROUP_LABEL = "Functions"
-SHOWN = 20
+from brickyard.plans import display
+from brickyard.plans.registry import METRICS, SECTIONS
+from brickyard.session import kept
+
+
+class Listing:
+    """Display rows with their texts, and what is counted in them."""
+
+    def __init__(self, rows: DataFrame, resolved: DataFrame | None = None):
+        self.rows = kept(display.with_texts(rows))
+        by = self.rows.groupBy("section", "level", display.introduced().alias("fresh")).agg(F.count("*").alias("n")).collect()
+        self.levels, self.fresh, self.every = Counter(), Counter(), Counter()
+        for section, level, fresh, n in by:
+            self.every[section] += n
+            if fresh:
+                self.levels[level] += n
+                self.fresh[section] += n
+        self.old = sum(self.every.values()) - sum(self.fresh.values())
+        self.grid = {m: (e, w, r) for m, e, w, r in display.grid(self.rows, resolved).select("metric", "errors", "warnings", "resolved").collect()}
+        self.worst = {(b, m): level for b, m, level in display.worst(self.rows).collect()}
+
+    @classmethod
+    def none(cls, spark: SparkSession) -> "Listing":
+        """Without rows; for pages of workspaces in which nothing is checked."""
+        out = cls.__new__(cls)
+        out.rows, out.levels, out.fresh, out.every, out.old, out.grid, out.worst = None, Counter(), Counter(), Counter(), 0, {}, {}
+        return out
+
+
+def graph_ends(rows: DataFrame) -> dict[str, list[tuple[str, str]]]:
+    """Pairs of bricks that the graph marks; at most one for each edge, and for each hidden pair."""
+    marked = rows.filter(F.col("metric").isin("unstable-dependencies", "co-change")).select("metric", F.get("bricks", F.lit(0)).alias("brick"), "subject", "rank")
+    out: dict[str, list[tuple[str, str]]] = {}
+    for metric, brick, subject, _ in marked.orderBy("rank").collect():
+        out.setdefault(metric, []).append((brick, subject))
+    return out
 
 
 @dataclass
 class Report:
-    """What a run found, collected: rows are display rows (see thresholds.rows), worst first."""
+    """What a run found."""
 
     workspace: str
     bricks: list[dict]
-    rows: list[dict]
+    listing: Listing
     edges: list[dict]
     values: dict[tuple[str, str], tuple[float | None, str | None]]
     averages: dict[str, float | None] = field(default_factory=dict)
@@ -25,7 +64,7 @@ class Report:
     libraries: list[dict] = field(default_factory=list)
     thresholds: dict[str, dict | None] = field(default_factory=dict)
     configured: set[str] = field(default_factory=set)
-    graph_rows: list[dict] | None = None
+    ends: dict[str, list[tuple[str, str]]] = field(default_factory=dict)
     base_ref: str | None = None
     changed: set[str] = field(default_factory=set)
     base_values: dict[tuple[str, str], float | None] = field(default_factory=dict)
@@ -78,86 +117,50 @@ def describe(thresholds: dict, key: str) -> str | None:
     return ", ".join(parts) or None
 
 
-def label(row: dict) -> str:
-    return GROUP_LABEL if row["group"] == "function-rows" else METRICS[row["metric"]].label
-
-
-def _function_part(line: int | None, v: dict) -> str:
-    text = f"{METRICS[v['metric']].measure} {number(v['value'])} {threshold_text(v['metric'], v['limit'])}"
-    return text if v["own_line"] == line else f"{text} (line {v['own_line']})"
-
-
-def row_text(row: dict) -> str:
-    first = row["violations"][0]
-    names = ", ".join(row["bricks"])
-    if row["group"] == "function-rows":
-        return ", ".join(_function_part(row["locations"][0]["line"], v) for v in row["violations"])
-    if row["group"] == "library-spread":
-        return f"{row['subject']} is required by {number(row['value'])} bricks, more than {number(first['limit'])}: {names}"
-    if row["group"] == "duplicate-code":
-        return f"{number(row['value'])} forms in each of {names}, the same code (more than {number(first['limit'])})"
-    return first["message"]
-
-
-def introduced(row: dict) -> bool:
-    return row["status"] in (None, "new")
-
-
 def _plural(n: int, noun: str) -> str:
     return f"{n} {noun}{'' if n == 1 else 's'}"
 
 
 def _headline(r: Report) -> str:
-    shown = [x for x in r.rows if introduced(x)]
-    levels = Counter(x["level"] for x in shown)
+    """What was checked, and how much was found, listed or not."""
     kind = "new " if r.base_ref else ""
-    warnings = _plural(levels["warning"], f"{kind}warning") if r.hidden_warnings is None else f"{_plural(r.hidden_warnings, f'{kind}warning')} hidden (--warnings to show)"
-    text = f"brickyard: {_plural(len(r.bricks), 'brick')}, {_plural(levels['error'], f'{kind}error')}, {warnings}"
-    if r.base_ref:
-        old = len(r.rows) - len(shown) + r.hidden_existing
-        text += f", compared with {r.base_ref}" + (f" ({old} not new, not shown)" if old else "")
-    return text
+    levels = r.listing.levels
+    said = [f"{_plural(len(r.bricks), 'brick')} checked" + (f" against {r.base_ref}" if r.base_ref else ""), _plural(levels["error"], f"{kind}error")]
+    said.append(_plural(levels["warning"], f"{kind}warning") if r.hidden_warnings is None else f"{_plural(r.hidden_warnings, f'{kind}warning')} left out (use --warnings)")
+    old = r.listing.old + r.hidden_existing
+    if r.base_ref and old:
+        said.append(f"{_plural(old, 'older finding')} left out")
+    return "brickyard: " + ", ".join(said)
+
+
+#: A page's parts: texts, and frames (ord, line) of any size.
+Parts = list["str | DataFrame"]
+
+
+def assembled(spark: SparkSession, parts: Parts) -> DataFrame:
+    """part, ord, line: the parts' lines in order."""
+    texts = [(i, 0, p) for i, p in enumerate(parts) if isinstance(p, str)]
+    out = spark.createDataFrame(texts, "part int, ord long, line string")
+    for i, p in enumerate(parts):
+        if not isinstance(p, str):
+            out = out.unionByName(p.select(F.lit(i).alias("part"), F.col("ord").cast("long").alias("ord"), "line"))
+    return out
 
 
-def text(r: Report) -> str:
-    parts = []
+def text(r: Report) -> Parts:
+    parts: Parts = []
+    lines = display.text_lines(r.listing.rows) if r.listing.rows is not None else None
     for section, title in SECTIONS:
-        lines = []
-        for row in r.rows:
-            if row["section"] != section or not introduced(row):
-                continue
-            at = row["locations"][0] if row["locations"] else None
-            where = f"{at['file']}:{at['line']}" if at else row["violations"][0]["dir"] or row["bricks"][0]
-            what = f"{at['name']}: {row_text(row)}" if row["group"] == "function-rows" else f"{label(row)} {row_text(row)}"
-            lines.append(f"{row['level']:<8}{where}  {what}")
-        if lines:
-            parts.append("\n".join([title, *lines]))
-    return "\n\n".join([*parts, _headline(r) + "\n"])
+        if n := r.listing.fresh[section]:
+            parts += [f"{title} ({n})", lines.filter(F.col("section") == section), ""]
+    return [*parts, _headline(r)]
 
 
-# -- GitHub -----------------------------------------------------------------------------------------
+def annotations(r: Report) -> Parts:
+    return [display.annotation_lines(r.listing.rows)] if r.listing.every else []
 
 
-def _data(s: str) -> str:
-    return s.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
-
-
-def _property(s: str) -> str:
-    return _data(s).replace(":", "%3A").replace(",", "%2C")
-
-
-def annotations(r: Report) -> list[str]:
-    out = []
-    for row in r.rows:
-        first, old = row["violations"][0], not introduced(row)
-        places = row["locations"] or ([{"file": f"{first['dir']}/deps.edn", "line": 1}] if first["dir"] else [{}])
-        name = row["locations"][0]["name"] if row["locations"] else None
-        said = f"{label(row)} {row_text(row)}" + (f" ({name})" if name else "") + (f" [{row['status']}]" if old else "")
-        for at in places:
-            props = [f"{k}={_property(str(at[k]))}" for k in ("file", "line") if at.get(k)]
-            props.append(f"title={_property(f'{first['type']} {row['bricks'][0]}: {label(row)}')}")
-            out.append(f"::{'notice' if old else row['level']} {','.join(props)}::{_data(said)}")
-    return out
+# -- GitHub summary ---------------------------------------------------------------------------------
 
 
 def _cell(s: str) -> str:
@@ -168,37 +171,14 @@ def _table(head: list[str], rows: list[list[str]]) -> str:
     return "\n".join("| " + " | ".join(map(_cell, x)) + " |" for x in (head, ["---"] * len(head), *rows))
 
 
-def _worst(r: Report) -> dict[tuple[str, str], str]:
-    """The worst introduced level of each brick and metric."""
-    out: dict[tuple[str, str], str] = {}
-    for row in r.rows:
-        if introduced(row):
-            for v in row["violations"]:
-                key = (v["brick"], v["metric"])
-                out[key] = "error" if "error" in (out.get(key), row["level"]) else row["level"]
-    return out
-
-
 def _grid(r: Report) -> list[list[str]]:
-    """Errors, warnings and resolved of each metric; a function's row counts once for each of its metrics."""
-    counts: dict[str, Counter] = {}
-    for row in r.rows:
-        if introduced(row):
-            for key in {v["metric"] for v in row["violations"]}:
-                counts.setdefault(key, Counter())[row["level"]] += 1
-    for v in r.resolved:
-        counts.setdefault(v["metric"], Counter())["resolved"] += 1
-    return [[METRICS[k].label, str(counts[k]["error"]), str(counts[k]["warning"]), str(counts[k]["resolved"])] for k in METRICS if k in counts]
-
-
-def _found(r: Report) -> Counter:
-    """Introduced violations of each metric, as in the grid."""
-    return Counter(key for row in r.rows if introduced(row) for key in {v["metric"] for v in row["violations"]})
+    """Errors, warnings and resolved of each metric."""
+    return [[METRICS[k].label, *map(str, r.listing.grid[k])] for k in METRICS if k in r.listing.grid]
 
 
 def _heads(r: Report, keys: list[str]) -> list[str]:
     """Column heads, with the number of violations of metrics that have some."""
-    found = _found(r)
+    found = {k: sum(r.listing.grid.get(k, (0, 0, 0))[:2]) for k in keys}
     return [f"{METRICS[k].label} ({found[k]})" if found[k] else METRICS[k].label for k in keys]
 
 
@@ -212,7 +192,7 @@ def hazard_text(r: Report, brick: str) -> str:
 
 def tiles(r: Report) -> list[tuple[str, int]]:
     """What the page shows first: numbers of bricks, dependencies, violations by level, and resolved ones."""
-    levels = Counter(x["level"] for x in r.rows if introduced(x))
+    levels = r.listing.levels
     shown = [("Bricks", len(r.bricks)), ("Dependencies", len({(x["from"], x["to"]) for x in r.edges})), ("Errors", levels["error"]), ("Warnings", levels["warning"])]
     return shown + ([("Resolved", len(r.resolved))] if r.base_ref else [])
 
@@ -238,33 +218,41 @@ def _section_rows(r: Report, section: str) -> tuple[list[str], list[list[tuple[s
     return keys, [[(f"{b['type']} {b['brick']}", b["brick"], "")] + [(value_text(r, b["brick"], k), b["brick"], k) for k in keys] for b in shown]
 
 
-def summary(r: Report) -> str:
-    worst = _worst(r)
-    parts = [f"## {r.workspace}", _headline(r)]
+def _folded(lines: DataFrame, section: str, n: int, head: str = "", before: str = "<details><summary>{} more</summary>", after: str = "</details>") -> Parts:
+    """A section's first lines, and the others folded away."""
+    own = lines.filter(F.col("section") == section)
+    parts: Parts = [head] if head else []
+    parts.append(own.filter("is_shown"))
+    if n > display.SHOWN:
+        parts += [before.format(n - display.SHOWN), *([head] if head else []), own.filter("not is_shown"), after]
+    return parts
+
+
+def summary(r: Report) -> Parts:
+    parts: Parts = [f"## {r.workspace}\n", _headline(r) + "\n"]
     if grid := _grid(r):
-        parts.append(_table(["Metric", "Errors", "Warnings", "Resolved"], grid))
+        parts.append(_table(["Metric", "Errors", "Warnings", "Resolved"], grid) + "\n")
+    if r.listing.fresh:
+        lines = display.markdown_lines(display.with_shown(r.listing.rows.filter(display.introduced())))
     for section, title in SECTIONS:
-        listed = [x for x in r.rows if x["section"] == section and introduced(x)]
-        if listed:
-            lines = [[x["level"], label(x), row_text(x), ", ".join(f"{a['file']}:{a['line']}" for a in x["locations"])] for x in listed]
-            parts += [f"### {title}: {_plural(len(listed), 'violation')}", _table(["Level", "Metric", "What", "Where"], lines[:SHOWN])]
-            if lines[SHOWN:]:
-                parts.append(f"<details><summary>{len(lines) - SHOWN} more</summary>\n\n{_table(['Level', 'Metric', 'What', 'Where'], lines[SHOWN:])}\n\n</details>")
+        n = r.listing.fresh[section]
+        if n:
+            head = _table(["Level", "Metric", "What", "Where"], [])
+            parts += [f"### {title}: {_plural(n, 'violation')}\n", *_folded(lines, section, n, head, "\n<details><summary>{} more</summary>\n", "\n</details>"), ""]
         else:
-            parts.append(f"### {title}: none found")
+            parts.append(f"### {title}: none found\n")
         keys, rows = _section_rows(r, section)
         if rows:
-            body = [[f"**{t}**" if (b, k) in worst else t for t, b, k in row] for row in rows]
+            body = [[f"**{t}**" if (b, k) in r.listing.worst else t for t, b, k in row] for row in rows]
             body.append(["**Average**"] + [format_value(k, r.averages.get(k)) for k in keys])
-            parts.append(f"### {title}\n\n" + _table(["Brick"] + _heads(r, keys), body))
-            parts.append("\n".join(f"- {name}: {about}" for name, about in legend(keys)))
+            parts.append(f"### {title}\n\n" + _table(["Brick"] + _heads(r, keys), body) + "\n")
+            parts.append("\n".join(f"- {name}: {about}" for name, about in legend(keys)) + "\n")
     if r.libraries:
-        parts.append("### Shared libraries\n\n" + _table(["Library", "Bricks", "Spread"], [[x["library"], str(x["n"]), spread_level(r, x)] for x in r.libraries]))
-    parts.append("### Dependencies\n\n```mermaid\n" + mermaid(r) + "\n```")
+        parts.append("### Shared libraries\n\n" + _table(["Library", "Bricks", "Spread"], [[x["library"], str(x["n"]), spread_level(r, x)] for x in r.libraries]) + "\n")
+    parts.append("### Dependencies\n\n```mermaid\n" + mermaid(r) + "\n```\n")
     if r.resolved:
-        parts.append("### Resolved\n\n" + _table(["Brick", "Metric", "What"], [[v["brick"], METRICS[v["metric"]].label, v["message"]] for v in r.resolved]))
-    parts.append("### Thresholds\n\n" + _table(["Metric", "Threshold", "Configured"], threshold_rows(r)))
-    return "\n\n".join(parts) + "\n"
+        parts.append("### Resolved\n\n" + _table(["Brick", "Metric", "What"], [[v["brick"], METRICS[v["metric"]].label, v["message"]] for v in r.resolved]) + "\n")
+    return [*parts, "### Thresholds\n\n" + _table(["Metric", "Threshold", "Configured"], threshold_rows(r))]
 
 
 def spread_level(r: Report, library: dict) -> str:
@@ -288,11 +276,10 @@ def threshold_rows(r: Report) -> list[list[str]]:
 
 
 def mermaid(r: Report) -> str:
-    rows = r.rows if r.graph_rows is None else r.graph_rows
     ids = {b["brick"]: f"b{i}" for i, b in enumerate(r.bricks)}
     pairs = list(dict.fromkeys((e["from"], e["to"]) for e in r.edges))
     fresh = {(e["from"], e["to"]) for e in r.edges if e.get("is_new")}
-    ends = {m: list(dict.fromkeys((x["bricks"][0], x["subject"]) for x in rows if x["metric"] == m)) for m in ("unstable-dependencies", "co-change")}
+    ends = {m: list(dict.fromkeys(r.ends.get(m, ()))) for m in ("unstable-dependencies", "co-change")}
     lines = ["graph TD"]
     lines += [f"  {ids[b['brick']]}([\"{b['brick']}\"])" if b["type"] == "base" else f"  {ids[b['brick']]}[\"{b['brick']}\"]" for b in r.bricks]
     lines += [f"  {ids[a]} {'-.->' if (a, b) in fresh else '-->'} {ids[b]}" for a, b in pairs]
@@ -305,9 +292,9 @@ def mermaid(r: Report) -> str:
 _STYLE = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:2px 8px}.error{background:#ffd7d5}.warning{background:#fff1c2}.outlier{outline:2px solid #8250df}.tiles{display:flex;gap:1em}.tiles div{border:1px solid #ccc;padding:.5em 1em}dt{font-weight:bold}"
 
 
-def html(r: Report) -> str:
+def html(r: Report) -> Parts:
     e = escape_html.escape
-    worst = _worst(r)
+    worst = r.listing.worst
 
     def table(head, body):
         top = "".join(f"<th>{e(h)}</th>" for h in head)
@@ -320,19 +307,18 @@ def html(r: Report) -> str:
         tip = f' title="{e(kinds)}"' if kinds else f' title="{o["z"]:.1f} deviations off the mean of the {o["peers"]} others"' if o else ""
         return f'<td class="{" ".join(marks)}"{tip}>{e(text)}</td>'
 
-    parts = [f"<h1>{e(r.workspace)}</h1><p>{e(_headline(r))}</p><p>{e(r.generated_at)}</p>"]
+    head = f"<!doctype html><html><head><meta charset='utf-8'><title>{e(r.workspace)}</title><style>{_STYLE}</style></head><body>"
+    parts: Parts = [head, f"<h1>{e(r.workspace)}</h1><p>{e(_headline(r))}</p><p>{e(r.generated_at)}</p>"]
     parts.append('<div class="tiles">' + "".join(f"<div><b>{n}</b> {e(name)}</div>" for name, n in tiles(r)) + "</div>")
     if grid := _grid(r):
         parts.append("<h2>Summary</h2>" + table(["Metric", "Errors", "Warnings", "Resolved"], ["".join(f"<td>{e(c)}</td>" for c in x) for x in grid]))
+    if r.listing.every:
+        lines = display.html_lines(display.with_shown(r.listing.rows))
     for section, title in SECTIONS:
-        n_here = sum(x["section"] == section and introduced(x) for x in r.rows)
+        n_here = r.listing.fresh[section]
         parts.append(f"<h2>{e(title)}: {_plural(n_here, 'violation') if n_here else 'none found'}</h2>")
-        for i, row in enumerate(x for x in r.rows if x["section"] == section):
-            at = row["locations"][0] if row["locations"] else None
-            badge = "" if row["status"] is None else f" <em>{row['status']}</em>"
-            where = f" <code>{e(at['file'])}:{at['line']}</code>" if at else ""
-            line = f'<li class="{row["level"]}"><b>{e(label(row))}</b> {e(row_text(row))}{where}{badge}</li>'
-            parts.append(line if i < SHOWN else f"<details><summary>more</summary>{line}</details>")
+        if r.listing.every[section]:
+            parts += _folded(lines, section, r.listing.every[section])
         keys, rows = _section_rows(r, section)
         if rows:
             average = "<td>Average</td>" + "".join(f"<td>{e(format_value(k, r.averages.get(k)))}</td>" for k in keys)
@@ -344,4 +330,4 @@ def html(r: Report) -> str:
     if r.resolved:
         parts.append("<h2>Resolved</h2>" + "".join(f"<li>{e(v['brick'])}: {e(METRICS[v['metric']].label)} {e(v['message'] or '')}</li>" for v in r.resolved))
     parts.append("<h2>Thresholds</h2>" + table(["Metric", "Threshold", "Configured"], ["".join(f"<td>{e(c)}</td>" for c in x) for x in threshold_rows(r)]))
-    return f"<!doctype html><html><head><meta charset='utf-8'><title>{e(r.workspace)}</title><style>{_STYLE}</style></head><body>{''.join(parts)}</body></html>"
+    return [*parts, "</body></html>"]

@@ -238,6 +238,21 @@ def library_spread(spark, sf_dir):
     return found.select(F.split_part("library", F.lit("."), F.lit(1)).alias("library_key"), "brick", "n_bricks", F.col("line").alias("first_page"))
 
 
+# Requires of every kind: own namespaces, the language's, the toolkit's, libraries by namespace and by package.
+KINDS = """req AS (SELECT l_suppkey AS file, l_partkey % 50 AS n, l_partkey AS p, l_orderkey AS o FROM lineitem),
+named AS (SELECT DISTINCT file, CASE n % 10 WHEN 0 THEN 'clojure.string' WHEN 1 THEN 'clojure.core' || n WHEN 2 THEN 'goog' WHEN 3 THEN 'goog.dom.' || n WHEN 4 THEN 'top.part' || n WHEN 5 THEN 'topless.x' || n
+  WHEN 6 THEN 'google.x' || n WHEN 7 THEN 'react-' || n WHEN 8 THEN 'com.acme.lib' || n || '.core' ELSE '@scope/pack' || n || '/sub' END AS target, n % 10 IN (7, 9) AS is_js FROM req)"""
+
+
+@query(f"WITH {KINDS} SELECT target, count(*) AS files FROM named WHERE is_js OR NOT (target IN ('clojure.string', 'goog', 'top') OR starts_with(target, 'goog.') OR starts_with(target, 'top.')) GROUP BY 1")
+def external_targets(spark, sf_dir):
+    n = F.col("l_partkey") % 50
+    t = n.cast("string")
+    shapes = [F.lit("clojure.string"), F.concat(F.lit("clojure.core"), t), F.lit("goog"), F.concat(F.lit("goog.dom."), t), F.concat(F.lit("top.part"), t), F.concat(F.lit("topless.x"), t), F.concat(F.lit("google.x"), t), F.concat(F.lit("react-"), t), F.concat(F.lit("com.acme.lib"), t, F.lit(".core")), F.concat(F.lit("@scope/pack"), t, F.lit("/sub"))]
+    named = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file"), F.element_at(F.array(*shapes), (n % 10 + 1).cast("int")).alias("target"), (n % 10).isin(7, 9).alias("is_js")).distinct()
+    return named.filter(code.is_external(F.col("target"), F.col("is_js"), "top")).groupBy("target").agg(F.count("*").alias("files"))
+
+
 @query("SELECT source, count(*) FILTER (WHERE l.doc_id IS NULL) AS untested, round(count(*) FILTER (WHERE l.doc_id IS NULL)::DOUBLE / count(*), 6) AS share FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id GROUP BY source")
 def untested_items(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", "source")

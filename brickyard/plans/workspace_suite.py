@@ -114,7 +114,7 @@ def _workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     tests = [
         of(requires(me, F.lit("me")).unionAll(requires(t("reach"), null)), "x", "requires"),
         of(t("test"), F.struct(p.alias("ord"), F.concat(F.lit("t"), p.cast("string")).alias("name"), (p + 1).alias("line"), (p + 10).alias("forms"), "assertions"), "tests"),
-        of(t("test").filter("p % 3 = 0"), F.struct(p.alias("ord"), (p + 1).alias("line"), F.lit("sleep").alias("kind")), "hazards"),
+        of(t("test").filter("p % 3 = 0"), F.struct(p.alias("ord"), (p + 1).alias("line"), F.when(p % 2 == 0, "sleep").otherwise("with-redefs").alias("kind")), "hazards"),
         of(t("tested"), "symbol", "test_refs"),
     ]
     fields = {x.name: x.dataType for x in spark.createDataFrame([], SCHEMA).schema}
@@ -268,3 +268,13 @@ def workspace_function_violations(spark, sf_dir):
     w = workspace(spark, sf_dir)
     registry, settings = thresholds.registry_frame(spark), thresholds.settings_frame(spark, merge_config())
     return thresholds.function_violations(w.functions, registry, settings).select("metric", "brick", "file", "subject", "value", "level", "message")
+
+
+@query(
+    """, h AS (SELECT s.brick, CASE WHEN p % 2 = 0 THEN 'sleep' ELSE 'with-redefs' END AS kind, count(*) AS n FROM test t JOIN src s ON s.k = t.k WHERE p % 3 = 0 GROUP BY 1, 2)
+SELECT brick, string_agg(kind || ': ' || n, ', ' ORDER BY kind) AS kinds FROM h GROUP BY brick""",
+    "test",
+)
+def workspace_hazard_kinds(spark, sf_dir):
+    found = workspace(spark, sf_dir).brick_metrics.select("brick", F.map_entries("hazard-kinds").alias("x")).filter("x is not null")
+    return found.select("brick", F.array_join(F.transform("x", lambda e: F.concat(e["key"], F.lit(": "), e["value"].cast("string"))), ", ").alias("kinds"))

@@ -7,7 +7,7 @@ import pytest
 
 from brickyard import cli
 from brickyard.operators import code, graph, stats
-from brickyard.plans import baseline, report, thresholds
+from brickyard.plans import baseline, display, report, suite, thresholds, workspace_suite
 from brickyard.plans.config import ConfigError, SETTINGS, merge_config, settings_frame
 from brickyard.plans.registry import METRICS, Metric, register_metric
 from brickyard.sources.workspace import Tree
@@ -89,12 +89,12 @@ def test_findings_and_violations(measured):
 def test_cli_text_and_exit(spark, root, capsys):
     assert cli.run(["-w", root, "-f", "text"], {}, spark) == 0
     out = capsys.readouterr().out
-    assert out.endswith("brickyard: 4 bricks, 0 errors, 6 warnings hidden (--warnings to show)\n") or "warnings hidden" in out
+    assert out.startswith("brickyard: 4 bricks checked, 0 errors, ") and out.endswith("warnings left out (use --warnings)\n")
     strict = os.path.join(root, "strict.edn")
     write(root, {"strict.edn": "{:complexity {:function-complexity {:error 1}}}"})
     assert cli.run(["-w", root, "-c", strict, "-f", "text"], {}, spark) == 1
     out = capsys.readouterr().out
-    assert out.startswith("Complexity\nerror   ") and "error   bases/web/src/top/web/main.clj:2  -main: complexity 2 > 1\n" in out
+    assert out.startswith("Complexity (2)\n") and "bases/web/src/top/web/main.clj:2: error: Functions: -main: complexity 2 (at most 1)\n" in out
     assert cli.run(["-w", root, "-c", strict, "-f", "text", "--no-fail"], {}, spark) == 0
     capsys.readouterr()
 
@@ -106,7 +106,7 @@ def test_cli_errors(spark, root, tmp_path, capsys):
     assert cli.run(["--help"], {}, spark) == 0
     write(root, {"bad.edn": "{:complexity {:no-such {:error 1}}}"})
     assert cli.run(["-w", root, "-c", os.path.join(root, "bad.edn")], {}, spark) == 2
-    assert "Unknown metric no-such" in capsys.readouterr().err
+    assert "complexity / no-such: no metric has this name" in capsys.readouterr().err
 
 
 def test_cli_github_and_html(spark, root, tmp_path, capsys):
@@ -132,8 +132,8 @@ def test_cli_base(spark, tmp_path, capsys):
     write(tmp_path, {"bases/web/src/top/web/main.clj": worse, "brickyard.edn": "{:complexity {:function-complexity {:error 1}}}", "components/store/src/top/store/more.clj": "(ns top.store.more) (def other (ref 1))"})
     assert cli.run(["-w", str(tmp_path), "-b", "start", "-f", "text", "--warnings"], {}, spark) == 1
     out = capsys.readouterr().out
-    assert "-main: complexity 3 > 1" in out and "more.clj" in out and "core.clj:2  Mutable state" not in out
-    assert "compared with start" in out and "not new, not shown)" in out
+    assert "-main: complexity 3 (at most 1)" in out and "more.clj" in out and "core.clj:2: warning: Mutable state" not in out
+    assert "checked against start" in out and "older findings left out" in out
     assert cli.run(["-w", str(tmp_path), "-b", "no-such-ref", "-f", "text"], {}, spark) == 2
     capsys.readouterr()
 
@@ -206,10 +206,10 @@ def test_brick_thresholds(spark):
 
 
 def test_rows_group_and_order(spark, measured):
-    rows = [r.asDict(recursive=True) for r in thresholds.rows(measured.violations, measured.tables.bricks).orderBy("rank").collect()]
+    rows = [r.asDict(recursive=True) for r in display.with_texts(thresholds.rows(measured.violations, measured.tables.bricks)).orderBy("rank").collect()]
     assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
     (function,) = [r for r in rows if r["group"] == "function-rows"]
-    assert report.row_text(function) == "params 5 > 4" and function["locations"] == [{"file": "components/store/src/top/store/interface.clj", "line": 2, "name": "save"}]
+    assert function["what"] == "params 5 (at most 4)" and function["locations"] == [{"file": "components/store/src/top/store/interface.clj", "line": 2, "name": "save"}]
 
 
 def test_config():
@@ -246,8 +246,7 @@ def test_comparison(spark):
 def test_mermaid():
     bricks = [{"brick": "w", "type": "base"}, {"brick": "c", "type": "component"}, {"brick": "d", "type": "component"}]
     edges = [{"from": "w", "to": "c", "is_new": True}, {"from": "c", "to": "d"}, {"from": "c", "to": "d"}]
-    rows = [{"metric": "unstable-dependencies", "bricks": ["c"], "subject": "d"}, {"metric": "co-change", "bricks": ["d"], "subject": "w"}]
-    r = report.Report("ws", bricks, rows, edges, {})
+    r = report.Report("ws", bricks, report.Listing.none(None), edges, {}, ends={"unstable-dependencies": [("c", "d")], "co-change": [("d", "w")]})
     assert report.mermaid(r).splitlines() == [
         "graph TD", '  b0(["w"])', '  b1["c"]', '  b2["d"]', "  b0 -.-> b1", "  b1 --> b2", "  b2 -.- b0", "  linkStyle 1 stroke:#d1242f,stroke-width:2px",
         "  linkStyle 2 stroke:#b26b00,stroke-width:2px,stroke-dasharray:2 4",
@@ -281,22 +280,49 @@ def _compare(spark, query, sql):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["dependency_metrics", "co_change_hidden", "duplicate_maximal", "library_names", "leave_one_out_outliers", "snapshot_status", "source_facts"])
+@pytest.mark.parametrize("name", sorted(suite.ORACLES))
 def test_queries_match_sql(spark, name):
-    from brickyard.plans import suite
-
     _compare(spark, suite.QUERIES[name], suite.ORACLES[name])
 
 
-def test_report_legends_counts_and_tiles():
-    violation = {"brick": "store", "metric": "mutable-state", "level": "warning"}
-    row = {"section": "io", "metric": "mutable-state", "group": "mutable-state", "level": "warning", "status": None, "bricks": ["store"], "locations": [], "subject": None, "value": None}
-    row["violations"] = [violation | {"dir": None, "message": "m", "type": "component", "limit": 0.0, "value": 1.0, "direction": "max"}]
-    r = report.Report("ws", [{"brick": "store", "type": "component"}, {"brick": "a", "type": "base"}], [row], [{"from": "a", "to": "store"}], {("store", "isolation-hazards"): (2.0, None)}, hazards={"store": {"sleep": 2}})
+def _lines(spark, parts):
+    return "\n".join(r.line for r in report.assembled(spark, parts).orderBy("part", "ord").collect())
+
+
+def test_report_legends_counts_and_tiles(spark, measured):
+    rows = thresholds.rows(measured.violations.filter("metric = 'mutable-state'"), measured.tables.bricks)
+    r = report.Report("ws", [{"brick": "store", "type": "component"}, {"brick": "a", "type": "base"}], report.Listing(rows), [{"from": "a", "to": "store"}], {("store", "isolation-hazards"): (2.0, None)}, hazards={"store": {"sleep": 2}})
     assert report.tiles(r) == [("Bricks", 2), ("Dependencies", 1), ("Errors", 0), ("Warnings", 1)]
-    for page in (report.summary(r), report.html(r)):
-        assert METRICS["cohesion"].about in page and "Mutable state (1)" in page and "none found" in page
-    assert 'title="sleep: 2"' in report.html(r)
+    for parts in (report.summary(r), report.html(r)):
+        page = _lines(spark, parts)
+        assert METRICS["cohesion"].about in page and "Mutable state (1)" in page and "none found" in page and "holds state in an atom" in page
+    assert 'title="sleep: 2"' in _lines(spark, report.html(r))
+
+
+def test_lines_of_rows(spark, tmp_path):
+    """Escapes, folded rows, rows without places, and a file written by many tasks."""
+    at = "array<struct<file:string,line:int,name:string>>"
+    v = "array<struct<n:int,metric:string,value:double,limit:double,message:string,brick:string,type:string,dir:string,at:struct<file:string,line:int,name:string>,own_line:int,direction:string>>"
+    one = lambda metric, message, folder, line: (1, metric, 3.0, 2.0, message, "b", "component", folder, None, line, "max")
+    rows = [(i, "mutable-state", "io", "mutable-state", None, None, "warning", "indirect" if i == 2 else None, ["b"], [("a,b.clj", i, "n")], [one("mutable-state", f"100% <{i}>|\nx", "components/b", i)]) for i in range(1, 25)]
+    rows += [(25, "function-rows", "complexity", "function-complexity", "f", 3.0, "error", None, ["b"], [("f.clj", 4, "f")], [one("function-complexity", "m", "d", 4), one("function-depth", "m", "d", 9)]), (26, "merge-candidate", "tests", "merge-candidate", "c", 1.0, "error", None, ["b"], [], [one("merge-candidate", "m", "components/b", None)]), (27, "co-change", "tests", "co-change", "c", 1.0, "error", None, ["b"], [], [one("co-change", "m", None, None)])]
+    df = spark.createDataFrame(rows, f"rank long, `group` string, section string, metric string, subject string, value double, level string, status string, bricks array<string>, locations {at}, violations {v}").repartition(4)
+    listing = report.Listing(df)
+    assert listing.every == {"io": 24, "complexity": 1, "tests": 2} and listing.old == 1 and listing.levels == {"warning": 23, "error": 3}
+    assert listing.grid["function-depth"] == (1, 0, 0) and listing.worst["b", "function-depth"] == "error"
+    notes = _lines(spark, [display.annotation_lines(listing.rows)]).split("\n")
+    assert notes[0] == "::warning file=a%2Cb.clj,line=1,title=component b%3A Mutable state::Mutable state 100%25 <1>|%0Ax (n)" and notes[1].startswith("::notice") and notes[1].endswith(" (n) [indirect]")
+    assert notes[24] == "::error file=f.clj,line=4,title=component b%3A Functions::Functions complexity 3 (at most 2); depth 3 (at most 2, in line 9) (f)"
+    assert notes[25].startswith("::error file=components/b/deps.edn,line=1,title=") and notes[26].startswith("::error title=component b%3A ")
+    shown = display.with_shown(listing.rows)
+    assert sorted(r["rank"] for r in shown.filter("not is_shown").collect()) == [21, 22, 23, 24]
+    assert "<b>Mutable state</b> 100% &lt;3&gt;|" in _lines(spark, [display.html_lines(shown)]) and "100% <3>\\| x" in _lines(spark, [display.markdown_lines(shown)])
+    from brickyard.sources.lines import write_lines
+
+    path = tmp_path / "new folder" / "out.txt"
+    for _ in range(2):  # the second run takes the first one's place
+        write_lines(spark.range(1000).selectExpr("id", "concat('line ', id) AS line").repartition(7), str(path), "id")
+        assert path.read_text() == "".join(f"line {i}\n" for i in range(1000)) and os.listdir(path.parent) == ["out.txt"]
 
 
 def test_leave_one_out_against_pairs(spark):
@@ -329,8 +355,6 @@ def test_forms_nested_to_any_depth(depth):
     assert facts["functions"][0]["depth"] == depth + 1  # the definition counts
 
 
-@pytest.mark.parametrize("name", ["workspace_brick_metrics", "workspace_references", "workspace_throwing", "workspace_libraries"])
+@pytest.mark.parametrize("name", sorted(workspace_suite.ORACLES))
 def test_workspace_suite(spark, name):
-    from brickyard.plans import workspace_suite
-
     _compare(spark, workspace_suite.QUERIES[name], workspace_suite.ORACLES[name])
