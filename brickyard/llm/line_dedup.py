@@ -152,7 +152,10 @@ def _probe(min_chars: int, min_docs: int):
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """One row per row of docs: doc_id, n_lines (before), n_dropped, text (what stays)."""
+    """One row per row of docs: doc_id, n_lines (before), n_dropped, text (what stays).
+
+    ``min_docs`` is 255 at most (a ValueError otherwise), as the arrays' counts are bytes.
+    """
     if min_docs > MOST:
         raise ValueError(f"min_docs can be {MOST} at most")
     spark = docs.sparkSession

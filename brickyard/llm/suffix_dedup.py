@@ -311,7 +311,11 @@ def _cut(batches):
 
 
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 50) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (bytes)."""
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (bytes).
+
+    ``span`` is 10 to 132 bytes (a ValueError otherwise): shorter ones have no anchors, and longer ones don't fit what is
+    sent of an anchor's surroundings.
+    """
     if not GRAM <= span <= LONGEST:
         raise ValueError(f"span must be {GRAM} to {LONGEST} bytes")
     small_batches(docs.sparkSession)
