@@ -35,6 +35,7 @@ CACHED_CHUNKS = 400_000
 KEPT_CHUNKS = 150_000
 # How the tokenizer whose plain words can go straight to its model normalises and cuts text.
 _NORMAL = ["NFC", "Replace", "Lowercase"]
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # not the apostrophe, which a letter may follow
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BLOCK_TOKENS = 1 << 20
 BLOCKS = "shard int, block int, tokens_before long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, payload binary"
@@ -65,7 +66,7 @@ class ChunkEncoder:
             shape = json.load(f)
         normal = [x.get("type") for x in (shape.get("normalizer") or {}).get("normalizers", [])]
         cuts = [x.get("pattern", {}).get("Regex") for x in (shape.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        #: Whether a word of Latin letters is one unit to the model, and points and commas after it another.
+        #: Whether a word of Latin letters is one unit to the model, and the marks after it another.
         self.plain = normal == _NORMAL and cuts == [_CUT, None]
 
     def _known(self, chunk: bytes) -> bytes | None:
@@ -73,12 +74,12 @@ class ChunkEncoder:
 
     def _encode_new(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """Ids of chunks. Words of letters below U+0250, which lower-casing keeps one by one and composition leaves alone, go
-        to the model by themselves, without points and commas after them: far fewer are distinct."""
+        to the model by themselves, without the marks after them: far fewer are distinct."""
         words: dict[bytes, bytes] = {}
         parts: list[tuple[bytes, bytes, bytes]] = []
         rest: list[bytes] = []
         for chunk in chunks if self.plain else ():
-            bare = chunk.rstrip(b",.")
+            bare = chunk.rstrip(_MARKS)
             if bare.isalpha():
                 word = bare.lower()
             else:
