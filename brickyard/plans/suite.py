@@ -246,10 +246,10 @@ named AS (SELECT DISTINCT file, CASE n % 10 WHEN 0 THEN 'clojure.string' WHEN 1
 
 @query(f"WITH {KINDS} SELECT target, count(*) AS files FROM named WHERE is_js OR NOT (target IN ('clojure.string', 'goog', 'top') OR starts_with(target, 'goog.') OR starts_with(target, 'top.')) GROUP BY 1")
 def external_targets(spark, sf_dir):
-    n = F.col("l_partkey") % 50
-    t = n.cast("string")
+    sold = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file"), (F.col("l_partkey") % 50).alias("n")).distinct()
+    t, kind = F.col("n").cast("string"), F.col("n") % 10
     shapes = [F.lit("clojure.string"), F.concat(F.lit("clojure.core"), t), F.lit("goog"), F.concat(F.lit("goog.dom."), t), F.concat(F.lit("top.part"), t), F.concat(F.lit("topless.x"), t), F.concat(F.lit("google.x"), t), F.concat(F.lit("react-"), t), F.concat(F.lit("com.acme.lib"), t, F.lit(".core")), F.concat(F.lit("@scope/pack"), t, F.lit("/sub"))]
-    named = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file"), F.element_at(F.array(*shapes), (n % 10 + 1).cast("int")).alias("target"), (n % 10).isin(7, 9).alias("is_js")).distinct()
+    named = sold.select("file", F.element_at(F.array(*shapes), (kind + 1).cast("int")).alias("target"), kind.isin(7, 9).alias("is_js")).distinct()
     return named.filter(code.is_external(F.col("target"), F.col("is_js"), "top")).groupBy("target").agg(F.count("*").alias("files"))
 
 
