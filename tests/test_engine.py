@@ -7,7 +7,7 @@ import pytest
 
 from brickyard import cli
 from brickyard.operators import code, graph, stats
-from brickyard.plans import baseline, display, report, suite, thresholds, workspace_suite
+from brickyard.plans import baseline, display, report, source_suite, suite, thresholds, workspace_suite
 from brickyard.plans.config import ConfigError, SETTINGS, merge_config, settings_frame
 from brickyard.plans.registry import METRICS, Metric, register_metric
 from brickyard.sources.workspace import Tree
@@ -355,6 +355,11 @@ def test_forms_nested_to_any_depth(depth):
     assert facts["functions"][0]["depth"] == depth + 1  # the definition counts
 
 
+@pytest.mark.parametrize("name", sorted(source_suite.ORACLES))
+def test_source_suite(spark, name):
+    _compare(spark, source_suite.QUERIES[name], source_suite.ORACLES[name])
+
+
 @pytest.mark.parametrize("name", sorted(workspace_suite.ORACLES))
 def test_workspace_suite(spark, name):
     _compare(spark, workspace_suite.QUERIES[name], workspace_suite.ORACLES[name])
