@@ -107,6 +107,7 @@ def _workspace(spark: SparkSession, sf_dir: str) -> Workspace:
         of(t("word"), "keyword", "keywords"),
         of(defs.filter("p % 5 = 0"), F.struct(p.alias("ord"), "name", (p + 1).alias("line"), kinds.alias("kind")), "mutable_state"),
         of(defs.filter("p % 4 = 1"), F.struct(p.alias("ord"), (p + 1).alias("line"), F.lit("Exception").alias("class"), (p % 8 == 1).alias("broad"), shown.alias("handling")), "catches"),
+        of(defs, F.struct((p % 13).cast("long").alias("hash"), (p * 4).alias("forms"), (p + 1).alias("line"), (p + 1 + p % 3 * 9).alias("end_line")), "fragments"),
         of(defs.filter("p % 6 = 2"), F.struct(p.alias("ord"), (p + 1).alias("line"), F.when(p % 12 == 2, "untyped").otherwise("typed").alias("kind")), "throws"),
     ]
     own = t("src")
@@ -278,3 +279,59 @@ SELECT brick, string_agg(kind || ': ' || n, ', ' ORDER BY kind) AS kinds FROM h
 def workspace_hazard_kinds(spark, sf_dir):
     found = workspace(spark, sf_dir).brick_metrics.select("brick", F.map_entries("hazard-kinds").alias("x")).filter("x is not null")
     return found.select("brick", F.array_join(F.transform("x", lambda e: F.concat(e["key"], F.lit(": "), e["value"].cast("string"))), ", ").alias("kinds"))
+
+
+FRAGMENTS = """, frag AS (SELECT s.brick, s.file, d.p % 13 AS hash, d.p * 4 AS forms, d.p + 1 AS line, d.p + 1 + d.p % 3 * 9 AS end_line FROM def d JOIN src s ON s.k = d.k WHERE d.p * 4 > 30),
+dup AS (SELECT * FROM frag WHERE hash IN (SELECT hash FROM frag GROUP BY hash HAVING count(DISTINCT brick) > 1)),
+outer_ AS (SELECT * FROM dup d WHERE NOT EXISTS (SELECT 1 FROM dup o WHERE o.file = d.file AND o.forms > d.forms AND o.line <= d.line AND o.end_line >= d.end_line)),
+by_brick AS (SELECT hash, brick, min(file || ':' || lpad(line::VARCHAR, 3, '0')) AS at FROM frag GROUP BY 1, 2)"""
+
+
+@query(
+    FRAGMENTS
+    + """SELECT o.brick, o.file, o.line::INT AS line, o.forms::DOUBLE AS value, 'the same ' || o.forms || ' forms stand in ' || string_agg(b.brick, ', ' ORDER BY b.brick)
+  || ', for instance at ' || split_part(min(b.at), ':', 1) || ':' || split_part(min(b.at), ':', 2)::INT AS message
+FROM outer_ o JOIN by_brick b ON b.hash = o.hash AND b.brick <> o.brick GROUP BY o.brick, o.file, o.line, o.forms, o.hash""",
+    "def",
+)
+def workspace_duplicates(spark, sf_dir):
+    return workspace(spark, sf_dir)._duplicates(30).select("brick", "file", "line", "value", "message")
+
+
+# Findings and functions of the workspace that the default thresholds are applied to.
+FOUND = """, f AS (SELECT s.brick, s.type, d.p FROM def d JOIN src s ON s.k = d.k),
+found AS (
+  SELECT brick, type, 'mutable-state' AS metric FROM f WHERE p % 5 = 0 UNION ALL SELECT brick, type, 'broad-catches' FROM f WHERE p % 8 = 1 AND (p % 2 = 0 OR p % 4 <> 1)
+  UNION ALL SELECT brick, type, 'untyped-errors' FROM f WHERE p % 12 = 2
+  UNION ALL SELECT s.brick, s.type, 'boundary-crossings' FROM reach r JOIN src s ON s.k = r.k WHERE split_part(r.target, '.', 2) <> s.seg AND r.target NOT LIKE '%.interface'),
+past AS (SELECT brick, 'function-complexity' AS metric, 'error' AS level FROM f WHERE p % 13 + 1 > 10 UNION ALL SELECT brick, 'function-depth', 'warning' FROM f WHERE p % 9 > 8
+  UNION ALL SELECT brick, 'function-forms', 'warning' FROM f WHERE p * 5 > 150 UNION ALL SELECT brick, 'function-params', 'warning' FROM f WHERE p % 6 > 4)"""
+COUNTED = "('function-complexity'), ('function-depth'), ('function-forms'), ('function-params'), ('mutable-state'), ('broad-catches'), ('untyped-errors'), ('boundary-crossings')"
+
+
+def _checked(spark, sf_dir):
+    w = workspace(spark, sf_dir)
+    wide = w.bricks.join(w.sources.groupBy("brick").agg(F.sum("forms").alias("forms")), "brick", "left").fillna(0, ["forms"])
+    findings = kept(w._state().unionByName(w._catches()).unionByName(w._untyped()).unionByName(w._crossings()))
+    return wide, findings, thresholds.check(wide, w.functions, findings, merge_config())
+
+
+@query(
+    FOUND
+    + """SELECT metric, brick, level, count(*) AS n FROM (SELECT * FROM past UNION ALL SELECT brick, metric, 'warning' FROM found WHERE type = 'component' OR metric = 'boundary-crossings') x GROUP BY ALL""",
+    "def", "reach",
+)
+def workspace_check(spark, sf_dir):
+    return _checked(spark, sf_dir)[2].groupBy("metric", "brick", "level").agg(F.count("*").alias("n"))
+
+
+@query(
+    FOUND
+    + f"""SELECT b.brick, m.metric, ((SELECT count(*) FROM past p WHERE p.brick = b.brick AND p.metric = m.metric) + (SELECT count(*) FROM found f WHERE f.brick = b.brick AND f.metric = m.metric))::DOUBLE AS value
+FROM brick b, (VALUES {COUNTED}) m(metric)""",
+    "def", "reach",
+)
+def workspace_filled_values(spark, sf_dir):
+    wide, findings, violations = _checked(spark, sf_dir)
+    values = thresholds.filled_values(wide, findings, violations, merge_config())
+    return values.filter(F.col("metric").isin(*COUNTED.replace("(", "").replace(")", "").replace("'", "").split(", "))).select("brick", "metric", "value")
