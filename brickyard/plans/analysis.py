@@ -6,7 +6,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brickyard.operators import code, graph, paths, stats
+from brickyard.operators import code, graph, paths
 from brickyard.plans.config import lowest_limit
 from brickyard.sources.workspace import Settings
 

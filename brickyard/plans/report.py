@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickyard.plans import display
+from brickyard.plans import display, picture
 from brickyard.plans.registry import METRICS, SECTIONS
 from brickyard.session import kept
 
@@ -307,7 +307,7 @@ def html(r: Report) -> Parts:
         tip = f' title="{e(kinds)}"' if kinds else f' title="{o["z"]:.1f} deviations off the mean of the {o["peers"]} others"' if o else ""
         return f'<td class="{" ".join(marks)}"{tip}>{e(text)}</td>'
 
-    head = f"<!doctype html><html><head><meta charset='utf-8'><title>{e(r.workspace)}</title><style>{_STYLE}</style></head><body>"
+    head = f"<!doctype html><html><head><meta charset='utf-8'><title>{e(r.workspace)}</title><style>{_STYLE}{picture.STYLE}</style></head><body>"
     parts: Parts = [head, f"<h1>{e(r.workspace)}</h1><p>{e(_headline(r))}</p><p>{e(r.generated_at)}</p>"]
     parts.append('<div class="tiles">' + "".join(f"<div><b>{n}</b> {e(name)}</div>" for name, n in tiles(r)) + "</div>")
     if grid := _grid(r):
@@ -326,8 +326,9 @@ def html(r: Report) -> Parts:
             parts.append("<dl>" + "".join(f"<dt>{e(name)}</dt><dd>{e(about)}</dd>" for name, about in legend(keys)) + "</dl>")
     if r.libraries:
         parts.append("<h2>Shared libraries</h2>" + table(["Library", "Bricks", "Spread"], [f"<td>{e(x['library'])}</td><td>{x['n']}</td><td>{spread_level(r, x)}</td>" for x in r.libraries]))
-    parts.append(f'<h2>Dependencies</h2><pre class="mermaid">{e(mermaid(r))}</pre>')
+    parts.append("<h2>Dependencies</h2>" + picture.svg(r.bricks, r.edges, r.ends))
+    parts.append(f'<details><summary>as Mermaid text</summary><pre class="mermaid">{e(mermaid(r))}</pre></details>')
     if r.resolved:
         parts.append("<h2>Resolved</h2>" + "".join(f"<li>{e(v['brick'])}: {e(METRICS[v['metric']].label)} {e(v['message'] or '')}</li>" for v in r.resolved))
     parts.append("<h2>Thresholds</h2>" + table(["Metric", "Threshold", "Configured"], ["".join(f"<td>{e(c)}</td>" for c in x) for x in threshold_rows(r)]))
-    return [*parts, "</body></html>"]
+    return [*parts, f"<script>{picture.SCRIPT}</script></body></html>"]

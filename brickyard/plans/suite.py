@@ -361,6 +361,23 @@ def limit_violations(spark, sf_dir):
     return _limit_hits(spark, sf_dir).select("metric", "brick", "level")
 
 
+# Suppliers as bricks, with measures that say which of their metrics count.
+@query(
+    """WITH w AS (SELECT s_name AS brick, CASE WHEN s_nationkey % 5 = 0 THEN 'base' ELSE 'component' END AS type, s_suppkey % 9 AS functions, s_suppkey % 17 AS refs, s_suppkey % 23 AS tests, s_acctbal AS v FROM supplier)
+SELECT brick, metric, value, applies FROM (
+  SELECT brick, 'mean-function-complexity' AS metric, v AS value, functions >= 5 AS applies FROM w UNION ALL SELECT brick, 'cohesion', v, type = 'component' AND refs >= 10 FROM w
+  UNION ALL SELECT brick, 'assertions-per-test', v, type = 'component' AND tests >= 10 FROM w UNION ALL SELECT brick, 'afferent', CASE WHEN type = 'component' THEN refs::DOUBLE END, type = 'component' FROM w
+  UNION ALL SELECT brick, 'functions', functions::DOUBLE, true FROM w UNION ALL SELECT brick, 'tests', tests::DOUBLE, true FROM w)"""
+)
+def gated_values(spark, sf_dir):
+    key, v = F.col("s_suppkey"), F.col("s_acctbal")
+    wide = _t(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("brick"), F.when(F.col("s_nationkey") % 5 == 0, "base").otherwise("component").alias("type"), (key % 9).alias("functions"), (key % 17).alias("workspace-references"), (key % 23).alias("tests"),
+        (key % 17).alias("afferent"), v.alias("mean-function-complexity"), v.alias("cohesion"), v.alias("assertions-per-test"),
+    )
+    return thresholds.metric_values(wide).select("brick", "metric", "value", "applies")
+
+
 # Display rows: functions are parts (a part is one row, whatever it exceeds), bricks are brands.
 ROWS = """bricks AS (SELECT p_brand AS brick, row_number() OVER (ORDER BY p_brand) AS ord FROM (SELECT DISTINCT p_brand FROM part)),
 v AS (

@@ -253,6 +253,23 @@ def test_mermaid():
     ]
 
 
+def test_picture():
+    import xml.etree.ElementTree as ET
+
+    from brickyard.plans import picture
+
+    names = ["w", "c", "d", "x&y", "p", "q"]
+    assert picture.layers(names, [("w", "c"), ("w", "d"), ("c", "d"), ("d", "x&y"), ("p", "q"), ("q", "p"), ("c", "c"), ("gone", "w")]) == {"w": 0, "c": 1, "d": 2, "x&y": 3, "p": 0, "q": 1}
+    bricks = [{"brick": n, "type": "base" if n == "w" else "component"} for n in names]
+    edges = [{"from": "w", "to": "c", "is_new": True}, {"from": "c", "to": "d"}, {"from": "c", "to": "d"}, {"from": "d", "to": "x&y"}]
+    drawn = ET.fromstring(picture.svg(bricks, edges, {"unstable-dependencies": [("c", "d")], "co-change": [("p", "q")]}))
+    lines = [(x.get("data-from"), x.get("data-to"), x.get("class")) for x in drawn.iter("line")]
+    assert lines == [("w", "c", "new"), ("c", "d", "unstable"), ("d", "x&y", ""), ("p", "q", "hidden")]
+    places = {x.get("data-brick"): (x[0].get("x"), x[0].get("y")) for x in drawn.iter("g") if x.get("data-brick")}
+    assert set(places) == set(names) and len(set(places.values())) == len(names)
+    assert ET.fromstring(picture.svg([], [], {})).tag == "svg"
+
+
 def test_formats():
     assert report.format_value("instability", 0.125) == "0.13" and report.format_value("merge-candidate", 0.146) == "15%"
     assert report.format_value("forms", 3) == "3" and report.format_value("forms", None) == "–" and report.format_value("mean-function-depth", 2.25) == "2.3"
