@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brickyard.functions import trees
 from brickyard.functions.facts import extract
-from brickyard.operators import code, graph, paths, stats
+from brickyard.operators import code, graph, order, paths, stats
 from brickyard.plans import baseline, display, thresholds
 from brickyard.plans.config import SETTINGS
 from brickyard.session import kept
@@ -390,9 +390,8 @@ rows_ AS (SELECT section, g.brick, g.ord, CASE lo WHEN 0 THEN 'error' ELSE 'warn
 
 def _display_rows(spark, sf_dir):
     part = _t(spark, sf_dir, "part")
-    bricks = part.select(F.col("p_brand").alias("brick")).distinct().select("brick", F.lit("component").alias("type"), F.concat(F.lit("parts/"), "brick").alias("dir"), F.hash("brick").alias("ord"))
-    brands = part.select(F.col("p_brand").alias("brick")).distinct().withColumn("ord", F.row_number().over(Window.orderBy("brick")))
-    bricks = bricks.drop("ord").join(brands, "brick")
+    brands = part.select(F.col("p_brand").alias("brick")).distinct().select("brick", F.lit("component").alias("type"), F.concat(F.lit("parts/"), "brick").alias("dir"))
+    bricks = order.numbered(brands, [F.asc("brick")], "ord")
     registry = spark.createDataFrame([(k, "max", ["component"], "function", i, "size") for i, k in enumerate(("function-complexity", "function-depth", "function-forms", "function-params"))] + [("price", "max", ["component"], "finding", 4, "price")], REGISTRY)
     limits = _settings(spark, [("function-complexity", "error", 0, 40.0, None, None), ("function-forms", "warning", 1, 10.0, None, None), ("price", "error", 0, 990.0, None, None), ("price", "warning", 1, 950.0, None, None)])
     own = F.col("p_brand").alias("brick"), F.lit("component").alias("type"), F.col("p_partkey").alias("ord")
