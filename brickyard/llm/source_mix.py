@@ -37,25 +37,6 @@ FEW = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def water_fill(sizes: list[int], weights: list[float], total: float, max_repeat: float) -> list[float]:
-    """Targets by weight, none above max_repeat times its size; the excess is shared again by weight."""
-    targets = [0.0] * len(sizes)
-    free = [i for i, s in enumerate(sizes)]
-    left = total
-    while free:
-        weight = sum(weights[i] for i in free)
-        stopped = [i for i in free if left * weights[i] / weight > max_repeat * sizes[i]]
-        if not stopped:
-            for i in free:
-                targets[i] = left * weights[i] / weight
-            break
-        for i in stopped:
-            targets[i] = float(max_repeat * sizes[i])
-        left -= sum(targets[i] for i in stopped)
-        free = [i for i in free if i not in set(stopped)]
-    return targets
-
-
 def _numbered(sizes: DataFrame) -> DataFrame:
     """sizes with ``number``, from 0 by code point of the source, null last: in ranges, so no task has all sources."""
     ranged = checkpointed(sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("__range", F.spark_partition_id()))

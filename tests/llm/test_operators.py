@@ -18,6 +18,25 @@ from brickyard.llm.perfect_hash import PerfectHash, mix64
 LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def water_fill(sizes: list[int], weights: list[float], total: float, max_repeat: float) -> list[float]:
+    """Targets by weight, none above max_repeat times its size; the excess is shared again by weight."""
+    targets = [0.0] * len(sizes)
+    free = [i for i, s in enumerate(sizes)]
+    left = total
+    while free:
+        weight = sum(weights[i] for i in free)
+        stopped = [i for i in free if left * weights[i] / weight > max_repeat * sizes[i]]
+        if not stopped:
+            for i in free:
+                targets[i] = left * weights[i] / weight
+            break
+        for i in stopped:
+            targets[i] = float(max_repeat * sizes[i])
+        left -= sum(targets[i] for i in stopped)
+        free = [i for i in free if i not in set(stopped)]
+    return targets
+
+
 def low(text):
     return (text or "").encode().translate(LOW)
 
@@ -484,7 +503,7 @@ def test_mix(spark, docs, rows, empty):
     for _, t, s in rows:
         totals[s] += size(t)
     names = sorted(totals, key=lambda s: (s is None, s or ""))
-    targets = dict(zip(names, source_mix.water_fill([totals[s] for s in names], [(5.0, 2.0, 1.0)[i % 3] for i in range(len(names))], sum(totals.values()), 3.0), strict=True))
+    targets = dict(zip(names, water_fill([totals[s] for s in names], [(5.0, 2.0, 1.0)[i % 3] for i in range(len(names))], sum(totals.values()), 3.0), strict=True))
     same([(r.doc_id, r.source, r.size) for r in out], [(d, s, size(t)) for d, t, s in rows])
     taken = collections.Counter()
     for r in out:
@@ -566,7 +585,7 @@ def test_mix_beyond_the_broadcast_bound(docs, monkeypatch):
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=9))
 def test_water_fill(sizes):
     weights = [(5.0, 2.0, 1.0)[i % 3] for i in range(len(sizes))]
-    targets = source_mix.water_fill(sizes, weights, sum(sizes), 3.0)
+    targets = water_fill(sizes, weights, sum(sizes), 3.0)
     assert sum(targets) == pytest.approx(sum(sizes)) and all(t <= 3 * s + 1e-6 for t, s in zip(targets, sizes, strict=True))
 
 
@@ -574,7 +593,7 @@ def test_native_water_fill_agrees(spark):
     for sizes in ([10, 10, 1000], [1, 500, 3, 3, 900], [0, 5], [7]):
         df = spark.createDataFrame([(f"s{i}", s) for i, s in enumerate(sizes)], "source string, source_size long")
         got = [r.target for r in source_mix.source_targets(df).orderBy("source").collect()]
-        assert got == pytest.approx(source_mix.water_fill(sizes, [(5.0, 2.0, 1.0)[i % 3] for i in range(len(sizes))], sum(sizes), 3.0))
+        assert got == pytest.approx(water_fill(sizes, [(5.0, 2.0, 1.0)[i % 3] for i in range(len(sizes))], sum(sizes), 3.0))
 
 
 # -- lines and substrings --------------------------------------------------------------------------
