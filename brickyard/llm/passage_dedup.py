@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brickyard.llm._components import components
-from brickyard.llm._shared import checkpointed, release, small_batches
+from brickyard.llm._shared import checkpointed, named, release, small_batches
 from brickyard.llm._words import shingle_hashes, signed, word_hashes
 from brickyard.llm.perfect_hash import mix64
 
@@ -501,7 +501,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     small_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     least = min_words - SHINGLE + 1
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("mark"))
+    d = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).alias("text"), F.xxhash64(named(text)).alias("mark"))
     rows = checkpointed(d.select("doc_id", "mark", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_words")))
     texts = rows.groupBy("mark").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.max("n_words").alias("words"))
     words = texts.agg(F.sum("words")).first()[0] or 0

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brickyard.llm._shared import release, small_batches
+from brickyard.llm._shared import named, release, small_batches
 from brickyard.llm._words import powers
 from brickyard.llm.deep_shallow import sort_suffixes
 from brickyard.llm.perfect_hash import mix64
@@ -319,7 +319,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     if not GRAM <= span <= LONGEST:
         raise ValueError(f"span must be {GRAM} to {LONGEST} bytes")
     small_batches(docs.sparkSession)
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST)).alias("sort_id"), F.xxhash64(F.col(text)).alias("print"), F.col(text).alias("text"))
+    d = docs.select(named(doc_id).cast("long").alias("doc_id"), F.coalesce(named(doc_id).cast("long"), F.lit(_LEAST)).alias("sort_id"), F.xxhash64(named(text)).alias("print"), named(text).alias("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, 4 * size // BUCKET_BYTES)
     sent = d.select("sort_id", "print", "text").mapInArrow(_scan(span, buckets), "bucket int, blob binary")

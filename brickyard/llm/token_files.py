@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brickyard.llm._shared import new_path, release, small_batches
+from brickyard.llm._shared import named, new_path, release, small_batches
 from brickyard.llm.token_codec import decode_block, encode_block
 
 CACHED_CHUNKS = 400_000
@@ -179,7 +179,7 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int = 1, doc_
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).alias("text"))
     dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(_encode_shard(tokenizer, end_id, block_tokens), BLOCKS).write.option("compression", "none").parquet(to)
 

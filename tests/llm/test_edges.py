@@ -90,3 +90,23 @@ def test_near_duplicates_take_one_row_whatever_the_columns(spark):
         assert sorted((x.doc_id is None, x.doc_id) for x in found if x.doc_id) == [(False, 1), (False, 3)] and sum(x.doc_id is None for x in found) == 1
         seen.add(tuple(sorted(str(x) for x in found)))
     assert len(seen) == 1  # the same rows, in whatever order they come
+
+
+def test_columns_with_dots(spark, rows):
+    """Ids and texts under names that look like fields."""
+    import public_tokenizers
+
+    from brickyard.llm import packing, passage_dedup, periodic_runs, suffix_dedup, token_files
+
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([r[:2] for r in rows[:20]], "`a.id` long, `b.text` string")
+    plain = docs.toDF("doc_id", "text")
+    for run in (suffix_dedup.dedup_substrings, passage_dedup.repeated_passages, periodic_runs.periodic_runs, pii.report, lambda d, **k: packing.pack_documents(d, tokenizer, **k)):
+        key = lambda df: sorted(str(r) for r in df.drop("sequence_id").collect())
+        assert key(run(docs, doc_id="a.id", text="b.text")) == key(run(plain))
+    where = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp"
+    import uuid
+
+    to = f"{where}/dots-{uuid.uuid4().hex}"
+    token_files.write_tokens(docs, to, tokenizer, doc_id="a.id", text="b.text")
+    assert token_files.read_ids(spark, to).count() == 20
