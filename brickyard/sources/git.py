@@ -6,6 +6,7 @@ range and streams what it says; the driver only counts. All machines must see th
 """
 
 import datetime
+import itertools
 import os
 import re
 import subprocess
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, StringStartsWith
 
 COMMITS = "commit string, at timestamp, path string"
+WHOLE_COMMITS = "commit string, at timestamp, paths array<string>"
 FILES = "path string, oid string, source string"
 #: Commits, or files, of a partition where the option ``perPartition`` doesn't say otherwise.
 PER_PARTITION = 2000
@@ -75,7 +77,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += sum(len(x) for x in row if isinstance(x, str))
+        size += sum(len(x) if isinstance(x, str) else 50 * len(x) for x in row if isinstance(x, str | list))
         if len(held) >= _ROWS or size >= _BYTES:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
             held, size = [], 0
@@ -128,6 +130,23 @@ class _History:
                 yield commit, at, text
 
 
+    def whole(self, part: _Range) -> Iterator[tuple]:
+        """A row a commit; its paths come one after another, and as many as it changes are held."""
+        for (commit, at), rows in itertools.groupby(self.rows(part), lambda r: r[:2]):
+            yield commit, at, [path for _, _, path in rows]
+
+
+_WHOLE_LOG = pa.schema([_LOG.field("commit"), _LOG.field("at"), ("paths", pa.list_(pa.string()))])
+
+
+def _read(history: _History, part: _Range, options) -> Iterator[pa.RecordBatch]:
+    return _batches(history.whole(part), _WHOLE_LOG) if _by_commit(options) else _batches(history.rows(part), _LOG)
+
+
+def _by_commit(options) -> bool:
+    return options.get("byCommit", "false").lower() == "true"
+
+
 class _LogReader(DataSourceReader):
     def __init__(self, options):
         self.options, self.root = options, os.path.abspath(options.get("path", "."))
@@ -139,7 +158,7 @@ class _LogReader(DataSourceReader):
         return _ranges(history.total(), self.options, history)
 
     def read(self, partition):
-        yield from _batches(partition.listing.rows(partition), _LOG)
+        yield from _read(partition.listing, partition, self.options)
 
 
 class _FilteredLogReader(_LogReader):
@@ -175,7 +194,7 @@ class _LogStream(DataSourceStreamReader):
         return _ranges(history.total(), self.options, history)
 
     def read(self, partition):
-        yield from _batches(partition.listing.rows(partition), _LOG)
+        yield from _read(partition.listing, partition, self.options)
 
     def commit(self, end):
         pass
@@ -185,14 +204,15 @@ class GitLog(DataSource):
     """spark.read.format("gitlog").load(root): history up to ``rev`` (HEAD), with the options ``since`` (as git reads it) and
     ``perPartition``. With the option ``pushFilters`` filters on ``at`` and ``path`` narrow git's walk; Spark wants
     spark.sql.python.filterPushdown.enabled for that, and ``log`` sets the one by the other.
-    spark.readStream takes ``startingCommit``, whose successors come first."""
+    spark.readStream takes ``startingCommit``, whose successors come first. With the option ``byCommit`` a row is a commit with
+    its ``paths``."""
 
     @classmethod
     def name(cls):
         return "gitlog"
 
     def schema(self):
-        return COMMITS
+        return WHOLE_COMMITS if _by_commit(self.options) else COMMITS
 
     def reader(self, schema):
         return (_FilteredLogReader if self.options.get("pushFilters", "false") == "true" else _LogReader)(self.options)

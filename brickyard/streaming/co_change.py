@@ -1,8 +1,19 @@
 """Co-change over a stream of commits: pairs of bricks in the same commit, counted in event-time windows."""
 
-from pyspark.sql import DataFrame
+import os
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brickyard.sources import git
+
+
+def commit_stream(spark: SparkSession, root: str, starting: str | None = None) -> DataFrame:
+    """ts, paths: the commits of a repository as they come, after ``starting`` if that is given."""
+    read = git.register(spark).readStream.format("gitlog").option("byCommit", "true")
+    read = read.option("startingCommit", starting) if starting else read
+    return read.load(os.path.abspath(root)).select(F.col("at").alias("ts"), "paths")
+
 
 def co_change_windows(commits: DataFrame, window: str = "30 days", late: str = "1 day", most: int = 5) -> DataFrame:
     """Streaming or batch commits(ts, paths ARRAY<STRING>) -> window, a, b, shared.

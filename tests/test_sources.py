@@ -94,6 +94,30 @@ def test_log_as_stream(spark, repo, tmp_path):
         query.stop()
 
 
+def test_co_change_of_a_commit_stream(spark, repo, tmp_path):
+    from brickyard.streaming.co_change import co_change_windows, commit_stream
+
+    copy = tmp_path / "streamed"
+    subprocess.run(["git", "clone", "-q", str(repo), str(copy)], check=True)
+    start = run(copy, "rev-list", "--no-merges", "HEAD").split()[12]
+    windows = co_change_windows(commit_stream(spark, str(copy), start), late="100 days")
+    query = windows.writeStream.outputMode("complete").format("memory").queryName("joint").option("checkpointLocation", f"file://{tmp_path}/joint").start()
+    try:
+        query.processAllAvailable()
+        first = spark.table("joint").agg(F.sum("shared")).first()[0]
+        touched = {}
+        for commit, path in logged(copy, f"{start}..HEAD"):
+            touched.setdefault(commit, set()).add(path.split("/")[1])
+        assert first == sum({"a", "b é"} <= x for x in touched.values()) > 0
+        write(copy, {"bases/a/f0": "x", "components/b é/ü 0": "y", "components/c/z": "1"})
+        run(copy, "add", "-A")
+        run(copy, "commit", "-qm", "three", GIT_COMMITTER_DATE="1702000000 +0000")
+        query.processAllAvailable()
+        assert spark.table("joint").agg(F.sum("shared")).first()[0] == first + 3
+    finally:
+        query.stop()
+
+
 def test_files_of_a_revision(spark, repo):
     rev = run(repo, "rev-parse", "HEAD~2").strip()
     files = git.register(spark).read.format("gitfiles").options(rev=rev, perPartition="2").load(str(repo))
