@@ -380,3 +380,10 @@ def test_source_suite(spark, name):
 @pytest.mark.parametrize("name", sorted(workspace_suite.ORACLES))
 def test_workspace_suite(spark, name):
     _compare(spark, workspace_suite.QUERIES[name], workspace_suite.ORACLES[name])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_sources_are_parsed_in_many_tasks(spark):
+    """The table of suppliers is one small file; its texts aren't one task's."""
+    assert source_suite._facts(spark, SF, False).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert source_suite.QUERIES["source_errors"](spark, SF)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
