@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brickyard.llm._components import components
-from brickyard.llm._shared import checkpointed, named, release, small_batches
+from brickyard.llm._shared import checkpointed, freed, named, release, small_batches
 from brickyard.llm._words import shingle_hashes, signed, word_hashes
 from brickyard.llm.perfect_hash import mix64
 
@@ -387,9 +387,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = checkpointed(d.mapInArrow(_keys(words), "doc_id long, n_shingles long, k1 long, key decimal(38,0)"))
     said = d.select("text").mapInArrow(_announce(words, num, den), "sig long, k1 long")
     # Partitions are kept apart by size band: similar sets share one, and common passages don't chain all sizes together.
-    own = F.struct(F.xxhash64("k1", F.col("sig").bitwiseAND(63)).alias("node"), "k1")
-    star = said.select("sig", own.alias("a")).withColumn("b", F.min("a").over(Window.partitionBy("sig"))).filter("a.node <> b.node").select("a", "b")
+    # A row that is dealt by its hash has 16 bytes, whose names in their bands are made where it arrives.
+    node = lambda k: F.struct(F.xxhash64(k, F.col("sig").bitwiseAND(63)).alias("node"), F.col(k).alias("k1"))
+    star = said.withColumn("first", F.min("k1").over(Window.partitionBy("sig"))).filter("k1 <> first").select(node("k1").alias("a"), node("first").alias("b"))
     star = checkpointed(star.distinct())
+    freed(docs.sparkSession)  # the announced parts are the most that this writes
     near = components(star.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
     nodes = star.select("a.*").union(star.select("b.*")).distinct()
     # One text of each set that shares a part with another set goes to its partition.
@@ -404,6 +406,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         # Rows that repeat an id bring a text again.
         links = _across(checkpointed(texts.filter("block_n > 1").dropDuplicates(["root", "key", "packed"])), links, words, num, den, block)
     classes = components(links)
+    freed(docs.sparkSession)
     keyed = rows.join(classes.select(F.col("node").alias("key"), "root"), "key", "left")
     label = keyed.withColumn("class", F.coalesce("root", "key"))
     least = label.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
