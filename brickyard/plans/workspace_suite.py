@@ -65,7 +65,8 @@ def query(sql: str, *names: str):
 
 
 def _tables(spark: SparkSession, sf_dir: str):
-    """A function from names of flat tables to these; line items are read and joined once."""
+    """A function from names of flat tables to these; line items are read and joined once, and dealt by supplier once for all that is grouped from them."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
 
     def of(wanted: list[str], name: str, given: dict[str, DataFrame]) -> DataFrame:
@@ -73,7 +74,8 @@ def _tables(spark: SparkSession, sf_dir: str):
         made = ", ".join(f"{n} AS ({FLAT[n]})" for n in wanted)
         return spark.sql(f"WITH {shown}, {made} SELECT * FROM {name}", **given)
 
-    shared = {name: kept(of(["brick", "src", "line"], name, tables)) for name in ("brick", "src", "line")}
+    made = {name: of(["brick", "src", "line"], name, tables) for name in ("brick", "src", "line")}
+    shared = {name: kept(df.repartition(parts, "k") if name == "line" else df) for name, df in made.items()}
     return lambda name: shared[name] if name in shared else of([name], name, shared)
 
 
@@ -95,23 +97,26 @@ def _workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     of = lambda df, what, out: df.groupBy("k").agg(F.sort_array(F.collect_list(what)).alias(out))
     no, null, one = F.lit(False), F.lit(None).cast("string"), F.lit(1)
     requires = lambda df, alias: df.select("k", F.struct("ord", "target", no.alias("is_js"), F.col("ord").alias("line"), alias.alias("alias"), null.alias("as_alias"), F.array().cast("array<string>").alias("refer")).alias("x"))
-    p = F.col("p")
     refs = t("ref").groupBy("k", "p").agg(F.sort_array(F.collect_list("symbol")).alias("refs"))
-    defs = t("def").join(refs, ["k", "p"])
-    kinds = F.when(p % 3 == 0, "atom").when(p % 3 == 1, "dynamic").otherwise("alter")
-    shown = F.when(p % 2 == 0, "logs").when(p % 4 == 1, "rethrows").otherwise("swallows")
-    made = [
-        of(requires(t("req"), F.col("alias")).unionAll(requires(t("lib"), null)), "x", "requires"),
-        of(defs, F.struct(p.alias("ord"), "name", (p + 1).alias("line"), "private", "throws", "refs"), "definitions"),
-        of(defs, F.struct(p.alias("ord"), "name", (p + 1).alias("line"), (p % 13 + 1).alias("complexity"), (p % 9).alias("depth"), (p + 2).alias("depth_line"), (p * 5).alias("forms"), (p % 6).alias("params")), "functions"),
-        of(t("word"), "keyword", "keywords"),
-        of(defs.filter("p % 5 = 0"), F.struct(p.alias("ord"), "name", (p + 1).alias("line"), kinds.alias("kind")), "mutable_state"),
-        of(defs.filter("p % 4 = 1"), F.struct(p.alias("ord"), (p + 1).alias("line"), F.lit("Exception").alias("class"), (p % 8 == 1).alias("broad"), shown.alias("handling")), "catches"),
-        of(defs, F.struct((p % 13).cast("long").alias("hash"), (p * 4).alias("forms"), (p + 1).alias("line"), (p + 1 + p % 3 * 9).alias("end_line")), "fragments"),
-        of(defs.filter("p % 6 = 2"), F.struct(p.alias("ord"), (p + 1).alias("line"), F.when(p % 12 == 2, "untyped").otherwise("typed").alias("kind")), "throws"),
-    ]
+    # What a supplier defines is grouped once, and what stands at these places is made of that.
+    defs = of(t("def").join(refs, ["k", "p"]), F.struct("p", "name", "private", "throws", "refs"), "defs")
+    each = lambda f, when=None: F.transform("defs" if when is None else F.filter("defs", lambda x: when(x["p"])), lambda x: f(x, x["p"]))
+    named = lambda x, p: (p.alias("ord"), x["name"].alias("name"), (p + 1).alias("line"))
+    kind = lambda p: F.when(p % 3 == 0, "atom").when(p % 3 == 1, "dynamic").otherwise("alter")
+    shown = lambda p: F.when(p % 2 == 0, "logs").when(p % 4 == 1, "rethrows").otherwise("swallows")
+    defined = defs.select(
+        "k",
+        each(lambda x, p: F.struct(*named(x, p), x["private"].alias("private"), x["throws"].alias("throws"), x["refs"].alias("refs"))).alias("definitions"),
+        each(lambda x, p: F.struct(*named(x, p), (p % 13 + 1).alias("complexity"), (p % 9).alias("depth"), (p + 2).alias("depth_line"), (p * 5).alias("forms"), (p % 6).alias("params"))).alias("functions"),
+        each(lambda x, p: F.struct(*named(x, p), kind(p).alias("kind")), lambda p: p % 5 == 0).alias("mutable_state"),
+        each(lambda x, p: F.struct(p.alias("ord"), (p + 1).alias("line"), F.lit("Exception").alias("class"), (p % 8 == 1).alias("broad"), shown(p).alias("handling")), lambda p: p % 4 == 1).alias("catches"),
+        F.sort_array(each(lambda x, p: F.struct((p % 13).cast("long").alias("hash"), (p * 4).alias("forms"), (p + 1).alias("line"), (p + 1 + p % 3 * 9).alias("end_line")))).alias("fragments"),
+        each(lambda x, p: F.struct(p.alias("ord"), (p + 1).alias("line"), F.when(p % 12 == 2, "untyped").otherwise("typed").alias("kind")), lambda p: p % 6 == 2).alias("throws"),
+    )
+    made = [of(requires(t("req"), F.col("alias")).unionAll(requires(t("lib"), null)), "x", "requires"), of(t("word"), "keyword", "keywords"), defined]
     own = t("src")
     me = own.select("k", F.lit(0).alias("ord"), F.concat(F.lit("top."), "seg", F.lit(".interface")).alias("target"))
+    p = F.col("p")
     tests = [
         of(requires(me, F.lit("me")).unionAll(requires(t("reach"), null)), "x", "requires"),
         of(t("test"), F.struct(p.alias("ord"), F.concat(F.lit("t"), p.cast("string")).alias("name"), (p + 1).alias("line"), (p + 10).alias("forms"), "assertions"), "tests"),
@@ -156,7 +161,7 @@ def workspace_edges(spark, sf_dir):
 
 @query(_more("resolved") + "SELECT brick, def_name, to_ns, to_name, count(*) AS n FROM resolved GROUP BY ALL", "req", "ref", "def")
 def workspace_references(spark, sf_dir):
-    return workspace(spark, sf_dir).references.groupBy("brick", "def_name", "to_ns", "to_name").agg(F.count("*").alias("n"))
+    return workspace(spark, sf_dir).calls.groupBy("brick", "def_name", "to_ns", "to_name").agg(F.sum("n").alias("n"))
 
 
 @query(_more("facade", "untested") + "SELECT brick, file, name FROM untested", "def", "tested")

@@ -387,3 +387,14 @@ def test_sources_are_parsed_in_many_tasks(spark):
     """The table of suppliers is one small file; its texts aren't one task's."""
     assert source_suite._facts(spark, SF, False).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert source_suite.QUERIES["source_errors"](spark, SF)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_workspace_is_grouped_and_resolved_once(spark, monkeypatch):
+    """Definitions meet their references once, however many columns are made of them; calls aren't resolved again each round."""
+    plans, keep = [], workspace_suite.kept
+    monkeypatch.setattr(workspace_suite, "kept", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    w = workspace_suite._workspace(spark, SF)
+    assert plans[-1].count("AS refs#") == 1
+    assert "Join" not in w.calls._jdf.queryExecution().optimizedPlan().toString()
+    assert w.calls.agg({"n": "sum"}).first()[0] == w.references.count()
