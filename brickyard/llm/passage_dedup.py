@@ -39,6 +39,8 @@ from brickyard.llm.perfect_hash import mix64
 SHINGLE = 5
 BUCKET_WINDOWS = 400_000
 FLUSH_WINDOWS = 300_000
+#: Pairs of windows that are tried at a time: a repetitive text's windows may stand within each other by the thousand.
+TRIED = 500_000
 SALT = 1000
 _FIELDS = (("key", "<u8"), ("text", "<i8"), ("l", "<u4"), ("c", "<u4"), ("r", "<u4"), ("f", "u1"))
 _MEMBER = "key long, text long, l int, r int"
@@ -115,13 +117,18 @@ def _scan(hashes: int, min_words: int, buckets: int):
 
 
 def _shared(table):
-    """The windows whose min-hash more than one text has."""
+    """The windows whose min-hash more than one text has, each once: tasks that met copies of a text all sent its windows."""
     columns = [_unpack(b) for b in table.column("blob").to_pylist()]
     x = {n: np.concatenate([c[n] for c in columns]) for n, _ in _FIELDS}
-    order = np.lexsort((x["text"], x["key"]))
+    order = np.lexsort((x["c"], x["f"], x["text"], x["key"]))
     x = {n: v[order] for n, v in x.items()}
+    once = np.zeros(len(order), bool)
+    once[:1] = True
+    for n in ("key", "text", "f", "c"):  # a hash function has one window at a place
+        once[1:] |= x[n][1:] != x[n][:-1]
+    x = {n: v[once] for n, v in x.items()}
     starts = np.flatnonzero(np.append(True, x["key"][1:] != x["key"][:-1]))
-    ends = np.append(starts[1:], len(order))
+    ends = np.append(starts[1:], len(x["key"]))
     several = np.repeat(x["text"][starts] != x["text"][ends - 1], ends - starts)
     kinds = (("key", np.int64), ("text", np.int64), ("l", np.int32), ("c", np.int32), ("r", np.int32), ("f", np.int32))
     return pa.table({n: pa.array((x[n][several].view(k) if n == "key" else x[n][several].astype(k))) for n, k in kinds})
@@ -133,6 +140,14 @@ def overlaid(one: dict[str, np.ndarray], two: dict[str, np.ndarray], least: int)
     two = {n: v[order] for n, v in two.items()}
     begin = np.searchsorted(two["c"], one["l"], "left")
     n = np.maximum(np.searchsorted(two["c"], one["r"], "right") - begin, 0)
+    cuts = np.flatnonzero(np.diff(np.cumsum(n) // TRIED, prepend=0)).tolist()
+    found = [_laid(one, two, begin, n, slice(*at), least) for at in itertools.pairwise([0, *cuts, len(n)])]
+    return {name: np.concatenate([x[name] for x in found]) for name in found[0]}
+
+
+def _laid(one: dict[str, np.ndarray], two: dict[str, np.ndarray], begin: np.ndarray, n: np.ndarray, at: slice, least: int) -> dict[str, np.ndarray]:
+    """Of the windows ``at`` of one, each with so many of two from ``begin`` on, those that hold the same passages."""
+    one, begin, n = {name: v[at] for name, v in one.items()}, begin[at], n[at]
     i = np.repeat(np.arange(len(n)), n)
     j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + begin[i]
     l, r = np.maximum(one["l"][i], two["l"][j]), np.minimum(one["r"][i], two["r"][j])
@@ -168,9 +183,9 @@ def _meets(hashes: int, enough: int, least: int):
                     if len(now["key"]):
                         parts.append((mix64(now["key"], 400 + k).view(np.int64), np.full(len(now["key"]), text), now["l"].astype(np.int32), now["r"].astype(np.int32)))
                         size += len(now["key"])
-                if size >= 50_000:
-                    yield close(parts)
-                    parts, size = [], 0
+                    if size >= 50_000:
+                        yield close(parts)
+                        parts, size = [], 0
             if parts:
                 yield close(parts)
         release()
