@@ -91,3 +91,10 @@ def test_owners_of_paths(spark):
     first = lambda n: next((x[0] for x in sorted(bricks, key=lambda x: x[2]) if n.startswith(x[1] + "/")), None)
     assert {tuple(x) for x in paths.owners(p, b).collect()} == {(n, first(n)) for n in names if first(n)}
     assert {x.brick for x in paths.under(p, b, "src").collect()} == {x[0] for x in bricks if any(n.startswith(x[1] + "/src/") for n in names)}
+
+
+def test_dead_ends_are_left_out_of_the_search(spark):
+    edges = spark.createDataFrame([("a", "m"), ("m", "b"), ("m", "x"), ("x", "y"), ("u", "m"), ("s", "s")], "a string, b string")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("s", "s")], "a string, b string")
+    assert {tuple(r) for r in graph._between(pairs, edges).collect()} == {("a", "m"), ("m", "b"), ("s", "s")}
+    assert {tuple(r) for r in graph.connected(pairs, edges).collect()} == {("a", "b"), ("s", "s")}
