@@ -28,24 +28,33 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     return known[:n]
 
 
+def _hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of UTF-8 bytes, and where they begin."""
+    raw = np.frombuffer(text.translate(_LOWER), np.uint8)
+    solid = np.zeros(len(raw) + 2, bool)
+    solid[1:-1] = ~_IS_SPACE[raw]
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    if not len(edges):
+        return np.zeros(0, np.uint64), edges
+    lengths = edges[1::2] - edges[::2]
+    letters, starts = raw[solid[1:-1]], np.cumsum(lengths) - lengths
+    place = np.arange(len(letters)) - np.repeat(starts, lengths)
+    with np.errstate(over="ignore"):
+        part = powers(int(lengths.max()))[place]
+        part *= letters.astype(np.uint64) + np.uint64(1)
+        return mix64(np.add.reduceat(part, starts), 1), edges[::2]
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """A hash for each word [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased."""
-    raw = np.frombuffer((text or "").encode().translate(_LOWER), np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.uint64)
-    solid = ~_IS_SPACE[raw]
-    begins = solid.copy()
-    begins[1:] &= ~solid[:-1]
-    starts = np.flatnonzero(begins)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    first = np.where(begins, np.arange(len(raw)), 0)
-    place = np.arange(len(raw)) - np.maximum.accumulate(first)
-    place[~solid] = 0
-    with np.errstate(over="ignore"):
-        part = (raw.astype(np.uint64) + np.uint64(1)) * powers(int(place.max()) + 1)[place]
-        part[~solid] = 0
-        return mix64(np.add.reduceat(part, starts), 1)
+    return _hashed((text or "").encode())[0]
+
+
+def word_hashes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of texts one after the other, and where each text's begin, with the end of all: many short texts cost few NumPy calls."""
+    raws = [(t or "").encode() for t in texts]
+    hashes, at = _hashed(b" ".join(raws))
+    return hashes, np.searchsorted(at, np.cumsum([0, *(len(r) + 1 for r in raws)]))
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -24,6 +24,7 @@ an empty result; columns other than id and text are ignored.
 
 import itertools
 import struct
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,14 @@ from pyspark.sql import functions as F
 
 from brickyard.llm._components import components
 from brickyard.llm._shared import checkpointed, named, release, small_batches
-from brickyard.llm._words import shingle_hashes, signed, word_hashes
+from brickyard.llm._words import shingle_hashes, signed, word_hashes, word_hashes_of
 from brickyard.llm.perfect_hash import mix64
 
 SHINGLE = 5
 BUCKET_WINDOWS = 400_000
 FLUSH_WINDOWS = 300_000
+#: Characters of texts that are hashed at a time.
+SCANNED_CHARS = 60_000
 #: Pairs of windows that are tried at a time: a repetitive text's windows may stand within each other by the thousand.
 TRIED = 500_000
 SALT = 1000
@@ -51,7 +54,7 @@ def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]
     out, stack = [], [(0, len(values) - 1)] if len(values) >= least else []
     while stack:
         l, r = stack.pop()
-        c = l + int(values[l : r + 1].argmin())
+        c = l + values[l : r + 1].argmin().item()
         out.append((l, c, r))
         if c - l >= least:
             stack.append((l, c - 1))
@@ -91,21 +94,38 @@ def _scan(hashes: int, min_words: int, buckets: int):
             b, x = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(x, pa.binary())], names=["bucket", "blob"])
 
+        def add(marks, texts):
+            nonlocal size
+            words, bounds = word_hashes_of(texts)
+            if len(words) < SHINGLE:
+                return
+            tokens = shingle_hashes(words, SHINGLE)
+            long = [(m, a, b) for m, a, b in zip(marks, bounds[:-1].tolist(), (bounds[1:] - SHINGLE + 1).tolist(), strict=True) if b - a >= least]
+            for f in range(hashes):
+                values = mix64(tokens, 100 + f)
+                windows = [compact_windows(values[a:b], least) for _, a, b in long]
+                counts = [len(w) for w in windows]
+                if counts:
+                    l, c, r = np.array(list(itertools.chain.from_iterable(windows))).T
+                    at = c + np.repeat([a for _, a, _ in long], counts)
+                    held.append((mix64(values[at], 200 + f), np.repeat(np.array([m for m, _, _ in long], np.int64), counts), l, c, r, np.full(len(l), f)))
+                    size += len(l)
+
         for batch in batches:
+            marks, texts, chars = [], [], 0
             for mark, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if mark in seen:
+                if mark in seen or not text:
                     continue
                 if len(seen) >= 500_000:
                     seen.clear()
                 seen.add(mark)
-                tokens = shingle_hashes(word_hashes(text), SHINGLE)
-                if len(tokens) < least:
-                    continue
-                for f in range(hashes):
-                    values = mix64(tokens, 100 + f)
-                    l, c, r = np.array(compact_windows(values, least)).T
-                    held.append((mix64(values[c], 200 + f), np.full(len(l), mark), l, c, r, np.full(len(l), f)))
-                    size += len(l)
+                marks.append(mark)
+                texts.append(text)
+                chars += len(text)
+                if chars >= SCANNED_CHARS:
+                    add(marks, texts)
+                    marks, texts, chars = [], [], 0
+            add(marks, texts)
             if size >= FLUSH_WINDOWS:
                 yield close()
                 size = 0
@@ -153,41 +173,41 @@ def _laid(one: dict[str, np.ndarray], two: dict[str, np.ndarray], begin: np.ndar
     l, r = np.maximum(one["l"][i], two["l"][j]), np.minimum(one["r"][i], two["r"][j])
     lo, hi = np.minimum(one["lo"][i], two["c"][j]), np.maximum(one["hi"][i], two["c"][j])
     use = (l <= lo) & (hi <= r) & (r - l + 1 >= least)
+    use = np.flatnonzero(use)
     with np.errstate(over="ignore"):
-        key = mix64(one["key"][i] + mix64(two["key"][j], 301), 302)
-    return {n: v[use] for n, v in (("key", key), ("l", l), ("r", r), ("lo", lo), ("hi", hi))}
+        key = mix64(one["key"][i[use]] + mix64(two["key"][j[use]], 301), 302)
+    return {"key": key} | {n: v[use] for n, v in (("l", l), ("r", r), ("lo", lo), ("hi", hi))}
 
 
 def _meets(hashes: int, enough: int, least: int):
     """Keys of ``enough`` min-hashes, each combination of hash functions, with the places of a text that have them all."""
 
-    def close(parts):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["key", "text", "l", "r"])
-
     def run(batches):
         for batch in batches:
             lists = batch.column(1)
-            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
             flat = lists.flatten()
             x = {n: flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i, n in enumerate(("f", "key", "l", "c", "r"))}
-            parts, size = [], 0
-            for text, start, end in zip(batch.column(0).to_pylist(), [0, *ends], ends, strict=False):
-                of = []
-                for f in range(hashes):
-                    at = start + np.flatnonzero(x["f"][start:end] == f)
-                    of.append({"key": x["key"][at].view(np.uint64), "l": x["l"][at], "c": x["c"][at], "r": x["r"][at]})
-                for k, chosen in enumerate(itertools.combinations(range(hashes), enough)):
-                    now = {**of[chosen[0]], "lo": of[chosen[0]]["c"], "hi": of[chosen[0]]["c"]}
-                    for f in chosen[1:]:
-                        now = overlaid(now, of[f], least)
-                    if len(now["key"]):
-                        parts.append((mix64(now["key"], 400 + k).view(np.int64), np.full(len(now["key"]), text), now["l"].astype(np.int32), now["r"].astype(np.int32)))
-                        size += len(now["key"])
-                    if size >= 50_000:
-                        yield close(parts)
-                        parts, size = [], 0
-            if parts:
-                yield close(parts)
+            # All texts are laid out one after the other, so one overlay serves them all.
+            marks = batch.column(0).to_numpy()
+            of_row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+            tops = np.zeros(len(ends), np.int64)
+            np.maximum.at(tops, of_row, x["r"] + 1)
+            bases = np.cumsum(tops) - tops
+            for n in ("l", "c", "r"):
+                x[n] += bases[of_row]
+            of = [{n: x[n][x["f"] == f] for n in ("key", "l", "c", "r")} for f in range(hashes)]
+            for o in of:
+                o["key"] = o["key"].view(np.uint64)
+            for k, chosen in enumerate(itertools.combinations(range(hashes), enough)):
+                now = {**of[chosen[0]], "lo": of[chosen[0]]["c"], "hi": of[chosen[0]]["c"]}
+                for f in chosen[1:]:
+                    now = overlaid(now, of[f], least)
+                text = np.searchsorted(bases, now["l"], "right") - 1
+                key, l, r = mix64(now["key"], 400 + k).view(np.int64), (now["l"] - bases[text]).astype(np.int32), (now["r"] - bases[text]).astype(np.int32)
+                for at in range(0, len(text), 50_000):
+                    one = slice(at, at + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(c[one]) for c in (key, marks[text], l, r)], names=["key", "text", "l", "r"])
         release()
 
     return run
@@ -247,67 +267,108 @@ def _places(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "l", "r", "m", "s"])
 
 
-def _chain(ours: list[int], theirs: list[int]) -> tuple[list[int], list[int]]:
+def _nearest(places: list[int], lo: int, hi: int, want: int, after: int) -> int:
+    """Of the ascending places lo..hi - 1 the nearest to want, the lesser of two, among those behind ``after`` or, if none is, among all; want is behind ``after``."""
+    k = bisect_left(places, want, lo, hi)
+    if k == hi:
+        return places[k - 1]
+    if k > lo and places[k - 1] > after and want - places[k - 1] <= places[k] - want:
+        return places[k - 1]
+    return places[k]
+
+
+def _chain(ours: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shared tokens of ours with one place each in theirs: the place that goes on from its neighbours', else the nearest after the last."""
-    where: dict[int, list[int]] = {}
-    for j, token in enumerate(theirs):
-        where.setdefault(token, []).append(j)
-    at_i, at_j = [], []
-    last = (-1, -1)
-    for i, token in enumerate(ours):
-        places = where.get(token)
-        if not places:
-            continue
-        j = places[0]
-        if len(places) > 1:
-            want = last[1] + i - last[0]
-            j = min(places, key=lambda p: (p <= last[1], abs(p - want)))
-        at_i.append(i)
-        at_j.append(j)
-        last = (i, j)
-    if len(where) < len(theirs):  # where a run begins, its first tokens may have been put elsewhere
-        for k in range(len(at_i) - 2, -1, -1):
-            want = at_j[k + 1] - at_i[k + 1] + at_i[k]
-            goes_on = k and at_j[k] - at_j[k - 1] == at_i[k] - at_i[k - 1]
-            if at_j[k] != want and not goes_on and 0 <= want and theirs[want] == ours[at_i[k]]:
-                at_j[k] = want
-    return at_i, at_j
-
-
-def _previous(tokens: list[int]) -> np.ndarray:
-    """Where each token stood last before, or -1."""
-    seen: dict[int, int] = {}
-    out = np.empty(len(tokens), np.int64)
-    for i, t in enumerate(tokens):
-        out[i] = seen.get(t, -1)
-        seen[t] = i
+    order = np.argsort(theirs, kind="stable")
+    values = theirs[order]
+    begin = np.searchsorted(values, ours)
+    at_i = np.flatnonzero(values[np.minimum(begin, len(values) - 1)] == ours)
+    begin = begin[at_i]
+    at_j = order[begin]
+    if (values[1:] != values[:-1]).all():
+        return at_i, at_j
+    end = np.searchsorted(values, ours[at_i], "right")
+    several = np.flatnonzero(end - begin > 1).tolist()
+    places, begin, end, i, j = order.tolist(), begin.tolist(), end.tolist(), at_i.tolist(), at_j.tolist()
+    for k in several:
+        last = (i[k - 1], j[k - 1]) if k else (-1, -1)
+        j[k] = _nearest(places, begin[k], end[k], last[1] + i[k] - last[0], last[1])
+    for k in reversed(several):  # where a run begins, its first tokens may have been put elsewhere
+        if k + 1 < len(i):
+            want = j[k + 1] - i[k + 1] + i[k]
+            goes_on = k and j[k] - j[k - 1] == i[k] - i[k - 1]
+            if j[k] != want and not goes_on and 0 <= want and theirs[want] == ours[i[k]]:
+                j[k] = want
+    return at_i, np.array(j, np.int64)
+
+
+def _next(tokens: np.ndarray) -> np.ndarray:
+    """Where each token stands next, or beyond the end."""
+    order = np.argsort(tokens, kind="stable")
+    again = np.flatnonzero(tokens[order[1:]] == tokens[order[:-1]])
+    out = np.full(len(tokens), len(tokens))
+    out[order[again]] = order[again + 1]
     return out
 
 
-def _ranges(at_i: np.ndarray, at_j: np.ndarray, ours: list[int], theirs: list[int], least: int, num: int, den: int) -> list[tuple[int, int]]:
+def _widest(i0: np.ndarray, j0: np.ndarray, x: np.ndarray, y: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Ranges (first, last) of shared tokens, at i0 of x and j0 of y, where tokens stand more than once: the furthest similar enough from each
+    first one on that goes beyond those before.
+
+    A range's weight is its distinct shared tokens less the unshared ones. Without the first shared token it changes by the tokens
+    that are left out, for all ranges alike, or only for those that end before such a token's next place.
+    """
+    k = len(i0)
+    weight, every = np.zeros(k, np.int64), np.zeros(k + 1, np.int64)
+    steps, ends, by = [], [], []
+    for tokens, at, one in ((x, i0, -num), (y, j0, -num), (x[i0], np.arange(k), den + num)):
+        after = _next(tokens)
+        new = np.ones(len(tokens), np.int64)
+        new[after[after < len(tokens)]] = 0
+        weight += one * np.cumsum(new)[at]
+        step = np.searchsorted(at, np.arange(len(tokens)), "right")  # the first range without this token
+        end = np.searchsorted(at, after)
+        np.add.at(every, step[end == k], -one)
+        some = (end < k) & (end > step)
+        steps.append(step[some])
+        ends.append(end[some])
+        by.append(np.full(int(some.sum()), -one))
+    step, end, amount = (np.concatenate(v) for v in (steps, ends, by))
+    order = np.argsort(step, kind="stable")
+    step, end, amount = step[order].tolist(), end[order].tolist(), amount[order].tolist()
+    least = -np.cumsum(every)[:k]  # what a weight must be, to be 0 with what holds for all ranges
+    found, top, n = [], -1, 0
+    heads = sorted({0, *step})
+    for p, q in zip(heads, [*heads[1:], k], strict=True):
+        while n < len(step) and step[n] == p:
+            weight[p : end[n]] += amount[n]
+            n += 1
+        beyond = max(top + 1, p)
+        most = np.maximum.accumulate(weight[beyond:][::-1])  # the most from an end on, from the back
+        last = k - 1 - np.searchsorted(most, least[p:q])
+        for first in np.flatnonzero(last > np.maximum.accumulate(np.append(beyond - 1, last[:-1]))).tolist():
+            top = int(last[first])
+            found.append((p + first, top))
+        if top == k - 1:
+            break
+    return found
+
+
+def _ranges(at_i: np.ndarray, at_j: np.ndarray, ours: np.ndarray, theirs: np.ndarray, least: int, num: int, den: int) -> list[tuple[int, int]]:
     """Maximal ranges (first, last) of a stretch's shared tokens that are long and similar enough."""
     k = len(at_i)
     x, y = ours[at_i[0] : at_i[-1] + 1], theirs[at_j[0] : at_j[-1] + 1]
-    if len(set(x)) == len(x) and len(set(y)) == len(y):
+    if len(set(x.tolist())) == len(x) and len(set(y.tolist())) == len(y):
+        if den * k < num * least:  # too few shared tokens for any passage
+            return []
         # No token twice: a range is similar enough if its sum of shared minus unshared, weighted, isn't negative.
         g = (den + num) * np.arange(k) - num * (at_i + at_j)
         most = np.maximum.accumulate(g[::-1])  # the most from an end on, from the back
         last = k - 1 - np.searchsorted(most, g - (den - num))
+        first = np.arange(k)
     else:
-        last = np.full(k, -1)
-        p_x, p_y = _previous(x), _previous(y)
-        p_k = _previous([ours[i] for i in at_i.tolist()])
-        i0, j0 = at_i - at_i[0], at_j - at_j[0]
-        for p in range(k):
-            far = k - p
-            n_x = np.cumsum(p_x[i0[p] :] < i0[p])[i0[p:] - i0[p]]
-            n_y = np.cumsum(p_y[j0[p] :] < j0[p])[j0[p:] - j0[p]]
-            both = np.cumsum(p_k[p:] < p)
-            good = np.flatnonzero((den * both >= num * (n_x + n_y - both))[:far])
-            if len(good):
-                last[p] = p + good[-1]
-    first = np.arange(k)
-    ok = (last >= first) & (at_i[np.maximum(last, 0)] - at_i + 1 >= least) & (at_j[np.maximum(last, 0)] - at_j + 1 >= least)
+        first, last = (np.array(v) for v in zip(*_widest(at_i - at_i[0], at_j - at_j[0], x, y, num, den), strict=True))
+    ok = (at_i[last] - at_i[first] + 1 >= least) & (at_j[last] - at_j[first] + 1 >= least)
     first, last = first[ok], last[ok]
     if not len(first):
         return []
@@ -315,8 +376,8 @@ def _ranges(at_i: np.ndarray, at_j: np.ndarray, ours: list[int], theirs: list[in
     return list(zip(first[longer].tolist(), last[longer].tolist(), strict=True))
 
 
-def _followed(ours: list[int], theirs: list[int], least: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
-    at_i, at_j = (np.array(v, np.int64) for v in _chain(ours, theirs))
+def _followed(ours: np.ndarray, theirs: np.ndarray, least: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
+    at_i, at_j = _chain(ours, theirs)
     if not len(at_i):
         return []
     found = []
@@ -348,9 +409,9 @@ def verified(a: np.ndarray, b: np.ndarray, least: int, num: int, den: int) -> li
             return [(l, r, m, s)]
     if plain and den * both < num * least:  # too few shared tokens for any passage
         return []
-    found = _followed(ours, theirs, least, num, den)
+    found = _followed(a, b, least, num, den)
     if len(y) < len(theirs):
-        found += [(l, r, m, s) for m, s, l, r in _followed(theirs, ours, least, num, den)]
+        found += [(l, r, m, s) for m, s, l, r in _followed(b, a, least, num, den)]
     return found
 
 

@@ -8,15 +8,19 @@ that no level can part (equal ones) are left over and returned to the caller.
 import numpy as np
 
 _LEVELS = 40
+_27, _30, _31, _M1, _M2 = (np.uint64(v) for v in (27, 30, 31, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective mix of 64-bit values."""
     with np.errstate(over="ignore"):
         x = x.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        x ^= x >> _30
+        x *= _M1
+        x ^= x >> _27
+        x *= _M2
+        x ^= x >> _31
+        return x
 
 
 class PerfectHash:
