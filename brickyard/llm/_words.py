@@ -72,3 +72,9 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, np.uint64).view(np.int64)
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places start..start+size of each row, laid end to end."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)

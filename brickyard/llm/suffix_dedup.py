@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brickyard.llm._shared import named, release, small_batches
-from brickyard.llm._words import powers
+from brickyard.llm._words import powers, spread
 from brickyard.llm.deep_shallow import sort_suffixes
 from brickyard.llm.perfect_hash import mix64
 
@@ -117,12 +117,6 @@ def passages(raw: np.ndarray, bounds: np.ndarray, span: int) -> dict[str, np.nda
     return {"key": gram[anchor[start]], "text": text, "start": start, "left": anchor[start] - start, "size": size, "sum": weighed}
 
 
-def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Places start..start+size of each row, laid end to end."""
-    ends = np.cumsum(size)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
-
-
 def _settle(found: dict[str, np.ndarray], raw: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Which passages equal one of a smaller id among them (two that agree in their sums are compared byte by byte)."""
     out = np.zeros(len(found["start"]), bool)
@@ -139,7 +133,7 @@ def _settle(found: dict[str, np.ndarray], raw: np.ndarray, docs: np.ndarray) ->
     for some in np.array_split(at, len(at) // 50_000 + 1):
         if len(some):
             size = found["size"][some]
-            differ = raw[_spread(found["start"][some], size)] != raw[_spread(found["start"][least[some]], size)]
+            differ = raw[spread(found["start"][some], size)] != raw[spread(found["start"][least[some]], size)]
             out[some] = np.add.reduceat(differ.astype(np.int64), np.cumsum(size) - size) == 0
     return out
 
@@ -178,7 +172,7 @@ def _scan(span: int, buckets: int):
                 {
                     "doc": docs[t], "print": prints[t], "passages": each, "step": np.diff(here, prepend=0), "left": found["left"][sent], "size": found["size"][sent],
                     "known_doc": docs[k], "known_print": prints[k], "known_start": s, "known_end": e,
-                    "bytes": raw[_spread(found["start"][sent], found["size"][sent])],
+                    "bytes": raw[spread(found["start"][sent], found["size"][sent])],
                 }
             )
 

@@ -1,7 +1,7 @@
 """Token-id output: documents to coded blocks of ids in ascending id order, and back.
 
 Texts are cut at ASCII white space, where the tokenizer always separates tokens, and each
-distinct chunk is encoded once per worker (a cache of bounded size). Documents are dealt to
+distinct chunk is encoded once per slice of texts, its word and marks once per worker (a cache of bounded size). Documents are dealt to
 shards by ranges of doc_id; a task streams its shard's documents in order, appends the end id
 to each and closes a block at ``block_tokens`` ids. A block is one row of a Parquet table in
 the shared folder, (shard, block, tokens_before, doc_ids, doc_tokens, payload), where the
@@ -23,11 +23,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brickyard.llm._shared import named, new_path, release, small_batches
+from brickyard.llm._words import spread
 from brickyard.llm.token_codec import decode_block, encode_block
 
 CACHED_CHUNKS = 400_000
@@ -35,7 +37,9 @@ CACHED_CHUNKS = 400_000
 KEPT_CHUNKS = 150_000
 # How the tokenizer whose plain words can go straight to its model normalises and cuts text.
 _NORMAL = ["NFC", "Replace", "Lowercase"]
-_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # not the apostrophe, which a letter may follow
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # not the apostrophe, which a letter may follow
+# Letters below U+0250 but U+0130, whose small form is two characters.
+_PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BLOCK_TOKENS = 1 << 20
 BLOCKS = "shard int, block int, tokens_before long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, payload binary"
@@ -50,17 +54,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+def _cut(sizes: list[int], ids: list[int]) -> list[bytes]:
+    """Ids laid end to end, cut into so many each."""
+    raw = np.array(ids, "<u4").tobytes()
+    ends = [4 * e for e in itertools.accumulate(sizes)]
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class ChunkEncoder:
-    """Ids of texts, by way of a cache of white-space separated chunks."""
+    """Ids of texts, by way of a cache of white-space separated chunks' units: plain words, the marks after them, chunks that are neither."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Two generations: chunks of the last one that come again move to the new one, so frequent chunks stay.
-        self.cache: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        # Two generations: units of the last one that come again move to the new one, so frequent units stay.
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.letters = _byte_letters()
         with open(path, encoding="utf-8") as f:
             shape = json.load(f)
@@ -69,38 +80,67 @@ class ChunkEncoder:
         #: Whether a word of Latin letters is one unit to the model, and the marks after it another.
         self.plain = normal == _NORMAL and cuts == [_CUT, None]
 
-    def _known(self, chunk: bytes) -> bytes | None:
-        return self.cache.get(chunk) or self.older.get(chunk)
-
-    def _encode_new(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of chunks. Words of letters below U+0250, which lower-casing keeps one by one and composition leaves alone, go
-        to the model by themselves, without the marks after them: far fewer are distinct."""
-        words: dict[bytes, bytes] = {}
-        parts: list[tuple[bytes, bytes, bytes]] = []
-        rest: list[bytes] = []
-        for chunk in chunks if self.plain else ():
-            bare = chunk.rstrip(_MARKS)
-            if bare.isalpha():
-                word = bare.lower()
-            else:
-                text = bare.decode()
-                if not text.isalpha() or max(text) >= "\u0250" or "\u0130" in text:
-                    rest.append(chunk)
-                    continue
-                word = text.lower().encode()
-            parts.append((chunk, word, chunk[len(bare) :]))
-        tails = list({tail for _, _, tail in parts if tail and self._known(tail) is None})
-        rest = [*(rest if self.plain else chunks), *tails]
-        found = self.tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False)
-        out = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(rest, found, strict=True)}
-        tokenize = self.tokenizer.model.tokenize
-        for chunk, word, tail in parts:
-            ids = words.get(word) or self._known(word)
-            if ids is None:
-                letters = word.decode() if word.isascii() else word.decode("latin-1").translate(self.letters)
-                ids = words[word] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(letters)])
-            out[chunk] = ids + (self._known(tail) or out[tail]) if tail else ids
-        return out
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words in small letters, which go to the model by themselves."""
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        sizes, ids = [], []
+        for w in words:
+            found = tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(letters))
+            sizes.append(len(found))
+            ids += [t.id for t in found]
+        return _cut(sizes, ids)
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return _cut(list(map(len, found)), list(itertools.chain.from_iterable(found)))
+
+    def _known(self, units: list[str], encode) -> list[bytes]:
+        """Ids of distinct units: from the cache, else by encode."""
+        found = list(map(self.cache.get, units))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        if len(self.cache) + len(new) > CACHED_CHUNKS:
+            self.older, self.cache = self.cache, {}
+            new = list(range(len(units)))
+        names = [units[k] for k in new]
+        ids = list(map(self.older.get, names))
+        lost = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(lost, encode([names[k] for k in lost]), strict=True):
+            ids[k] = x
+        for k, x in zip(new, ids, strict=True):
+            found[k] = x
+        self.cache.update(zip(names, ids, strict=True))
+        return found
+
+    def _of_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, laid end to end, and how many each has.
+
+        Words of letters below U+0250, which lower-casing keeps one by one and composition leaves alone, are parted from the
+        marks after them: far fewer are distinct.
+        """
+        bare = pc.ascii_rtrim(chunks, characters=_MARKS)
+        plain = pc.match_substring_regex(bare, _PLAIN) if self.plain else pa.array(np.zeros(len(chunks), bool))
+        words, rest = pc.utf8_lower(bare.filter(plain)).dictionary_encode(), chunks.filter(pc.invert(plain))
+        ends, raw = np.frombuffer(chunks.buffers()[1], np.int64)[1 : len(chunks) + 1], np.frombuffer(chunks.buffers()[2] or b"", np.uint8)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        marks = np.where(is_plain, pc.binary_length(chunks).to_numpy() - pc.binary_length(bare).to_numpy(), 0)
+        marked = np.flatnonzero(marks)
+        bounds = np.append(0, np.cumsum(marks[marked]))
+        tails = pa.LargeStringArray.from_buffers(len(marked), pa.py_buffer(bounds), pa.py_buffer(raw[spread(ends[marked] - marks[marked], marks[marked])])).dictionary_encode()
+        # Unit 0 has no ids: it follows chunks that are one unit.
+        units = [b""]
+        first, second = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        for place, at, texts, encode in (
+            (first, np.flatnonzero(is_plain), words, self._words),
+            (second, marked, tails, self._texts),
+            (first, np.flatnonzero(~is_plain), rest.dictionary_encode(), self._texts),
+        ):
+            place[at] = len(units) + texts.indices.to_numpy()
+            units += self._known(texts.dictionary.to_numpy(zero_copy_only=False).tolist(), encode)
+        sizes = np.array(list(map(len, units)), np.int64) // 4
+        starts = np.cumsum(sizes) - sizes
+        both = np.stack([first, second], 1).reshape(-1)
+        ids = np.frombuffer(b"".join(units), "<u4")[spread(starts[both], sizes[both])]
+        return ids, sizes[first] + sizes[second]
 
     @classmethod
     def of(cls, path: str) -> "ChunkEncoder":
@@ -111,16 +151,14 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        chunks = [(t or "").encode().split() for t in texts]
-        new = set().union(*chunks).difference(self.cache)
-        if len(self.cache) + len(new) > CACHED_CHUNKS:
-            self.older, self.cache = self.cache, {}
-            new = set().union(*chunks)
-        known = new.intersection(self.older)
-        self.cache.update((c, self.older[c]) for c in known)
-        self.cache.update(self._encode_new(list(new - known)))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        parts = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        chunks = parts.values.dictionary_encode()
+        ids, sizes = self._of_chunks(chunks.dictionary)
+        at = chunks.indices.to_numpy()
+        sizes, starts = sizes[at], (np.cumsum(sizes) - sizes)[at]
+        raw = ids[spread(starts, sizes)].tobytes()
+        ends = 4 * np.append(0, np.cumsum(sizes))[parts.offsets.to_numpy()]
+        return [raw[a:b] for a, b in itertools.pairwise(ends.tolist())]
 
     def rest(self) -> None:
         """Lets go of all but a few chunks: an idle worker isn't to hold memory that other operators need."""
@@ -158,7 +196,7 @@ def _encode_shard(path: str, end_id: int, block_tokens: int):
         encoder = ChunkEncoder.of(path)
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in _slices(texts):
+            for a, b in _slices(texts, 8_000_000):
                 for doc, coded in zip(docs[a:b], encoder.encode(texts[a:b]), strict=True):
                     ids.append(doc)
                     counts.append(len(coded) // 4 + 1)
