@@ -7,6 +7,8 @@ still ties goes, run by run, into a blind trie, which branches on single charact
 string only once for each insertion, so long common prefixes cost one comparison and not one a level.
 """
 
+import itertools
+
 import numpy as np
 
 SHALLOW = 16
@@ -118,20 +120,31 @@ def sort_suffixes(group: np.ndarray, text: np.ndarray, length: np.ndarray, shall
     order, starts = multikey_quicksort(group, keys)
     sizes = np.diff(np.append(starts, n))
     rest = 8 * len(keys)
+    table = np.pad(text, ((0, 0), (0, -depth % 8))).view(">u8").astype(np.uint64)
     if rest < depth:
-        many = sizes > 1
-        for at, size in zip(starts[many].tolist(), sizes[many].tolist(), strict=True):
+        # Runs whose tails are all equal are in order as they are.
+        tails = table[order, len(keys) :]
+        equal = np.append(True, (tails[1:] == tails[:-1]).all(axis=1))
+        equal[starts] = True
+        for run in np.flatnonzero((sizes > 1) & ~np.logical_and.reduceat(equal, starts)).tolist():
+            at, size = starts[run], sizes[run]
             members = order[at : at + size]
-            tail = text[members, rest:]
-            if (tail == tail[0]).all():
-                continue
+            alike: dict[bytes, list[int]] = {}
             trie = BlindTrie()
-            for item, row in zip(members.tolist(), tail, strict=True):
-                trie.add(row.tobytes(), item)
-            order[at : at + size] = trie.ordered()
+            for item, row in zip(members.tolist(), text[members, rest:], strict=True):
+                alike.setdefault(row.tobytes(), []).append(item)
+            for string, items in alike.items():
+                trie.add(string, items)
+            order[at : at + size] = list(itertools.chain.from_iterable(trie.ordered()))
     lcp = np.zeros(n, np.int64)
-    same = text[order][1:] == text[order][:-1]
-    first = np.where(same.all(axis=1), depth, np.argmin(same, axis=1))
+    if not depth:
+        return order, lcp
+    ranked = table[order]
+    differ = ranked[1:] ^ ranked[:-1]
+    word = np.argmax(differ != 0, axis=1)
+    value = differ[np.arange(n - 1), word]
+    same = sum((value < np.uint64(1 << (8 * b))).astype(np.int64) for b in range(8))  # the first bytes that are the same
+    first = np.minimum(np.where(value == 0, depth, 8 * word + same), depth)
     lcp[1:] = np.minimum(first, np.minimum(length[order][1:], length[order][:-1]))
     lcp[1:][group[order][1:] != group[order][:-1]] = 0
     return order, lcp

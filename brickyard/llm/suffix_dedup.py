@@ -43,10 +43,19 @@ _MASK = np.uint64(0xFFFFFFFF)
 _FIELDS = (("doc", "<i8"), ("print", "<i8"), ("passages", "<u4"), ("step", "<i8"), ("left", "u1"), ("size", "u1"), ("known_doc", "<i8"), ("known_print", "<i8"), ("known_start", "<i8"), ("known_end", "<i8"), ("bytes", "u1"))
 
 
+_STEPPED = ("doc", "known_doc", "known_start", "known_end")
+
+
 def pack(columns: dict[str, np.ndarray]) -> bytes:
-    parts = [np.ascontiguousarray(columns[n], t).tobytes() for n, t in _FIELDS]
+    """Numbers go byte by byte of all rows, ids as steps from the one before, which leaves little to compress."""
+    parts = []
+    for name, kind in _FIELDS:
+        column = np.ascontiguousarray(columns[name], kind)
+        if name in _STEPPED:
+            column = np.diff(column, prepend=column.dtype.type(0))
+        parts.append(column.view(np.uint8).reshape(-1, column.itemsize).T.tobytes())
     head = struct.pack(f"<{len(parts)}q", *map(len, parts))
-    return zstandard.ZstdCompressor(level=6).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=5).compress(head + b"".join(parts))
 
 
 def unpack(blob: bytes) -> dict[str, np.ndarray]:
@@ -54,22 +63,32 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
     sizes = struct.unpack_from(f"<{len(_FIELDS)}q", raw)
     out, at = {}, 8 * len(_FIELDS)
     for (name, kind), size in zip(_FIELDS, sizes, strict=True):
-        out[name] = np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at)
+        width = np.dtype(kind).itemsize
+        out[name] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at).reshape(width, -1).T).view(kind)[:, 0]
+        if name in _STEPPED:
+            out[name] = np.cumsum(out[name])
         at += size
     each = out["passages"]
     out["start"] = np.cumsum(out["step"])
     out["doc"], out["print"] = np.repeat(out["doc"], each), np.repeat(out["print"], each)
     # The anchor is in the bytes, so its key needn't travel.
     base = np.cumsum(out["size"].astype(np.int64)) - out["size"] + out["left"]
-    head, tail = (_at_places(out["bytes"], base + at) for at in (0, GRAM - 8))
+    head, tail = (_eights(out["bytes"])[base + at] for at in (0, GRAM - 8))
     out["key"] = _key(head, tail)
     return out
 
 
-def _at_places(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each of these places on, as numbers."""
-    rows = raw[at[:, None] + np.arange(8)] if len(at) else np.zeros((0, 8), np.uint8)
-    return np.ascontiguousarray(rows).view("<u8")[:, 0].astype(np.uint64)
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on, as numbers, without a copy."""
+    raw = np.ascontiguousarray(raw)
+    return np.ndarray((max(len(raw) - 7, 0),), "<u8", raw, 0, (1,))
+
+
+def _rows(data: np.ndarray, at: np.ndarray, width: int, size: np.ndarray) -> np.ndarray:
+    """Rows of ``width`` bytes (8 to a number) from each of these places on, zero after their size; data goes on so far after the last place."""
+    step = np.arange(0, width, 8)
+    kept = np.array([(1 << 8 * b) - 1 for b in range(9)], np.uint64)[np.clip(size[:, None] - step, 0, 8)]
+    return (_eights(data)[at[:, None] + step] & kept).view(np.uint8)
 
 
 def _key(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
@@ -77,20 +96,12 @@ def _key(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
     return mix64(head ^ mix64(tail, 41), 42)
 
 
-def _at_each(raw: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position on, as numbers."""
-    out = np.zeros(len(raw) - 7, np.uint64)
-    for i in range(8):
-        out |= raw[i : len(raw) - 7 + i].astype(np.uint64) << np.uint64(8 * i)
-    return out
-
-
 def passages(raw: np.ndarray, bounds: np.ndarray, span: int) -> dict[str, np.ndarray]:
     """Runs of spans with one anchor, in texts laid end to end: key, text number, start, left, size (places in raw), sum (equal for equal bytes)."""
     none = np.zeros(0, np.int64)
     if len(raw) < span:
         return {"key": none.astype(np.uint64), "text": none, "start": none, "left": none, "size": none, "sum": none.astype(np.uint64)}
-    eight = _at_each(raw)
+    eight = _eights(raw).copy()
     gram = _key(eight[: len(raw) - GRAM + 1], eight[GRAM - 8 : len(raw) - 7])
     ranked = (gram & ~_MASK) | np.arange(len(gram), dtype=np.uint64)
     wide, least = 1, ranked
@@ -202,6 +213,17 @@ def _scan(span: int, buckets: int):
     return run
 
 
+def _among(some: np.ndarray, order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of some of the suffixes, numbered among these, and their common lengths: the least on the way from one to the next."""
+    at = np.flatnonzero(some[order])
+    if not len(at):
+        return at, at
+    number = np.cumsum(some) - 1
+    common = np.minimum.reduceat(lcp, np.append(0, at[:-1] + 1))
+    common[-1] = lcp[(at[-2] if len(at) > 1 else -1) + 1 : at[-1] + 1].min()
+    return number[order[at]], common
+
+
 def removed_spans(rows: dict[str, np.ndarray], span: int) -> np.ndarray:
     """(row, start) of each span of the passages that a smaller id has too; start counts from the passage's start."""
     key = rows["key"]
@@ -216,11 +238,10 @@ def removed_spans(rows: dict[str, np.ndarray], span: int) -> np.ndarray:
     left, size, doc = (rows[n][use].astype(np.int64) for n in ("left", "size", "doc"))
     base = (np.cumsum(rows["size"].astype(np.int64)) - rows["size"])[use] + left
     right = size - left
-    data = np.append(rows["bytes"], np.zeros(1, np.uint8))
-    places = np.arange(span + (-span) % 8)
-    after = np.where(places < np.minimum(right, span)[:, None], data[np.minimum(base[:, None] + places, len(data) - 1)], 0).astype(np.uint8)
-    back = np.arange(span - GRAM + (GRAM - span) % 8)
-    before = np.where(back < left[:, None], data[np.maximum(base[:, None] - 1 - back, 0)], 0).astype(np.uint8)
+    pad = np.zeros(LONGEST + 8, np.uint8)
+    data = np.concatenate([rows["bytes"], pad])
+    after = _rows(data, base, span + (-span) % 8, np.minimum(right, span))
+    before = _rows(np.concatenate([rows["bytes"][::-1], pad]), len(rows["bytes"]) - base, span - GRAM + (GRAM - span) % 8, left)
     by_right, lcp_right = sort_suffixes(group, after, np.minimum(right, span))
     by_left, lcp_left = sort_suffixes(group, before, left)
     # The best common length on either side bounds what a passage can share; most that meet by chance fall here.
@@ -228,11 +249,14 @@ def removed_spans(rows: dict[str, np.ndarray], span: int) -> np.ndarray:
     for by, lcp in ((by_right, lcp_right), (by_left, lcp_left)):
         reach[by] += np.maximum(lcp, np.append(lcp[1:], 0))
     hopeful = reach >= span
-    start_of_group = {"r": np.append(True, group[by_right][1:] != group[by_right][:-1]), "l": np.append(True, group[by_left][1:] != group[by_left][:-1])}
+    n = int(hopeful.sum())
+    by_right, lcp_right = _among(hopeful, by_right, lcp_right)
+    by_left, lcp_left = _among(hopeful, by_left, lcp_left)
+    use, group, doc, left, right = (x[hopeful] for x in (use, group, doc, left, right))
+    start_of_group = {"r": np.append(True, group[by_right][1:] != group[by_right][:-1])[:n], "l": np.append(True, group[by_left][1:] != group[by_left][:-1])[:n]}
     out = []
-    n = len(use)
     for offset in range(span - GRAM + 1):
-        fits = hopeful & (left >= offset) & (right >= span - offset)
+        fits = (left >= offset) & (right >= span - offset)
         at = np.flatnonzero(fits)
         if len(at) < 2:
             continue
