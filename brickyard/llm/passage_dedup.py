@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from brickyard.llm._components import components
 from brickyard.llm._shared import checkpointed, named, release, small_batches
-from brickyard.llm._words import shingle_hashes, signed, word_hashes, word_hashes_of
+from brickyard.llm._words import shingle_hashes, signed, spread, word_hashes, word_hashes_of
 from brickyard.llm.perfect_hash import mix64
 
 SHINGLE = 5
@@ -462,15 +462,31 @@ def _opened(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 2000], strict=True), kinds, strict=True)], names=["key", "text", "l", "root", "open", "tokens"])
 
 
+def _fewest(tokens: np.ndarray, least: int) -> int:
+    """The fewest distinct tokens among ``least`` neighbouring ones; ``least``, if there are no more."""
+    n = len(tokens)
+    if n < least:
+        return least
+    before = np.full(n, -1)
+    after = _next(tokens)
+    again = np.flatnonzero(after < n)
+    before[after[again]] = again
+    # A token counts in the windows in which it stands for the first time: those that begin behind its last place.
+    at = np.arange(n)
+    first = np.maximum(np.maximum(before + 1, at - least + 1), 0)
+    change = np.bincount(first, minlength=n + 1) - np.bincount(at + 1, minlength=n + 1)
+    return int(np.cumsum(change)[: n - least + 1].min())
+
+
 def settled(members: list[tuple[int, int, int, bool, np.ndarray]], least: int, num: int, den: int) -> list[tuple[int, int, int, int, int, int]]:
     """Passages (a, l, r, b, m, s) among places (text, l, root, open, tokens) that were compared with one text.
 
     A place is held against all others that can have a passage in common with it, until
     it is linked (no longer open) and in their class. What is left out: places of one class that both
-    are linked, and pairs with too few common tokens. To find these, each place leaves out its most
-    frequent tokens, one less than a passage must share, and the rest are looked up.
+    are linked, and pairs with too few common tokens: a passage has at least as many distinct tokens as any ``least`` neighbouring ones
+    of its place, and shares num/den of both sides' together. To find these, each place leaves out its most
+    frequent tokens, one less than a passage must share, the rest are looked up, and what is shared is counted for all that meet.
     """
-    need = -(-num * least // den)
     texts, starts, roots, opens, tokens = (list(v) for v in zip(*members, strict=True))
     parent = {r: r for r in roots}
 
@@ -489,10 +505,13 @@ def settled(members: list[tuple[int, int, int, bool, np.ndarray]], least: int, n
     of, value = of[order], value[order]
     ends = np.searchsorted(of, np.arange(n + 1))
     distinct = np.diff(ends)
-    drop = np.where(distinct == [len(t) for t in tokens], need - 1, 0)
+    plain = distinct == [len(t) for t in tokens]
+    fewest = np.array([least if p else _fewest(t, least) for p, t in zip(plain, tokens, strict=True)])
+    drop = -(-num * fewest // den) - 1
     kept = np.arange(len(of)) - ends[of] >= drop[of]
     by_value = np.flatnonzero(kept)[np.argsort(value[kept], kind="stable")]
     holders, bounds = of[by_value], np.searchsorted(value[by_value], np.arange(len(values) + 1))
+    known = np.zeros(len(values), bool)  # the tokens of the place whose turn it is
     found, hits = [], np.zeros(n, np.int64)
     text_of = np.array(texts)
     # Windows that are open go first; those of the greatest class, with nothing to find, last and only as partners.
@@ -504,6 +523,16 @@ def settled(members: list[tuple[int, int, int, bool, np.ndarray]], least: int, n
         mine = value[ends[k] + drop[k] : ends[k + 1]]
         other = np.unique(np.concatenate([holders[bounds[v] : bounds[v + 1]] for v in mine.tolist()] or [np.zeros(0, np.int64)]))
         other = other[text_of[other] != texts[k]]
+        if len(other):
+            # How many tokens each other place shares, in pieces of bounded size: with too few there is no passage.
+            known[value[ends[k] : ends[k + 1]]] = True
+            cuts = np.flatnonzero(np.diff(np.cumsum(distinct[other]) // TRIED, prepend=0)).tolist()
+            shared = [
+                np.add.reduceat(known[value[spread(ends[some], distinct[some])]].astype(np.int64), np.cumsum(distinct[some]) - distinct[some])
+                for some in (other[a:b] for a, b in itertools.pairwise([0, *cuts, len(other)])) if len(some)
+            ]
+            known[value[ends[k] : ends[k + 1]]] = False
+            other = other[(den + num) * np.concatenate(shared) >= num * (fewest[k] + fewest[other])]
         for o in other[np.argsort(-hits[other], kind="stable")].tolist():
             if not opens[k] and not opens[o] and top(roots[k]) == top(roots[o]):
                 continue
