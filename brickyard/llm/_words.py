@@ -36,13 +36,12 @@ def _hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(solid[1:] != solid[:-1])
     if not len(edges):
         return np.zeros(0, np.uint64), edges
-    lengths = edges[1::2] - edges[::2]
-    letters, starts = raw[solid[1:-1]], np.cumsum(lengths) - lengths
-    place = np.arange(len(letters)) - np.repeat(starts, lengths)
+    # A word's letters are weighed by the base's powers from its first one on: here from the text's, which its own power divides out.
     with np.errstate(over="ignore"):
-        part = powers(int(lengths.max()))[place]
-        part *= letters.astype(np.uint64) + np.uint64(1)
-        return mix64(np.add.reduceat(part, starts), 1), edges[::2]
+        part = np.zeros(len(raw) + 1, np.uint64)
+        np.multiply(raw.astype(np.uint64) + np.uint64(1), powers(len(raw)), out=part[:-1])
+        words = np.add.reduceat(part, edges)[::2] * powers(len(raw), inverse=True)[edges[::2]]
+        return mix64(words, 1), edges[::2]
 
 
 def word_hashes(text: str | None) -> np.ndarray:

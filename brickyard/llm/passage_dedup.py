@@ -25,6 +25,7 @@ an empty result; columns other than id and text are ignored.
 import itertools
 import struct
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -49,18 +50,60 @@ _FIELDS = (("key", "<u8"), ("text", "<i8"), ("l", "<u4"), ("c", "<u4"), ("r", "<
 _MEMBER = "key long, text long, l int, r int"
 
 
+def _slid(least_or_most: np.ufunc, x: np.ndarray, size: int) -> np.ndarray:
+    """np.minimum or np.maximum of each ``size`` neighbours."""
+    done = 1
+    while done < size:
+        step = min(done, size - done)
+        x = least_or_most(x[:-step], x[step:])
+        done += step
+    return x
+
+
+def _bounds(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the nearest value before each one is that isn't greater, and behind it that is less, among begin..end - 1; begin - 1 and end, if none is."""
+    n, longest = len(values), int((end - begin).max(initial=0))
+    lowest = [values]  # of 1, 2, 4, ... neighbours
+    while 2 << len(lowest) - 1 <= longest:
+        half = 1 << len(lowest) - 1
+        lowest.append(np.minimum(lowest[-1][:-half], lowest[-1][half:]))
+    before, behind = np.arange(n), np.arange(1, n + 1)
+    for k in reversed(range(len(lowest))):
+        step, last = 1 << k, len(lowest[k]) - 1
+        to = before - step
+        before -= step * ((to >= begin) & (lowest[k][np.maximum(to, 0)] > values))
+        behind += step * ((behind + step <= end) & (lowest[k][np.minimum(behind, last)] >= values))
+    return before - 1, behind
+
+
+def windows_of(values: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, l, c, r) of the compact windows of texts of ``sizes``, each ``least`` or more, whose values lie end to end.
+
+    These are the nodes of the texts' Cartesian trees that span at least so many values; leftmost minimum first. Each is the least of some
+    ``least`` neighbours, as are the values that bound it, so the trees are made of such values only.
+    """
+    ends = np.cumsum(sizes)
+    lowest = _slid(np.minimum, values, least)
+    low = values.min()
+    lowest[spread(ends[:-1] - least + 1, np.full(len(ends) - 1, least - 1))] = low  # neighbours of two texts
+    beside = np.full(least - 1, low)
+    kept = np.flatnonzero(values == _slid(np.maximum, np.concatenate([beside, lowest, beside]), least))
+    at = np.searchsorted(kept, ends)
+    text = np.repeat(np.arange(len(ends)), np.diff(at, prepend=0))
+    begin, end = np.append(0, at)[text], at[text]
+    l, r = _bounds(values[kept], begin, end)
+    l, r = np.where(l < begin, (ends - sizes)[text], kept[l] + 1), np.where(r == end, ends[text], kept[np.minimum(r, len(kept) - 1)]) - 1
+    use = np.flatnonzero(r - l + 1 >= least)
+    text = text[use]
+    base = (ends - sizes)[text]
+    return text, l[use] - base, kept[use] - base, r[use] - base
+
+
 def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(l, c, r) of the Cartesian tree's nodes that span at least so many values; leftmost minimum first."""
-    out, stack = [], [(0, len(values) - 1)] if len(values) >= least else []
-    while stack:
-        l, r = stack.pop()
-        c = l + values[l : r + 1].argmin().item()
-        out.append((l, c, r))
-        if c - l >= least:
-            stack.append((l, c - 1))
-        if r - c >= least:
-            stack.append((c + 1, r))
-    return out
+    """(l, c, r) of one text's compact windows."""
+    if len(values) < least:
+        return []
+    return list(zip(*(v.tolist() for v in windows_of(values, np.array([len(values)]), least)[1:]), strict=True))
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
@@ -87,10 +130,14 @@ def _scan(hashes: int, min_words: int, buckets: int):
         def close():
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            home = (columns[0] % np.uint64(buckets)).astype(np.int64)
+            for f in range(hashes):
+                own = columns[5] == f
+                columns[0][own] = mix64(columns[0][own], 200 + f)
+            home = (columns[0] % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)  # short numbers are sorted faster
             order = np.argsort(home, kind="stable")
-            cuts = np.flatnonzero(np.diff(home[order], prepend=-1))
-            rows = [(int(home[i[0]]), _pack([c[i] for c in columns])) for i in np.split(order, cuts[1:])]
+            home, columns = home[order], [c[order] for c in columns]
+            cuts = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
+            rows = [(int(home[a]), _pack([c[a:b] for c in columns])) for a, b in itertools.pairwise([*cuts.tolist(), len(home)])]
             b, x = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(x, pa.binary())], names=["bucket", "blob"])
 
@@ -99,17 +146,19 @@ def _scan(hashes: int, min_words: int, buckets: int):
             words, bounds = word_hashes_of(texts)
             if len(words) < SHINGLE:
                 return
-            tokens = shingle_hashes(words, SHINGLE)
-            long = [(m, a, b) for m, a, b in zip(marks, bounds[:-1].tolist(), (bounds[1:] - SHINGLE + 1).tolist(), strict=True) if b - a >= least]
-            for f in range(hashes):
-                values = mix64(tokens, 100 + f)
-                windows = [compact_windows(values[a:b], least) for _, a, b in long]
-                counts = [len(w) for w in windows]
-                if counts:
-                    l, c, r = np.array(list(itertools.chain.from_iterable(windows))).T
-                    at = c + np.repeat([a for _, a, _ in long], counts)
-                    held.append((mix64(values[at], 200 + f), np.repeat(np.array([m for m, _, _ in long], np.int64), counts), l, c, r, np.full(len(l), f)))
-                    size += len(l)
+            sizes = np.diff(bounds) - SHINGLE + 1
+            long = np.flatnonzero(sizes >= least)
+            if not len(long):
+                return
+            sizes = sizes[long]
+            tokens = shingle_hashes(words, SHINGLE)[spread(bounds[long], sizes)]
+            marks = np.array(marks, np.int64)[long]
+            values = np.concatenate([mix64(tokens, 100 + f) for f in range(hashes)])
+            text, l, c, r = windows_of(values, np.tile(sizes, hashes), least)
+            f, one = np.divmod(text, len(long))
+            starts = np.cumsum(np.tile(sizes, hashes)) - np.tile(sizes, hashes)
+            held.append([x.astype(t) for x, (_, t) in zip((values[c + starts[text]], marks[one], l, c, r, f), _FIELDS, strict=True)])
+            size += len(l)
 
         for batch in batches:
             marks, texts, chars = [], [], 0
@@ -172,11 +221,67 @@ def _laid(one: dict[str, np.ndarray], two: dict[str, np.ndarray], begin: np.ndar
     j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + begin[i]
     l, r = np.maximum(one["l"][i], two["l"][j]), np.minimum(one["r"][i], two["r"][j])
     lo, hi = np.minimum(one["lo"][i], two["c"][j]), np.maximum(one["hi"][i], two["c"][j])
-    use = (l <= lo) & (hi <= r) & (r - l + 1 >= least)
-    use = np.flatnonzero(use)
+    use = np.flatnonzero((l <= lo) & (hi <= r) & (r - l + 1 >= least))
+    return _both(one, two, i[use], j[use], l[use], r[use])
+
+
+def _nested(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ranges begin..end, each two nested or apart: the next one around each; places, and the innermost range up to the first and from each on; -1 is none."""
+    n = len(begin)
+    places = np.concatenate([begin, end + 1])
+    order = np.argsort(2 * places + (np.arange(2 * n) < n), kind="stable")  # ranges end before others begin
+    around, inner, stack = [-1] * n, [-1], [-1]
+    for e in order.tolist():
+        if e < n:
+            around[e] = stack[-1]
+            stack.append(e)
+        else:
+            stack.pop()
+        inner.append(stack[-1])
+    return np.array(around, np.int64), places[order], np.array(inner, np.int64)
+
+
+def nests(two: dict[str, np.ndarray]) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]:
+    """How a hash's windows lie in each other, seen from the places behind their min-hashes and from those before them."""
+    return _nested(two["c"], two["r"]), _nested(-two["c"], -two["l"])
+
+
+def _holding(one: dict[str, np.ndarray], two: dict[str, np.ndarray], nested: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of one hash and of another that hold each other's min-hash; no other pair is tried, save one a window.
+
+    Windows of two around a place, with min-hashes on one side of it, lie in each other, that with the nearest min-hash innermost: they
+    are followed outwards until a min-hash is out of the first window.
+    """
+    found = []
+    for (around, places, inner), side in zip(nested, (1, -1), strict=True):
+        i, j = np.arange(len(one["c"])), inner[np.searchsorted(places, side * one["c"], "right")]
+        if side < 0:  # a min-hash in the same place was met from the other side
+            same = np.flatnonzero(j >= 0)
+            same = same[two["c"][j[same]] == one["c"][same]]
+            j[same] = around[j[same]]
+        while len(i):
+            on = np.flatnonzero(j >= 0)
+            i, j = i[on], j[on]
+            on = np.flatnonzero((two["c"][j] >= one["l"][i]) & (two["c"][j] <= one["r"][i]))
+            i, j = i[on], j[on]
+            found.append((i, j))
+            j = around[j]
+    i, j = zip(*found, strict=True) if found else ([np.zeros(0, np.int64)],) * 2
+    return np.concatenate(i), np.concatenate(j)
+
+
+def paired(one: dict[str, np.ndarray], two: dict[str, np.ndarray], nested: tuple, least: int) -> dict[str, np.ndarray]:
+    """What ``overlaid`` gives for the windows of one hash and of another, with the ``nests`` of the latter."""
+    i, j = _holding(one, two, nested)
+    l, r = np.maximum(one["l"][i], two["l"][j]), np.minimum(one["r"][i], two["r"][j])
+    use = np.flatnonzero(r - l + 1 >= least)
+    return _both(one, two, i[use], j[use], l[use], r[use])
+
+
+def _both(one: dict[str, np.ndarray], two: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, l: np.ndarray, r: np.ndarray) -> dict[str, np.ndarray]:
     with np.errstate(over="ignore"):
-        key = mix64(one["key"][i[use]] + mix64(two["key"][j[use]], 301), 302)
-    return {"key": key} | {n: v[use] for n, v in (("l", l), ("r", r), ("lo", lo), ("hi", hi))}
+        key = mix64(one["key"][i] + mix64(two["key"][j], 301), 302)
+    return {"key": key, "l": l, "r": r, "lo": np.minimum(one["lo"][i], two["c"][j]), "hi": np.maximum(one["hi"][i], two["c"][j])}
 
 
 def _meets(hashes: int, enough: int, least: int):
@@ -199,10 +304,12 @@ def _meets(hashes: int, enough: int, least: int):
             of = [{n: x[n][x["f"] == f] for n in ("key", "l", "c", "r")} for f in range(hashes)]
             for o in of:
                 o["key"] = o["key"].view(np.uint64)
+                o["lo"] = o["hi"] = o["c"]
+            nested = [nests(o) for o in of]
             for k, chosen in enumerate(itertools.combinations(range(hashes), enough)):
-                now = {**of[chosen[0]], "lo": of[chosen[0]]["c"], "hi": of[chosen[0]]["c"]}
-                for f in chosen[1:]:
-                    now = overlaid(now, of[f], least)
+                now = of[chosen[0]]
+                for n, f in enumerate(chosen[1:]):
+                    now = overlaid(now, of[f], least) if n else paired(now, of[f], nested[f], least)
                 text = np.searchsorted(bases, now["l"], "right") - 1
                 key, l, r = mix64(now["key"], 400 + k).view(np.int64), (now["l"] - bases[text]).astype(np.int32), (now["r"] - bases[text]).astype(np.int32)
                 for at in range(0, len(text), 50_000):
@@ -354,11 +461,11 @@ def _widest(i0: np.ndarray, j0: np.ndarray, x: np.ndarray, y: np.ndarray, num: i
     return found
 
 
-def _ranges(at_i: np.ndarray, at_j: np.ndarray, ours: np.ndarray, theirs: np.ndarray, least: int, num: int, den: int) -> list[tuple[int, int]]:
+def _ranges(at_i: np.ndarray, at_j: np.ndarray, ours: np.ndarray, theirs: np.ndarray, least: int, num: int, den: int, plain: bool) -> list[tuple[int, int]]:
     """Maximal ranges (first, last) of a stretch's shared tokens that are long and similar enough."""
     k = len(at_i)
     x, y = ours[at_i[0] : at_i[-1] + 1], theirs[at_j[0] : at_j[-1] + 1]
-    if len(set(x.tolist())) == len(x) and len(set(y.tolist())) == len(y):
+    if plain or (len(set(x.tolist())) == len(x) and len(set(y.tolist())) == len(y)):
         if den * k < num * least:  # too few shared tokens for any passage
             return []
         # No token twice: a range is similar enough if its sum of shared minus unshared, weighted, isn't negative.
@@ -376,7 +483,7 @@ def _ranges(at_i: np.ndarray, at_j: np.ndarray, ours: np.ndarray, theirs: np.nda
     return list(zip(first[longer].tolist(), last[longer].tolist(), strict=True))
 
 
-def _followed(ours: np.ndarray, theirs: np.ndarray, least: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
+def _followed(ours: np.ndarray, theirs: np.ndarray, least: int, num: int, den: int, plain: bool) -> list[tuple[int, int, int, int]]:
     at_i, at_j = _chain(ours, theirs)
     if not len(at_i):
         return []
@@ -386,10 +493,28 @@ def _followed(ours: np.ndarray, theirs: np.ndarray, least: int, num: int, den: i
     for lo, hi in zip(heads, [*heads[1:], len(at_i)], strict=True):
         i, j = at_i[lo:hi], at_j[lo:hi]
         if i[-1] - i[0] + 1 >= least and j[-1] - j[0] + 1 >= least:
-            found += [(int(i[p]), int(i[q]), int(j[p]), int(j[q])) for p, q in _ranges(i, j, ours, theirs, least, num, den)]
+            found += [(int(i[p]), int(i[q]), int(j[p]), int(j[q])) for p, q in _ranges(i, j, ours, theirs, least, num, den, plain)]
     return found
 
 
+def _fewest(tokens: np.ndarray, least: int, some: np.ndarray | None = None) -> int:
+    """The fewest distinct tokens, or of ``some`` places only, among ``least`` neighbouring ones; ``least``, if there are no more tokens."""
+    n = len(tokens)
+    if n < least:
+        return least
+    before = np.full(n, -1)
+    after = _next(tokens)
+    again = np.flatnonzero(after < n)
+    before[after[again]] = again
+    # A token counts in the windows in which it stands for the first time: those that begin behind its last place.
+    at = np.arange(n)
+    first = np.maximum(np.maximum(before + 1, at - least + 1), 0)
+    if some is not None:
+        first, at = first[some], at[some]
+    change = np.bincount(first, minlength=n + 1) - np.bincount(at + 1, minlength=n + 1)
+    return int(np.cumsum(change)[: n - least + 1].min())
+
+
 def verified(a: np.ndarray, b: np.ndarray, least: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
     """Ranges (l, r) of a and (m, s) of b that start and end with shared tokens and are long and similar enough.
 
@@ -409,9 +534,15 @@ def verified(a: np.ndarray, b: np.ndarray, least: int, num: int, den: int) -> li
             return [(l, r, m, s)]
     if plain and den * both < num * least:  # too few shared tokens for any passage
         return []
-    found = _followed(a, b, least, num, den)
+    if not plain:  # nor if it has too many unshared ones: at least those of the ``least`` neighbouring tokens with the fewest, on both sides
+        if min(len(ours), len(theirs)) < least:
+            return []
+        apart = [_fewest(t, least, ~np.fromiter(map(other.__contains__, own), bool, len(own))) for t, own, other in ((a, ours, y), (b, theirs, x))]
+        if (den - num) * both < num * sum(apart):
+            return []
+    found = _followed(a, b, least, num, den, plain)
     if len(y) < len(theirs):
-        found += [(l, r, m, s) for m, s, l, r in _followed(b, a, least, num, den)]
+        found += [(l, r, m, s) for m, s, l, r in _followed(b, a, least, num, den, False)]
     return found
 
 
@@ -462,20 +593,24 @@ def _opened(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 2000], strict=True), kinds, strict=True)], names=["key", "text", "l", "root", "open", "tokens"])
 
 
-def _fewest(tokens: np.ndarray, least: int) -> int:
-    """The fewest distinct tokens among ``least`` neighbouring ones; ``least``, if there are no more."""
-    n = len(tokens)
-    if n < least:
-        return least
-    before = np.full(n, -1)
-    after = _next(tokens)
-    again = np.flatnonzero(after < n)
-    before[after[again]] = again
-    # A token counts in the windows in which it stands for the first time: those that begin behind its last place.
-    at = np.arange(n)
-    first = np.maximum(np.maximum(before + 1, at - least + 1), 0)
-    change = np.bincount(first, minlength=n + 1) - np.bincount(at + 1, minlength=n + 1)
-    return int(np.cumsum(change)[: n - least + 1].min())
+def _dense(shared: np.ndarray, new: np.ndarray, sizes: np.ndarray, least: int, num: int, den: int) -> np.ndarray:
+    """Which of the places of ``sizes``, whose tokens lie end to end, have a range of ``least`` or more that can be similar enough to another
+    place, by the tokens shared with it and those that stand in their own place for the first time.
+
+    Each unshared token counts once, where it first stands: in a range there may be more, so none is left out that is similar enough.
+    """
+    # A place's sums are less than those of the place before by more than any of them is.
+    ends = np.cumsum(sizes)
+    place = np.repeat(np.arange(len(sizes)), sizes)
+    sums = np.cumsum(np.where(shared, den - num, -num * new))
+    deep = 2 * den * (len(shared) + 1)
+    # before[t] is the sum before token t.
+    before = np.append(0, sums[:-1]) - deep * place
+    lowest = np.minimum.accumulate(before)
+    out = np.zeros(len(sizes), bool)
+    at = spread(ends - sizes + least - 1, np.maximum(sizes - least + 1, 0))
+    out[place[at[sums[at] - deep * place[at] >= lowest[at - least + 1]]]] = True
+    return out
 
 
 def settled(members: list[tuple[int, int, int, bool, np.ndarray]], least: int, num: int, den: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -498,7 +633,10 @@ def settled(members: list[tuple[int, int, int, bool, np.ndarray]], least: int, n
     n = len(members)
     of = np.repeat(np.arange(n), [len(t) for t in tokens])
     values, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
-    pairs = np.unique(of * np.int64(len(values)) + inverse)  # each window's tokens once
+    pairs, firsts = np.unique(of * np.int64(len(values)) + inverse, return_index=True)  # each window's tokens once
+    sizes = np.array([len(t) for t in tokens])
+    begins, new = np.cumsum(sizes) - sizes, np.zeros(len(inverse), bool)
+    new[firsts] = True
     of, value = pairs // len(values), pairs % len(values)
     frequency = np.bincount(value, minlength=len(values))
     order = np.lexsort((value, -frequency[value], of))
@@ -511,12 +649,13 @@ def settled(members: list[tuple[int, int, int, bool, np.ndarray]], least: int, n
     kept = np.arange(len(of)) - ends[of] >= drop[of]
     by_value = np.flatnonzero(kept)[np.argsort(value[kept], kind="stable")]
     holders, bounds = of[by_value], np.searchsorted(value[by_value], np.arange(len(values) + 1))
-    known = np.zeros(len(values), bool)  # the tokens of the place whose turn it is
+    known, column = np.zeros(len(values), bool), np.zeros(len(values), np.int64)  # the tokens of the place whose turn it is, numbered
     found, hits = [], np.zeros(n, np.int64)
     text_of = np.array(texts)
     # Windows that are open go first; those of the greatest class, with nothing to find, last and only as partners.
     tops = [top(r) for r in roots]
-    greatest = max(set(tops), key=tops.count)
+    counts = Counter(tops)
+    greatest = max(set(tops), key=counts.__getitem__)
     for k in sorted(range(n), key=lambda k: (tops[k] == greatest, not opens[k])):
         if not opens[k] and tops[k] == greatest:
             break
@@ -533,6 +672,23 @@ def settled(members: list[tuple[int, int, int, bool, np.ndarray]], least: int, n
             ]
             known[value[ends[k] : ends[k + 1]]] = False
             other = other[(den + num) * np.concatenate(shared) >= num * (fewest[k] + fewest[other])]
+        if len(other):
+            # The shared tokens must lie together, too, in both.
+            mine = value[ends[k] : ends[k + 1]]
+            known[mine], column[mine] = True, np.arange(len(mine))
+            columns, firsts = column[inverse[begins[k] : begins[k] + sizes[k]]], new[begins[k] : begins[k] + sizes[k]]
+            kept = [np.zeros(0, np.int64)]
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes[other] + sizes[k]) // TRIED, prepend=0)).tolist()
+            for some in (other[a:b] for a, b in itertools.pairwise([0, *cuts, len(other)])):
+                at = spread(begins[some], sizes[some])
+                some = some[_dense(known[inverse[at]], new[at], sizes[some], least, num, den)]
+                theirs = value[spread(ends[some], distinct[some])]
+                both = known[theirs]
+                table = np.zeros((len(some), len(mine)), bool)
+                table[np.repeat(np.arange(len(some)), distinct[some])[both], column[theirs[both]]] = True
+                kept.append(some[_dense(table[:, columns].ravel(), np.tile(firsts, len(some)), np.full(len(some), sizes[k]), least, num, den)])
+            known[mine] = False
+            other = np.concatenate(kept)
         for o in other[np.argsort(-hits[other], kind="stable")].tolist():
             if not opens[k] and not opens[o] and top(roots[k]) == top(roots[o]):
                 continue
