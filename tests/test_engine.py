@@ -163,6 +163,25 @@ def test_co_change(spark):
     assert graph.unconnected(graph.co_changes(touched, 5), "fewer", "more", linked).count() == 0
 
 
+def test_spread_keeps_its_last_step_only(spark):
+    from brickyard.session import kept
+
+    kept(spark.range(1))
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    left = lambda: {f for f in os.listdir(folder) if f.startswith("rdd-")}
+    edges = spark.range(8).selectExpr("id AS a", "id + 1 AS b")
+    before = left()
+    known = graph._spread(edges, spark.range(9).selectExpr("id AS node", "id AS v"), {"v": True})
+    assert len(left() - before) == 1
+    assert {tuple(r) for r in known.collect()} == {(i, 8) for i in range(9)}
+
+
+def test_co_change_counts_a_commits_bricks_once(spark):
+    rows = [(1, b) for b in "abcabcabc"] + [(2, b) for b in "abcd"] + [(None, "a"), (None, "b"), (3, "a"), (3, None)]
+    pairs = graph.co_changes(spark.createDataFrame(rows, "commit long, brick string"), 3).collect()
+    assert sorted((r.fewer, r.more, r.shared, r.changes) for r in pairs) == [("b", "a", 1, 1), ("b", "c", 1, 1), ("c", "a", 1, 1)]
+
+
 def test_library_names(spark):
     from pyspark.sql import functions as F
 
