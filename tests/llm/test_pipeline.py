@@ -31,3 +31,15 @@ def test_queries_are_registered():
     assert "pipeline" in names and set(queries.QUERIES) <= names
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     assert set(entry.oracle_sql()) <= names
+
+
+def test_near_duplicates_deal_no_texts_at_the_end(spark):
+    """More rows in a task than a bitmap has, repeated rows in several tasks, columns named as the stage's own are."""
+    rows = spark.range(0, 70_000, 1, 2).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS text", "id % 7 AS task", "id AS bits", "id AS page")
+    again = rows.filter("doc_id % 1000 = 999")
+    texts = spark.createDataFrame([(100_000, "a b c d e f g", 0, 0, 0), (100_001, "a b c d e f g", 0, 0, 0), (None, "a b c d e f g", 0, 0, 0)], "doc_id long, text string, task long, bits long, page long")
+    got = corpus_pipeline.near_duplicates(spark, rows.union(again).union(texts), "")
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    kept = [tuple(r) for r in got.collect()]
+    assert got.columns == rows.columns
+    assert sorted(kept, key=str) == sorted([(i, None, i % 7, i, i) for i in range(70_000)] + [(100_000, "a b c d e f g", 0, 0, 0), (None, "a b c d e f g", 0, 0, 0)], key=str)
